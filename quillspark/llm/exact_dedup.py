@@ -47,7 +47,8 @@ def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, salts: int | None
         .select("doc_id", "opens", F.col("run.doc_id").alias("run_keep"), F.sha2("norm", 256).alias("text_sha256"))
     )
     runs = materialise(runs, "exact-dedup-runs")
-    groups = runs.groupBy("text_sha256").agg(F.max("run_keep").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join below has two plain exchanges, whose large partitions Spark can split
+    groups = materialise(runs.groupBy("text_sha256").agg(F.max("run_keep").alias("keep_id"), F.count("*").alias("group_size")), "exact-dedup-groups")
     return runs.join(groups, "text_sha256").select(
         "doc_id",
         "keep_id",
