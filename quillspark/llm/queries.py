@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from quillspark.llm import exact_dedup, simhash
+import corpus_pipeline
+from quillspark.llm import byte_bpe, exact_dedup, language_id, packing, quality, simhash
 
 QUERIES = {
+    "op4_language_id": language_id.op4_language_id,
+    "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_quality_classifier": quality.op10_quality_classifier,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
