@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import byte_bpe, exact_dedup, language_id, packing, quality, simhash
+from quillspark.llm import byte_bpe, exact_dedup, flac, language_id, packing, quality, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_warc": warc.op2_warc,
+    "op3_flac": flac.op3_flac,
     "op4_language_id": language_id.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
@@ -16,6 +19,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
+    "op2_warc": warc.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
