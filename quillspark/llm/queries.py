@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import byte_bpe, exact_dedup, flac, language_id, packing, quality, simhash, url_filter, warc
+from quillspark.llm import byte_bpe, exact_dedup, flac, html_text, language_id, packing, quality, simhash, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_html_extraction": html_text.op8_html_extraction,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
