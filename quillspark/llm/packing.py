@@ -34,7 +34,7 @@ BATCH_CHARS = 4_000_000
 CACHED_WORDS = 400_000
 
 _UNUSUAL = re.compile("[^\x00-įı-ɏ]|<\\|")
-_PUNCTUATION_RUN = re.compile("[^\\sa-z0-9ß-öø-ɏ][,.] ")
+_PUNCTUATION_RUN = re.compile("[^\t-\r \x85\xa0a-z0-9ß-öø-ɏ][,.] ")
 _PLAIN_WORD = re.compile("[a-zß-öø-ɏ]+")
 
 
