@@ -134,7 +134,7 @@ def _encoded_group(x: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Subframe bytes of frames of similar length; *x* (int32) is zero beyond each row's *n*."""
     rows, width = x.shape
     inside = np.arange(width) < n[:, None]
-    order = LPC_ORDER if width > 2 * LPC_ORDER and n.min() > LPC_ORDER else 0
+    order = LPC_ORDER if width > 2 * LPC_ORDER else 0
     candidates = []
     for kind in ("fixed", "lpc") if order else ("fixed",):
         coef = _levinson(x, order) if kind == "lpc" else None
@@ -146,8 +146,10 @@ def _encoded_group(x: np.ndarray, n: np.ndarray) -> list[bytes]:
         else:
             residual = x
         z = np.where(inside[:, width - residual.shape[1] :], (residual << 1) ^ (residual >> 31), 0).astype(np.uint32)
-        k, bits = _rice(z, n - (width - residual.shape[1]))
-        candidates.append((kind, coef, z, k, bits + (order * (8 + PRECISION) + 9 if kind == "lpc" else 0)))
+        k, bits = _rice(z, np.maximum(n - (width - residual.shape[1]), 0))
+        if kind == "lpc":  # frames too short for it take the other, in any group
+            bits = np.where(n > 2 * LPC_ORDER, bits + order * (8 + PRECISION) + 9, 1 << 40)
+        candidates.append((kind, coef, z, k, bits))
     constant = (np.where(inside, x, x[:, :1]) == x[:, :1]).all(axis=1)
     choice = np.argmin([c[4] for c in candidates], axis=0)
     plain = np.minimum.reduce([c[4] for c in candidates]) >= 8 * n
