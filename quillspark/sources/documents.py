@@ -107,7 +107,7 @@ def objects(files: DataFrame) -> DataFrame:
 def entry(dictionary: Column, key: str) -> Column:
     """The name or number at a key of a dictionary's text, null where it is something else or absent."""
     found = F.regexp_extract(dictionary, rf"/{key}\s*(/[^\s/<>\[\]()]+|[+-]?[\d.]+)", 1)
-    return F.when(found != "", F.ltrim(F.lit("/"), found))
+    return F.when(found != "", F.ltrim(found, F.lit("/")))
 
 
 def references(rows: DataFrame) -> DataFrame:
