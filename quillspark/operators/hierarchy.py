@@ -1,7 +1,7 @@
 """Trees in tables: inheritance, ancestors, nesting, trees of pages and of roles.
 
-A tree is ``doc_id``, ``node``, ``parent``.  Paths to the root come from a recursive query whose path
-array guards against cycles; every question about ancestors is then one expression over the path.
+A tree is ``doc_id``, ``node``, ``parent``.  Paths to the root come from joins that double their length
+each round; every question about ancestors is then one expression over the path.
 """
 
 from __future__ import annotations
@@ -9,26 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.shared import materialise
+
 MAX_DEPTH = 128
 # Roles of the standard structure tree that group others.
 GROUPING_ROLES = ("Art", "BibEntry", "BlockQuote", "Caption", "Div", "Document", "DocumentFragment", "Index", "NonStruct", "Part", "Private", "Sect", "TOC", "TOCI", "Aside")
 
 
 def ancestor_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``doc_id``, ``node``, ``depth``, ``path`` (parent first, root last); a cycle ends the path."""
-    nodes.select("doc_id", "node", "parent").createOrReplaceTempView("_tree")
-    return nodes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(doc_id, node, top, path, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
-            SELECT doc_id, node, parent, cast(array() AS array<bigint>), 0 FROM _tree
-            UNION ALL
-            SELECT u.doc_id, u.node, t.parent, array_append(u.path, u.top), u.depth + 1
-            FROM up u JOIN _tree t ON t.doc_id = u.doc_id AND t.node = u.top
-            WHERE u.top IS NOT NULL AND NOT array_contains(u.path, u.top) AND u.top <> u.node AND u.depth < {max_depth}
-        )
-        SELECT doc_id, node, max(depth) AS depth, max_by(path, depth) AS path FROM up GROUP BY doc_id, node
-        """
-    )
+    """``doc_id``, ``node``, ``depth``, ``path`` (parent first, root last); a cycle ends the path.
+
+    Paths double in each round: a path and the path of its top make the next one, so a tree of depth d
+    takes log2(d) joins.  Each round is a written table.
+    """
+    state = nodes.select("doc_id", "node", F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<bigint>")).alias("path"), F.col("parent").alias("top"))
+    reach = 1
+    while True:
+        state = materialise(state, "tree-paths")
+        if reach >= max_depth or state.filter("top IS NOT NULL").isEmpty():
+            break
+        above = state.select(F.col("doc_id"), F.col("node").alias("top"), F.col("path").alias("_more"), F.col("top").alias("_top"))
+        joined = state.join(above, ["doc_id", "top"], "left")
+        state = joined.select("doc_id", "node", F.concat("path", F.coalesce("_more", F.array().cast("array<bigint>"))).alias("path"), F.col("_top").alias("top"))
+        reach *= 2
+    # the first node that comes again, or the node itself, ends the path, as does the limit
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(False).alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        done = acc["done"] | (x == F.col("node")) | F.array_contains(acc["kept"], x)
+        return F.struct(F.when(done, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"), done.alias("done"))
+
+    path = F.slice(F.aggregate("path", start, step, lambda acc: acc["kept"]), 1, max_depth)
+    known = nodes.select("doc_id", F.col("node").alias("_last"))
+    cut = state.select("doc_id", "node", path.alias("path")).withColumn("_last", F.get("path", F.size("path") - 1))
+    # a parent that isn't a node of the tree ends the path before it
+    found = cut.join(known.withColumn("_known", F.lit(True)), ["doc_id", "_last"], "left")
+    path = F.when(F.col("_last").isNotNull() & F.col("_known").isNull(), F.slice("path", 1, F.size("path") - 1)).otherwise(F.col("path"))
+    return found.select("doc_id", "node", path.alias("path")).select("doc_id", "node", F.size("path").alias("depth"), "path")
 
 
 def nearest_value(nodes: DataFrame, paths: DataFrame, value: str, into: str, own: bool = True) -> DataFrame:
@@ -68,25 +85,23 @@ def child_roles(nodes: DataFrame, order: str = "node") -> DataFrame:
     return rows.withColumnRenamed("parent", "node")
 
 
-def mapped_roles(roles: DataFrame, role_map: DataFrame, steps: int = 32) -> DataFrame:
-    """Follow a document's role map from each role; ``cyclic`` where it returns to a role it had.
+def mapped_roles(roles: DataFrame, role_map: DataFrame, doublings: int = 5) -> DataFrame:
+    """Follow a document's role map from each role, 32 steps at most.
 
-    *roles* has ``doc_id``, ``role``; *role_map* ``doc_id``, ``role``, ``target``.
+    A chain that hasn't ended by then is ``cyclic`` and maps to the role itself.  *roles* has ``doc_id``,
+    ``role``; *role_map* ``doc_id``, ``role``, ``target``, unique on the first two.  Jumps double in each
+    round, and each round is a written table.
     """
-    roles.select("doc_id", "role").distinct().createOrReplaceTempView("_roles")
-    role_map.select("doc_id", "role", "target").createOrReplaceTempView("_role_map")
-    return roles.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(doc_id, role, now, seen, cyclic, n) MAX RECURSION LEVEL {steps + 2} AS (
-            SELECT doc_id, role, role, array(role), false, 0 FROM _roles
-            UNION ALL
-            SELECT w.doc_id, w.role, m.target, array_append(w.seen, m.target), array_contains(w.seen, m.target), w.n + 1
-            FROM walk w JOIN _role_map m ON m.doc_id = w.doc_id AND m.role = w.now
-            WHERE NOT w.cyclic AND w.n < {steps}
-        )
-        SELECT doc_id, role, max_by(now, n) AS mapped, bool_or(cyclic) AS cyclic FROM walk GROUP BY doc_id, role
-        """
-    )
+    jump = role_map.select("doc_id", "role", "target")
+    for _ in range(doublings):
+        jump = materialise(jump, "role-map")
+        onward = jump.select("doc_id", F.col("role").alias("target"), F.col("target").alias("_next"))
+        jump = jump.join(onward, ["doc_id", "target"], "left").select("doc_id", "role", F.coalesce("_next", "target").alias("target"))
+    jump = materialise(jump, "role-map")
+    unfinished = role_map.select("doc_id", F.col("role").alias("target"), F.lit(True).alias("_more")).distinct()
+    found = roles.select("doc_id", "role").distinct().join(jump, ["doc_id", "role"], "left").join(unfinished, ["doc_id", "target"], "left")
+    cyclic = F.coalesce("_more", F.lit(False))
+    return found.select("doc_id", "role", F.when(cyclic, F.col("role")).otherwise(F.coalesce("target", "role")).alias("mapped"), cyclic.alias("cyclic"))
 
 
 def nesting_depth(rows: DataFrame, keys: list[str], order: list[str], opens: Column, closes: Column, into: str = "depth") -> DataFrame:

@@ -22,6 +22,9 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from quillspark.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
 
