@@ -513,7 +513,7 @@ def media_features(store: DataFrame) -> DataFrame:
 
 
 def write_store(docs: DataFrame, path: str) -> None:
-    encode_texts(docs).write.option("compression", "zstd").parquet(path)
+    encode_texts(docs).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
 
 
 def op3_flac(spark, sf_dir: str) -> DataFrame:
