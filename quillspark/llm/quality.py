@@ -111,27 +111,28 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """A model from trusted positives among the rows that may be learnt from; None where there are none.
 
-    Both samples come in order of a hash of the id, whatever the storage.
+    Both samples come in order of a hash of the id, whatever the storage; features are computed where
+    the texts are, and only the sample's features come to the driver.
     """
     h = F.xxhash64("doc_id")
     may = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
     trusted = labels.filter((F.col("quality") == 1) & may).select("doc_id").distinct().orderBy(h, "doc_id").limit(POSITIVES)
 
-    def of(rows: DataFrame) -> np.ndarray:
+    def of(rows: DataFrame, most: int) -> np.ndarray:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield pd.DataFrame({"h": batch["h"], "x": list(features(batch["text"].tolist()))})
 
-        found = rows.select(h.alias("h"), text_or_empty().alias("text")).mapInPandas(run, "h long, x array<float>").orderBy("h").toPandas()
+        found = rows.select(h.alias("h"), text_or_empty().alias("text")).mapInPandas(run, "h long, x array<float>").orderBy("h", "x").limit(most).toPandas()
         return np.stack(found["x"].to_list()) if len(found) else np.zeros((0, N_FEATURES), np.float32)
 
     ids = [r["doc_id"] for r in trusted.collect()]
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")  # POSITIVES rows at most
-    positives = of(docs.join(F.broadcast(chosen), "doc_id").limit(2 * POSITIVES))
+    positives = of(docs.join(F.broadcast(chosen), "doc_id"), POSITIVES)
     last = docs.select(h.alias("h")).orderBy("h").limit(UNLABELLED).agg(F.max("h")).first()[0]
     if last is None or not len(positives):
         return None
-    return QualityModel(positives, of(docs.filter(h <= last).limit(2 * UNLABELLED)))
+    return QualityModel(positives, of(docs.filter(h <= last), UNLABELLED))
 
 
 def _scores(docs: DataFrame, model: QualityModel | None):
