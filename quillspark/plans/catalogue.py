@@ -273,9 +273,9 @@ def join_last_owner(spark, sf_dir):
     return joins.last_owner(table(spark, sf_dir, "events").withColumnRenamed("event_type", "owner"), ["user_id"], ["ts", "event_id"], "owner")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def orphan_anti(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").withColumnRenamed("o_custkey", "c_custkey")
     return joins.orphans(table(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey")
 
 
@@ -403,9 +403,12 @@ def grouped_summaries(spark, sf_dir):
     return reports.grouped_summaries(_compared(spark, sf_dir), ["o_orderpriority", "o_orderstatus"])
 
 
-@query("SELECT c_custkey FROM (SELECT *, 'c:' || c_name AS id FROM customer) WHERE (c_mktsegment = 'BUILDING') <> (c_nationkey % 5 = 0) OR NOT regexp_full_match(id, '[A-Za-z0-9._:-]{1,128}')")
+@query(
+    "SELECT c_custkey FROM (SELECT *, CASE WHEN c_nationkey = 3 THEN c_name ELSE 'c:' || c_custkey % 700 END AS id FROM customer) WHERE (c_mktsegment = 'BUILDING') <> (c_nationkey % 5 = 0) OR NOT regexp_full_match(id, '[A-Za-z0-9._:-]{1,128}') "
+    "OR id IN (SELECT CASE WHEN c_nationkey = 3 THEN c_name ELSE 'c:' || c_custkey % 700 END FROM customer GROUP BY 1 HAVING count(*) > 1)"
+)
 def manifest_validation(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c:"), "c_name").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "T3").otherwise("T2").alias("tier"), F.when(F.col("c_nationkey") % 5 == 0, "private").otherwise("public").alias("license"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("note"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 3, F.col("c_name")).otherwise(F.concat(F.lit("c:"), (F.col("c_custkey") % 700).cast("string"))).alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "T3").otherwise("T2").alias("tier"), F.when(F.col("c_nationkey") % 5 == 0, "private").otherwise("public").alias("license"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("note"))
     return reports.invalid_manifest_rows(rows).select("c_custkey")
 
 
@@ -467,12 +470,12 @@ def json_feature(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    ops = F.create_map(*[F.lit(x) for pair in (("click", "BDC"), ("view", "EMC"), ("purchase", "Tj"), ("signup", "q"), ("logout", "Do")) for x in pair])
-    op = F.coalesce(F.element_at(ops, F.col("event_type")), F.lit("zz"))
+    ops = F.create_map(*[F.lit(x) for pair in (("click", "BDC"), ("view", "EMC"), ("purchase", "Tj"), ("signup", "q"), ("error", "Do")) for x in pair])
+    op = F.when(F.col("event_id") % 11 == 0, "zz").otherwise(F.coalesce(F.element_at(ops, F.col("event_type")), F.lit("zz")))
     return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("doc_id"), F.lit(0).alias("stream"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("R"), (F.col("event_id") % 7).cast("string")).alias("name"))
 
 
-_STREAM = """WITH s AS (SELECT user_id % 20 AS doc_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'BDC' WHEN 'view' THEN 'EMC' WHEN 'purchase' THEN 'Tj' WHEN 'signup' THEN 'q' WHEN 'logout' THEN 'Do' ELSE 'zz' END AS op, 'R' || (event_id % 7) AS name FROM events),
+_STREAM = """WITH s AS (SELECT user_id % 20 AS doc_id, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'zz' ELSE CASE event_type WHEN 'click' THEN 'BDC' WHEN 'view' THEN 'EMC' WHEN 'purchase' THEN 'Tj' WHEN 'signup' THEN 'q' WHEN 'error' THEN 'Do' ELSE 'zz' END END AS op, 'R' || (event_id % 7) AS name FROM events),
 r AS (SELECT *, sum(CASE op WHEN 'BDC' THEN 1 WHEN 'EMC' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS t FROM s),
 d AS (SELECT *, CAST(t - least(0, min(t) OVER (PARTITION BY doc_id ORDER BY seq)) AS BIGINT) AS depth FROM r)
 """
