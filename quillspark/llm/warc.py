@@ -112,6 +112,8 @@ def parse_archive(content: bytes) -> Iterator[dict]:
         if not first.startswith(b"WARC/1."):
             raise ValueError(f"not a WARC record: {first[:80]!r}")
         fields = _headers(stream)
+        if "content-length" not in fields or "warc-type" not in fields:
+            raise ValueError("a record without its length or type")
         offset, left = stream.tell(), int(fields["content-length"])
         kind, block, size = fields["warc-type"], {}, None
         digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -123,6 +125,8 @@ def parse_archive(content: bytes) -> Iterator[dict]:
         elif kind == "metadata":
             block = _headers(io.BytesIO(stream.read(left)))
         left = end - stream.tell()
+        if kind == "metadata" and left:
+            raise ValueError("the archive ends inside a record")
         if kind == "response":
             sha1, size = hashlib.sha1(), left
             while left:
@@ -135,8 +139,8 @@ def parse_archive(content: bytes) -> Iterator[dict]:
             if digest not in (None, found):
                 raise ValueError(f"payload digest of {fields['warc-record-id']}: {found}, stated {digest}")
             digest = found
-        elif left:
-            stream.read(left)
+        elif left and len(stream.read(left)) < left:
+            raise ValueError("the archive ends inside a record")
         yield {
             "record_type": kind, "record_id": fields["warc-record-id"].strip("<>"), "concurrent_to": fields.get("warc-concurrent-to", "").strip("<>") or None, "target_uri": fields.get("warc-target-uri"),
             "payload_offset": offset if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "refers_to": fields.get("warc-refers-to", "").strip("<>") or None, "page_id": block.get("page-id"),
