@@ -81,6 +81,36 @@ def _lzw(data: bytes | None) -> bytes | None:
     return bytes(out)
 
 
+def unpredicted(data: bytes | None, predictor: int, colors: int, bits: int, columns: int) -> bytes | None:
+    """Undo a PNG (10 and above) or TIFF (2, 8 bits) predictor row by row; null where rows don't fit."""
+    if data is None or predictor == 1:
+        return data
+    step, width = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
+    rows, out, above = len(data) // (width + (predictor >= 10)), bytearray(), bytearray(width)
+    for r in range(rows):
+        at = r * (width + (predictor >= 10))
+        kind = data[at] if predictor >= 10 else 1
+        row = bytearray(data[at + (predictor >= 10) : at + (predictor >= 10) + width])
+        if kind > 4 or predictor == 2 and bits != 8:
+            return None
+        for i in range(width if kind else 0):
+            left, up = row[i - step] if i >= step else 0, above[i]
+            if kind == 1:
+                guess = left
+            elif kind == 2:
+                guess = up
+            elif kind == 3:
+                guess = (left + up) // 2
+            else:
+                corner = above[i - step] if i >= step else 0
+                p = left + up - corner
+                guess = min((left, up, corner), key=lambda x: abs(p - x))
+            row[i] = (row[i] + guess) & 255
+        out += row
+        above = row
+    return bytes(out)
+
+
 def _column(decode):
     @F.pandas_udf("binary")
     def run(encoded: pd.Series) -> pd.Series:
@@ -103,3 +133,7 @@ def run_length(encoded: Column) -> Column:
 
 def lzw(encoded: Column) -> Column:
     return _column(_lzw)(encoded)
+
+
+def without_predictor(data: Column, predictor: int, colors: int = 1, bits: int = 8, columns: int = 1) -> Column:
+    return _column(lambda x: unpredicted(x, predictor, colors, bits, columns))(data)

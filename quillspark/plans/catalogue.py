@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import checked as c
 from quillspark.functions import derived
-from quillspark.operators import content, hierarchy, joins, policy, reports, rules, sinks
+from quillspark.operators import accessibility, content, hierarchy, joins, metadata, model, policy, reports, rules, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -604,3 +604,117 @@ def font_properties(spark, sf_dir):
 def geometry_and_color(spark, sf_dir):
     family = F.when(F.col("l_returnflag") == "A", "DeviceGray").when(F.col("l_returnflag") == "N", "Lab").otherwise("DeviceCMYK")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", derived.span_length(F.col("l_quantity") * 1000, F.col("l_extendedprice")).alias("width"), derived.component_count(F.lit(None).cast("int"), family).alias("components"))
+
+
+# The object graph, structure trees and metadata.
+
+
+_KINDS = """WITH d AS (SELECT p_partkey, ['Pages', 'Font', 'XObject', 'Other', 'Annot'][1 + p_partkey % 5] AS t, ['Image', 'Form', 'Widget', 'Type0', 'PS', 'CIDFontType2'][1 + p_size % 6] AS s,
+ CASE WHEN p_size > 40 THEN ['Fields'] WHEN p_size > 30 THEN ['Filter', 'V'] WHEN p_size > 20 THEN ['Filter', 'N', 'Alternate'] ELSE ['N'] END AS keys, p_size FROM part)
+"""
+
+
+@query(
+    _KINDS
+    + """SELECT p_partkey, CASE WHEN s = 'Image' THEN 'image' WHEN s = 'Form' THEN 'formXObject' WHEN s = 'PS' THEN 'postScriptXObject' WHEN s = 'Widget' THEN 'formField' WHEN t = 'Pages' THEN 'pageTree' WHEN t = 'Font' THEN 'font' WHEN t = 'XObject' THEN 'xObject' WHEN t = 'Annot' THEN 'annotation'
+ WHEN p_size > 40 THEN 'acroForm' WHEN p_size > 30 THEN 'security' WHEN p_size > 20 THEN 'iccProfile' END AS family,
+ CASE s WHEN 'Type0' THEN 'type0' WHEN 'CIDFontType2' THEN 'cidFontType2' END AS font_kind, CASE s WHEN 'Image' THEN 'image' WHEN 'Form' THEN 'xObject' WHEN 'PS' THEN 'postScriptXObject' END AS xobject_kind FROM d"""
+)
+def family_classification(spark, sf_dir):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    t, sub = pick(["Pages", "Font", "XObject", "Other", "Annot"], F.col("p_partkey") % 5), pick(["Image", "Form", "Widget", "Type0", "PS", "CIDFontType2"], F.col("p_size") % 6)
+    size, some = F.col("p_size"), lambda *x: F.array(*map(F.lit, x))
+    keys = F.when(size > 40, some("Fields")).when(size > 30, some("Filter", "V")).when(size > 20, some("Filter", "N", "Alternate")).otherwise(some("N"))
+    return table(spark, sf_dir, "part").select("p_partkey", model.family(t, sub, keys).alias("family"), model.font_kind(sub).alias("font_kind"), model.xobject_kind(sub).alias("xobject_kind"))
+
+
+def _links(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    links = rows.select(F.lit(0).alias("doc_id"), F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderkey").alias("ord"))
+    objects = rows.select(F.lit(0).alias("doc_id"), F.col("o_orderkey").alias("identity_key"), F.col("o_orderstatus").alias("family"), "o_totalprice")
+    return links, objects
+
+
+@query("SELECT o_custkey AS src, count(*) AS n, min(o_totalprice) AS least, CASE WHEN count(*) = 1 THEN min(o_totalprice) END AS scalar FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+def link_resolution(spark, sf_dir):
+    return model.linked_values(*_links(spark, sf_dir), "O", "o_totalprice").select("src", "n", "least", "scalar")
+
+
+@query("SELECT o_custkey AS src, list(o_totalprice ORDER BY o_orderkey)[1:3] AS values FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
+def link_lists(spark, sf_dir):
+    return model.link_lists(*_links(spark, sf_dir), "O", "o_totalprice", 3).select("src", "values")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS visit_seq FROM events GROUP BY user_id, event_type")
+def identity_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), model.identity_key(F.col("event_type")).alias("identity_key"), F.col("event_id").alias("visit_seq"))
+    return model.distinct_objects(rows).select(F.col("doc_id").alias("user_id"), F.col("identity_key").alias("event_type"), "visit_seq")
+
+
+@query(_TREE + "SELECT doc_id, p_type AS key, arg_max(p_partkey, node) AS value FROM (SELECT p_partkey % 3 AS doc_id, p_partkey // 3 AS node, p_type, p_partkey FROM part) x JOIN p USING (doc_id, node) WHERE node = 1 OR list_contains(path, 1) GROUP BY ALL")
+def name_tree(spark, sf_dir):
+    nodes = _tree(spark, sf_dir)
+    entries = nodes.select("doc_id", "node", F.lit(0).alias("seq"), F.col("p_type").alias("key"), (F.col("node") * 3 + F.col("doc_id")).alias("value"))
+    roots = nodes.filter("parent IS NULL").select("doc_id", F.col("node").alias("root"))
+    return model.tree_entries(nodes, entries, roots).select("doc_id", "key", "value")
+
+
+@query(
+    _TREE
+    + """, c AS (SELECT doc_id, node, unnest(list_concat([node], path)) AS at, unnest(range(len(path) + 1)) AS step FROM p)
+SELECT c.doc_id, c.node, r.role AS name, arg_min(r.node, step) AS object, CAST(min(step) AS INTEGER) AS scope FROM c JOIN t r ON r.doc_id = c.doc_id AND r.node = c.at GROUP BY ALL"""
+)
+def effective_resources(spark, sf_dir):
+    nodes = _tree(spark, sf_dir)
+    resources = nodes.select("doc_id", "node", F.lit("font").alias("family"), F.col("role").alias("name"), F.col("node").alias("object"))
+    return model.effective_resources(nodes, resources).select("doc_id", "node", "name", "object", "scope")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'TH' ELSE 'TD' END AS role, CASE WHEN l_linenumber = 1 THEN 'h' || (l_orderkey % 100) END AS id, l_linenumber = 1 AND l_quantity > 25 AS scoped,
+ CASE WHEN l_linenumber % 3 = 0 THEN [] ELSE ['h' || (l_suppkey % 150), 'h' || (l_partkey % 120)] END AS headers FROM lineitem), k AS (SELECT DISTINCT id FROM c WHERE id IS NOT NULL), s AS (SELECT l_orderkey, bool_or(scoped) AS sc FROM c GROUP BY 1),
+e AS (SELECT l_orderkey, l_linenumber, unnest(headers) AS h FROM c WHERE role = 'TD'), n AS (SELECT l_orderkey, l_linenumber, count(k.id) AS hits, coalesce(string_agg(DISTINCT h, ',' ORDER BY h) FILTER (k.id IS NULL), '') AS lost FROM e LEFT JOIN k ON k.id = h GROUP BY 1, 2)
+SELECT c.l_orderkey * 10 + c.l_linenumber AS node, CASE WHEN role = 'TH' THEN true ELSE coalesce(hits, 0) > 0 OR sc END AS connected, CASE WHEN role = 'TH' THEN '' WHEN coalesce(lost, '') <> '' THEN lost WHEN hits IS NULL AND NOT sc THEN 'missing' ELSE '' END AS unknown_headers
+FROM c LEFT JOIN n ON n.l_orderkey = c.l_orderkey AND n.l_linenumber = c.l_linenumber JOIN s ON s.l_orderkey = c.l_orderkey"""
+)
+def header_cells(spark, sf_dir):
+    first = F.col("l_linenumber") == 1
+    ids = F.array(F.concat(F.lit("h"), (F.col("l_suppkey") % 150).cast("string")), F.concat(F.lit("h"), (F.col("l_partkey") % 120).cast("string")))
+    cells = table(spark, sf_dir, "lineitem").select(
+        F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("table_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), F.when(first, "TH").otherwise("TD").alias("role"), F.when(first, F.concat(F.lit("h"), (F.col("l_orderkey") % 100).cast("string"))).alias("id"),
+        F.when(first & (F.col("l_quantity") > 25), "Col").alias("scope"), F.when(F.col("l_linenumber") % 3 == 0, F.array().cast("array<string>")).otherwise(ids).alias("headers"),
+    )
+    return accessibility.header_cells(cells).select("node", "connected", "unknown_headers")
+
+
+@query("SELECT conv_id AS doc_id, role AS name, arg_min(text, struct_pack(a := turn % 3 <> 0, b := turn)) AS value FROM conversations GROUP BY ALL")
+def metadata_pick(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("n").alias("namespace"), F.col("role").alias("name"), F.when(F.col("turn") % 3 == 0, "x-default").alias("lang"), F.col("turn").alias("seq"), F.col("text").alias("value"))
+    return metadata.picked_text(rows).select("doc_id", "name", "value")
+
+
+@query("SELECT conv_id AS doc_id, CASE WHEN count(*) = 1 THEN any_value(role) ELSE '[' || string_agg(role, ',' ORDER BY turn) || ']' END AS creators FROM conversations GROUP BY conv_id")
+def metadata_creators(spark, sf_dir):
+    return metadata.creator_text(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("value")))
+
+
+@query("WITH f AS (SELECT n_nationkey, ['pdfa-', 'pdfua-', 'other-'][1 + n_nationkey % 3] || (1 + n_nationkey % 5) || CASE WHEN n_nationkey % 2 = 0 THEN 'b' ELSE '' END AS t FROM nation) SELECT n_nationkey, t, CASE WHEN regexp_full_match(t, 'pdfa-[1-4][a-z]?|pdfua-[1-2]') THEN CAST(regexp_extract(t, '-([0-9]+)', 1) AS INTEGER) END AS part, CASE WHEN regexp_full_match(t, 'pdfa-[1-4][a-z]?|pdfua-[1-2]') THEN regexp_extract(t, '-[0-9]+(.*)$', 1) END AS conformance FROM f")
+def flavour_parsing(spark, sf_dir):
+    key = F.col("n_nationkey")
+    family = F.element_at(F.array(F.lit("pdfa"), F.lit("pdfua"), F.lit("other")), (1 + key % 3).cast("int"))
+    text = metadata.flavour_name(family, 1 + key % 5, F.when(key % 2 == 0, "b"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", text.alias("t"), metadata.flavour(text)["part"].alias("part"), metadata.flavour(text)["conformance"].alias("conformance"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'parseFailed' WHEN o_orderkey % 11 = 0 THEN 'encrypted' WHEN o_custkey % 4 <> 1 THEN 'flavourNotUnique' WHEN o_orderstatus <> 'F' THEN 'notValid' ELSE 'noAction' END AS decision FROM orders")
+def repair_decision(spark, sf_dir):
+    parsed = F.when(F.col("o_orderkey") % 7 == 0, "parseFailed").when(F.col("o_orderkey") % 11 == 0, "encrypted").otherwise("success")
+    decision = metadata.repair_decision(parsed, F.when(F.col("o_orderstatus") == "F", "valid").otherwise("invalid"), F.col("o_custkey") % 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", decision.alias("decision"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'kept' ELSE 'ours ' || quality || ', theirs ' || toxic END AS reason FROM (SELECT * FROM labels WHERE quality = 1 OR quality <> toxic)")
+def comparison_reason(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").filter("quality = 1 OR quality <> toxic")
+    note = F.when(F.col("quality") == 1, "kept")
+    return rows.select("doc_id", metadata.comparison_reason(note, F.lit("expectedDrift"), F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("reason"))

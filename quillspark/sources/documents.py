@@ -139,6 +139,15 @@ def trailers(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", number(r"/Root\s+(\d+)\s+(\d+)\s+R", 1).alias("root"), number(r"/Root\s+(\d+)\s+(\d+)\s+R", 2).alias("root_generation"), number(r"/Size\s+(\d+)", 1).alias("size"), F.regexp_extract("_t", r"/ID\s*\[\s*<[^>]*>\s*<([^>]*)>", 1).alias("last_id"))
 
 
+def xref_facts(files: DataFrame) -> DataFrame:
+    """``doc_id``, ``ord``, ``kind``, ``value``: classic tables with good or bad line ends, /Prev and /XRefStm."""
+    text = latin1(F.col("content"))
+    tables = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\bxref\b(.*?)trailer"), F.lit(1)), lambda t: F.struct(F.when(F.rlike(t, F.lit(r"^\r?\n(\d+ \d+ *\r?\n(\d{10} \d{5} [nf]( \r| \n|\r\n))*)*$")), "EolMarkersComply").otherwise("MalformedClassic").alias("kind"), F.lit(None).cast("bigint").alias("value")))
+    offsets = lambda key, kind: F.transform(F.regexp_extract_all(text, F.lit(rf"/{key}\s+(\d+)"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("bigint").alias("value")))
+    rows = files.filter(F.col("content").isNotNull()).select("doc_id", F.posexplode(F.concat(tables, offsets("Prev", "PrevOffset"), offsets("XRefStm", "HybridOffset"))).alias("ord", "f"))
+    return rows.select("doc_id", "ord", "f.*")
+
+
 def parse_status(files: DataFrame) -> DataFrame:
     """``parseFailed`` without a header, a catalog or within the size limit, ``encrypted``, else ``success``."""
     roots = trailers(files).filter(F.col("root").isNotNull()).groupBy("doc_id").agg(F.max_by(F.struct("root", "root_generation"), "pos").alias("r"))
