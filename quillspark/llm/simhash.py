@@ -1,6 +1,6 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-1. Each text gives one 64-bit fingerprint, in the task that reads it.
+1. Each text gives one 64-bit fingerprint, or several independent ones, in the task that reads it.
 2. Distinct fingerprints are dealt by pigeonhole: of four 16-bit blocks, two fingerprints with at most
    three differing bits agree in one, so each fingerprint goes to four buckets (block, value).  A bucket
    above ``hot_bucket`` rows is dealt again by four 12-bit parts of the other 48 bits, which is as exact.
@@ -31,30 +31,46 @@ MAX_BITS = 3
 HOT_BUCKET = 50_000
 FANOUT = 8
 CHUNK = 200_000
+NUMBER_AT = 48
+#: Independent fingerprints of the pipeline's stage: texts are linked if one of them is within three bits.
+STAGE_FINGERPRINTS = 8
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of the word shingles; 0 for a text without words."""
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """An independent 64-bit hash of each hash; number 0 is the hash itself."""
+    if not number:
+        return hashes
+    v = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return v ^ (v >> np.uint64(31))
+
+
+def fingerprints(text: str | None, n: int = 1) -> np.ndarray:
+    """*n* independent 64-bit SimHashes of the word shingles; 0 for a text without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    grams = map(b" ".join, zip(words, words[1:], words[2:])) if n >= SHINGLE else [b" ".join(words)]
-    total = max(1, n - SHINGLE + 1)
-    counts, done = np.zeros(64, np.int64), 0
+    if not words:
+        return np.zeros(n, np.uint64)
+    grams = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else [b" ".join(words)]
+    total = max(1, len(words) - SHINGLE + 1)
+    counts, done = np.zeros((n, 64), np.int64), 0
     hashes = map(xxhash.xxh64_intdigest, grams, repeat(SEED))
     while done < total:
         size = min(CHUNK, total - done)
         part = np.fromiter(hashes, np.uint64, size)
-        counts += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(size, 64).sum(axis=0, dtype=np.int32)
+        for i in range(n):
+            counts[i] += np.unpackbits(_mixed(part, i).view(np.uint8), bitorder="little").reshape(size, 64).sum(axis=0, dtype=np.int32)
         done += size
-    return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint(text: str | None) -> int:
+    return int(fingerprints(text)[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = np.fromiter(map(fingerprint, batch["text"]), np.uint64, len(batch))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64), "digest": batch["digest"]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "fps": [fingerprints(x, n).view(np.int64) for x in batch["text"]], "digest": batch["digest"]})
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -83,8 +99,8 @@ class _Forest:
                 self.label = shorter
 
 
-def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints (uint64) of sorted buckets *run* -> pairs (fingerprint, smallest one it is linked with)."""
+def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints (uint64) of sorted buckets *run* -> bucket, fingerprint, smallest one it is linked with."""
     order = np.lexsort((gray_rank(values), run))
     v, run = values[order], run[order]
     levels = [(v, v, None, None, run)]  # bits set in all, bits set in any, first child, end child, bucket
@@ -139,7 +155,7 @@ def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS) ->
     np.minimum.at(smallest, forest.label, signed)
     root = smallest[forest.label]
     linked = root != signed
-    return signed[linked], root[linked]
+    return run[linked], signed[linked], root[linked]
 
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,8 +163,8 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[pd.DataFrame] = []
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = link_runs(rows["fp"].to_numpy(np.int64).view(np.uint64), rows["bucket"].to_numpy(np.int64))
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        bucket, a, b = link_runs(rows["fp"].to_numpy(np.int64).view(np.uint64), rows["bucket"].to_numpy(np.int64))
+        return pd.DataFrame({"number": bucket >> NUMBER_AT, "a": a, "b": b}).drop_duplicates()
 
     for batch in batches:
         held.append(batch)
@@ -165,10 +181,14 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Distinct fingerprints (``fp`` long) -> links ``a``, ``b`` that connect all within three bits."""
-    keyed = fps.select("fp", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("block"))
+    """Distinct ``number`` (int) and ``fp`` (long) -> links ``number``, ``a``, ``b`` that connect all within three bits.
+
+    Only fingerprints of one number are compared.
+    """
+    keyed = fps.select("number", "fp", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("block"))
     value = F.expr("shiftrightunsigned(fp, 16 * block) & 65535")
-    keyed = keyed.select("fp", "block", F.expr("shiftleft(cast(block as bigint), 32)").bitwiseOR(F.shiftleft(value, 16)).alias("bucket"))
+    head = F.shiftleft(F.col("number").cast("bigint"), NUMBER_AT).bitwiseOR(F.expr("shiftleft(cast(block as bigint), 32)"))
+    keyed = keyed.select("fp", "block", head.bitwiseOR(F.shiftleft(value, 16)).alias("bucket"))
     hot = keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket")
     hot = materialise(hot, "simhash-hot-buckets")
     if not hot.isEmpty():
@@ -184,7 +204,7 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
         keyed = keyed.join(hot, "bucket", "left_anti").select("fp", "bucket").unionByName(split)
     n = shuffle_partitions(fps.sparkSession)
     dealt = keyed.select("fp", "bucket").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(_links, "a long, b long").distinct()
+    return dealt.mapInPandas(_links, "number int, a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,26 +233,40 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """``doc_id``, ``fp`` (long), ``digest`` of the text, ``component_id`` for each row of *docs*.
+def simhash_components(docs: DataFrame, n: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """``doc_id``, ``fps`` (*n* longs), ``digest`` of the text, ``component_id`` for each row of *docs*.
 
-    Null and empty texts, and texts of white space only, have fingerprint zero and are linked like
-    any other.  Ties of a bit (set in exactly half) give 0.  Repeated rows give repeated results.  A
-    component without any non-null id has a null id.  Other columns are ignored.
+    Texts are linked if any of their *n* fingerprints differ in at most three bits; more fingerprints
+    find texts that differ in more words.  Null and empty texts, and texts of white space only, have
+    fingerprint zero and are linked like any other.  Ties of a bit (set in exactly half) give 0.
+    Repeated rows give repeated results.  A component without any non-null id has a null id.  Other
+    columns are ignored.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("digest"))
-    rows = materialise(rows.mapInPandas(_fingerprints, "doc_id long, fp long, digest long"), "simhash-fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    found = components(near_links(fps.select("fp"), hot_bucket))
-    rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rows = rows.mapInPandas(lambda batches: _fingerprints(batches, n), "doc_id long, fps array<long>, digest long")
+    # a node is a fingerprint, or where there are several the hash of all
+    rows = materialise(rows.withColumn("node", F.get("fps", F.lit(0)) if n == 1 else F.xxhash64("fps")), "simhash-fingerprints")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps")), "simhash-nodes")
+    if n == 1:
+        edges = near_links(nodes.select(F.lit(0).alias("number"), F.col("node").alias("fp")), hot_bucket).select("a", "b")
+    else:
+        each = nodes.select("node", F.posexplode("fps").alias("number", "fp"))
+        firsts = materialise(each.groupBy("number", "fp").agg(F.min("node").alias("first")), "simhash-firsts")
+        same = each.join(firsts, ["number", "fp"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        links = near_links(firsts.select("number", "fp"), hot_bucket)
+        to = lambda side: firsts.select("number", F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+        near = links.join(to("a"), ["number", "a"]).join(to("b"), ["number", "b"]).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+        edges = same.unionByName(near)
+    found = components(edges)
+    rooted = nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "digest", "component_id")
+    named = materialise(rooted.join(ids, "root").select("node", "component_id"), "simhash-named")
+    return rows.join(named, "node").select("doc_id", "fps", "digest", "component_id")
 
 
-def near_deduplicated(docs: DataFrame) -> DataFrame:
+def near_deduplicated(docs: DataFrame, n: int = STAGE_FINGERPRINTS) -> DataFrame:
     """One row of each component: that with the smallest id (of several, the smallest text digest)."""
-    rows = materialise(simhash_components(docs), "simhash-stage")
+    rows = materialise(simhash_components(docs, n), "simhash-stage")
     best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("best")).select("component_id", "best.doc_id", "best.digest")
     best = best.select(F.col("component_id").alias("_c"), F.col("doc_id").alias("_best_id"), F.col("digest").alias("_best_digest"))
     stays = rows["doc_id"].eqNullSafe(best["_best_id"]) & (rows["digest"] == best["_best_digest"])
@@ -244,4 +278,4 @@ def near_deduplicated(docs: DataFrame) -> DataFrame:
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm.simhash import components, fingerprint, gray_rank, link_runs, near_deduplicated, near_links, simhash_components
+from quillspark.llm.simhash import components, fingerprint, fingerprints, gray_rank, link_runs, near_deduplicated, near_links, simhash_components
 
 
 def slow_fingerprint(text):
@@ -61,7 +61,7 @@ def clustered(seed, n, hubs=12):
 @pytest.mark.parametrize("seed", range(4))
 def test_index_in_one_bucket(seed):
     fps = sorted(set(clustered(seed, 300)))
-    a, b = link_runs(np.array(fps, np.uint64), np.zeros(len(fps), np.int64))
+    _, a, b = link_runs(np.array(fps, np.uint64), np.zeros(len(fps), np.int64))
     root = {int(np.uint64(np.int64(x))) if x >= 0 else int(x) + 2**64: int(y) % 2**64 for x, y in zip(a, b)}
     want = slow_components(fps)
     groups = {}
@@ -75,8 +75,10 @@ def test_index_in_one_bucket(seed):
 def test_links_and_components_over_buckets(spark, hot):
     fps = sorted(set(clustered(9, 400)))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    frame = spark.createDataFrame([(s,) for s in signed], "fp long")
-    root = dict(components(near_links(frame, hot)).collect())
+    frame = spark.createDataFrame([(k, s) for s in signed for k in (0, 3)], "number int, fp long")
+    links = near_links(frame, hot)
+    assert links.filter("number NOT IN (0, 3)").isEmpty()
+    root = dict(components(links.filter("number = 3").select("a", "b")).collect())
     want, groups = slow_components(fps), {}
     for s, w in zip(signed, want):
         groups.setdefault(w, set()).add(root.get(s, s))
@@ -96,7 +98,7 @@ def test_documents(spark):
             rows.append((100 + i, " ".join(words)))
     rows += [(200, None), (201, ""), (202, "  "), (203, rows[0][1].upper()), (203, rows[0][1].upper()), (None, rows[1][1]), (None, "alone in the world")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.fp % 2**64, r.component_id) for r in simhash_components(docs).collect()), key=str)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.fps[0] % 2**64, r.component_id) for r in simhash_components(docs).collect()), key=str)
     fps = [slow_fingerprint(t) for _, t in rows]
     label = slow_components(fps)
     least = {}
@@ -104,8 +106,34 @@ def test_documents(spark):
         if i is not None:
             least[w] = min(i, least.get(w, i))
     assert got == sorted(((i is None, i or 0, f, least.get(w)) for (i, _), f, w in zip(rows, fps, label)), key=str)
-    left = near_deduplicated(docs)
+    left = near_deduplicated(docs, 1)
     assert left.columns == docs.columns
     assert left.count() == len(set(label))
     empty = spark.createDataFrame([], docs.schema)
     assert simhash_components(empty).count() == 0 and near_deduplicated(empty).count() == 0
+
+
+def test_several_fingerprints(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
+    rows, near = [], []
+    for i in range(40):
+        words = rng.choices(vocabulary, k=300)
+        rows.append((i, " ".join(words)))
+        for k in range(2):
+            words = list(words)
+            words[rng.randrange(300)] = "changed"
+            near.append((1000 + 2 * i + k, " ".join(words)))
+    docs = spark.createDataFrame(rows + near, "doc_id long, text string")
+    several = [(i, list(map(int, fingerprints(t, 4)))) for i, t in rows + near]
+    label = list(range(len(several)))
+    for i in range(len(several)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(several[i][1], several[j][1])):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    want = {i: several[root][0] for (i, _), root in zip(several, label)}
+    assert {r.doc_id: r.component_id for r in simhash_components(docs, 4).collect()} == want
+    assert fingerprints("a b c d", 3)[0] == fingerprint("a b c d") and len(set(fingerprints("a b c d", 3).tolist())) == 3
+    assert near_deduplicated(docs).count() == 40
+    assert near_deduplicated(docs.limit(0)).count() == 0
