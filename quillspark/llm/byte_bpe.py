@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, table, text_or_empty
+from quillspark.llm.common import resident, slices, table, text_or_empty
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -136,13 +136,8 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-_replays: dict[tuple[str, str], MergeReplay] = {}
-
-
 def _replay_of(path: str, pattern: str) -> MergeReplay:
-    if (path, pattern) not in _replays:
-        _replays[path, pattern] = MergeReplay(path, pattern)
-    return _replays[path, pattern]
+    return resident(("merges", path, pattern), lambda: MergeReplay(path, pattern))
 
 
 def _ids(batches: Iterator[pd.DataFrame], path: str, pattern: str, digests: bool) -> Iterator[pd.DataFrame]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.shared import materialise, scratch_path
 
-__all__ = ["LOWER", "UPPER", "drop_rows", "materialise", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "drop_rows", "materialise", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +24,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, build: Callable[[], Any]) -> Any:
+    """The model that a Python worker holds: built once, and dropped when a task needs another one.
+
+    Workers outlive stages, so models of earlier stages would otherwise add up.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def slices(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into consecutive runs whose sizes add up to about *limit*; a larger row stands alone."""
     start, total = 0, 0

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import slices, table, text_or_empty
+from quillspark.llm.common import resident, slices, table, text_or_empty
 
 #: The bound of the labelled sample: rows per language, characters a row may have, characters per
 #: language, languages (the most frequent ones).  Only fitting is bounded; every text is judged whole.
@@ -32,7 +32,7 @@ MAX_SYMBOLS = 254
 TABLE_ENTRIES = 1 << 26
 #: Texts are parsed in blocks of so many symbols; a phrase ends at a block's end.
 BLOCK = 1024
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 #: Phrases per symbol above which a text is foreign to every learnt language.
 FOREIGN_RATE = 0.6
 UNKNOWN, SEPARATOR = 0, 1
@@ -185,15 +185,9 @@ def labelled_samples(docs: DataFrame) -> dict[str, str]:
     return {lang: text for lang, text in samples.items() if text}
 
 
-_parsers: dict[str, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
     name = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    if name not in _parsers:
-        _parsers.clear()
-        _parsers[name] = CrossParser(samples)
-    return _parsers[name]
+    return resident(("languages", name), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:

@@ -24,14 +24,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, shuffle_partitions, slices, table, text_or_empty
+from quillspark.llm.common import materialise, resident, shuffle_partitions, slices, table, text_or_empty
 
 MAX_TOKENS = 4096
 END_ID = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Texts are tokenised about so many characters at a time; a task remembers so many distinct words.
-BATCH_CHARS = 4_000_000
-CACHED_WORDS = 400_000
+BATCH_CHARS = 2_000_000
+CACHED_WORDS = 250_000
 
 _UNUSUAL = re.compile("[^\x00-įı-ɏ]|<\\|")
 _PUNCTUATION_RUN = re.compile("[^\t-\r \x85\xa0a-z0-9ß-öø-ɏ][,.] ")
@@ -100,13 +100,8 @@ class WordEncoder:
             yield b"".join(map(self.known.__getitem__, chunks))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _pieces(batches: Iterator[pd.DataFrame], path: str, max_tokens: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    encoder = _encoders[path]
+    encoder = resident(("words", path), lambda: WordEncoder(path))
     tail, step = np.array([END_ID], "<u4").tobytes(), 4 * max_tokens
     for batch in batches:
         texts = batch["text"].tolist()
