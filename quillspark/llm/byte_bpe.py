@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import resident, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, resident, slices, table, text_or_empty
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -162,7 +162,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFr
     A null text counts as empty and has no ids.  Repeated rows and null ids give rows of their own.
     Other columns are ignored.  An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
     return rows.mapInPandas(lambda b: _ids(b, path, pattern, False), "doc_id long, n_tokens long, ids binary")
 
 
@@ -179,7 +179,7 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> Dat
 
 def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them, for each row as in :func:`encode`."""
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
     return rows.mapInPandas(lambda b: _ids(b, path, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

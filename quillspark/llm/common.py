@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.shared import materialise, scratch_path
 
-__all__ = ["LOWER", "UPPER", "drop_rows", "materialise", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "bounded_batches", "drop_rows", "materialise", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +24,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, unless the session sets its own bound.
+BATCH_BYTES = 4 * 1024 * 1024
+_BATCH_SETTING, _SPARK_S_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64 * 1024 * 1024
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """*df*, after bounding the session's Arrow batches by bytes, whatever the length of its texts."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) in (None, str(_SPARK_S_OWN), f"{_SPARK_S_OWN}b", "64m", "64MB"):
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 _resident: dict[Any, Any] = {}
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch_path, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, scratch_path, slices, table, text_or_empty
 
 BLOCK = 4096
 SAMPLE_RATE = 8000
@@ -469,7 +469,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                 ids = batch["doc_id"].iloc[start:end].reset_index(drop=True)
                 yield pd.DataFrame({"doc_id": ids, "n_bytes": [n for n, _ in part], "media": encode([p for _, p in part])})
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(store: DataFrame) -> DataFrame:
@@ -482,7 +482,7 @@ def pcm_blocks(store: DataFrame) -> DataFrame:
                 rows = [(i, first, len(pcm), pcm) for i, own in zip(batch["doc_id"].iloc[start:end].tolist(), decode(media[start:end])) for first, pcm in own]
                 yield pd.DataFrame(rows, columns=["doc_id", "first_sample", "n_samples", "pcm"]).astype({"doc_id": "Int64"})
 
-    return store.select("doc_id", "media").mapInPandas(run, "doc_id long, first_sample long, n_samples long, pcm binary")
+    return bounded_batches(store).select("doc_id", "media").mapInPandas(run, "doc_id long, first_sample long, n_samples long, pcm binary")
 
 
 def feature(pcm: bytes) -> str:
@@ -509,7 +509,7 @@ def media_features(store: DataFrame) -> DataFrame:
                     rows.append((doc_id, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-PAD_TO:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(pcm)))
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return store.select("doc_id", "n_bytes", "media").mapInPandas(run, FEATURES)
+    return bounded_batches(store).select("doc_id", "n_bytes", "media").mapInPandas(run, FEATURES)
 
 
 def write_store(docs: DataFrame, path: str) -> None:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, table
+from quillspark.llm.common import bounded_batches, materialise, table
 from quillspark.llm.url_filter import host_and_path
 
 #: A branch goes if its importance is below the first figure and at least so many pages of the host have it.
@@ -272,7 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     are closed as browsers do.  Repeated rows give equal results; other columns are ignored.
     """
     host, _ = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = bounded_batches(pages).select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     low = style_tree(rows.filter("host <> ''")).groupBy("host").agg(F.collect_list("path").alias("low"))
     low = materialise(low, "style-tree-low")
     joined = rows.join(low, "host", "left").select("page_id", "url", "html", "low")

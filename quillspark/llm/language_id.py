@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import resident, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, resident, slices, table, text_or_empty
 
 #: The bound of the labelled sample: rows per language, characters a row may have, characters per
 #: language, languages (the most frequent ones).  Only fitting is bounded; every text is judged whole.
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
                 yield part.assign(lang_pred=lang, score=score, rate=rate)
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    rows = docs.select("doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
+    rows = bounded_batches(docs).select("doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, rate double")
 
 
@@ -227,7 +227,7 @@ def accepted(docs: DataFrame) -> DataFrame:
             out += [x != "und" and r <= FOREIGN_RATE for x, r in zip(lang, rate)]
         return pd.Series(out, dtype=bool)
 
-    return docs.filter(is_known(text_or_empty()))
+    return bounded_batches(docs).filter(is_known(text_or_empty()))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, resident, shuffle_partitions, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, materialise, resident, shuffle_partitions, slices, table, text_or_empty
 
 MAX_TOKENS = 4096
 END_ID = 2
@@ -120,7 +120,7 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, max_tokens: int, with_id
 def pieces(docs: DataFrame, path: str = TOKENIZER, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """Token pieces of every text; the last piece of a document ends with the end id."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(lambda batches: _pieces(batches, path, max_tokens, with_ids), schema)
+    return bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInPandas(lambda batches: _pieces(batches, path, max_tokens, with_ids), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, text_or_empty
+from quillspark.llm.common import bounded_batches, table, text_or_empty
 
 #: The bound of the two fitting samples, in rows; every text is scored whole.
 POSITIVES = 4_000
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
             for batch in batches:
                 yield pd.DataFrame({"h": batch["h"], "x": list(features(batch["text"].tolist()))})
 
-        found = rows.select(h.alias("h"), text_or_empty().alias("text")).mapInPandas(run, "h long, x array<float>").orderBy("h", "x").limit(most).toPandas()
+        found = bounded_batches(rows).select(h.alias("h"), text_or_empty().alias("text")).mapInPandas(run, "h long, x array<float>").orderBy("h", "x").limit(most).toPandas()
         return np.stack(found["x"].to_list()) if len(found) else np.zeros((0, N_FEATURES), np.float32)
 
     ids = [r["doc_id"] for r in trusted.collect()]
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
 
 
 def _scores(docs: DataFrame, model: QualityModel | None):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

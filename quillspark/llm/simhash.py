@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import drop_rows, materialise, shuffle_partitions, table, text_or_empty
+from quillspark.llm.common import bounded_batches, drop_rows, materialise, shuffle_partitions, table, text_or_empty
 
 SEED = 42
 SHINGLE = 3
@@ -242,7 +242,7 @@ def simhash_components(docs: DataFrame, n: int = 1, hot_bucket: int = HOT_BUCKET
     Repeated rows give repeated results.  A component without any non-null id has a null id.  Other
     columns are ignored.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("digest"))
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("digest"))
     rows = rows.mapInPandas(lambda batches: _fingerprints(batches, n), "doc_id long, fps array<long>, digest long")
     # a node is a fingerprint, or where there are several the hash of all
     rows = materialise(rows.withColumn("node", F.get("fps", F.lit(0)) if n == 1 else F.xxhash64("fps")), "simhash-fingerprints")
