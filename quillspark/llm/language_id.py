@@ -26,7 +26,7 @@ from quillspark.llm.common import bounded_batches, resident, slices, table, text
 #: language, languages (the most frequent ones).  Only fitting is bounded; every text is judged whole.
 ROWS_PER_LANGUAGE = 64
 ROW_CHARS = 20_000
-SAMPLE_CHARS = 32_000
+SAMPLE_CHARS = 16_000
 MAX_LANGUAGES = 64
 MAX_SYMBOLS = 254
 TABLE_ENTRIES = 1 << 26
