@@ -60,7 +60,8 @@ def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, salts: int | None
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of *docs* that stay, with all their columns."""
-    gone = exact_dedup(docs).filter(~F.col("kept"))
+    # written, so that the list of rows to drop is not gathered in the partitions of the join by digest
+    gone = materialise(exact_dedup(docs).filter(~F.col("kept")), "exact-dedup-gone")
     doomed = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_repeat"))
     return drop_rows(docs, doomed, F.sha2(normalised(text_or_empty()), 256))
 

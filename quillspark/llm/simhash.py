@@ -258,8 +258,9 @@ def simhash_components(docs: DataFrame, n: int = 1, hot_bucket: int = HOT_BUCKET
         near = links.join(to("a"), ["number", "a"]).join(to("b"), ["number", "b"]).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
         edges = same.unionByName(near)
     found = components(edges)
-    rooted = nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = materialise(nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "simhash-rooted")
+    # written, so that the join below has two plain exchanges, whose large partitions Spark can split
+    ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-ids")
     named = materialise(rooted.join(ids, "root").select("node", "component_id"), "simhash-named")
     return rows.join(named, "node").select("doc_id", "fps", "digest", "component_id")
 
