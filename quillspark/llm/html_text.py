@@ -7,8 +7,10 @@ composite importance: such branches are menus, notices, adverts and footers, and
 page.  What pages say by their tags, roles and class names is used as well, and is all there is for a
 host with few pages.
 
-Counts per (host, node, feature) are pre-aggregated before the shuffle, so a host that holds a third of
-all pages is counted in many tasks; only the nodes of a host, never its pages, come together.
+Pages of a host with the same elements and texts count once, so copies of a page don't speak against its
+text.  Copies are dealt by the digest of their page and counts per (host, node, feature) are pre-aggregated
+before the shuffle, so a host that holds a third of all pages is counted in many tasks; only the nodes of a
+host, never its pages, come together.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from quillspark.llm.url_filter import host_and_path
 
 #: A branch goes if its importance is below the first figure and at least so many pages of the host have it.
 LOW_IMPORTANCE, MIN_PAGES = 0.2, 3
-#: The same for containers inside an article, where copies of a page must not speak against its text.
+#: The same for containers inside an article.
 LOW_IN_ARTICLE, MIN_PAGES_IN_ARTICLE = 0.1, 5
 GAMMA = 0.9
 #: Elements below this depth count as part of the one above them; their text stays.
@@ -174,9 +176,7 @@ def _judged(element: Element) -> bool:
     return element.tag not in trunk and not (element.tag in _TEXT_LEVEL and element.parent.tag in ("article", "main"))
 
 
-def page_features(html: str) -> set[tuple[str, int, int]]:
-    """(path, kind, feature): 0 the node itself, 1 its children's arrangement, 2 a text in it."""
-    elements, blocks = parse(html)
+def _features(elements: list[Element], blocks: list[tuple[Element, str]]) -> set[tuple[str, int, int]]:
     found = set()
     for e in elements:
         if _judged(e):
@@ -187,6 +187,19 @@ def page_features(html: str) -> set[tuple[str, int, int]]:
     return found
 
 
+def page_features(html: str) -> set[tuple[str, int, int]]:
+    """(path, kind, feature): 0 the node itself, 1 its children's arrangement, 2 a text in it."""
+    return _features(*parse(html))
+
+
+def _page_digest(elements: list[Element], blocks: list[tuple[Element, str]]) -> bytes:
+    """Equal for pages with the same elements and texts, whatever their scripts, comments and other attributes."""
+    digest = hashlib.blake2b(digest_size=16)
+    for part in (*(e.path for e in elements), "", *(x for e, text in blocks for x in (e.path, text))):
+        digest.update(part.encode("utf-8", "replace") + b"\0")
+    return digest.digest()
+
+
 def extract(html: str, low: frozenset[str] | set[str] = frozenset()) -> str:
     """The blocks outside noise and outside the branches *low*; those of the article, where the page has one."""
     elements, blocks = parse(html)
@@ -236,10 +249,16 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(host, *x) for host, html in zip(batch["host"], batch["html"]) for x in page_features(html)]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
-
-    found = pages.select("host", "html").mapInPandas(features, "host string, path string, kind int, feature long")
+            rows, seen = [], set()
+            for host, html in zip(batch["host"], batch["html"]):
+                parsed = parse(html)
+                page = _page_digest(*parsed)
+                if (host, page) not in seen:
+                    seen.add((host, page))
+                    rows += [(host, page, *x) for x in _features(*parsed)]
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "kind", "feature"])
+
+    found = pages.select("host", "html").mapInPandas(features, "host string, page binary, path string, kind int, feature long").distinct()
     counted = found.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     n = F.col("n")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))

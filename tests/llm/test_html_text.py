@@ -55,3 +55,16 @@ def test_copies_of_an_article_keep_their_text(spark):
     html = "<nav>menu</nav><article><h1>T</h1><p>The same text on every page.</p></article>"
     rows = [(i, f"http://a.org/{i}", html, "", "") for i in range(30)]
     assert {r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {"T\n\nThe same text on every page."}
+
+
+@pytest.mark.parametrize("copies", [3, 5, 30])
+def test_copies_of_a_page_keep_their_text(spark, copies):
+    text = "<p>The same text on every page.</p><p>And more of it.</p>"
+    pages = {"div": f"<body><div class='content'>{text}</div></body>", "article": f"<body><article><div class='entry-content'>{text}</div></article></body>"}
+    rows = [(i, f"http://{kind}.org/{i}", html + f"<script>var id = {i}</script>", "", "") for kind, html in pages.items() for i in range(copies)]
+    # copies beside other pages of the host, whose common branches still go
+    rows += [(1000 + i, f"http://mixed.org/{i}", page(i, 1), "", "") for i in range(20)] + [(2000 + i, "http://mixed.org/copy", page(7, 1).replace("x2", "only-here"), "", "") for i in range(copies)]
+    got = main_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    assert {r.text for r in got if r.page_id < 1000} == {"The same text on every page.\n\nAnd more of it."}
+    assert all(r.text == "\n\n".join(f"Paragraph {k} number {j} with its own words {k * j}." for j in range(4)) for r in got for k in [r.page_id - 1000 if r.page_id < 2000 else 7] if r.page_id >= 1000)
