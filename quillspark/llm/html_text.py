@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -44,26 +45,33 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-_RAW = {t: re.compile(rf"</{t}(?=[\s/>]).*?(?:>|\Z)|\Z", re.S | re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math")}
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]).*?(?:>|\Z)|\Z", re.S | re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml")}
 _BLOCK = set("html body head article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address nav header footer aside form fieldset details summary dialog hgroup menu search center".split())
 _TEXT_LEVEL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption caption td th tr tbody thead tfoot".split())
-_NOISE_TAG = set("head nav footer aside form menu dialog button select option fieldset object embed canvas audio video map label datalist search".split())
-_NOISE_ROLE = set("navigation banner contentinfo search complementary dialog alertdialog alert form menu menubar toolbar tooltip".split())
+_NOISE_TAG = set("head nav footer aside menu dialog button select option fieldset object embed canvas audio video map label datalist search".split())
+_NOISE_ROLE = set("navigation banner contentinfo search complementary dialog alertdialog alert menu menubar toolbar tooltip".split())
 _NOISE_CLASS = set(
     "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist disqus respond "
     "replies pagination pager widget widgets toolbar skip login search copyright teaser teasers".split()
 )
+#: Names of notes that belong to the text where they stand in an article.
+_NOTE_CLASS = set("notice notices alert".split())
+#: Names of readers' comments, which are no wrapper of the page's text however long they are.
+_COMMENT_CLASS = set("comment comments commentlist disqus respond replies".split())
+#: Words for a holder, before which the name proper stands: comments-area, share-buttons.
+_HOLDER = set("area bar block body box button buttons container content group holder icons inner inside item items left link links list main outer panel posts right section top bottom title wrap wrapper".split())
 _CLOSES_P = _BLOCK - {"html", "body", "head"}
 _SAME_CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "noise", "article", "header", "children")
+    __slots__ = ("tag", "path", "parent", "noise", "named", "article", "main", "header", "children")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, article: bool, header: bool):
+    def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, article: bool, header: bool, named: str = "", main: bool = False):
         self.tag, self.path, self.parent, self.noise, self.article, self.header = tag, path, parent, noise, article, header
+        self.named, self.main = named, main
         self.children: list[str] = []
 
 
@@ -71,6 +79,55 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if "=" in raw else {}
 
 
+def _noise_name(name: str, article: bool) -> str:
+    """The noise word that a class or id is, or ends in (before words for a holder); empty if there is none."""
+    name = name.lower()
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    while len(words) > 1 and words[-1] in _HOLDER:
+        words.pop()
+    for word in (name, words[-1] if words else ""):
+        if word in _NOISE_CLASS and not (article and word in _NOTE_CLASS and not _NOISE_CLASS.intersection(words[:-1])):
+            return word
+    return ""
+
+
+def _settle(elements: list[Element], blocks: list[tuple[Element, str]]) -> None:
+    """Decide which elements are noise: those known by tag, role or being hidden are, with all below them.
+
+    One that only has the name of noise, or is a form, is a wrapper instead if the page's main element,
+    or most of its text (of its articles' text, if it has any), stands below it.
+    """
+    sure: set[int] = set()
+    for e in elements:  # parents come first
+        if e.noise or id(e.parent) in sure:
+            sure.add(id(e))
+    size, articles, mains = Counter(), Counter(), set()
+    if any(e.named and id(e) not in sure for e in elements):
+        for e, text in blocks:
+            if id(e) not in sure:
+                size[id(e)] += len(text)
+                articles[id(e)] += len(text) if e.article else 0
+                if e.main:
+                    mains.add(id(e))
+        for e in reversed(elements[1:]):
+            size[id(e.parent)] += size[id(e)]
+            articles[id(e.parent)] += articles[id(e)]
+            if id(e) in mains:
+                mains.add(id(e.parent))
+    root = id(elements[0])
+    share = articles if articles[root] else size
+    inside = {id(e) for e in elements if e.article}
+    for e in elements:
+        noise = id(e) in sure or (e.parent is not None and e.parent.noise)
+        if not noise and e.named:
+            above = id(e) in inside  # an article above it, not below
+            wraps = id(e) in mains and not above or 2 * share[id(e)] > share[root]
+            if e.named in _COMMENT_CLASS and (above or not articles[id(e)]):
+                wraps = False
+            noise = not wraps
+        e.noise = noise
+
+
 def parse(html: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """Elements of a page and its blocks of text in page order, each with the element it stands in."""
     root = Element("", "", None, False, False, False)
@@ -79,17 +136,22 @@ def parse(html: str) -> tuple[list[Element], list[tuple[Element, str]]]:
 
     def flush() -> None:
         if text:
-            kept, element = (text[: marks[0][0]], stack[marks[0][1] - 1]) if marks else (text, stack[-1])
-            joined = " ".join(unescape("".join(kept)).split())
+            pieces = [(text[: marks[0][0]], stack[marks[0][1] - 1]), (text[marks[0][0] :], stack[-1])] if marks else [(text, stack[-1])]
+            for piece, element in pieces:
+                add(piece, element)
             text.clear()
             marks[:] = [(0, i) for _, i in marks]
-            if joined:
-                blocks.append((element, joined))
+
+    def add(piece: list[str], element: Element) -> None:
+        if joined := " ".join(unescape("".join(piece)).split()):
+            blocks.append((element, joined))
 
     def cut(i: int) -> None:
-        del stack[i:]
         while marks and marks[-1][1] >= i:
-            del text[marks.pop()[0] :]
+            begin, at = marks.pop()
+            add(text[begin:], stack[at])
+            del text[begin:]
+        del stack[i:]
 
     def close(tags: set[str], stop: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -133,14 +195,16 @@ def parse(html: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             continue
         attrs = _attributes(raw)
         noise = name in _NOISE_TAG
-        own = attrs.get("class", "").split()
+        own, named = attrs.get("class", "").split(), ""
+        role = attrs.get("role", "").lower()
         if name not in ("html", "body", "article", "main"):
-            words = {w for x in (*own, attrs.get("id", "")) for w in re.split(r"[-_]+", x.lower())}
-            noise |= bool(words & _NOISE_CLASS) or attrs.get("role", "").lower() in _NOISE_ROLE
+            names = [w for x in (*own, *attrs.get("id", "").split()) if (w := _noise_name(x, stack[-1].article))]
+            named = next((w for w in names if w in _COMMENT_CLASS), names[0] if names else "form" if "form" in (name, role) else "")
+            noise |= role in _NOISE_ROLE
         elif name == "article":
             noise |= any(w.startswith("comment") for x in own for w in re.split(r"[-_]+", x.lower()))
         noise |= attrs.get("aria-hidden", "") == "true" or "display:none" in attrs.get("style", "").replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw))
-        if name not in _BLOCK and not noise:
+        if name not in _BLOCK and not noise and not named:
             continue
         if name in _BLOCK:
             flush()
@@ -154,15 +218,17 @@ def parse(html: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         depth = len(stack)
         here = name + ("." + own[0].lower() if own else "")
         path = f"{parent.path}/{here}" if depth <= MAX_DEPTH else parent.path
-        article = parent.article or name in ("article", "main") or attrs.get("role") == "main"
+        main = parent.main or name == "main" or role == "main"
+        article = parent.article or name == "article" or main
         header = parent.header or name == "header" or "header" in own
-        element = Element(name, path, parent, parent.noise or noise, article, header)
+        element = Element(name, path, parent, noise, article, header, named, main)
         parent.children.append(here)
         elements.append(element)
         stack.append(element)
     if at < len(html):
         text.append(html[at:])
     flush()
+    _settle(elements, blocks)
     return elements, blocks
 
 
@@ -182,7 +248,7 @@ def _features(elements: list[Element], blocks: list[tuple[Element, str]]) -> set
         if _judged(e):
             found |= {(e.path, 0, 0), (e.path, 1, _number("\n".join(e.children)))} if e.children else {(e.path, 0, 0)}
     for e, text in blocks:
-        if _judged(e):
+        if _judged(e) and (e.tag in _BLOCK or not e.noise):
             found.add((e.path, 2, _number(text)))
     return found
 

@@ -68,3 +68,24 @@ def test_copies_of_a_page_keep_their_text(spark, copies):
     assert len(got) == len(rows)
     assert {r.text for r in got if r.page_id < 1000} == {"The same text on every page.\n\nAnd more of it."}
     assert all(r.text == "\n\n".join(f"Paragraph {k} number {j} with its own words {k * j}." for j in range(4)) for r in got for k in [r.page_id - 1000 if r.page_id < 2000 else 7] if r.page_id >= 1000)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='layout with-sidebar'><nav>n</nav><div class='sidebar'>s</div><main><p>kept</p></main></div>", "kept"),
+        ("<div id='no-nav'><article><p>kept</p></article></div><p>out</p>", "kept"),
+        ("<div class='content share-enabled'><p>kept</p></div><div class='share-buttons'>s</div>", "kept"),
+        ("<body><form id='aspnetForm'><div class='menu'>m</div><div class='post'><p>one two</p></div></form></body>", "one two"),
+        ("<app-root class='with-sidebar'>menu<main><p>kept</p></main></app-root>", "kept"),
+        ("<article><section class='related-work'><p>a</p></section><p class='notice'>b</p><p>c</p></article>", "a\n\nb\n\nc"),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='t'>x=1</annotation></math> be</p>", "let x=1 be"),
+        # what only looks like a wrapper stays noise
+        ("<article><p>a text</p></article><div class='related-posts'><article><p>teaser</p></article></div>", "a text"),
+        ("<div class='post'><p>short</p></div><div class='comments-area'><p>a long comment of a reader</p></div>", "short"),
+        ("<div class='post'><p>a text of a page</p></div><form><p>subscribe</p></form>", "a text of a page"),
+        ("<aside class='layout'><article>x</article></aside><div>text</div>", "text"),
+    ],
+)
+def test_wrappers_with_names_of_noise(html, want):
+    assert extract(html) == want
