@@ -3,16 +3,15 @@
 For each language a suffix automaton of a bounded sample of its labelled text recognises every
 substring of that sample.  A text is parsed from left to right into the longest phrases that the
 sample contains; the language whose sample needs the fewest phrases, each weighted by the bits that
-point into the sample, wins.  The automata are one dense transition table, built once in each Python
-worker from the samples; the texts of a batch walk through it side by side.
+point into the sample, wins.  Letters are coded as their UTF-8 bytes, so that none are merged.  The
+automata are one sparse transition table, built once in each Python worker from the samples; the texts
+of a batch walk through it side by side.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,101 +21,128 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import bounded_batches, resident, slices, table, text_or_empty
 
-#: The bound of the labelled sample: rows per language, characters a row may have, characters per
-#: language, languages (the most frequent ones).  Only fitting is bounded; every text is judged whole.
+#: The bound of the labelled sample: rows per language, characters read of a row, characters per
+#: language.  Only fitting is bounded; every labelled language is learnt and every text judged whole.
 ROWS_PER_LANGUAGE = 64
 ROW_CHARS = 20_000
 SAMPLE_CHARS = 16_000
-MAX_LANGUAGES = 64
-MAX_SYMBOLS = 254
-TABLE_ENTRIES = 1 << 26
 #: Texts are parsed in blocks of so many symbols; a phrase ends at a block's end.
 BLOCK = 1024
 BATCH_CHARS = 2_000_000
 #: Phrases per symbol above which a text is foreign to every learnt language.
 FOREIGN_RATE = 0.6
-UNKNOWN, SEPARATOR = 0, 1
+SEPARATOR = 1
 
 
-def suffix_automaton(codes: list[int], width: int) -> array:
-    """Transitions of the suffix automaton, ``width`` per state; 0 is none (nothing leads to the root)."""
-    nxt = array("i", bytes(4 * width * (2 * len(codes) + 2)))
-    link, length, last, size = [-1], [0], 0, 1
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; the root is state 0."""
+    nxt, link, length, last = [{}], [-1], [0], 0
     for c in codes:
-        new = size
-        size += 1
+        new = len(nxt)
+        nxt.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and not nxt[p * width + c]:
-            nxt[p * width + c] = new
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = new
             p = link[p]
         if p >= 0:
-            q = nxt[p * width + c]
+            q = nxt[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = size
-                size += 1
+                copy = len(nxt)
+                nxt.append(nxt[q].copy())
                 length.append(length[p] + 1)
                 link.append(link[q])
-                nxt[copy * width : (copy + 1) * width] = nxt[q * width : (q + 1) * width]
-                while p >= 0 and nxt[p * width + c] == q:
-                    nxt[p * width + c] = copy
+                while p >= 0 and nxt[p].get(c) == q:
+                    nxt[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return nxt[: size * width]
+    return nxt
+
+
+def displaced(nxt: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of transitions laid over each other: state ``s`` goes by ``c`` to ``target[base[s] + c]`` if ``owner`` is ``s`` there."""
+    sizes = np.fromiter(map(len, nxt), np.int64, len(nxt))
+    room = 2 * int(sizes.sum()) + 256
+    base, owner, target = np.zeros(len(nxt), np.int32), [-1] * (room + 512), [0] * (room + 512)
+    seed = 1
+    for s in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
+        row, tries = nxt[s], 0
+        while True:
+            seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
+            at, tries = seed % room + 1, tries + 1
+            if all(owner[at + c] < 0 for c in row):
+                break
+            if tries > 2000:  # a place of its own at the end
+                at = len(owner) - 255
+                owner += [-1] * 512
+                target += [0] * 512
+                break
+        base[s] = at
+        for c, to in row.items():
+            owner[at + c], target[at + c] = s, to
+    owner, target = np.array(owner, np.int32), np.array(target, np.int32)
+    single = np.flatnonzero(sizes == 1)
+    slots = (np.flatnonzero(owner[256:] < 0) + 256)[: len(single)]
+    row = np.array([next(iter(nxt[s].items())) for s in single.tolist()], np.int32).reshape(-1, 2)
+    base[single] = slots - row[:, 0]
+    owner[slots], target[slots] = single, row[:, 1]
+    return base, np.r_[owner, np.full(512, -1, np.int32)], np.r_[target, np.zeros(512, np.int32)]
 
 
 class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen = Counter()
-        for text in samples.values():
-            seen.update(c for c in text.lower() if c.isalpha() or unicodedata.category(c)[0] == "M")
-        symbols = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_SYMBOLS]]
-        code = {c: i + 2 for i, c in enumerate(symbols)}
-        self.width = max(4, 1 << (len(code) + 1).bit_length())
-        self.code = np.full(0x110000, SEPARATOR, np.uint8)
+        self.lower = np.full(0x110000, SEPARATOR, np.uint32)
         self.letter = np.zeros(0x110000, bool)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 self.letter[i] = True
-                self.code[i] = code.get(c.lower(), UNKNOWN)
+                self.lower[i] = ord(c.lower()[0])
             elif unicodedata.category(c)[0] == "M":
-                self.code[i] = code.get(c, UNKNOWN)
-        most = max(1, min(SAMPLE_CHARS, TABLE_ENTRIES // (2 * self.width * max(1, len(samples)))))
-        parts, self.roots, self.bits, at = [], [], [], 0
+                self.lower[i] = i
+        parts, begins, self.roots, self.bits, states, slots = [], [], [], [], 0, 0
         for language in self.languages:
             codes, _ = self._symbols([samples[language]])
-            codes = codes[:most]
-            nxt = np.frombuffer(suffix_automaton(codes.tolist(), self.width), np.int32).reshape(-1, self.width)
-            # low two bits: phrases that end before the symbol, or at it
-            root = nxt[0]
-            step = np.where(nxt > 0, (nxt * self.width + at), np.where(root > 0, (root * self.width + at) | 1, at | 2))
-            step[0] = np.where(root > 0, root * self.width + at, at | 1)
-            parts.append(step.astype(np.int32).ravel())
-            self.roots.append(at)
+            codes = codes[np.cumsum((codes & 0xC0) != 0x80) <= SAMPLE_CHARS]
+            nxt = suffix_automaton(codes.tolist())
+            base, owner, target = displaced(nxt)
+            begin = np.full(256, -1, np.int32)
+            begin[list(nxt[0])] = [x + states for x in nxt[0].values()]
+            begins.append(begin)
+            parts.append((base + slots, np.where(owner >= 0, owner + states, -1), target + states))
+            self.roots.append(states)
             self.bits.append(np.log2(len(codes) + 2))
-            at += step.size
-        self.step = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            states, slots = states + len(base), slots + len(owner)
+        self.base, self.owner, self.target = (np.concatenate(x).astype(np.int32) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
+        self.begin = np.array(begins, np.int32).reshape(-1, 256)
         self.roots = np.array(self.roots, np.int32)[:, None]
         self.bits = np.array(self.bits)
 
     def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts, runs of separators as one, and the number of each text."""
+        """Codes of all texts, runs of separators as one, and the number of codes of each text."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        codes = self.code[points]
-        gap = codes == SEPARATOR
-        keep = np.ones(len(codes), bool)
+        lower = self.lower[points]
+        gap = lower == SEPARATOR
+        keep = np.ones(len(lower), bool)
         keep[1:] = ~(gap[1:] & gap[:-1])
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
-        keep[starts[starts < len(codes)]] = True
-        total = np.r_[0, np.cumsum(keep)]
-        return codes[keep], total[ends] - total[starts]
+        keep[starts[starts < len(lower)]] = True
+        size = np.where(keep, 1 + (lower >= 0x80) + (lower >= 0x800) + (lower >= 0x10000), 0)
+        total = np.r_[0, np.cumsum(size)]
+        codes = np.empty(total[-1], np.uint8)
+        for n in np.unique(size[keep]).tolist():
+            here = np.flatnonzero(size == n)
+            at, letters = total[here], lower[here]
+            for k in range(n):
+                byte = letters >> (6 * (n - 1 - k))
+                codes[at + k] = byte if n == 1 else (byte | (0xF00 >> n) & 0xFF) if k == 0 else (byte & 0x3F | 0x80)
+        return codes, total[ends] - total[starts]
 
     def letters(self, texts: list[str]) -> np.ndarray:
         """Whether each text has a letter."""
@@ -126,7 +152,7 @@ class CrossParser:
         return np.diff(np.r_[0, total[ends]]) > 0
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text (languages x texts), and its number of symbols."""
+        """Phrases of each text (languages x texts), and its number of letters and separators."""
         codes, n = self._symbols(texts)
         blocks = -(-n // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
@@ -140,15 +166,22 @@ class CrossParser:
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than t
         for t in range(int(size[0]) if len(size) else 0):
             m = active[t]
-            nxt = self.step[state[:, :m] + codes[begin[:m] + t]]
-            ended = nxt & 3
-            count[:, :m] += ended
-            state[:, :m] = nxt ^ ended
+            code, now = codes[begin[:m] + t], state[:, :m]
+            slot = self.base[now] + code
+            on = self.owner[slot] == now
+            nxt = self.target[slot]
+            row, at = np.nonzero(~on)  # a phrase ends before the symbol, and one at it if no phrase begins with it
+            first, was = self.begin[row, code[at]], now[row, at] != self.roots[row, 0]
+            count[row, at] += was.astype(np.int32) + (first < 0)
+            nxt[row, at] = np.where(first < 0, self.roots[row, 0], first)
+            state[:, :m] = nxt
         count += state != self.roots
         out = np.zeros((len(self.languages), len(texts)))
         for row, c in zip(out, count):
             row += np.bincount(owner, c, len(texts))
-        return out, n
+        inner = np.r_[0, np.cumsum((codes & 0xC0) == 0x80)]  # further bytes of a letter
+        ends = np.cumsum(n)
+        return out, n - (inner[ends] - inner[ends - n])
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (``und`` if a text has no letter), margin over the next language, phrases per symbol."""
@@ -170,18 +203,19 @@ def labelled_samples(docs: DataFrame) -> dict[str, str]:
     Rows come in order of a hash of the id, so a sample doesn't depend on how the table is stored.
     """
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
-    learn = docs.filter((remainder != 0) & F.col("lang").isNotNull() & F.length("text").between(1, ROW_CHARS)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    most = [r["lang"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not most:
-        return {}
+    learn = docs.filter((remainder != 0) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = [r["doc_id"] for r in learn.filter(F.col("lang").isin(most)).withColumn("nth", nth).filter(F.col("nth") <= ROWS_PER_LANGUAGE).select("doc_id").collect()]
-    rows = docs.filter(F.col("doc_id").isin(ids) & F.col("lang").isin(most) & F.length("text").between(1, ROW_CHARS))
-    chosen = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("h")).orderBy("h", "doc_id").collect()
+    picked = learn.withColumn("nth", nth).filter(F.col("nth") <= ROWS_PER_LANGUAGE).select("doc_id", "lang").collect()
+    if not picked:
+        return {}
+    ids, most = [r["doc_id"] for r in picked], sorted({r["lang"] for r in picked})
+    rows = docs.filter(F.col("doc_id").isin(ids) & F.col("lang").isin(most) & (F.length("text") > 0))
+    rows = rows.groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, ROW_CHARS)).alias("text"), F.min(F.xxhash64("doc_id")).alias("h"))
+    earlier = Window.partitionBy("lang").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(earlier), F.lit(0))).filter(F.col("before") < 2 * SAMPLE_CHARS)
     samples = {lang: "" for lang in most}
-    for row in chosen:
-        if len(samples[row["lang"]]) < 2 * SAMPLE_CHARS:
-            samples[row["lang"]] += row["text"] + "\n"
+    for row in chosen.orderBy("h", "doc_id").collect():
+        samples[row["lang"]] += row["text"] + "\n"
     return {lang: text for lang, text in samples.items() if text}
 
 
@@ -199,7 +233,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
     Repeated rows give equal results; other columns are ignored; an empty table gives none.
     """
     samples = labelled_samples(docs) if samples is None else samples
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # at most MAX_LANGUAGES samples
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # a bounded sample for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parser = _parser(shared.value)

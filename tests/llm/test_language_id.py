@@ -69,3 +69,34 @@ def test_empty_and_nothing_learnt(spark):
     assert identify(spark.createDataFrame([], SCHEMA)).count() == 0
     r = identify(spark.createDataFrame([(1, "some text", None, "")], SCHEMA)).first()
     assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def han(rng, first, n):
+    """Text of *n* rare letters from a range of 3,000."""
+    return "".join(chr(first + rng.randrange(3000)) for _ in range(n))
+
+
+def test_letters_of_large_alphabets_are_not_merged():
+    rng = random.Random(4)
+    parser = CrossParser({"zh": han(rng, 0x4E00, 16_000), "ja": han(rng, 0x6000, 16_000), "en": SAMPLES["aa"]})
+    texts = [han(rng, 0x4E00, 300), han(rng, 0x6000, 300), han(rng, 0xAC00, 300), "".join(chr(0x10A0 + rng.randrange(32)) for _ in range(300))]
+    languages, _, rate = parser.judge(texts)
+    assert languages[:2] == ["zh", "ja"]
+    assert min(rate[2:]) > 1.2 * max(rate[:2])  # other scripts don't parse into long phrases
+
+
+def test_samples_do_not_shrink_with_the_number_of_languages():
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöùúûüýþ", k=17_000))
+    alone = CrossParser({"a": text}).phrases([text])[0]
+    many = CrossParser({"a": text, **{f"x{i}": text[i : i + 9_000] for i in range(12)}}).phrases([text])[0]
+    assert many[0].tolist() == alone[0].tolist()
+
+
+def test_every_labelled_language_is_learnt(spark):
+    rng = random.Random(6)
+    kinds = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)] for k in range(70)}
+    rows = [(100 * i + j, words(rng, kinds[k], 60), k, "") for i, k in enumerate(kinds) for j in range(6)]
+    rows += [(9000 + j, words(rng, ["ζω", "λα", "μει"], 12_000), "long", "") for j in range(4)]  # only rows over the bound of a row
+    got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: got[i] for i, *_ in rows} == {i: k for i, _, k, _ in rows}
