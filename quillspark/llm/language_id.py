@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,11 @@ SAMPLE_CHARS = 16_000
 #: Texts are parsed in blocks of so many symbols; a phrase ends at a block's end.
 BLOCK = 1024
 BATCH_CHARS = 2_000_000
-#: Phrases per symbol above which a text is foreign to every learnt language.
-FOREIGN_RATE = 0.6
+#: A language's limit of phrases per letter: so many times the given quantile over pieces of its labelled
+#: text that the automaton hasn't seen, and for short texts so many phrases more.
+PIECE, QUANTILE, MARGIN, EXTRA_PHRASES = 100, 0.99, 1.6, 3
+#: Share of that limit above which a text is foreign to every learnt language.
+FOREIGN_RATE = 1.0
 SEPARATOR = 1
 
 
@@ -93,18 +97,25 @@ def displaced(nxt: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return base, np.r_[owner, np.full(512, -1, np.int32)], np.r_[target, np.zeros(512, np.int32)]
 
 
+@lru_cache(maxsize=1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point the lower case (``SEPARATOR`` if it is no part of a word), and whether it is a letter."""
+    lower, letter = np.full(0x110000, SEPARATOR, np.uint32), np.zeros(0x110000, bool)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            letter[i] = True
+            lower[i] = ord(c.lower()[0])
+        elif unicodedata.category(c)[0] == "M":
+            lower[i] = i
+    return lower, letter
+
+
 class CrossParser:
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], limits: dict[str, float] | None = None):
         self.languages = sorted(samples)
-        self.lower = np.full(0x110000, SEPARATOR, np.uint32)
-        self.letter = np.zeros(0x110000, bool)
-        for i in range(0x110000):
-            c = chr(i)
-            if c.isalpha():
-                self.letter[i] = True
-                self.lower[i] = ord(c.lower()[0])
-            elif unicodedata.category(c)[0] == "M":
-                self.lower[i] = i
+        self.limits = None if limits is None else np.array([limits[x] for x in self.languages])
+        self.lower, self.letter = _alphabet()
         parts, begins, self.roots, self.bits, states, slots = [], [], [], [], 0, 0
         for language in self.languages:
             codes, _ = self._symbols([samples[language]])
@@ -184,7 +195,7 @@ class CrossParser:
         return out, n - (inner[ends] - inner[ends - n])
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language (``und`` if a text has no letter), margin over the next language, phrases per symbol."""
+        """Language (``und`` if a text has no letter), margin over the next language, phrases per letter or their share of the limit."""
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         count, n = self.phrases(texts)
@@ -193,10 +204,29 @@ class CrossParser:
         low = np.sort(weighted, axis=0)
         known = self.letters(texts)
         margin = 1 - low[0] / np.maximum(low[1], 1e-9) if len(low) > 1 else np.ones(len(texts))
-        rate = count.min(axis=0) / np.maximum(n, 1)
+        rate = count[best, np.arange(len(texts))] / np.maximum(n, 1)
+        if self.limits is not None:
+            rate = rate / (self.limits[best] + EXTRA_PHRASES / np.maximum(n, 1))
         return [self.languages[i] if k else "und" for i, k in zip(best, known)], np.where(known, np.clip(margin, 0, 1), 0.0), np.where(known, rate, 1.0)
 
 
+def foreign_limits(samples: dict[str, str]) -> dict[str, float]:
+    """Phrases per letter that texts of each language stay below; no limit if its sample has less than two pieces.
+
+    The automaton of the first part of a sample (half of it at most) parses the pieces of the rest.
+    """
+    seen = {x: min(SAMPLE_CHARS, len(text) // 2) for x, text in samples.items()}
+    limits = {}
+    for language, text in samples.items():
+        rest = text[seen[language] :]
+        pieces = [rest[i : i + PIECE] for i in range(0, len(rest) - PIECE + 1, PIECE)]
+        limits[language] = float("inf")
+        if pieces:
+            count, n = CrossParser({language: text[: seen[language]]}).phrases(pieces)
+            limits[language] = MARGIN * float(np.quantile(count[0] / np.maximum(n, 1), QUANTILE))
+    return limits
+
+
 def labelled_samples(docs: DataFrame) -> dict[str, str]:
     """A bounded sample of text for each language from the rows that may be learnt from.
 
@@ -219,9 +249,9 @@ def labelled_samples(docs: DataFrame) -> dict[str, str]:
     return {lang: text for lang, text in samples.items() if text}
 
 
-def _parser(samples: dict[str, str]) -> CrossParser:
+def _parser(samples: dict[str, str], limits: dict[str, float]) -> CrossParser:
     name = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    return resident(("languages", name), lambda: CrossParser(samples))
+    return resident(("languages", name), lambda: CrossParser(samples, limits))
 
 
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
@@ -229,14 +259,14 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
     ``lang_pred`` is ``und`` for a text that is null or has no letter, and for all texts where nothing
     could be learnt.  ``score`` is the margin over the next language, 0 for ``und``; ``rate`` the
-    phrases per symbol.  Rows with a null id are judged but neither learnt from nor held out.
+    phrases per letter as a share of the language's limit, which a foreign text is above.  Rows with a null id are judged but neither learnt from nor held out.
     Repeated rows give equal results; other columns are ignored; an empty table gives none.
     """
     samples = labelled_samples(docs) if samples is None else samples
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # a bounded sample for each language
+    shared = docs.sparkSession.sparkContext.broadcast((samples, foreign_limits(samples)))  # a bounded sample for each language
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = _parser(shared.value)
+        parser = _parser(*shared.value)
         for batch in batches:
             texts = batch["text"].tolist()
             for start, end in slices([len(x) for x in texts], BATCH_CHARS):
@@ -251,11 +281,12 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
 def accepted(docs: DataFrame) -> DataFrame:
     """Rows of *docs* in a learnt language: not ``und``, and not above ``FOREIGN_RATE``; all columns kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(labelled_samples(docs))
+    samples = labelled_samples(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((samples, foreign_limits(samples)))
 
     @F.pandas_udf("boolean")
     def is_known(text: pd.Series) -> pd.Series:
-        parser, texts, out = _parser(shared.value), text.tolist(), []
+        parser, texts, out = _parser(*shared.value), text.tolist(), []
         for start, end in slices([len(x) for x in texts], BATCH_CHARS):
             lang, _, rate = parser.judge(texts[start:end])
             out += [x != "und" and r <= FOREIGN_RATE for x, r in zip(lang, rate)]

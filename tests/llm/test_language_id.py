@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 
+from quillspark.llm.common import table
 from quillspark.llm.language_id import BLOCK, CrossParser, accepted, identify
 
 
@@ -100,3 +101,21 @@ def test_every_labelled_language_is_learnt(spark):
     rows += [(9000 + j, words(rng, ["ζω", "λα", "μει"], 12_000), "long", "") for j in range(4)]  # only rows over the bound of a row
     got = {r.doc_id: r.lang_pred for r in identify(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {i: got[i] for i, *_ in rows} == {i: k for i, _, k, _ in rows}
+
+
+FOREIGN = [
+    "La situazione economica del paese è migliorata notevolmente negli ultimi anni grazie alle riforme. Il governo ha deciso di continuare su questa strada.",
+    "Suomen kieli on yksi Euroopan unionin virallisista kielistä ja sitä puhuu noin viisi miljoonaa ihmistä. Kesällä monet lähtevät mökille.",
+    "Wczoraj wieczorem poszliśmy do kina na nowy film, który bardzo nam się podobał. Potem wróciliśmy do domu ostatnim tramwajem.",
+    "De regering heeft gisteren besloten dat de nieuwe wet volgend jaar wordt ingevoerd. Veel mensen zijn het daar niet mee eens.",
+]
+
+
+def test_unlearnt_languages_of_a_known_alphabet_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10_000_000 + i, x, None) for i, x in enumerate(FOREIGN)], "doc_id long, text string, lang string")
+    rows = docs.unionByName(more)
+    kept = {r.doc_id for r in accepted(rows).select("doc_id").collect()}
+    assert not kept & {10_000_000 + i for i in range(len(FOREIGN))}
+    labelled = {r.doc_id for r in docs.filter("lang is not null").select("doc_id").collect()}
+    assert len(labelled - kept) <= len(labelled) // 500
