@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.shared import materialise, scratch_path
 
-__all__ = ["LOWER", "UPPER", "bounded_batches", "drop_rows", "materialise", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "bounded_batches", "drop_rows", "materialise", "release", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -41,16 +44,32 @@ _resident: dict[Any, Any] = {}
 
 
 def resident(key: Any, build: Callable[[], Any]) -> Any:
-    """The model that a Python worker holds: built once, and dropped when a task needs another one.
+    """The model that a Python worker holds: built once, and dropped when a task needs another one, or none.
 
     Workers outlive stages, so models of earlier stages would otherwise add up.
     """
     if key not in _resident:
-        _resident.clear()
+        release()
         _resident[key] = build()
     return _resident[key]
 
 
+def release() -> None:
+    """Drop the worker's model and give freed memory back to the system.
+
+    Tasks without a model of their own call this when they begin.
+    """
+    if not _resident:
+        return
+    _resident.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into consecutive runs whose sizes add up to about *limit*; a larger row stands alone."""
     start, total = 0, 0

@@ -1,21 +1,29 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-1. Each text gives one 64-bit fingerprint, or several independent ones, in the task that reads it.
+1. Each text gives one 64-bit fingerprint, or several independent ones, in the task that reads it; the
+   shingles of a whole batch are hashed and their bits counted together.
 2. Distinct fingerprints are dealt by pigeonhole: of four 16-bit blocks, two fingerprints with at most
    three differing bits agree in one, so each fingerprint goes to four buckets (block, value).  A bucket
-   above ``hot_bucket`` rows is dealt again by four 12-bit parts of the other 48 bits, which is as exact.
+   above ``hot_bucket`` rows is dealt again by four parts of the bits that it doesn't agree in yet, as
+   often as needed, which is as exact and bounds every bucket.
 3. Within a bucket fingerprints are sorted by Gray rank.  Neighbours there share bit patterns; upper
    nodes of a tree keep the bits that all fingerprints below agree on.  Pairs of nodes are compared from
-   the top; the differences among agreed bits are a lower bound, and above three the whole group of
-   pairs is pruned.  A group whose free bits are three or fewer is linked as a whole, without its pairs.
+   the top; the differences among agreed bits are a lower bound, and above the limit the whole group of
+   pairs is pruned, as are groups that are linked already.  A group whose free bits are within the limit
+   is linked as a whole, without its pairs.  Pairs are expanded in slices of bounded size.
 4. A bucket yields links to the smallest fingerprint it reaches, so links stay linear in the rows;
    components over all buckets come from alternating large-star and small-star joins.
+
+The pipeline's stage links texts by their similarity in five-word shingles: the share of differing bits
+over ``STAGE_FINGERPRINTS`` fingerprints estimates it.  Candidates agree in a 16-bit block of one of them
+and come through the same tree, with the bits of all fingerprints counted at its leaves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -23,17 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, drop_rows, materialise, shuffle_partitions, table, text_or_empty
+from quillspark.llm.common import bounded_batches, drop_rows, materialise, release, shuffle_partitions, slices, table, text_or_empty
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
-HOT_BUCKET = 50_000
+HOT_BUCKET = 20_000
 FANOUT = 8
+#: Pairs of nodes that are expanded at once (into ``FANOUT ** 2`` pairs each), and rows of small buckets taken together.
+SLICE = 16_384
+HELD = 50_000
+#: Shingles that are hashed and counted together, and texts that are taken together up to it.
 CHUNK = 200_000
-NUMBER_AT = 48
-#: Independent fingerprints of the pipeline's stage: texts are linked if one of them is within three bits.
-STAGE_FINGERPRINTS = 8
+BATCH_CHARS = 1_000_000
+#: The pipeline's stage: words of a shingle, similarity of linked texts, independent fingerprints.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_FINGERPRINTS = 5, 0.8, 10
+
+_LANES = np.uint64(0x0101010101010101)
 
 
 def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -46,31 +60,79 @@ def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def fingerprints(text: str | None, n: int = 1) -> np.ndarray:
-    """*n* independent 64-bit SimHashes of the word shingles; 0 for a text without words."""
+def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in consecutive runs of *sizes* (1 or more) hashes: runs x 64."""
+    # eight byte lanes are added at once, in pieces of at most 255 hashes, so that no lane overflows
+    pieces = -(-sizes // 255)
+    owner = np.repeat(np.arange(len(sizes)), pieces)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = (np.cumsum(sizes) - sizes)[owner] + 255 * inside
+    first = np.cumsum(pieces) - pieces
+    out = np.empty((len(sizes), 8, 8), np.int64)
+    for bit in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(bit)) & _LANES, begin)
+        out[:, :, bit] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    return out.reshape(-1, 64)
+
+
+def _shingle_hashes(text: str | None, width: int, distinct: bool) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, in parts of at most ``CHUNK``; nothing for a text without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return np.zeros(n, np.uint64)
-    grams = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else [b" ".join(words)]
-    total = max(1, len(words) - SHINGLE + 1)
-    counts, done = np.zeros((n, 64), np.int64), 0
+        return
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    total = max(1, len(words) - width + 1)
     hashes = map(xxhash.xxh64_intdigest, grams, repeat(SEED))
-    while done < total:
-        size = min(CHUNK, total - done)
-        part = np.fromiter(hashes, np.uint64, size)
+    if distinct:
+        found = np.unique(np.fromiter(hashes, np.uint64, total))
+        yield from (found[i : i + CHUNK] for i in range(0, len(found), CHUNK))
+        return
+    for done in range(0, total, CHUNK):
+        yield np.fromiter(islice(hashes, CHUNK), np.uint64, min(CHUNK, total - done))
+
+
+def fingerprints(texts: list[str | None], n: int = 1, width: int = SHINGLE, distinct: bool = False) -> np.ndarray:
+    """*n* independent 64-bit SimHashes of the word shingles of each text (texts x n); 0 for a text without words.
+
+    With *distinct* a shingle counts once however often a text has it.
+    """
+    counts, total = np.zeros((len(texts), n, 64), np.int64), np.zeros(len(texts), np.int64)
+    parts: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def add() -> None:
+        sizes, owner, joined = np.fromiter(map(len, parts), np.int64, len(parts)), np.array(rows), np.concatenate(parts)
+        np.add.at(total, owner, sizes)
         for i in range(n):
-            counts[i] += np.unpackbits(_mixed(part, i).view(np.uint8), bitorder="little").reshape(size, 64).sum(axis=0, dtype=np.int32)
-        done += size
-    return np.packbits(2 * counts > total, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            np.add.at(counts, (owner, i), _bit_counts(_mixed(joined, i), sizes))
+        parts.clear()
+        rows.clear()
+
+    held = 0
+    for row, text in enumerate(texts):
+        for part in _shingle_hashes(text, width, distinct):
+            parts.append(part)
+            rows.append(row)
+            held += len(part)
+            if held >= CHUNK:
+                add()
+                held = 0
+    if parts:
+        add()
+    return np.packbits(2 * counts > total[:, None, None], axis=2, bitorder="little").view(np.uint64)[:, :, 0]
 
 
 def fingerprint(text: str | None) -> int:
-    return int(fingerprints(text)[0])
+    return int(fingerprints([text])[0, 0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pd.DataFrame], n: int, width: int, distinct: bool) -> Iterator[pd.DataFrame]:
+    release()
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "fps": [fingerprints(x, n).view(np.int64) for x in batch["text"]], "digest": batch["digest"]})
+        texts = batch["text"].tolist()
+        for start, end in slices([len(x) for x in texts], BATCH_CHARS):
+            fps = fingerprints(texts[start:end], n, width, distinct).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[start:end].to_numpy(), "fps": list(fps), "digest": batch["digest"].iloc[start:end].to_numpy()})
 
 
 def gray_rank(v: np.ndarray) -> np.ndarray:
@@ -84,13 +146,15 @@ class _Forest:
     """Labels of fingerprints under the links seen so far; a label is the smallest place reached."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.label = np.arange(n, dtype=np.int32)
+        self.links = 0
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
             a, b = self.label[i], self.label[j]
             open_ = a != b
             i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+            self.links += len(i)
             np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
             while True:
                 shorter = self.label[self.label]
@@ -99,112 +163,196 @@ class _Forest:
                 self.label = shorter
 
 
-def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints (uint64) of sorted buckets *run* -> bucket, fingerprint, smallest one it is linked with."""
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS, wide: np.ndarray | None = None, max_wide: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints (uint64) of sorted buckets *run* -> places of the linked ones, and of those that stand for their group.
+
+    Two of a bucket are linked if they differ in at most *max_bits* bits and, where *wide* gives more
+    fingerprints of each row, in at most *max_wide* bits of those.  The smallest value stands for a group.
+    Memory is in proportion to the rows and to ``SLICE * FANOUT ** 2`` pairs.
+    """
     order = np.lexsort((gray_rank(values), run))
     v, run = values[order], run[order]
+    more = None if wide is None else wide[order]
     levels = [(v, v, None, None, run)]  # bits set in all, bits set in any, first child, end child, bucket
     while True:
         r = levels[-1][4]
-        first_of_run = np.r_[True, r[1:] != r[:-1]]
-        begins = np.flatnonzero(first_of_run)
+        begins = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
         if len(begins) == len(r):
             break
         place = np.arange(len(r)) - np.repeat(begins, np.diff(np.r_[begins, len(r)]))
-        start = np.flatnonzero(place % FANOUT == 0)
-        levels.append((np.bitwise_and.reduceat(levels[-1][0], start), np.bitwise_or.reduceat(levels[-1][1], start), start, np.r_[start[1:], len(r)], r[start]))
-    leaf_first, leaf_end = [np.arange(len(v))], [np.arange(len(v)) + 1]
+        start = np.flatnonzero(place % FANOUT == 0).astype(np.int32)
+        end = np.r_[start[1:], len(r)].astype(np.int32)
+        levels.append((np.bitwise_and.reduceat(levels[-1][0], start), np.bitwise_or.reduceat(levels[-1][1], start), start, end, r[start]))
+    first, last = [np.arange(len(v), dtype=np.int32)], [np.arange(1, len(v) + 1, dtype=np.int32)]
     for _, _, start, end, _ in levels[1:]:
-        leaf_first.append(leaf_first[-1][start])
-        leaf_end.append(leaf_end[-1][end - 1])
+        first.append(first[-1][start])
+        last.append(last[-1][end - 1])
     forest, top = _Forest(len(v)), len(levels) - 1
-    roots = np.arange(len(levels[top][0]))
+
+    def leaves(i: np.ndarray, j: np.ndarray) -> None:
+        for k in range(0, len(i), 4 * SLICE):
+            a, b = i[k : k + 4 * SLICE], j[k : k + 4 * SLICE]
+            near = forest.label[a] != forest.label[b]
+            a, b = a[near], b[near]
+            near = np.bitwise_count(v[a] ^ v[b]) <= max_bits
+            a, b = a[near], b[near]
+            for m in range(0, len(a) if more is not None else 0, SLICE):
+                x, y = a[m : m + SLICE], b[m : m + SLICE]
+                within = np.bitwise_count(more[x] ^ more[y]).sum(axis=1, dtype=np.int32) <= max_wide
+                forest.link(x[within], y[within])
+            if more is None:
+                forest.link(a, b)
+
+    if more is not None and len(v):  # Gray neighbours first: large groups are then linked before their pairs are taken
+        for step in (1, 2, 3):
+            i = np.flatnonzero(run[step:] == run[:-step]).astype(np.int32)
+            leaves(i, i + np.int32(step))
+    roots = np.arange(len(levels[top][0]), dtype=np.int32)
     stack = [(top, roots, roots)] if top else []
+    seen, labels = -1, []
     while stack:
         level, a, b = stack.pop()
-        if len(a) > CHUNK:
-            stack += [(level, a[k : k + CHUNK], b[k : k + CHUNK]) for k in range(0, len(a), CHUNK)]
+        if level == 0:
+            leaves(a, b)
             continue
+        if len(a) > SLICE:
+            stack.append((level, a[SLICE:], b[SLICE:]))
+            a, b = a[:SLICE], b[:SLICE]
+        if seen != forest.links:  # the range of labels below each node
+            seen, labels = forest.links, [(forest.label, forest.label)]
+            for _, _, start, _, _ in levels[1:]:
+                labels.append((np.minimum.reduceat(labels[-1][0], start), np.maximum.reduceat(labels[-1][1], start)))
+        low, high = labels[level]
+        apart = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+        a, b = a[apart], b[apart]
         all_, any_ = levels[level][:2]
-        agreed = (all_[a] & ~any_[b]) | (all_[b] & ~any_[a])
-        near = np.bitwise_count(agreed) <= max_bits
+        near = np.bitwise_count((all_[a] & ~any_[b]) | (all_[b] & ~any_[a])) <= max_bits
         a, b = a[near], b[near]
-        free = (any_[a] | any_[b]) & ~(all_[a] & all_[b])
-        whole = np.bitwise_count(free) <= max_bits
-        x, y = a[whole], b[whole]
-        forest.link(leaf_first[level][x], leaf_first[level][y])
-        if level == 0:
-            continue
-        own = x[x == y]
-        n = leaf_end[level][own] - leaf_first[level][own]
-        head = np.repeat(leaf_first[level][own], n)
-        forest.link(head, head + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        a, b = a[~whole], b[~whole]
+        if more is None:
+            whole = np.bitwise_count((any_[a] | any_[b]) & ~(all_[a] & all_[b])) <= max_bits
+            x, y = a[whole], b[whole]
+            forest.link(first[level][x], first[level][y])
+            own = x[x == y]
+            n = last[level][own] - first[level][own]
+            head = np.repeat(first[level][own], n)
+            forest.link(head, head + (np.arange(n.sum(), dtype=np.int32) - np.repeat(_starts(n), n)))
+            a, b = a[~whole], b[~whole]
         _, _, start, end, _ = levels[level]
-        wide = end[b] - start[b]
-        n = (end[a] - start[a]) * wide
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wide, same = np.repeat(wide, n), np.repeat(a == b, n)
-        i, j = np.repeat(start[a], n) + k // wide, np.repeat(start[b], n) + k % wide
-        once = ~same | (i <= j) if level > 1 else ~same | (i < j)
-        if once.any():
-            stack.append((level - 1, i[once], j[once]))
+        span = end[b] - start[b]
+        n = (end[a] - start[a]) * span
+        k = np.arange(n.sum(), dtype=np.int32) - np.repeat(_starts(n).astype(np.int32), n)
+        span, same = np.repeat(span, n), np.repeat(a == b, n)
+        i, j = np.repeat(start[a], n) + k // span, np.repeat(start[b], n) + k % span
+        once = ~same | ((i <= j) if level > 1 else (i < j))
+        i, j = i[once], j[once]
+        del k, span, same, once, n
+        if len(i):
+            stack.append((level - 1, i, j))
     # the smallest fingerprint of each local component stands for it
-    signed = v.view(np.int64)
-    smallest = np.full(len(v), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, forest.label, signed)
-    root = smallest[forest.label]
-    linked = root != signed
-    return run[linked], signed[linked], root[linked]
+    by_value = np.lexsort((v.view(np.int64), forest.label))
+    groups = forest.label[by_value]
+    heads = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
+    stands = np.empty(len(v), np.int64)
+    stands[by_value] = np.repeat(by_value[heads], np.diff(np.r_[heads, len(groups)]))
+    linked = np.flatnonzero(stands != np.arange(len(v)))
+    return order[linked], order[stands[linked]]
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket; whole buckets are handled together, about CHUNK rows at a time."""
-    held: list[pd.DataFrame] = []
+def _links(batches: Iterator[pd.DataFrame], max_bits: int, max_wide: int | None) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket (``bucket``, ``node``, ``fp``, with *max_wide* ``fps``); whole buckets are handled, small ones together."""
+    release()
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, a, b = link_runs(rows["fp"].to_numpy(np.int64).view(np.uint64), rows["bucket"].to_numpy(np.int64))
-        return pd.DataFrame({"number": bucket >> NUMBER_AT, "a": a, "b": b}).drop_duplicates()
+        wide = None if max_wide is None else np.stack(rows["fps"].to_numpy()).view(np.uint64)
+        i, j = link_runs(rows["fp"].to_numpy(np.int64).view(np.uint64), rows["bucket"].to_numpy(np.int64), max_bits, wide, max_wide or 0)
+        node = rows["node"].to_numpy(np.int64)
+        return pd.DataFrame({"a": node[i], "b": node[j]}).drop_duplicates()
 
+    held: list[pd.DataFrame] = []
+    size = 0
     for batch in batches:
         held.append(batch)
-        if sum(map(len, held)) < CHUNK:
+        size += len(batch)
+        if size < HELD or batch["bucket"].iloc[-1] == held[0]["bucket"].iloc[0]:
             continue
         rows = pd.concat(held, ignore_index=True)
-        last = rows["bucket"].iloc[-1]
-        done = int(rows["bucket"].searchsorted(last))
+        done = int(rows["bucket"].searchsorted(rows["bucket"].iloc[-1]))
         if done:
             yield flush(rows.iloc[:done])
-        held = [rows.iloc[done:]]
-    if held and sum(map(len, held)):
+        held = [rows.iloc[done:].copy()]
+        size = len(held[0])
+    if size:
         yield flush(pd.concat(held, ignore_index=True))
 
 
+def _parts(mask: int, n: int) -> list[int]:
+    """*mask* with each of *n* parts, of equal size if possible, of the bits that it lacks."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * k // n for k in range(n + 1)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _dealt(keyed: DataFrame, *carried: str) -> DataFrame:
+    n = shuffle_partitions(keyed.sparkSession)
+    return keyed.select("bucket", "node", "fp", *carried).repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
 def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Distinct ``number`` (int) and ``fp`` (long) -> links ``number``, ``a``, ``b`` that connect all within three bits.
+    """Distinct ``fp`` (long) -> links ``a``, ``b`` that connect all fingerprints within three bits."""
+    spark = fps.sparkSession
+    open_, masks, kept = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0], []
+    while True:
+        # the masks follow from the round alone: four in the first, four times as many in each further one
+        children = {m: _parts(m, MAX_BITS + 1) for m in masks}
+        masks = sorted({c for x in children.values() for c in x})
+        steps = spark.createDataFrame([(_signed(m), _signed(c)) for m, x in children.items() for c in x], "mask long, child long")
+        keyed = open_.join(F.broadcast(steps), "mask").select("fp", F.col("child").alias("mask"))
+        keyed = keyed.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        hot = materialise(keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket"), "simhash-hot-buckets")
+        if hot.isEmpty():
+            kept.append(keyed.select("fp", "bucket"))
+            break
+        kept.append(keyed.join(hot, "bucket", "left_anti").select("fp", "bucket"))
+        open_ = materialise(keyed.join(hot, "bucket", "left_semi").select("fp", "mask"), "simhash-hot-rows")
+    dealt = _dealt(reduce(DataFrame.unionByName, kept).withColumn("node", F.col("fp")))
+    return dealt.mapInPandas(lambda b: _links(b, MAX_BITS, None), "a long, b long").distinct()
+
+
+def differing_bits(n: int, similarity: float) -> tuple[float, float]:
+    """Mean and standard deviation of the differing bits of *n* fingerprints of two sets with this Jaccard similarity."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return 64 * n * share, float(np.sqrt(64 * n * share * (1 - share)))
+
+
+def similar_links(nodes: DataFrame, n: int, similarity: float, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Distinct ``node``, ``fps`` (*n* longs) -> links ``a``, ``b`` of nodes that agree in a 16-bit block of a fingerprint and are similar.
 
-    Only fingerprints of one number are compared.
+    Similar are nodes whose fingerprints differ in no more bits than the mean for *similarity* and a standard
+    deviation (three for the fingerprint of the block).  A bucket above *hot_bucket* rows is cut into parts, and
+    each pair of parts is compared in a bucket of its own, so none is left out and no task holds more than two.
     """
-    keyed = fps.select("number", "fp", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("block"))
-    value = F.expr("shiftrightunsigned(fp, 16 * block) & 65535")
-    head = F.shiftleft(F.col("number").cast("bigint"), NUMBER_AT).bitwiseOR(F.expr("shiftleft(cast(block as bigint), 32)"))
-    keyed = keyed.select("fp", "block", head.bitwiseOR(F.shiftleft(value, 16)).alias("bucket"))
-    hot = keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket")
-    hot = materialise(hot, "simhash-hot-buckets")
+    mean, deviation = differing_bits(n, similarity)
+    one, spread = differing_bits(1, similarity)
+    max_wide, max_bits = int(mean + deviation), int(one + 3 * spread)
+    each = nodes.select("node", "fps", F.posexplode("fps").alias("number", "fp"))
+    each = each.select("node", "fps", "number", "fp", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("block"))
+    keyed = each.select("node", "fps", "fp", F.xxhash64("number", "block", F.expr("shiftrightunsigned(fp, 16 * block) & 65535")).alias("bucket"))
+    hot = materialise(keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket), "simhash-hot-buckets")
     if not hot.isEmpty():
-        # the other three blocks, as 48 bits, in four parts of 12
-        low = F.expr("fp & (shiftleft(1L, 16 * block) - 1)")
-        others = F.expr("shiftleft(CASE WHEN block = 3 THEN 0L ELSE shiftrightunsigned(fp, 16 * (block + 1)) END, 16 * block)").bitwiseOR(low)
-        split = (
-            keyed.join(hot, "bucket", "left_semi")
-            .withColumn("others", others)
-            .withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(4)])))
-            .select("fp", F.expr("bucket | shiftleft(cast(part + 1 as bigint), 40) | (shiftrightunsigned(others, 12 * part) & 4095)").alias("bucket"))
-        )
-        keyed = keyed.join(hot, "bucket", "left_anti").select("fp", "bucket").unionByName(split)
-    n = shuffle_partitions(fps.sparkSession)
-    dealt = keyed.select("fp", "bucket").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(_links, "number int, a long, b long").distinct()
+        parts = F.ceil(F.col("count") / F.lit(hot_bucket)).cast("int")
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        split = keyed.join(hot.select("bucket", parts.alias("parts")), "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        split = split.select("node", "fps", "fp", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
+        keyed = keyed.join(hot, "bucket", "left_anti").select("node", "fps", "fp", "bucket").unionByName(split)
+    return _dealt(keyed, "fps").mapInPandas(lambda b: _links(b, max_bits, max_wide), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,10 +368,12 @@ def components(links: DataFrame) -> DataFrame:
 
     seen = mark(edges)
     while seen[0]:
+        # the aggregates are written before each join, so that a hub's rows are in plain exchanges, which
+        # adaptive execution splits
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-low")
+        large = materialise(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components-large")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "components-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = materialise(small.select("e.u", "e.v").filter("u <> v").distinct(), "components")
         now = mark(edges)
@@ -233,31 +383,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_components(docs: DataFrame, n: int = 1, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """``doc_id``, ``fps`` (*n* longs), ``digest`` of the text, ``component_id`` for each row of *docs*.
-
-    Texts are linked if any of their *n* fingerprints differ in at most three bits; more fingerprints
-    find texts that differ in more words.  Null and empty texts, and texts of white space only, have
-    fingerprint zero and are linked like any other.  Ties of a bit (set in exactly half) give 0.
-    Repeated rows give repeated results.  A component without any non-null id has a null id.  Other
-    columns are ignored.
-    """
+def _components_of(docs: DataFrame, n: int, width: int, distinct: bool, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``doc_id``, ``fps``, ``digest``, ``component_id`` of each row, under the links that *linked* gives of ``node``, ``fps``."""
     rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("digest"))
-    rows = rows.mapInPandas(lambda batches: _fingerprints(batches, n), "doc_id long, fps array<long>, digest long")
+    rows = rows.mapInPandas(lambda batches: _fingerprints(batches, n, width, distinct), "doc_id long, fps array<long>, digest long")
     # a node is a fingerprint, or where there are several the hash of all
     rows = materialise(rows.withColumn("node", F.get("fps", F.lit(0)) if n == 1 else F.xxhash64("fps")), "simhash-fingerprints")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fps").alias("fps")), "simhash-nodes")
-    if n == 1:
-        edges = near_links(nodes.select(F.lit(0).alias("number"), F.col("node").alias("fp")), hot_bucket).select("a", "b")
-    else:
-        each = nodes.select("node", F.posexplode("fps").alias("number", "fp"))
-        firsts = materialise(each.groupBy("number", "fp").agg(F.min("node").alias("first")), "simhash-firsts")
-        same = each.join(firsts, ["number", "fp"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        links = near_links(firsts.select("number", "fp"), hot_bucket)
-        to = lambda side: firsts.select("number", F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
-        near = links.join(to("a"), ["number", "a"]).join(to("b"), ["number", "b"]).select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-        edges = same.unionByName(near)
-    found = components(edges)
+    found = components(linked(nodes.select("node", "fps")))
     rooted = materialise(nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "simhash-rooted")
     # written, so that the join below has two plain exchanges, whose large partitions Spark can split
     ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-ids")
@@ -265,16 +398,36 @@ def simhash_components(docs: DataFrame, n: int = 1, hot_bucket: int = HOT_BUCKET
     return rows.join(named, "node").select("doc_id", "fps", "digest", "component_id")
 
 
-def near_deduplicated(docs: DataFrame, n: int = STAGE_FINGERPRINTS) -> DataFrame:
-    """One row of each component: that with the smallest id (of several, the smallest text digest)."""
-    rows = materialise(simhash_components(docs, n), "simhash-stage")
-    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("best")).select("component_id", "best.doc_id", "best.digest")
-    best = best.select(F.col("component_id").alias("_c"), F.col("doc_id").alias("_best_id"), F.col("digest").alias("_best_digest"))
+def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """``doc_id``, ``fps`` (one long), ``digest`` of the text, ``component_id`` for each row of *docs*.
+
+    Texts are linked if their fingerprints differ in at most three bits.  Null and empty texts, and texts
+    of white space only, have fingerprint zero and are linked like any other.  Very long texts are hashed
+    whole, in parts.  Ties of a bit (set in exactly half) give 0.  Repeated rows give repeated results.  A
+    component without any non-null id has a null id.  Other columns are ignored; an empty table gives none.
+    """
+    return _components_of(docs, 1, SHINGLE, False, lambda nodes: near_links(nodes.select(F.col("node").alias("fp")), hot_bucket))
+
+
+def similar_components(docs: DataFrame, n: int = STAGE_FINGERPRINTS, similarity: float = STAGE_SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """As :func:`simhash_components`, with texts linked by :func:`similar_links` of *n* fingerprints of distinct five-word shingles."""
+    return _components_of(docs, n, STAGE_SHINGLE, True, lambda nodes: similar_links(nodes, n, similarity, hot_bucket))
+
+
+def near_deduplicated(docs: DataFrame, n: int = STAGE_FINGERPRINTS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """One row of each component of :func:`similar_components`, with all columns of *docs*: that with the smallest id.
+
+    Of several rows with that id the one of the smallest text digest stays, and one of identical rows; a
+    null id comes after any other.  Null and empty texts are one component.  An empty table gives none.
+    """
+    rows = materialise(similar_components(docs, n, similarity), "simhash-stage")
+    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("best"))
+    best = materialise(best.select(F.col("component_id").alias("_c"), F.col("best.doc_id").alias("_best_id"), F.col("best.digest").alias("_best_digest")), "simhash-best")
     stays = rows["doc_id"].eqNullSafe(best["_best_id"]) & (rows["digest"] == best["_best_digest"])
-    judged = rows.join(best, rows["component_id"].eqNullSafe(best["_c"])).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), stays.alias("_stays"))
+    judged = materialise(rows.join(best, rows["component_id"].eqNullSafe(best["_c"])).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), stays.alias("_stays")), "simhash-judged")
     counted = judged.groupBy("_id", "_digest").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_n"))
     doomed = counted.filter(~F.col("_stays") | (F.col("_n") > 1)).select("_id", "_digest", F.col("_stays").alias("_repeat"))
-    return drop_rows(docs, doomed, F.xxhash64(text_or_empty()))
+    return drop_rows(docs, materialise(doomed, "simhash-doomed"), F.xxhash64(text_or_empty()))
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

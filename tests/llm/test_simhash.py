@@ -1,10 +1,12 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm.simhash import components, fingerprint, fingerprints, gray_rank, link_runs, near_deduplicated, near_links, simhash_components
+from quillspark.llm.simhash import CHUNK, components, differing_bits, fingerprint, fingerprints, gray_rank, link_runs, near_deduplicated, near_links, similar_components, similar_links, simhash_components
 
 
 def slow_fingerprint(text):
@@ -61,8 +63,8 @@ def clustered(seed, n, hubs=12):
 @pytest.mark.parametrize("seed", range(4))
 def test_index_in_one_bucket(seed):
     fps = sorted(set(clustered(seed, 300)))
-    _, a, b = link_runs(np.array(fps, np.uint64), np.zeros(len(fps), np.int64))
-    root = {int(np.uint64(np.int64(x))) if x >= 0 else int(x) + 2**64: int(y) % 2**64 for x, y in zip(a, b)}
+    i, j = link_runs(np.array(fps, np.uint64), np.zeros(len(fps), np.int64))
+    root = {fps[x]: fps[y] for x, y in zip(i, j)}
     want = slow_components(fps)
     groups = {}
     for f, w in zip(fps, want):
@@ -71,14 +73,30 @@ def test_index_in_one_bucket(seed):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def peak_of_a_large_bucket(n, flips):
+    """Megabytes that a fresh process takes for one bucket of *n* fingerprints near one centre."""
+    code = f"""
+import numpy as np, resource
+from quillspark.llm.simhash import link_runs
+rng = np.random.default_rng(5)
+masks = np.array([sum(1 << int(x) for x in rng.choice(48, {flips}, replace=False)) for _ in range({n})], np.uint64)
+fps = np.unique(masks ^ np.uint64(0x1234567890ABCDEF))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+i, j = link_runs(fps, np.zeros(len(fps), np.int64))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    return float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+
+
+def test_memory_of_a_large_bucket():
+    assert peak_of_a_large_bucket(50_000, 6) < 200
+
+
 @pytest.mark.parametrize("hot", [50_000, 20])
 def test_links_and_components_over_buckets(spark, hot):
     fps = sorted(set(clustered(9, 400)))
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    frame = spark.createDataFrame([(k, s) for s in signed for k in (0, 3)], "number int, fp long")
-    links = near_links(frame, hot)
-    assert links.filter("number NOT IN (0, 3)").isEmpty()
-    root = dict(components(links.filter("number = 3").select("a", "b")).collect())
+    root = dict(components(near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), hot)).collect())
     want, groups = slow_components(fps), {}
     for s, w in zip(signed, want):
         groups.setdefault(w, set()).add(root.get(s, s))
@@ -106,34 +124,72 @@ def test_documents(spark):
         if i is not None:
             least[w] = min(i, least.get(w, i))
     assert got == sorted(((i is None, i or 0, f, least.get(w)) for (i, _), f, w in zip(rows, fps, label)), key=str)
-    left = near_deduplicated(docs, 1)
+    left = near_deduplicated(docs)
     assert left.columns == docs.columns
-    assert left.count() == len(set(label))
+    assert left.count() == len({r.component_id if r.component_id is not None else r.digest for r in similar_components(docs).collect()})
     empty = spark.createDataFrame([], docs.schema)
     assert simhash_components(empty).count() == 0 and near_deduplicated(empty).count() == 0
 
 
-def test_several_fingerprints(spark):
-    rng = random.Random(6)
+def test_a_text_of_more_shingles_than_a_part():
+    rng = random.Random(8)
+    text = " ".join(rng.choices(["a", "b", "c", "d", "e"], k=2 * CHUNK + 77))
+    several = ["x y", text, None, "one two three four"]
+    got = fingerprints(several)[:, 0].tolist()
+    assert got == [slow_fingerprint(x) for x in several]
+    assert fingerprints(["a b c d"], 3)[0, 0] == fingerprint("a b c d") and len(set(fingerprints(["a b c d"], 3)[0].tolist())) == 3
+
+
+def edited(rng, words, edits, vocabulary):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+    return words
+
+
+def similarity(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("hot", [50_000, 30])
+def test_similar_links_against_brute_force(spark, hot):
+    rng, n = random.Random(6), 10
     vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
-    rows, near = [], []
-    for i in range(40):
+    texts = []
+    for _ in range(40):
         words = rng.choices(vocabulary, k=300)
-        rows.append((i, " ".join(words)))
-        for k in range(2):
-            words = list(words)
-            words[rng.randrange(300)] = "changed"
-            near.append((1000 + 2 * i + k, " ".join(words)))
-    docs = spark.createDataFrame(rows + near, "doc_id long, text string")
-    several = [(i, list(map(int, fingerprints(t, 4)))) for i, t in rows + near]
-    label = list(range(len(several)))
-    for i in range(len(several)):
+        texts += [words] + [edited(rng, words, rng.choice([1, 4, 8, 16]), vocabulary) for _ in range(3)]
+    fps = fingerprints([" ".join(t) for t in texts], n, 5, True)
+    mean, deviation = differing_bits(n, 0.8)
+    one, spread = differing_bits(1, 0.8)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= 3 for a, b in zip(several[i][1], several[j][1])):
+            apart = np.bitwise_count(fps[i] ^ fps[j])
+            block = [(fps[i] ^ fps[j]) >> np.uint64(16 * b) & np.uint64(65535) for b in range(4)]
+            if apart.sum() <= int(mean + deviation) and any((block[b][k] == 0) and apart[k] <= int(one + 3 * spread) for b in range(4) for k in range(n)):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
-    want = {i: several[root][0] for (i, _), root in zip(several, label)}
-    assert {r.doc_id: r.component_id for r in simhash_components(docs, 4).collect()} == want
-    assert fingerprints("a b c d", 3)[0] == fingerprint("a b c d") and len(set(fingerprints("a b c d", 3).tolist())) == 3
-    assert near_deduplicated(docs).count() == 40
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(fps.view(np.int64).tolist())], "node long, fps array<long>")
+    root = dict(components(similar_links(frame, n, 0.8, hot)).collect())
+    assert [root.get(i, i) for i in range(len(texts))] == label
+
+
+def test_recall_above_the_similarity(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
+    rows, near, far = [], {}, {}
+    for i in range(300):
+        words = rng.choices(vocabulary, k=200)
+        other = edited(rng, words, rng.choice([1, 2, 3, 4, 5, 8, 12, 20]), vocabulary)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        j = similarity(words, other)
+        (near if j >= 0.8 else far)[i] = j
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in similar_components(docs).collect()}
+    linked = lambda i: found[2 * i] == found[2 * i + 1]
+    assert sum(map(linked, near)) / len(near) >= 0.9
+    assert not any(linked(i) for i, j in far.items() if j < 0.65)
+    assert len({found[2 * i] for i in range(300)}) == 300
     assert near_deduplicated(docs.limit(0)).count() == 0
