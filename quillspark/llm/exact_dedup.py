@@ -1,16 +1,21 @@
 """Exact dedup by content sort (DataFrame functions only).
 
-The normalised bytes are put in order by an external, sampled range sort and compared with their
-neighbours.  A range key is the head of the normalised text and a salt from the id, so that one text
-(or one shared opening) that holds a third of all rows is dealt over many ranges.  Inside a range the
-rows of a (head, salt) are sorted by the whole normalised text, each row is compared in full with the
-row before it, and every run of equal texts yields its largest id.  The runs of one text in different
-salts then meet by SHA-256, pre-aggregated before the shuffle; only digests and ids travel there.
+The normalised bytes are put in order by an external, sampled range sort: Spark draws splitters from the
+keys and deals the rows by range, so that equal texts come into one range and lie next to each other.
+A key is the head of the normalised text with a hash behind it, which orders what shares an opening.
+Each row is compared in full with the row before it; a run of equal texts has one number and yields its
+largest id and its size.  Nothing is decided by a hash: texts whose keys collide are told apart there.
+
+A key that holds more than a partition's share of the rows or bytes (fewer keys than partitions can) is
+hot.  Only its rows get a salt in the key, so that they fill many ranges; each of these is reduced to the
+representatives of its runs, which are then sorted and compared in full across the ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import LOWER, UPPER, drop_rows, materialise, shuffle_partitions, table, text_or_empty
@@ -23,43 +28,67 @@ def normalised(column):
     return F.translate(column, UPPER, LOWER)
 
 
-def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, salts: int | None = None) -> DataFrame:
+def content_key(norm):
+    """What orders texts with the same head; it need not tell them apart."""
+    return F.xxhash64(norm)
+
+
+def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, key: Callable[[Column], Column] = content_key) -> DataFrame:
     """One row per row of *docs* (``doc_id``, ``text``): which row of its group of equal texts stays.
 
-    Null text counts as empty, so null and empty texts form one group.  Of equal texts the row with
-    the largest ``doc_id`` stays; a null id is smaller than any other.  Of repeated rows (same id and
-    text) exactly one is ``kept``.  Other columns are ignored.  An empty table gives an empty result.
+    Null text counts as empty, so null and empty texts form one group.  Very long texts are sorted and
+    compared whole.  Of equal texts the row with the largest ``doc_id`` stays; a null id is smaller than any
+    other.  Of repeated rows (same id and text) exactly one is ``kept``.  Other columns are ignored.  An
+    empty table gives an empty result.
     """
-    salts = salts or shuffle_partitions(docs.sparkSession)
-    text = text_or_empty()
-    ranged = docs.select(
-        "doc_id",
-        text.alias("text"),
-        normalised(F.substring(text, 1, head_chars)).alias("head"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
-    ).repartitionByRange("head", "salt")
-    rows = ranged.select("doc_id", "head", "salt", normalised(F.col("text")).alias("norm"))
-    in_order = Window.partitionBy("head", "salt").orderBy("norm", F.col("doc_id").desc())
+    partitions = shuffle_partitions(docs.sparkSession)
+    rows = docs.select("doc_id", normalised(text_or_empty()).alias("norm"))
+    rows = rows.select("doc_id", "norm", F.substring("norm", 1, head_chars).alias("head"), key(F.col("norm")).alias("key"))
+
+    # counts per key, pre-aggregated where the texts are; of all keys fewer than twice the partitions are hot
+    size = F.octet_length("norm") + 32
+    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")), "exact-dedup-keys")
+    total = counts.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if total["n"] is None:
+        total = {"n": 0, "bytes": 0}
+    is_hot = ((F.col("n") * partitions > total["n"]) | (F.col("bytes") * partitions > total["bytes"])) & (F.col("n") > 1)
+    hot = counts.filter(is_hot).select("key", F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(partitions))).otherwise(F.lit(0)))
+    place = ["head", "key", "salt"]
+    ranged = dealt.repartitionByRange(*place)
+
+    # neighbours in the order of the whole texts
+    in_order = Window.partitionBy(*place).orderBy("norm", F.col("doc_id").desc())
     before = F.lag("norm").over(in_order)
-    runs = (
-        rows.withColumn("opens", before.isNull() | (before != F.col("norm")))
-        .withColumn("run", F.last(F.when(F.col("opens"), F.struct("doc_id")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .select("doc_id", "opens", F.col("run.doc_id").alias("run_keep"), F.sha2("norm", 256).alias("text_sha256"))
-    )
+    opens = before.isNull() | (before != F.col("norm"))
+    compared = ranged.withColumn("opens", opens).withColumn("run", F.sum(F.col("opens").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    light = compared.select("doc_id", *place, "hot", "opens", "run", F.sha2("norm", 256).alias("text_sha256"), F.when(F.col("hot") & F.col("opens"), F.col("norm")).alias("norm"))
+    run = Window.partitionBy(*place, "run")
+    runs = light.withColumn("keep_id", F.max("doc_id").over(run)).withColumn("group_size", F.count("*").over(run))
     runs = materialise(runs, "exact-dedup-runs")
-    # written, so that the join below has two plain exchanges, whose large partitions Spark can split
-    groups = materialise(runs.groupBy("text_sha256").agg(F.max("run_keep").alias("keep_id"), F.count("*").alias("group_size")), "exact-dedup-groups")
-    return runs.join(groups, "text_sha256").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("opens") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        "text_sha256",
-    )
+    out = ["doc_id", "keep_id", "group_size", (F.col("opens") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"]
+    cold = runs.filter(~F.col("hot")).select(*out)
+
+    # hot keys: the runs' representatives, a few for each salt, are compared with their neighbours in turn
+    across = Window.partitionBy("head", "key").orderBy("norm")
+    last = F.lag("norm").over(across)
+    groups = (
+        runs.filter("hot AND opens").select(*place, "run", "norm", "keep_id", "group_size")
+        .withColumn("group", F.sum(F.when(last.isNull() | (last != F.col("norm")), 1).otherwise(0)).over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    group = Window.partitionBy("head", "key", "group")
+    groups = groups.select(*place, "run", F.max("keep_id").over(group).alias("keep_id"), F.sum("group_size").over(group).alias("group_size"))
+    groups = materialise(groups, "exact-dedup-groups")
+    merged = runs.filter("hot").drop("keep_id", "group_size", "norm").join(groups, [*place, "run"])
+    return cold.unionByName(merged.select(*out))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of *docs* that stay, with all their columns."""
+    """The rows of *docs* that stay, with all their columns.
+
+    Nulls, ties, repeats and empty tables are as in :func:`exact_dedup`.
+    """
     # written, so that the list of rows to drop is not gathered in the partitions of the join by digest
     gone = materialise(exact_dedup(docs).filter(~F.col("kept")), "exact-dedup-gone")
     doomed = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_repeat"))

@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from quillspark.llm.exact_dedup import deduplicated, exact_dedup
 from quillspark.llm.common import LOWER, UPPER
 
@@ -48,6 +50,21 @@ def test_hot_text_and_shared_head(spark):
     check(spark, rows)
 
 
+def test_full_comparisons_decide_where_keys_collide(spark):
+    """A grouping by digest would give one group for each key here."""
+    rows = [(i, f"text {i % 11} of eleven") for i in range(200)] + [(500 + i, f"alone {i}") for i in range(60)] + [(None, "text 3 of ELEVEN")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for collide in (lambda norm: F.lit(0).cast("long"), lambda norm: F.length(norm).cast("long")):
+        got = [tuple(r) for r in exact_dedup(docs, key=collide).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
+        assert sorted(got, key=key) == sorted(brute(rows), key=key)
+
+
+def test_one_task_does_not_hold_a_hot_group(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a copy' ELSE concat('own ', id) END AS text")
+    found = exact_dedup(docs)
+    assert found.filter("kept").count() == 4000 - 1333 and found.filter("group_size = 1334 AND keep_id = 3999").count() == 1334
+
+
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     assert deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
