@@ -1,11 +1,14 @@
-"""Byte-level BPE encoding and decoding by merge replay.
-
-A task gathers the distinct words (matches of the split pattern) of a large batch of texts and replays
-the merges over all of them together.  An inverted index holds, for each position of each word, the
-rank of the token pair that begins there.  A wave takes from every word the posting of lowest rank
-(the leftmost of equal ones), merges it, and posts anew only the two touched neighbours.  Words share no
-symbols, so the waves apply each word's merges in rank order, as a replay of the whole merge list
-would, and words without postings leave.  Texts are then rows of word ids; nothing is shuffled.
+"""Byte-level BPE encoding and decoding by merge replay at corpus level.
+
+1. Tasks split their texts into words (matches of the split pattern) and code each text as places in the
+   word list of its block, a bounded run of texts; both are written once.
+2. The distinct words of the corpus are partitioned by word.  A partition holds an inverted index from
+   token pair, named by the rank that the pair merges to, to the positions in words where it stands, and
+   replays the merges in rank order: a rank's postings are taken together, each is merged, and only its
+   two neighbours are posted anew.  Each word of the corpus is replayed once, however often it occurs.
+3. The ids join the blocks' word lists by word, and each block's texts are read off its list.
+
+What is shuffled are words and codes, not texts; a block is bounded, so no group grows with the corpus.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -22,13 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, resident, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, materialise, release, resident, shuffle_partitions, slices, table, text_or_empty
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-BATCH_CHARS = 8_000_000
-CACHED_WORDS = 400_000
-NO_PAIR = np.int64(1) << 40
+#: Characters of a block of texts (a longer text is a block of its own), and words that are replayed together.
+BLOCK_CHARS = 4_000_000
+REPLAYED_WORDS = 100_000
 
 #: The pattern's classes spelled out for texts of Latin letters; other texts take the pattern as it is.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -37,150 +42,236 @@ _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 _NOT_LATIN = re.compile("[^\x00-ɏ]")
 
 
-class MergeReplay:
-    def __init__(self, path: str, pattern: str = PATTERN):
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+class Splitter:
+    """Words of texts under a split pattern."""
+
+    def __init__(self, pattern: str = PATTERN):
         self.pattern, self.latin = regex.compile(pattern), _LATIN if pattern == PATTERN else None
-        size = max(ranks.values()) + 1
-        self.size, self.tokens = size, [b""] * size
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.decimal = [str(i) for i in range(size)]
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        # all pairs of tokens whose bytes together are a token
-        pairs = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    pairs[a * size + b] = rank
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         if self.latin is not None and not _NOT_LATIN.search(text):
             return self.latin.findall(text)
-        return self.pattern.findall(text)
+        return [m[0] for m in self.pattern.finditer(text)]
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_PAIR)
+
+class MergeReplay:
+    """The merges of a vocabulary: two neighbouring tokens whose bytes together are a token merge to it."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
 
     def replay(self, words: list[bytes]) -> list[bytes]:
-        """Ids (little-endian 32-bit) of each distinct word."""
-        if not words:
-            return []
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbol = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        """Ids (little-endian 32-bit) of each word.
+
+        Words lie in one row of positions.  ``postings`` is the inverted index: the rank that a pair
+        merges to -> positions where the pair begins.  Ranks are taken lowest first; a merge may post a
+        pair of a lower rank, which then comes next.  Of a word's pairs of one rank the leftmost is
+        merged first: a rank's positions are taken in order, and later ones of the same word go back if
+        the merge has posted something lower in it.
+        """
+        ranks, tokens, of_byte = self.ranks, self.tokens, self.of_byte
+        symbol: list[int] = []
+        word: list[int] = []  # the word of each position
+        begins: list[int] = []
+        for number, raw in enumerate(words):
+            begins.append(len(symbol))
+            symbol += [of_byte[b] for b in raw]
+            word += [number] * len(raw)
         n = len(symbol)
-        end = np.cumsum(lengths)
-        begin = end - lengths
-        after = np.arange(1, n + 1)
-        after[end[lengths > 0] - 1] = n
-        ahead = np.arange(-1, n)[:n].copy()
-        ahead[begin[lengths > 0]] = n
-        after, ahead = np.r_[after, n], np.r_[ahead, n]  # place n is the end of every word
-        alive = np.ones(n, bool)
-        posting = np.full(n + 1, NO_PAIR)
-        inner = np.flatnonzero(after[:n] < n)
-        posting[inner] = self._rank(symbol[inner], symbol[after[inner]])
-        # postings of the words that still have one, word by word in place order
-        place = np.flatnonzero(posting[:n] < NO_PAIR)
-        word = np.repeat(np.arange(len(words)), lengths)
-        while len(place):
-            # drop postings of words that have none; keep the rest in order
-            first = np.flatnonzero(np.r_[True, word[place[1:]] != word[place[:-1]]])
-            low = np.minimum.reduceat(posting[place] * (n + 1) + place, first)
-            hit = low % (n + 1)
-            rank = low // (n + 1)
-            nxt = after[hit]
-            symbol[hit] = rank
-            alive[nxt] = False
-            posting[nxt] = NO_PAIR
-            follow = after[nxt]
-            after[hit] = follow
-            ahead[follow] = hit
-            ahead[n] = n
-            right = np.where(follow < n, self._rank(symbol[hit], symbol[np.minimum(follow, n - 1)]), NO_PAIR)
-            posting[hit] = right
-            back = ahead[hit]
-            has = back < n
-            left = back[has]
-            posting[left] = self._rank(symbol[left], symbol[hit[has]])
-            # a new pair may begin where no posting was: the touched places join the list again
-            touched = np.r_[left, hit]
-            place = np.union1d(place[posting[place] < NO_PAIR], touched[posting[touched] < NO_PAIR])
-        ids = symbol[alive].astype("<u4")
-        counts = np.bincount(word[alive], minlength=len(words))
-        raw, at, out = ids.tobytes(), 0, []
-        for k in (4 * counts).tolist():
-            out.append(raw[at : at + k])
-            at += k
+        after = list(range(1, n + 1))  # n: no further symbol in the word
+        ahead = list(range(-1, n - 1))  # -1: none before
+        for begin in begins:
+            if begin < n:
+                ahead[begin] = -1
+            if begin:
+                after[begin - 1] = n
+        posted = [-1] * n  # the rank under which a position is posted; -1: none
+        postings: dict[int, list[int]] = {}
+        pair_of: dict[tuple[int, int], int] = {}
+
+        def rank_of(a: int, b: int) -> int:
+            found = pair_of.get((a, b))
+            if found is None:
+                found = pair_of[a, b] = ranks.get(tokens[a] + tokens[b], -1)
+            return found
+
+        for i in range(n):
+            if after[i] < n and (rank := rank_of(symbol[i], symbol[i + 1])) >= 0:
+                posted[i] = rank
+                postings.setdefault(rank, []).append(i)
+        heap = list(postings)
+        heapify(heap)
+        while heap:
+            rank = heappop(heap)
+            positions = postings.pop(rank, None)
+            if not positions:
+                continue
+            lower = -1  # the word in which a lower rank was posted just now
+            back: list[int] = []
+            for i in sorted(positions):
+                if posted[i] != rank:
+                    continue
+                if word[i] == lower:
+                    back.append(i)
+                    continue
+                j = after[i]
+                symbol[i] = rank
+                symbol[j] = posted[j] = -1
+                k = after[i] = after[j]
+                posted[i] = -1
+                touched = ()
+                if k < n:
+                    ahead[k] = i
+                    touched = (i,)
+                if (h := ahead[i]) >= 0:
+                    touched = (h, *touched)
+                for x in touched:
+                    new = rank_of(symbol[x], symbol[after[x]])
+                    if new == posted[x]:
+                        continue
+                    posted[x] = new
+                    if new >= 0:
+                        if (found := postings.get(new)) is None:
+                            postings[new] = [x]
+                            heappush(heap, new)
+                        else:
+                            found.append(x)
+                        if new < rank:
+                            lower = word[i]
+            if back:
+                if (found := postings.get(rank)) is None:
+                    postings[rank] = back
+                    heappush(heap, rank)
+                else:
+                    found += back
+        symbols = np.array(symbol, np.int64)
+        alive = symbols >= 0
+        counts = np.bincount(np.array(word, np.int64)[alive], minlength=len(words)) if n else np.zeros(len(words), np.int64)
+        raw, at, out = symbols[alive].astype("<u4").tobytes(), 0, []
+        for size in (4 * counts).tolist():
+            out.append(raw[at : at + size])
+            at += size
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut = [self.words(x) for x in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {}
-                new = list(set().union(*cut))
-            self.known.update(zip(new, self.replay([x.encode("utf-8") for x in new])))
-        for words in cut:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+def _blocks(batches: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataFrame]:
+    """Texts as places (16 or 32 bits) in the word list of their block, and the words of that list."""
+    release()
+    splitter = Splitter(pattern)
+    held: list[tuple] = []
+    place: dict[str, int] = {}
+    size = 0
 
+    def flush() -> pd.DataFrame:
+        block = uuid.uuid4().hex
+        width = "<u2" if len(place) <= 1 << 16 else "<u4"
+        rows = [(block, doc_id, None, None, codes.astype(width).tobytes(), len(place)) for doc_id, codes in held]
+        rows += [(block, None, i, word, None, None) for word, i in place.items()]
+        frame = pd.DataFrame(rows, columns=["block", "doc_id", "place", "word", "codes", "n_words"])
+        return frame.astype({"doc_id": "Int64", "place": "Int64", "n_words": "Int64"})
 
-def _replay_of(path: str, pattern: str) -> MergeReplay:
-    return resident(("merges", path, pattern), lambda: MergeReplay(path, pattern))
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            if held and size + len(text) > BLOCK_CHARS:
+                yield flush()
+                held, place, size = [], {}, 0
+            words = splitter.words(text)
+            for word in set(words) - place.keys():
+                place[word] = len(place)
+            held.append((None if pd.isna(doc_id) else int(doc_id), np.fromiter(map(place.__getitem__, words), np.uint32, len(words))))
+            size += len(text)
+    if held:
+        yield flush()
 
 
-def _ids(batches: Iterator[pd.DataFrame], path: str, pattern: str, digests: bool) -> Iterator[pd.DataFrame]:
-    replay = _replay_of(path, pattern)
+def _replayed(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    replay = resident(("merges", path), lambda: MergeReplay(path))
     for batch in batches:
-        texts = batch["text"].tolist()
-        for start, end in slices([len(x) for x in texts], BATCH_CHARS):
-            out = []
-            for ids in replay.encode(texts[start:end]):
-                if digests:
-                    decimal = " ".join(map(replay.decimal.__getitem__, ids.tolist())).encode()
-                    out.append((len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(replay.decode(ids)).hexdigest()))
-                else:
-                    out.append((len(ids), ids.tobytes()))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids"]
-            yield pd.concat([batch[["doc_id"]].iloc[start:end].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+        words = batch["word"].tolist()
+        for start, end in slices([1] * len(words), REPLAYED_WORDS):
+            part = words[start:end]
+            yield pd.DataFrame({"word": part, "ids": replay.replay([x.encode("utf-8") for x in part])})
+
+
+def _block_texts(words: pd.DataFrame, texts: pd.DataFrame, summary: Callable[[np.ndarray], tuple], names: list[str]) -> pd.DataFrame:
+    """The ids of a block's texts from the ids of its words, as *summary* gives them."""
+    words = words.sort_values("place", kind="stable")
+    ids = words["ids"].tolist()
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begins = np.cumsum(sizes) - sizes
+    out = []
+    for doc_id, raw, n_words in zip(texts["doc_id"].tolist(), texts["codes"].tolist(), texts["n_words"].tolist()):
+        codes = np.frombuffer(raw, "<u2" if n_words <= 1 << 16 else "<u4")
+        n = sizes[codes]
+        at = np.repeat(begins[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out.append((doc_id, *summary(flat[at])))
+    return pd.DataFrame(out, columns=["doc_id", *names]).astype({"doc_id": "Int64"})
+
+
+def _per_text(docs: DataFrame, path: str, pattern: str, schema: str, summary: Callable[[np.ndarray], tuple]) -> DataFrame:
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
+    # written once, so that texts and words are of the same blocks
+    kinds = "block string, doc_id long, place long, word string, codes binary, n_words long"
+    blocks = materialise(rows.mapInPandas(lambda b: _blocks(b, pattern), kinds), "bpe-blocks")
+    lists = blocks.filter("word IS NOT NULL").select("block", "place", "word")
+    n = shuffle_partitions(docs.sparkSession)
+    distinct = lists.select("word").distinct().repartition(n, "word")
+    # written, so that the join with the word lists has two plain exchanges, whose large partitions Spark can split
+    encoded = materialise(distinct.mapInPandas(lambda b: _replayed(b, path), "word string, ids binary"), "bpe-words")
+    listed = lists.join(encoded, "word").select("block", "place", "ids")
+    texts = blocks.filter("codes IS NOT NULL").select(F.col("block").alias("of_block"), "doc_id", "codes", "n_words")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def read_off(words: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return _block_texts(words, held, summary, names)
+
+    return listed.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(read_off, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (little-endian 32-bit) of each row.
 
-    A null text counts as empty and has no ids.  Repeated rows and null ids give rows of their own.
-    Other columns are ignored.  An empty table gives an empty result.
+    A null text counts as empty and has no ids.  Very long texts and words are encoded whole.  Of equal
+    pairs in a word the leftmost merges first.  Repeated rows and null ids give rows of their own.  Other
+    columns are ignored.  An empty table gives an empty result.
     """
-    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInPandas(lambda b: _ids(b, path, pattern, False), "doc_id long, n_tokens long, ids binary")
+    return _per_text(docs, path, pattern, "n_tokens long, ids binary", lambda ids: (len(ids), ids.tobytes()))
 
 
-def decode(encoded: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """``doc_id``, ``data``: the bytes of the ids that ``encode`` gives."""
+def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
+    """``doc_id``, ``data``: the bytes of the ids that ``encode`` gives; null ids give none, an empty table no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replay = _replay_of(path, pattern)
+        tokens = resident(("merges", path), lambda: MergeReplay(path)).tokens
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "data": [replay.decode(np.frombuffer(x, "<u4")) for x in batch["ids"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "data": [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch["ids"]]})
 
     return encoded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInPandas(run, "doc_id long, data binary")
 
 
 def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them, for each row as in :func:`encode`."""
-    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInPandas(lambda b: _ids(b, path, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def digests(ids: np.ndarray) -> tuple:
+        tokens = resident(("tokens", path), lambda: _Tokens(path))
+        listed = ids.tolist()
+        decimal = " ".join(map(tokens.decimal.__getitem__, listed)).encode()
+        decoded = b"".join(map(tokens.tokens.__getitem__, listed))
+        return len(listed), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+    return _per_text(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+
+
+class _Tokens:
+    def __init__(self, path: str):
+        self.tokens = MergeReplay(path).tokens
+        self.decimal = [str(i) for i in range(len(self.tokens))]
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.byte_bpe import PATTERN, RANKS, MergeReplay, decode, encode, round_trip
+from quillspark.llm import byte_bpe
+from quillspark.llm.byte_bpe import PATTERN, RANKS, MergeReplay, Splitter, decode, encode, round_trip
 
 
 @pytest.fixture(scope="module")
@@ -23,27 +24,47 @@ def replay():
     return MergeReplay(RANKS)
 
 
+def encoded(replay, texts):
+    cut = [Splitter().words(x) for x in texts]
+    words = sorted(set().union(*cut))
+    ids = dict(zip(words, replay.replay([x.encode() for x in words])))
+    return [np.frombuffer(b"".join(ids[x] for x in words), "<u4").tolist() for words in cut]
+
+
 TEXTS = ["", " ", "a", "Hello, world's  best\n\n \tthing's 12 345", "<|endoftext|>", "é日本\u0301 ½²Ⅷ", "a" * 20_000, " " * 5000, "\x1c\x85\xa0x", "The the THE " * 300, "ǅ×÷ſ\u2028y"]
 
 
 def test_known_texts(library, replay):
-    for text, ids in zip(TEXTS, replay.encode(TEXTS)):
-        assert ids.tolist() == library.encode_ordinary(text)
-        assert replay.decode(ids) == text.encode()
+    for text, ids in zip(TEXTS, encoded(replay, TEXTS)):
+        assert ids == library.encode_ordinary(text)
+        assert b"".join(replay.tokens[x] for x in ids) == text.encode()
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=8))
 def test_any_texts(library, replay, texts):
-    for text, ids in zip(texts, replay.encode(texts)):
-        assert ids.tolist() == library.encode_ordinary(text)
-        assert replay.decode(ids) == text.encode()
+    for text, ids in zip(texts, encoded(replay, texts)):
+        assert ids == library.encode_ordinary(text)
 
 
 def test_random_words(library, replay):
     rng = random.Random(1)
     texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzeeett  ", k=rng.choice([3, 30, 300]))) for _ in range(800)]
-    assert [x.tolist() for x in replay.encode(texts)] == [library.encode_ordinary(x) for x in texts]
+    assert encoded(replay, texts) == [library.encode_ordinary(x) for x in texts]
+
+
+def test_every_token_of_the_vocabulary(library, replay):
+    words = [x for x in replay.ranks if x]
+    assert [np.frombuffer(x, "<u4").tolist() for x in replay.replay(words)] == [library._core_bpe.encode_single_piece(x) for x in words]
+
+
+def test_blocks_and_words_over_many_partitions(spark, library, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 200)
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdeé ", k=rng.choice([1, 4, 9]))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 30, 400])))) for i in range(120)]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}
 
 
 def test_frames(spark, library):
