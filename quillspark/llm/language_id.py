@@ -4,13 +4,14 @@ For each language a suffix automaton of a bounded sample of its labelled text re
 substring of that sample.  A text is parsed from left to right into the longest phrases that the
 sample contains; the language whose sample needs the fewest phrases, each weighted by the bits that
 point into the sample, wins.  Letters are coded as their UTF-8 bytes, so that none are merged.  The
-automata are one sparse transition table, built once in each Python worker from the samples; the texts
-of a batch walk through it side by side.
+automata are one sparse transition table, built from the samples and broadcast: its size follows the
+number of languages.  The texts of a batch walk through it side by side, long ones in blocks that are
+joined again exactly: a block's parse from the root soon meets the parse that comes in from the block
+before, and what differs up to there is taken over from the latter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,16 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, resident, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, release, slices, table, text_or_empty
 
 #: The bound of the labelled sample: rows per language, characters read of a row, characters per
 #: language.  Only fitting is bounded; every labelled language is learnt and every text judged whole.
 ROWS_PER_LANGUAGE = 64
 ROW_CHARS = 20_000
-SAMPLE_CHARS = 16_000
-#: Texts are parsed in blocks of so many symbols; a phrase ends at a block's end.
+SAMPLE_CHARS = 32_000
+#: Texts are parsed side by side in blocks of so many symbols; the count is that of the whole text's parse.
 BLOCK = 1024
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: A language's limit of phrases per letter: so many times the given quantile over pieces of its labelled
 #: text that the automaton hasn't seen, and for short texts so many phrases more.
 PIECE, QUANTILE, MARGIN, EXTRA_PHRASES = 100, 0.99, 1.6, 3
@@ -162,6 +163,17 @@ class CrossParser:
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         return np.diff(np.r_[0, total[ends]]) > 0
 
+    def _step(self, row: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a symbol each, and the phrases that end by it (before it, and at it if none begins with it)."""
+        slot = self.base[state] + code
+        nxt = self.target[slot]
+        off = np.flatnonzero(self.owner[slot] != state)
+        ended = np.zeros(len(state), np.int32)
+        root, first = self.roots[row[off], 0], self.begin[row[off], code[off]]
+        ended[off] = (state[off] != root).astype(np.int32) + (first < 0)
+        nxt[off] = np.where(first < 0, root, first)
+        return nxt, ended
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (languages x texts), and its number of letters and separators."""
         codes, n = self._symbols(texts)
@@ -171,22 +183,23 @@ class CrossParser:
         begin = (np.cumsum(n) - n)[owner] + inside * BLOCK
         size = np.minimum(BLOCK, n[owner] - inside * BLOCK)
         order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
         state = np.repeat(self.roots, len(size), axis=1)
         count = np.zeros(state.shape, np.int32)
-        active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than t
-        for t in range(int(size[0]) if len(size) else 0):
+        at, sizes = begin[order], size[order]
+        active = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")  # blocks longer than t
+        rows = np.arange(len(self.languages))[:, None]
+        for t in range(int(sizes[0]) if len(sizes) else 0):
             m = active[t]
-            code, now = codes[begin[:m] + t], state[:, :m]
-            slot = self.base[now] + code
-            on = self.owner[slot] == now
-            nxt = self.target[slot]
-            row, at = np.nonzero(~on)  # a phrase ends before the symbol, and one at it if no phrase begins with it
-            first, was = self.begin[row, code[at]], now[row, at] != self.roots[row, 0]
-            count[row, at] += was.astype(np.int32) + (first < 0)
-            nxt[row, at] = np.where(first < 0, self.roots[row, 0], first)
-            state[:, :m] = nxt
-        count += state != self.roots
+            code = codes[at[:m] + t]
+            row, symbol = (np.broadcast_to(x, (len(rows), m)).ravel() for x in (rows, code))
+            nxt, ended = self._step(row, state[:, :m].ravel(), symbol)
+            state[:, :m] = nxt.reshape(-1, m)
+            count[:, :m] += ended.reshape(-1, m)
+        back = np.argsort(order, kind="stable")
+        state, count = state[:, back], count[:, back]
+        self._join(codes, begin, size, inside, state, count)
+        last = np.r_[inside[1:] == 0, True] if len(inside) else np.zeros(0, bool)
+        count += last & (state != self.roots)
         out = np.zeros((len(self.languages), len(texts)))
         for row, c in zip(out, count):
             row += np.bincount(owner, c, len(texts))
@@ -194,6 +207,37 @@ class CrossParser:
         ends = np.cumsum(n)
         return out, n - (inner[ends] - inner[ends - n])
 
+    def _join(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, inside: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+        """Correct *count* and *end* of blocks, parsed from the root, for the states that come in from the blocks before."""
+        alone = count.copy()
+        ended_alone = end.copy()
+        row, block = np.nonzero((end != self.roots)[:, :-1] & (inside[1:] > 0)) if len(inside) else (np.zeros(0, np.int64),) * 2
+        block = block + 1
+        while len(block):
+            # two parses of each block, until they meet
+            lane = np.arange(len(block))
+            own = self.roots[row, 0].copy()
+            came = end[row, block - 1].copy()
+            more = np.zeros(len(block), np.int64)
+            met = np.zeros(len(block), bool)
+            t = 0
+            while len(lane := lane[(own[lane] != came[lane]) & (t < size[block[lane]])]):
+                code = codes[begin[block[lane]] + t]
+                own[lane], a = self._step(row[lane], own[lane], code)
+                came[lane], b = self._step(row[lane], came[lane], code)
+                more[lane] += b.astype(np.int64) - a
+                t += 1
+            met = own == came
+            count[row, block] = alone[row, block] + more
+            new = np.where(met, ended_alone[row, block], came)
+            changed = new != end[row, block]
+            end[row, block] = new
+            row, block = row[changed], block[changed]
+            follows = block + 1 < len(inside)
+            row, block = row[follows], block[follows] + 1
+            follows = inside[block] > 0
+            row, block = row[follows], block[follows]
+
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (``und`` if a text has no letter), margin over the next language, phrases per letter or their share of the limit."""
         if not self.languages:
@@ -249,9 +293,9 @@ def labelled_samples(docs: DataFrame) -> dict[str, str]:
     return {lang: text for lang, text in samples.items() if text}
 
 
-def _parser(samples: dict[str, str], limits: dict[str, float]) -> CrossParser:
-    name = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
-    return resident(("languages", name), lambda: CrossParser(samples, limits))
+def _parser(docs: DataFrame, samples: dict[str, str]):
+    """A broadcast parser: some megabytes for each language."""
+    return docs.sparkSession.sparkContext.broadcast(CrossParser(samples, foreign_limits(samples)))
 
 
 def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFrame:
@@ -263,10 +307,11 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
     Repeated rows give equal results; other columns are ignored; an empty table gives none.
     """
     samples = labelled_samples(docs) if samples is None else samples
-    shared = docs.sparkSession.sparkContext.broadcast((samples, foreign_limits(samples)))  # a bounded sample for each language
+    shared = _parser(docs, samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = _parser(*shared.value)
+        release()
+        parser = shared.value
         for batch in batches:
             texts = batch["text"].tolist()
             for start, end in slices([len(x) for x in texts], BATCH_CHARS):
@@ -281,12 +326,11 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
 def accepted(docs: DataFrame) -> DataFrame:
     """Rows of *docs* in a learnt language: not ``und``, and not above ``FOREIGN_RATE``; all columns kept."""
-    samples = labelled_samples(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((samples, foreign_limits(samples)))
+    shared = _parser(docs, labelled_samples(docs))
 
     @F.pandas_udf("boolean")
     def is_known(text: pd.Series) -> pd.Series:
-        parser, texts, out = _parser(*shared.value), text.tolist(), []
+        parser, texts, out = shared.value, text.tolist(), []
         for start, end in slices([len(x) for x in texts], BATCH_CHARS):
             lang, _, rate = parser.judge(texts[start:end])
             out += [x != "und" and r <= FOREIGN_RATE for x, r in zip(lang, rate)]

@@ -8,31 +8,37 @@ from quillspark.llm.language_id import BLOCK, CrossParser, accepted, identify
 
 
 def slow_phrases(parser, sample, text):
-    """Greedy parse of the coded text into longest substrings of the coded sample, in blocks."""
+    """Greedy parse of the whole coded text into longest substrings of the coded sample."""
     sample = parser._symbols([sample])[0].tobytes()
-    codes = parser._symbols([text])[0].tobytes()
-    count = 0
-    for at in range(0, len(codes), BLOCK):
-        block = codes[at : at + BLOCK]
-        while block:
-            n = 0
-            while n < len(block) and block[: n + 1] in sample:
-                n += 1
-            count += 1
-            block = block[max(n, 1) :]
+    rest, count = parser._symbols([text])[0].tobytes(), 0
+    while rest:
+        n = 0
+        while n < len(rest) and rest[: n + 1] in sample:
+            n += 1
+        count += 1
+        rest = rest[max(n, 1) :]
     return count
 
 
 SAMPLES = {"aa": "the cat sat on the mat and the dog sat on the log " * 3, "bb": "der hund und die katze sassen auf der matte " * 3, "cc": "πολύ ωραία μέρα σήμερα "}
 
 
-@pytest.mark.parametrize("text", ["The CAT sat!!", "", "12 34", "und die dog", "zzz qqq", "σήμερα the", "x", "the cat " * 900, "ab\u0301c 日本"])
+@pytest.mark.parametrize("text", ["The CAT sat!!", "", "12 34", "und die dog", "zzz qqq", "σήμερα the", "x", "the cat " * 900, SAMPLES["bb"][3:] * 40, "κσκ qd" * 1200, "ab\u0301c 日本"])
 def test_phrases_are_those_of_a_greedy_parse(text):
     parser = CrossParser(SAMPLES)
     count, _ = parser.phrases(["some other text", text, "der"])
     assert count[:, 1].tolist() == [slow_phrases(parser, SAMPLES[x], text) for x in parser.languages]
 
 
+def test_long_texts_are_parsed_as_a_whole():
+    rng = random.Random(4)
+    samples = {"aa": words(rng, ["the", "ing", "an"], 400), "bb": words(rng, ["ung", "a", "é", "the"], 400)}
+    parser = CrossParser(samples)
+    texts = [words(rng, ["the", "ing", "a", "é"], k) for k in (1, 30, 200, 700, 1500)] + [samples["aa"] * 3, "the" * BLOCK, "q" * (3 * BLOCK)]
+    count, _ = parser.phrases(texts)
+    assert count.T.tolist() == [[slow_phrases(parser, samples[x], t) for x in parser.languages] for t in texts]
+
+
 def words(rng, syllables, n):
     return " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(n))
 
