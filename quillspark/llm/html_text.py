@@ -3,14 +3,17 @@
 The pages of one host are merged into one tree of elements (a path of tags with their first class).  For
 each node the pages tell how its children are arranged (presentation) and what text it holds
 (content).  A node whose arrangement and text hardly differ between the host's pages has a low
-composite importance: such branches are menus, notices, adverts and footers, and are taken out of every
-page.  What pages say by their tags, roles and class names is used as well, and is all there is for a
-host with few pages.
+composite importance: such branches are menus, notices and footers, and are taken out of every page.
+The fewer pages have a node the less its entropy says, so its importance is drawn towards 1.
+
+Entropy can't tell noise whose text differs on every page (adverts, readers' comments, related pages) from
+the page's own text.  What pages say by their tags, roles and class names is therefore used as well, as
+prior knowledge, and is all there is for a host with one page.
 
 Pages of a host with the same elements and texts count once, so copies of a page don't speak against its
 text.  Copies are dealt by the digest of their page and counts per (host, node, feature) are pre-aggregated
-before the shuffle, so a host that holds a third of all pages is counted in many tasks; only the nodes of a
-host, never its pages, come together.
+before the shuffle; importances come up the tree level by level, from sums per (host, parent).  So a host
+that holds a third of all pages is worked on in many tasks throughout.
 """
 
 from __future__ import annotations
@@ -19,20 +22,20 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, materialise, table
+from quillspark.llm.common import bounded_batches, materialise, release, table
 from quillspark.llm.url_filter import host_and_path
 
-#: A branch goes if its importance is below the first figure and at least so many pages of the host have it.
-LOW_IMPORTANCE, MIN_PAGES = 0.2, 3
-#: The same for containers inside an article.
-LOW_IN_ARTICLE, MIN_PAGES_IN_ARTICLE = 0.1, 5
+#: A branch goes if its importance is not above the first figure, inside an article not above the second.
+LOW_IMPORTANCE, LOW_IN_ARTICLE = 0.35, 0.15
+#: What draws the importance of a node that m pages have towards 1: its distance from 1 counts (m - 1) / (m - 1 + PRIOR) times.
+PRIOR = 0.6
 GAMMA = 0.9
 #: Elements below this depth count as part of the one above them; their text stays.
 MAX_DEPTH = 48
@@ -48,7 +51,7 @@ _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]).*?(?:>|\Z)|\Z", re.S | re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml")}
 _BLOCK = set("html body head article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address nav header footer aside form fieldset details summary dialog hgroup menu search center".split())
 _TEXT_LEVEL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd figcaption caption td th tr tbody thead tfoot".split())
-_NOISE_TAG = set("head nav footer aside menu dialog button select option fieldset object embed canvas audio video map label datalist search".split())
+_NOISE_TAG = set("head nav footer aside menu dialog button select option fieldset object embed canvas audio video datalist search".split())
 _NOISE_ROLE = set("navigation banner contentinfo search complementary dialog alertdialog alert menu menubar toolbar tooltip".split())
 _NOISE_CLASS = set(
     "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion banner sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer "
@@ -278,42 +281,11 @@ def extract(html: str, low: frozenset[str] | set[str] = frozenset()) -> str:
     return "\n\n".join(text for _, text in kept)
 
 
-def _importances(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of one host -> its branches of low importance.
-
-    A leaf's importance is one less the mean entropy of its texts over the pages; an inner node's is
-    the entropy of its arrangements, weighted by how many there are, and its children's mean.
-    """
-    nodes = nodes.groupby("path", as_index=False).agg({"pages": "max", "texts": "max", "text_entropy": "max", "styles": "max", "style_entropy": "max", "singles": "max"})
-    order = nodes.sort_values("path", key=lambda p: -p.str.count("/"), kind="stable")
-    below: dict[str, list[float]] = {}
-    out = []
-    for path, pages, texts, text_entropy, styles, style_entropy, singles in order[["path", "pages", "texts", "text_entropy", "styles", "style_entropy", "singles"]].itertuples(index=False):
-        if not pages > 1:
-            continue
-        scale = np.log(pages)
-        parts = below.get(path, []) + [1.0] * int(singles if singles > 0 else 0)
-        if texts > 0:
-            parts.append(1 - text_entropy / scale / texts)
-        inner = sum(parts) / len(parts) if parts else 0.0
-        if styles > 0:
-            weight = GAMMA**styles
-            value = (1 - weight) * (style_entropy / scale) + weight * inner
-        else:
-            value = inner
-        value = float(min(1.0, max(0.0, value)))
-        below.setdefault(path.rpartition("/")[0], []).append(value)
-        tags = [x.partition(".")[0] for x in path.split("/")]
-        inside = "article" in tags or "main" in tags
-        if (value < LOW_IN_ARTICLE and pages >= MIN_PAGES_IN_ARTICLE and tags[-1] not in _TEXT_LEVEL) if inside else (value < LOW_IMPORTANCE and pages >= MIN_PAGES):
-            out.append((path, value))
-    return pd.DataFrame(out, columns=["path", "importance"])
-
-
 def style_tree(pages: DataFrame) -> DataFrame:
     """``host``, ``path``, ``importance`` of the low branches of every host, from *pages* (``host``, ``html``)."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             rows, seen = [], set()
             for host, html in zip(batch["host"], batch["html"]):
@@ -333,20 +305,34 @@ def style_tree(pages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") == 0, n)).alias("pages"), of(2, F.lit(1.0)).alias("texts"), of(2, F.log(n)).alias("text_entropy"), of(1, F.lit(1.0)).alias("styles"), of(1, n * F.log(n)).alias("_nlogn"), of(1, n).alias("_m")
     )
     nodes = nodes.select("host", "path", "pages", "texts", "text_entropy", "styles", F.when(F.col("_m") > 0, F.log("_m") - F.col("_nlogn") / F.col("_m")).otherwise(0.0).alias("style_entropy"))
-    nodes = materialise(nodes, "style-tree-nodes")
-    zero = F.lit(0.0)
-    shared = nodes.filter("pages > 1").withColumn("singles", F.lit(0).cast("long"))
     parent = F.expr("substring(path, 1, length(path) - instr(reverse(path), '/'))")
-    single = nodes.filter("pages = 1").groupBy("host", parent.alias("path")).agg(F.count("*").alias("singles"))
-    single = single.select("host", "path", F.lit(0).cast("long").alias("pages"), zero.alias("texts"), zero.alias("text_entropy"), zero.alias("styles"), zero.alias("style_entropy"), "singles")
-
-    def low(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = _importances(rows)
-        out.insert(0, "host", key[0])
-        return out
-
-    # a group has the nodes that at least two pages of a host share, however many pages there are
-    return shared.unionByName(single).groupBy("host").applyInPandas(low, "host string, path string, importance double")
+    depth = F.expr("length(path) - length(replace(path, '/', ''))")
+    nodes = materialise(nodes.withColumn("parent", parent).withColumn("depth", depth), "style-tree-nodes")
+    # children that only one page has tell nothing and count as important
+    none = F.lit(0.0)
+    singles = nodes.filter("pages = 1").groupBy("host", F.col("parent").alias("path")).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("n"))
+    sums = singles = materialise(singles, "style-tree-singles")
+    levels = []
+    for level in range(nodes.filter("pages > 1").agg(F.max("depth")).first()[0] or 0, 0, -1):
+        here = nodes.filter((F.col("pages") > 1) & (F.col("depth") == level)).join(sums, ["host", "path"], "left")
+        scale = F.log("pages")
+        below = F.coalesce("value", none) + F.when(F.col("texts") > 0, 1 - F.col("text_entropy") / scale / F.col("texts")).otherwise(none)
+        parts = F.coalesce("n", F.lit(0)) + (F.col("texts") > 0).cast("int")
+        inner = F.when(parts > 0, below / F.greatest(parts, F.lit(1))).otherwise(none)
+        weight = F.pow(F.lit(GAMMA), F.col("styles"))
+        value = F.when(F.col("styles") > 0, (1 - weight) * F.col("style_entropy") / scale + weight * inner).otherwise(inner)
+        here = here.select("host", "path", "parent", "pages", F.least(F.lit(1.0), F.greatest(none, value)).alias("value"))
+        levels.append(materialise(here, "style-tree-level"))
+        above = levels[-1].groupBy("host", F.col("parent").alias("path")).agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+        sums = singles.unionByName(above).groupBy("host", "path").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    if not levels:
+        return nodes.select("host", "path", none.alias("importance")).limit(0)
+    judged = reduce(DataFrame.unionByName, levels)
+    importance = 1 - (1 - F.col("value")) * (F.col("pages") - 1) / (F.col("pages") - 1 + PRIOR)
+    tag = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
+    inside = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
+    low = F.when(inside, (F.col("importance") <= LOW_IN_ARTICLE) & ~tag.isin(*sorted(_TEXT_LEVEL))).otherwise(F.col("importance") <= LOW_IMPORTANCE)
+    return judged.select("host", "path", importance.alias("importance")).filter(low)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -354,10 +340,13 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null html is an empty page and gives an empty text.  Pages with a null url, or one without a
     host, have no style tree in common and are judged by their own tags.  Unclosed and unfinished tags
-    are closed as browsers do.  Repeated rows give equal results; other columns are ignored.
+    are closed as browsers do.  Very long pages are taken whole; elements below ``MAX_DEPTH`` count as part
+    of the one above them.  A branch whose importance is exactly the limit goes.  Repeated rows give equal
+    results; other columns are ignored; an empty table gives none.
     """
     host, _ = host_and_path(F.col("url"))
     rows = bounded_batches(pages).select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    # a host's list has its low branches that at least two different pages share, however many pages there are
     low = style_tree(rows.filter("host <> ''")).groupBy("host").agg(F.collect_list("path").alias("low"))
     low = materialise(low, "style-tree-low")
     joined = rows.join(low, "host", "left").select("page_id", "url", "html", "low")

@@ -1,6 +1,9 @@
+import math
+from collections import Counter
+
 import pytest
 
-from quillspark.llm.html_text import extract, main_text, page_features, parse
+from quillspark.llm.html_text import LOW_IMPORTANCE, PRIOR, _judged, extract, main_text, page_features, parse, style_tree
 
 SCHEMA = "page_id long, url string, html string, text string, low string"
 
@@ -20,6 +23,7 @@ SCHEMA = "page_id long, url string, html string, text string, low string"
         ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>d<td>e</table>", "a\n\nb\n\nc\n\nd\n\ne"),
         ("<div role='navigation'>n</div><p aria-hidden=true>h</p><p hidden>i</p><p style='display: none'>j</p><p>k</p>", "k"),
         ("<html><body class='has-sidebar menu'><main><p>kept</p></main><div class='cookie-notice'>c</div></body>", "kept"),
+        ("<article><h1>T</h1><div class='social-history'><p>A text of it.</p></div><p>See <label>this word</label> and <map>that</map> here.</p></article>", "T\n\nA text of it.\n\nSee this word and that here."),
         ("<p>unfinished <b>tag", "unfinished tag"),
         ("<title>t</title><textarea>x</textarea><p>" + "long " * 20_000, ("long " * 20_000).strip()),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
@@ -51,6 +55,43 @@ def test_style_tree_finds_branches_without_names(spark):
     assert main_text(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def slow_importances(pages):
+    """path -> (pages that have it, importance), from the definition, over different pages."""
+    trees = {}
+    for html in pages:
+        elements, blocks = parse(html)
+        judged = {e.path for e in elements if _judged(e)}
+        styles = {(e.path, "\n".join(e.children)) for e in elements if e.children and e.path in judged}
+        texts = {(e.path, t) for e, t in blocks if e.path in judged and not (e.noise and e.tag not in ("div", "ul", "li", "p"))}
+        trees[(tuple(e.path for e in elements), tuple((e.path, t) for e, t in blocks))] = (judged, styles, texts)
+    count = lambda i: Counter(x for tree in trees.values() for x in tree[i])
+    n, styles, texts = count(0), count(1), count(2)
+
+    def value(path):
+        m = n[path]
+        mine = [c for (p, _), c in styles.items() if p == path]
+        parts = [1.0 if n[p] == 1 else value(p) for p in n if p.rpartition("/")[0] == path]
+        held = [c for (p, _), c in texts.items() if p == path]
+        if held:
+            parts.append(1 - sum(math.log(c) / math.log(m) for c in held) / len(held))
+        inner = sum(parts) / len(parts) if parts else 0.0
+        if not mine:
+            return inner
+        share = [c / sum(mine) for c in mine]
+        w = 0.9 ** len(mine)
+        return (1 - w) * -sum(x * math.log(x) for x in share) / math.log(m) + w * inner
+
+    return {p: 1 - (1 - min(1, max(0, value(p)))) * (n[p] - 1) / (n[p] - 1 + PRIOR) for p in n if n[p] > 1}
+
+
+def test_importances_against_their_definition(spark):
+    pages = [page(i, i % 3 and 1) for i in range(12)] + [page(3, 1)] * 4 + ["<body><div class='x1'><ul><li>Home</li></ul></div><div class='x4'><div><p>deep</p></div></div></body>"]
+    rows = spark.createDataFrame([("h", x) for x in pages], "host string, html string")
+    got = {r.path: r.importance for r in style_tree(rows).collect()}
+    want = {p: v for p, v in slow_importances(pages).items() if v <= LOW_IMPORTANCE}
+    assert got == pytest.approx(want) and "/body/div.x1" in got and "/body/div.x2" not in got
+
+
 def test_copies_of_an_article_keep_their_text(spark):
     html = "<nav>menu</nav><article><h1>T</h1><p>The same text on every page.</p></article>"
     rows = [(i, f"http://a.org/{i}", html, "", "") for i in range(30)]
