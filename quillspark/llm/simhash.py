@@ -307,14 +307,13 @@ def _dealt(keyed: DataFrame, *carried: str) -> DataFrame:
 
 def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Distinct ``fp`` (long) -> links ``a``, ``b`` that connect all fingerprints within three bits."""
-    spark = fps.sparkSession
     open_, masks, kept = fps.select("fp", F.lit(0).cast("long").alias("mask")), [0], []
     while True:
         # the masks follow from the round alone: four in the first, four times as many in each further one
         children = {m: _parts(m, MAX_BITS + 1) for m in masks}
         masks = sorted({c for x in children.values() for c in x})
-        steps = spark.createDataFrame([(_signed(m), _signed(c)) for m, x in children.items() for c in x], "mask long, child long")
-        keyed = open_.join(F.broadcast(steps), "mask").select("fp", F.col("child").alias("mask"))
+        steps = F.create_map(*[x for m, made in children.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*[F.lit(_signed(c)).cast("long") for c in made]))])
+        keyed = open_.select("fp", F.explode(F.element_at(steps, F.col("mask"))).alias("mask"))
         keyed = keyed.withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         hot = materialise(keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket"), "simhash-hot-buckets")
         if hot.isEmpty():
