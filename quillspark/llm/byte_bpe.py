@@ -1,14 +1,10 @@
 """Byte-level BPE encoding and decoding by merge replay at corpus level.
 
-1. Tasks split their texts into words (matches of the split pattern) and code each text as places in the
-   word list of its block, a bounded run of texts; both are written once.
-2. The distinct words of the corpus are partitioned by word.  A partition holds an inverted index from
-   token pair, named by the rank that the pair merges to, to the positions in words where it stands, and
-   replays the merges in rank order: a rank's postings are taken together, each is merged, and only its
-   two neighbours are posted anew.  Each word of the corpus is replayed once, however often it occurs.
-3. The ids join the blocks' word lists by word, and each block's texts are read off its list.
-
-What is shuffled are words and codes, not texts; a block is bounded, so no group grows with the corpus.
+Texts are split into words (matches of the split pattern); the distinct words of the corpus are
+partitioned by word (see ``corpus_words``).  A partition holds an inverted index from token pair, named by
+the rank that the pair merges to, to the positions in words where it stands, and replays the merges in
+rank order: a rank's postings are taken together, each is merged, and only its two neighbours are posted
+anew.  Each word of the corpus is replayed once, however often it occurs; texts are read off by word.
 """
 
 from __future__ import annotations
@@ -16,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -27,13 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, materialise, release, resident, shuffle_partitions, slices, table, text_or_empty
+from quillspark.llm.common import resident, table
+from quillspark.llm.corpus_words import per_text
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Characters of a block of texts (a longer text is a block of its own), and words that are replayed together.
-BLOCK_CHARS = 4_000_000
-REPLAYED_WORDS = 100_000
 
 #: The pattern's classes spelled out for texts of Latin letters; other texts take the pattern as it is.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -48,8 +41,8 @@ class Splitter:
     def __init__(self, pattern: str = PATTERN):
         self.pattern, self.latin = regex.compile(pattern), _LATIN if pattern == PATTERN else None
 
-    def words(self, text: str) -> list[str]:
-        if self.latin is not None and not _NOT_LATIN.search(text):
+    def __call__(self, text: str) -> list[str]:
+        if self.latin is not None and (text.isascii() or not _NOT_LATIN.search(text)):
             return self.latin.findall(text)
         return [m[0] for m in self.pattern.finditer(text)]
 
@@ -159,79 +152,12 @@ class MergeReplay:
         return out
 
 
-def _blocks(batches: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataFrame]:
-    """Texts as places (16 or 32 bits) in the word list of their block, and the words of that list."""
-    release()
-    splitter = Splitter(pattern)
-    held: list[tuple] = []
-    place: dict[str, int] = {}
-    size = 0
-
-    def flush() -> pd.DataFrame:
-        block = uuid.uuid4().hex
-        width = "<u2" if len(place) <= 1 << 16 else "<u4"
-        rows = [(block, doc_id, None, None, codes.astype(width).tobytes(), len(place)) for doc_id, codes in held]
-        rows += [(block, None, i, word, None, None) for word, i in place.items()]
-        frame = pd.DataFrame(rows, columns=["block", "doc_id", "place", "word", "codes", "n_words"])
-        return frame.astype({"doc_id": "Int64", "place": "Int64", "n_words": "Int64"})
-
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-            if held and size + len(text) > BLOCK_CHARS:
-                yield flush()
-                held, place, size = [], {}, 0
-            words = splitter.words(text)
-            for word in set(words) - place.keys():
-                place[word] = len(place)
-            held.append((None if pd.isna(doc_id) else int(doc_id), np.fromiter(map(place.__getitem__, words), np.uint32, len(words))))
-            size += len(text)
-    if held:
-        yield flush()
-
-
-def _replayed(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
-    replay = resident(("merges", path), lambda: MergeReplay(path))
-    for batch in batches:
-        words = batch["word"].tolist()
-        for start, end in slices([1] * len(words), REPLAYED_WORDS):
-            part = words[start:end]
-            yield pd.DataFrame({"word": part, "ids": replay.replay([x.encode("utf-8") for x in part])})
-
-
-def _block_texts(words: pd.DataFrame, texts: pd.DataFrame, summary: Callable[[np.ndarray], tuple], names: list[str]) -> pd.DataFrame:
-    """The ids of a block's texts from the ids of its words, as *summary* gives them."""
-    words = words.sort_values("place", kind="stable")
-    ids = words["ids"].tolist()
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begins = np.cumsum(sizes) - sizes
-    out = []
-    for doc_id, raw, n_words in zip(texts["doc_id"].tolist(), texts["codes"].tolist(), texts["n_words"].tolist()):
-        codes = np.frombuffer(raw, "<u2" if n_words <= 1 << 16 else "<u4")
-        n = sizes[codes]
-        at = np.repeat(begins[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out.append((doc_id, *summary(flat[at])))
-    return pd.DataFrame(out, columns=["doc_id", *names]).astype({"doc_id": "Int64"})
-
-
-def _per_text(docs: DataFrame, path: str, pattern: str, schema: str, summary: Callable[[np.ndarray], tuple]) -> DataFrame:
-    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
-    # written once, so that texts and words are of the same blocks
-    kinds = "block string, doc_id long, place long, word string, codes binary, n_words long"
-    blocks = materialise(rows.mapInPandas(lambda b: _blocks(b, pattern), kinds), "bpe-blocks")
-    lists = blocks.filter("word IS NOT NULL").select("block", "place", "word")
-    n = shuffle_partitions(docs.sparkSession)
-    distinct = lists.select("word").distinct().repartition(n, "word")
-    # written, so that the join with the word lists has two plain exchanges, whose large partitions Spark can split
-    encoded = materialise(distinct.mapInPandas(lambda b: _replayed(b, path), "word string, ids binary"), "bpe-words")
-    listed = lists.join(encoded, "word").select("block", "place", "ids")
-    texts = blocks.filter("codes IS NOT NULL").select(F.col("block").alias("of_block"), "doc_id", "codes", "n_words")
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def read_off(words: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return _block_texts(words, held, summary, names)
-
-    return listed.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(read_off, f"doc_id long, {schema}")
+def _learner(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+    def learner():
+        replay = resident(("merges", path), lambda: MergeReplay(path))
+        return lambda words: replay.replay([x.encode("utf-8") for x in words])
+
+    return learner
 
 
 def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
@@ -241,7 +167,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFr
     pairs in a word the leftmost merges first.  Repeated rows and null ids give rows of their own.  Other
     columns are ignored.  An empty table gives an empty result.
     """
-    return _per_text(docs, path, pattern, "n_tokens long, ids binary", lambda ids: (len(ids), ids.tobytes()))
+    return per_text(docs, Splitter(pattern), _learner(path), "n_tokens long, ids binary", lambda ids: [(len(ids), ids.tobytes())])
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
@@ -258,14 +184,14 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
 def round_trip(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Digests of the ids and of the bytes decoded from them, for each row as in :func:`encode`."""
 
-    def digests(ids: np.ndarray) -> tuple:
+    def digests(ids: np.ndarray) -> list[tuple]:
         tokens = resident(("tokens", path), lambda: _Tokens(path))
         listed = ids.tolist()
         decimal = " ".join(map(tokens.decimal.__getitem__, listed)).encode()
         decoded = b"".join(map(tokens.tokens.__getitem__, listed))
-        return len(listed), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return [(len(listed), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded).hexdigest())]
 
-    return _per_text(docs, path, pattern, "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+    return per_text(docs, Splitter(pattern), _learner(path), "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
 
 
 class _Tokens:

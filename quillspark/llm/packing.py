@@ -1,6 +1,7 @@
 """Packing by shortest-pack-first over the length histogram.
 
-1. Each task turns its texts into token ids and cuts them into pieces of at most ``MAX_TOKENS``.
+1. Texts become token ids, each distinct word of the corpus tokenised once (see ``corpus_words``), and are
+   cut into pieces of at most ``MAX_TOKENS``.
 2. The counts of piece lengths (at most ``MAX_TOKENS`` rows, whatever the corpus) give packing
    patterns: lengths are placed longest first, all pieces of one length at once, into the packs that
    are shortest so far, and the counts of the patterns are updated.  New packs are opened as the
@@ -16,7 +17,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,27 +24,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, materialise, resident, shuffle_partitions, slices, table, text_or_empty
+from quillspark.llm.common import materialise, resident, shuffle_partitions, table
+from quillspark.llm.corpus_words import per_text
 
 MAX_TOKENS = 4096
 END_ID = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Texts are tokenised about so many characters at a time; a task remembers so many distinct words.
-BATCH_CHARS = 2_000_000
-CACHED_WORDS = 250_000
-
 _UNUSUAL = re.compile("[^\x00-įı-ɏ]|<\\|")
 _PUNCTUATION_RUN = re.compile("[^\t-\r \x85\xa0a-z0-9ß-öø-ɏ][,.] ")
 _PLAIN_WORD = re.compile("[a-zß-öø-ɏ]+")
 
 
-class WordEncoder:
-    """Ids of whole texts from ids of their words, each distinct word tokenised once.
+def chunks(text: str) -> list[str]:
+    """Parts of a text whose ids in order are the text's: the tokenizer drops white space and never joins text across it.
 
-    The tokenizer drops white space and never joins text across it, so a text's ids are those of its
-    chunks between spaces, in order.  Lower-casing first and setting ``,`` and ``.`` apart make chunks
-    repeat more often; both are done only where they can't change an id.
+    Lower-casing first and setting ``,`` and ``.`` apart make parts repeat more often; both are done only
+    where they can't change an id.
     """
+    if "<|" in text or not text.isascii() and _UNUSUAL.search(text):
+        return text.replace("\n", " ").split(" ")
+    text = text.lower().replace("\n", " ")
+    if not _PUNCTUATION_RUN.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
+class WordEncoder:
+    """Ids of words; plain ones are tokenised many at a time and cut where a token ends a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,71 +62,44 @@ class WordEncoder:
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         if self.suffix:
             self.ends[[i for token, i in model["vocab"].items() if token.endswith(self.suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if _UNUSUAL.search(text):
-            return text.replace("\n", " ").split(" ")
-        text = text.lower().replace("\n", " ")
-        if not _PUNCTUATION_RUN.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
-
-    def _learn(self, new: Iterable[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        known: dict[str, bytes] = {"": b""}
         plain, other = [], []
-        for word in new:
+        for word in words:
             (plain if self.suffix and len(word) < 100 and _PLAIN_WORD.fullmatch(word) else other).append(word)
         lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for words, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+        for part, found in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(words):
-                other += words
+            if len(ends) != len(part):
+                other += part
                 continue
             raw, at = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist()):
-                self.known[word] = raw[at:end]
+            for word, end in zip(part, ends.tolist()):
+                known[word] = raw[at:end]
                 at = end
         for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [self.chunks(x) for x in texts]
-        new = set().union(*cut) - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known = {"": b""}
-                new = set().union(*cut) - {""}
-            self._learn(new)
-        for chunks in cut:
-            yield b"".join(map(self.known.__getitem__, chunks))
-
-
-def _pieces(batches: Iterator[pd.DataFrame], path: str, max_tokens: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    encoder = resident(("words", path), lambda: WordEncoder(path))
-    tail, step = np.array([END_ID], "<u4").tobytes(), 4 * max_tokens
-    for batch in batches:
-        texts = batch["text"].tolist()
-        for start, end in slices([len(x) for x in texts], BATCH_CHARS):
-            out = []
-            for doc_id, ids in zip(batch["doc_id"].iloc[start:end].tolist(), encoder.encode(texts[start:end])):
-                ids += tail
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
-                    out.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if with_ids else None))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame if with_ids else frame.drop(columns="ids")
+            known[word] = np.array(found.ids, "<u4").tobytes()
+        return [known[x] for x in words]
 
 
 def pieces(docs: DataFrame, path: str = TOKENIZER, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
-    """Token pieces of every text; the last piece of a document ends with the end id."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return bounded_batches(docs).select("doc_id", text_or_empty().alias("text")).mapInPandas(lambda batches: _pieces(batches, path, max_tokens, with_ids), schema)
+    """Token pieces of every text; the last piece of a document ends with the end id.
+
+    Nulls, repeats and other columns are as in :func:`packed`; very long texts are cut into as many pieces as they need.
+    """
+
+    def learner():
+        return resident(("words", path), lambda: WordEncoder(path)).ids
+
+    def cut(ids: np.ndarray) -> list[tuple]:
+        ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+        parts = [(at, ids[at : at + max_tokens].tobytes()) for at in range(0, len(ids), max_tokens)]
+        return [(at, len(raw) // 4, zlib.crc32(raw), len(ids), *([raw] if with_ids else [])) for at, raw in parts]
+
+    return per_text(docs, chunks, learner, "start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids, cut)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[tuple[int, list[tuple[int, int]]]]:

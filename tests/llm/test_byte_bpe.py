@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import byte_bpe
+from quillspark.llm import corpus_words
 from quillspark.llm.byte_bpe import PATTERN, RANKS, MergeReplay, Splitter, decode, encode, round_trip
 
 
@@ -25,7 +25,7 @@ def replay():
 
 
 def encoded(replay, texts):
-    cut = [Splitter().words(x) for x in texts]
+    cut = [Splitter()(x) for x in texts]
     words = sorted(set().union(*cut))
     ids = dict(zip(words, replay.replay([x.encode() for x in words])))
     return [np.frombuffer(b"".join(ids[x] for x in words), "<u4").tolist() for words in cut]
@@ -59,7 +59,7 @@ def test_every_token_of_the_vocabulary(library, replay):
 
 
 def test_blocks_and_words_over_many_partitions(spark, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(corpus_words, "BLOCK_CHARS", 200)
     rng = random.Random(2)
     vocabulary = ["".join(rng.choices("abcdeé ", k=rng.choice([1, 4, 9]))) for _ in range(60)]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 30, 400])))) for i in range(120)]
