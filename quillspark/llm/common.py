@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.shared import materialise, scratch_path
 
-__all__ = ["LOWER", "UPPER", "bounded_batches", "drop_rows", "materialise", "release", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty"]
+__all__ = ["LOWER", "UPPER", "bounded_batches", "drop_rows", "materialise", "release", "resident", "scratch_path", "shuffle_partitions", "slices", "table", "text_or_empty", "trim"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -49,20 +50,34 @@ def resident(key: Any, build: Callable[[], Any]) -> Any:
     Workers outlive stages, so models of earlier stages would otherwise add up.
     """
     if key not in _resident:
-        release()
+        _resident.clear()
         _resident[key] = build()
+        gc.collect()
+        trim()
     return _resident[key]
 
 
+_task: list[int] = []
+
+
 def release() -> None:
-    """Drop the worker's model and give freed memory back to the system.
+    """Drop the worker's model and give freed memory back to the system, once in a task.
 
     Tasks without a model of their own call this when they begin.
     """
-    if not _resident:
+    context = TaskContext.get()
+    now = context.taskAttemptId() if context else -1
+    if _task == [now]:
         return
-    _resident.clear()
-    gc.collect()
+    _task[:] = [now]
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -10,7 +10,9 @@ group grows with the corpus.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -20,43 +22,59 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import bounded_batches, materialise, release, shuffle_partitions, slices, text_or_empty
 
 #: Characters of a block of texts (a longer text is a block of its own), and words whose ids are made together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 WORDS_AT_ONCE = 50_000
 
 
+class Block:
+    """Texts as places in a list of their words, which is in the order in which they occur."""
+
+    def __init__(self):
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)  # a new word gets the next place
+        self.texts: list[tuple] = []
+        self.size = 0
+
+    def add(self, key, text: str, words: list[str]) -> None:
+        self.texts.append((key, np.fromiter(map(self.place.__getitem__, words), np.uint32, len(words))))
+        self.size += len(text)
+
+
+def read_off(ids: list[bytes], codes: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """The ids (uint32) of each coded text, from the little-endian 32-bit ids of the block's words in order of their place."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    begins = np.cumsum(sizes) - sizes
+    for each in codes:
+        n = sizes[each]
+        yield flat[np.repeat(begins[each] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 def _blocks(batches: Iterator[pd.DataFrame], split: Callable[[str], list[str]]) -> Iterator[pd.DataFrame]:
     """Texts as places (16 or 32 bits) in the word list of their block, and the words of that list."""
     release()
-    held: list[tuple] = []
-    place: dict[str, int] = {}
-    size = 0
+    block = Block()
 
     def flush() -> pd.DataFrame:
-        block = uuid.uuid4().hex
-        width = "<u2" if len(place) <= 1 << 16 else "<u4"
-        n = len(held)
+        width = "<u2" if len(block.place) <= 1 << 16 else "<u4"
+        n, words = len(block.texts), len(block.place)
         return pd.DataFrame(
             {
-                "block": block,
-                "doc_id": pd.array([x for x, _ in held] + [None] * len(place), "Int64"),
-                "place": pd.array([None] * n + list(range(len(place))), "Int64"),
-                "word": [None] * n + list(place),
-                "codes": [codes.astype(width).tobytes() for _, codes in held] + [None] * len(place),
-                "n_words": pd.array([len(place)] * n + [None] * len(place), "Int64"),
+                "block": uuid.uuid4().hex,
+                "doc_id": pd.array([x for x, _ in block.texts] + [None] * words, "Int64"),
+                "place": pd.array([None] * n + list(range(words)), "Int64"),
+                "word": [None] * n + list(block.place),
+                "codes": [codes.astype(width).tobytes() for _, codes in block.texts] + [None] * words,
+                "n_words": pd.array([words] * n + [None] * words, "Int64"),
             }
         )
 
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-            if held and size + len(text) > BLOCK_CHARS:
+            if block.texts and block.size + len(text) > BLOCK_CHARS:
                 yield flush()
-                held, place, size = [], {}, 0
-            words = split(text)
-            for word in set(words).difference(place):
-                place[word] = len(place)
-            held.append((None if pd.isna(doc_id) else int(doc_id), np.fromiter(map(place.__getitem__, words), np.uint32, len(words))))
-            size += len(text)
-    if held:
+                block = Block()
+            block.add(None if pd.isna(doc_id) else int(doc_id), text, split(text))
+    if block.texts:
         yield flush()
 
 
@@ -71,16 +89,8 @@ def _learnt(batches: Iterator[pd.DataFrame], learner: Callable[[], Callable[[lis
 def _block_texts(words: pd.DataFrame, texts: pd.DataFrame, summary: Callable[[np.ndarray], list[tuple]], names: list[str]) -> pd.DataFrame:
     """The rows that *summary* gives for the ids of each of a block's texts, from the ids of the block's words."""
     words = words.sort_values("place", kind="stable")
-    ids = words["ids"].tolist()
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    begins = np.cumsum(sizes) - sizes
-    out = []
-    for doc_id, raw, n_words in zip(texts["doc_id"].tolist(), texts["codes"].tolist(), texts["n_words"].tolist()):
-        codes = np.frombuffer(raw, "<u2" if n_words <= 1 << 16 else "<u4")
-        n = sizes[codes]
-        at = np.repeat(begins[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out += [(doc_id, *row) for row in summary(flat[at])]
+    codes = (np.frombuffer(raw, "<u2" if n <= 1 << 16 else "<u4") for raw, n in zip(texts["codes"].tolist(), texts["n_words"].tolist()))
+    out = [(doc_id, *row) for doc_id, ids in zip(texts["doc_id"].tolist(), read_off(words["ids"].tolist(), codes)) for row in summary(ids)]
     return pd.DataFrame(out, columns=["doc_id", *names]).astype({"doc_id": "Int64"})
 
 

@@ -30,7 +30,7 @@ ROW_CHARS = 20_000
 SAMPLE_CHARS = 32_000
 #: Texts are parsed side by side in blocks of so many symbols; the count is that of the whole text's parse.
 BLOCK = 1024
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 2_000_000
 #: A language's limit of phrases per letter: so many times the given quantile over pieces of its labelled
 #: text that the automaton hasn't seen, and for short texts so many phrases more.
 PIECE, QUANTILE, MARGIN, EXTRA_PHRASES = 100, 0.99, 1.6, 3
@@ -145,8 +145,9 @@ class CrossParser:
         keep[1:] = ~(gap[1:] & gap[:-1])
         starts = np.r_[0, ends[:-1]] if len(ends) else ends
         keep[starts[starts < len(lower)]] = True
-        size = np.where(keep, 1 + (lower >= 0x80) + (lower >= 0x800) + (lower >= 0x10000), 0)
-        total = np.r_[0, np.cumsum(size)]
+        size = np.where(keep, 1 + (lower >= 0x80).astype(np.uint8) + (lower >= 0x800) + (lower >= 0x10000), 0).astype(np.uint8)
+        total = np.zeros(len(size) + 1, np.int32 if len(size) < 1 << 28 else np.int64)
+        np.cumsum(size, out=total[1:])
         codes = np.empty(total[-1], np.uint8)
         for n in np.unique(size[keep]).tolist():
             here = np.flatnonzero(size == n)
@@ -187,14 +188,16 @@ class CrossParser:
         count = np.zeros(state.shape, np.int32)
         at, sizes = begin[order], size[order]
         active = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")  # blocks longer than t
-        rows = np.arange(len(self.languages))[:, None]
         for t in range(int(sizes[0]) if len(sizes) else 0):
             m = active[t]
-            code = codes[at[:m] + t]
-            row, symbol = (np.broadcast_to(x, (len(rows), m)).ravel() for x in (rows, code))
-            nxt, ended = self._step(row, state[:, :m].ravel(), symbol)
-            state[:, :m] = nxt.reshape(-1, m)
-            count[:, :m] += ended.reshape(-1, m)
+            code, now = codes[at[:m] + t], state[:, :m]
+            slot = self.base[now] + code
+            nxt = self.target[slot]
+            row, off = np.nonzero(self.owner[slot] != now)  # a phrase ends before the symbol, and one at it if no phrase begins with it
+            first, root = self.begin[row, code[off]], self.roots[row, 0]
+            count[row, off] += (now[row, off] != root).astype(np.int32) + (first < 0)
+            nxt[row, off] = np.where(first < 0, root, first)
+            state[:, :m] = nxt
         back = np.argsort(order, kind="stable")
         state, count = state[:, back], count[:, back]
         self._join(codes, begin, size, inside, state, count)
@@ -330,6 +333,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def is_known(text: pd.Series) -> pd.Series:
+        release()
         parser, texts, out = shared.value, text.tolist(), []
         for start, end in slices([len(x) for x in texts], BATCH_CHARS):
             lang, _, rate = parser.judge(texts[start:end])

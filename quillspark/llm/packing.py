@@ -1,7 +1,8 @@
 """Packing by shortest-pack-first over the length histogram.
 
-1. Texts become token ids, each distinct word of the corpus tokenised once (see ``corpus_words``), and are
-   cut into pieces of at most ``MAX_TOKENS``.
+1. Each task turns its texts into token ids, block by block: texts are coded as places in the block's list
+   of words, only words that no block before had are tokenised, and the ids are read off by place.  They
+   are cut into pieces of at most ``MAX_TOKENS``.
 2. The counts of piece lengths (at most ``MAX_TOKENS`` rows, whatever the corpus) give packing
    patterns: lengths are placed longest first, all pieces of one length at once, into the packs that
    are shortest so far, and the counts of the patterns are updated.  New packs are opened as the
@@ -15,8 +16,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,12 +27,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, resident, shuffle_partitions, table
-from quillspark.llm.corpus_words import per_text
+from quillspark.llm.common import bounded_batches, materialise, resident, shuffle_partitions, table, text_or_empty
+from quillspark.llm.corpus_words import Block, read_off
 
 MAX_TOKENS = 4096
 END_ID = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Characters of texts that are tokenised together, and words whose ids a task remembers (those of the last block stay longest).
+BLOCK_CHARS = 2_000_000
+CACHED_WORDS = 250_000
+
 _UNUSUAL = re.compile("[^\x00-įı-ɏ]|<\\|")
 _PUNCTUATION_RUN = re.compile("[^\t-\r \x85\xa0a-z0-9ß-öø-ɏ][,.] ")
 _PLAIN_WORD = re.compile("[a-zß-öø-ɏ]+")
@@ -53,8 +60,10 @@ class WordEncoder:
     """Ids of words; plain ones are tokenised many at a time and cut where a token ends a word."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
@@ -85,21 +94,51 @@ class WordEncoder:
         return [known[x] for x in words]
 
 
+    def remembered(self, words: Iterable[str]) -> list[bytes]:
+        """Ids of a block's distinct words."""
+        words = list(words)
+        new = [x for x in words if x not in self.known]
+        self.known.update(zip(new, self.ids(new)))
+        found = [self.known[x] for x in words]
+        if len(self.known) > CACHED_WORDS:
+            self.known = dict(zip(words, found)) if len(words) <= CACHED_WORDS else {}
+        return found
+
+
+def _pieces(batches: Iterator[pd.DataFrame], path: str, max_tokens: int, with_ids: bool) -> Iterator[pd.DataFrame]:
+    encoder = resident(("words", path), lambda: WordEncoder(path))
+    tail = np.array([END_ID], "<u4")
+    block = Block()
+
+    def flush() -> pd.DataFrame:
+        out = []
+        ids_of = read_off(encoder.remembered(block.place), (codes for _, codes in block.texts))
+        for (doc_id, _), ids in zip(block.texts, ids_of):
+            raw = np.concatenate([ids, tail]).tobytes()
+            for at in range(0, len(raw), 4 * max_tokens):
+                piece = raw[at : at + 4 * max_tokens]
+                out.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(raw) // 4, piece if with_ids else None))
+        frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]).astype({"doc_id": "Int64"})
+        return frame if with_ids else frame.drop(columns="ids")
+
+    for batch in batches:
+        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+            if block.texts and block.size + len(text) > BLOCK_CHARS:
+                yield flush()
+                block = Block()
+            block.add(None if pd.isna(doc_id) else int(doc_id), text, chunks(text))
+    if block.texts:
+        yield flush()
+
+
 def pieces(docs: DataFrame, path: str = TOKENIZER, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
     """Token pieces of every text; the last piece of a document ends with the end id.
 
     Nulls, repeats and other columns are as in :func:`packed`; very long texts are cut into as many pieces as they need.
     """
-
-    def learner():
-        return resident(("words", path), lambda: WordEncoder(path)).ids
-
-    def cut(ids: np.ndarray) -> list[tuple]:
-        ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-        parts = [(at, ids[at : at + max_tokens].tobytes()) for at in range(0, len(ids), max_tokens)]
-        return [(at, len(raw) // 4, zlib.crc32(raw), len(ids), *([raw] if with_ids else [])) for at, raw in parts]
-
-    return per_text(docs, chunks, learner, "start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids, cut)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
+    return rows.mapInPandas(lambda batches: _pieces(batches, path, max_tokens, with_ids), schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = MAX_TOKENS) -> list[tuple[int, list[tuple[int, int]]]]:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, table, text_or_empty
+from quillspark.llm.common import bounded_batches, release, table, text_or_empty
 
 #: The bound of the two fitting samples, in rows; every text is scored whole.
 POSITIVES = 4_000
@@ -140,6 +140,7 @@ def _scores(docs: DataFrame, model: QualityModel | None):
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        release()
         if shared.value is None:
             return pd.Series(np.ones(len(text)))
         texts = text.tolist()
