@@ -111,3 +111,123 @@ def bounded(text: Column, most_bytes: int) -> Column:
 def location_text(path: Column, number: Column, generation: Column, offset: Column) -> Column:
     """Path, else object key, else offset, else ``unknown``."""
     return F.coalesce(path, F.when(number.isNotNull(), F.concat_ws(" ", F.lit("object"), number.cast("string"), F.coalesce(generation, F.lit(0)).cast("string"))), F.when(offset.isNotNull(), F.concat(F.lit("offset "), offset.cast("string"))), F.lit("unknown"))
+
+
+def utf8_valid(content: Column) -> Column:
+    """Whether bytes are UTF-8; what isn't text (null) is."""
+    return F.coalesce(F.is_valid_utf8(content.cast("string")), F.lit(True))
+
+
+def utf16_text(content: Column) -> Column:
+    """Text of bytes that begin with a UTF-16 byte order mark; null for an odd number of bytes or a bad surrogate.
+
+    Pairs of surrogates are checked on the hexadecimal digits of the units.
+    """
+    digits = F.hex(content)
+    little = F.substring(digits, 1, 4) == "FFFE"
+    marked = little | (F.substring(digits, 1, 4) == "FEFF")
+    rest = F.substring(digits, 5, 2**31 - 1)
+    units = F.when(little, F.regexp_replace(rest, "(..)(..)", "$2$1")).otherwise(rest)
+    paired = F.regexp_replace(F.regexp_replace(units, "(....)", "$1 "), "D[89AB].. D[C-F].. ", "")
+    good = (F.octet_length(content) % 2 == 0) & ~F.rlike(paired, F.lit("(^| )D[89A-F].. "))
+    return F.when(marked & good, F.decode(F.unhex(units), "UTF-16BE"))
+
+
+def glyph_evidence(embedded: Column, standard: Column, widths: Column, cid_set: Column) -> Column:
+    """A font's glyphs are known if it is embedded, a standard one, has widths or a set of its characters."""
+    return F.coalesce(embedded, F.lit(False)) | F.coalesce(standard, F.lit(False)) | F.coalesce(widths > 0, F.lit(False)) | F.coalesce(cid_set, F.lit(False))
+
+
+def color_space_family(named: Column, keys: Column) -> Column:
+    """The family that a colour space's dictionary names, else what its keys tell."""
+    has = lambda name: F.coalesce(F.array_contains(keys, name), F.lit(False))
+    told = (
+        F.when(has("N"), "ICCBased").when(has("HiVal") | has("Lookup"), "Indexed").when(has("TintTransform") & has("Colorants"), "DeviceN").when(has("TintTransform"), "Separation").otherwise("unknown")
+    )
+    return F.coalesce(named, told)
+
+
+def normalized_color_space(value: Column, keys: Column) -> Column:
+    """Struct ``family``, ``base``, ``n``, ``target`` of a colour space's text: a name, an array or a dictionary; null for others.
+
+    An array begins with the family's name; its second member is the base or the stream that it refers to.
+    """
+    name = F.regexp_extract(value, r"^\s*/([^\s/<>\[\]()]+)\s*$", 1)
+    head = F.regexp_extract(value, r"^\s*\[\s*/([^\s/<>\[\]()]+)", 1)
+    second = F.regexp_extract(value, r"^\s*\[\s*/[^\s/<>\[\]()]+\s*/([^\s/<>\[\]()]+)", 1)
+    target = F.regexp_extract(value, r"^\s*\[\s*/[^\s/<>\[\]()]+[^\d\]]*(\d+)\s+\d+\s+R", 1).try_cast("bigint")
+    family = F.when(name != "", name).when(head != "", head).when(value.rlike(r"^\s*<<"), color_space_family(F.nullif(F.regexp_extract(value, r"/Family\s*/([^\s/<>\[\]()]+)", 1), F.lit("")), keys))
+    n = component_count(F.regexp_extract(value, r"/N\s+(\d+)", 1).try_cast("int"), family)
+    return F.when(family.isNotNull(), F.struct(family.alias("family"), F.nullif(second, F.lit("")).alias("base"), n.alias("n"), target.alias("target")))
+
+
+def media_alt_valid(alt: Column) -> Column:
+    """An even number of strings (an array, null for what is no string), every second one not empty; null is not valid."""
+    odd = F.filter(alt, lambda x, i: (i % 2 == 1) & (F.length(x) == 0))
+    return F.coalesce((F.size(alt) % 2 == 0) & (F.size(F.filter(alt, lambda x: x.isNull())) == 0) & (F.size(odd) == 0), F.lit(False))
+
+
+def packet_attribute(packet: Column, name: str, most: int = 128) -> Column:
+    """A quoted attribute of the processing instruction that opens a metadata packet; null where absent or larger than *most* bytes."""
+    head = F.regexp_extract(packet, r"<\?xpacket\s+([^?]*)\?>", 1)
+    found = F.regexp_extract(head, rf"(?:^|\s){name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 0)
+    value = F.regexp_extract(found, r"=\s*[\"'](.*)[\"']$", 1)
+    return F.when(found != "", bounded(value, most))
+
+
+# Limits of repair output.
+MAX_PREFIX_BYTES, MAX_FILE_NAME_BYTES = 64, 255
+
+
+def repair_output_name(path: Column, prefix: Column) -> Column:
+    """The file name of a repaired copy; null where the prefix, the name or their sum is too long, or either is a path of its own."""
+    name = F.substring_index(path, "/", -1)
+    good = (F.octet_length(prefix) <= MAX_PREFIX_BYTES) & ~F.contains(prefix, F.lit("/")) & (name != "") & (F.octet_length(F.concat(prefix, name)) <= MAX_FILE_NAME_BYTES)
+    return F.when(good, F.concat(prefix, name))
+
+
+# The phase of work that a cluster of unsupported rules belongs to, by what is missing.
+PHASE_BY_TYPE = {
+    "G3": ("font", "fontDescriptor", "fontProgram", "cMap", "embeddedFontFile"),
+    "G4": ("resource", "colorSpace", "iccProfile", "extGState", "pattern", "shading", "function", "xObject", "formXObject", "postScriptXObject", "image", "outputIntent"),
+    "G5": ("metadata",),
+    "G6": ("accessibilityDocument", "structureTreeRoot", "structureElement", "textChunk", "imageChunk", "accessibilityAnnotation", "artifact", "table", "list", "heading", "link"),
+}
+METADATA_PROPERTIES = ("XMPTitle", "XMPProducer", "XMPKeywords", "XMPDescription", "XMPCreatorTool", "XMPCreator", "XMPCreatorSize", "doModDatesMatch", "doCreationDatesMatch", "part")
+SECTION_BY_PHASE = {"G3": "Resource semantics", "G4": "Resource semantics", "G5": "XMP RDF metadata", "G6": "Accessibility semantics"}
+
+
+def cluster_phase(reason: Column, object_type: Column, property_: Column, semantic_family: Column) -> Column:
+    by_type = F.lit("G2")
+    for phase, names in PHASE_BY_TYPE.items():
+        by_type = F.when(object_type.isin(*names), phase).otherwise(by_type)
+    missing = reason == "missingSemanticFamily"
+    return (
+        F.when(reason == "unsupportedExpression", "G1")
+        .when(missing & (semantic_family == "contentStream"), "G4")
+        .when(missing & (semantic_family == "accessibility"), "G6")
+        .when((reason == "missingProperty") & (object_type == "document") & property_.isin(*METADATA_PROPERTIES), "G5")
+        .otherwise(by_type)
+    )
+
+
+def cluster_section(reason: Column, phase: Column) -> Column:
+    """Which part of the design a cluster belongs to."""
+    by_phase = F.lit("Derived model properties")
+    for name, section in SECTION_BY_PHASE.items():
+        by_phase = F.when(phase == name, section).otherwise(by_phase)
+    return F.when(reason == "unsupportedExpression", "Expression parity").otherwise(by_phase)
+
+
+def cluster_release_blocking(family: Column) -> Column:
+    return F.coalesce(family.isin("pdfa", "pdfua"), F.lit(False))
+
+
+def within_caps(limits: dict[str, int], caps: dict[str, int]) -> dict[str, int]:
+    """The configured limits over the built-in caps; one that is no positive number, unknown or above its cap is an error."""
+    for name, value in limits.items():
+        if name not in caps:
+            raise ValueError(f"unknown limit {name}")
+        if not 0 < value <= caps[name]:
+            raise ValueError(f"{name} must be between 1 and {caps[name]}")
+    return {**caps, **limits}

@@ -9,6 +9,7 @@ import base64
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,33 +83,125 @@ def _lzw(data: bytes | None) -> bytes | None:
 
 
 def unpredicted(data: bytes | None, predictor: int, colors: int, bits: int, columns: int) -> bytes | None:
-    """Undo a PNG (10 and above) or TIFF (2, 8 bits) predictor row by row; null where rows don't fit."""
+    """Undo a PNG (10 and above) or TIFF (2) predictor; null where rows don't fit.
+
+    Rows without a filter, of differences to the left or above are summed by numpy; the two PNG filters
+    that mix both go byte by byte.
+    """
     if data is None or predictor == 1:
         return data
     step, width = max(1, colors * bits // 8), (colors * bits * columns + 7) // 8
-    rows, out, above = len(data) // (width + (predictor >= 10)), bytearray(), bytearray(width)
+    if predictor == 2:
+        return _tiff(data, width, colors, bits, columns)
+    rows = len(data) // (width + 1)
+    found = np.frombuffer(data, np.uint8, rows * (width + 1)).reshape(rows, width + 1)
+    if rows and found[:, 0].max() > 4:
+        return None
+    out, above = np.empty((rows, width), np.uint8), np.zeros(width, np.uint8)
     for r in range(rows):
-        at = r * (width + (predictor >= 10))
-        kind = data[at] if predictor >= 10 else 1
-        row = bytearray(data[at + (predictor >= 10) : at + (predictor >= 10) + width])
-        if kind > 4 or predictor == 2 and bits != 8:
-            return None
-        for i in range(width if kind else 0):
-            left, up = row[i - step] if i >= step else 0, above[i]
-            if kind == 1:
-                guess = left
-            elif kind == 2:
-                guess = up
-            elif kind == 3:
-                guess = (left + up) // 2
-            else:
-                corner = above[i - step] if i >= step else 0
-                p = left + up - corner
-                guess = min((left, up, corner), key=lambda x: abs(p - x))
-            row[i] = (row[i] + guess) & 255
-        out += row
-        above = row
-    return bytes(out)
+        kind, row = found[r, 0], found[r, 1:]
+        if kind == 0:
+            above = row
+        elif kind == 1:
+            above = _summed(row, step)
+        elif kind == 2:
+            above = row + above
+        else:
+            above = np.frombuffer(_mixed_row(kind, row.tolist(), above.tolist(), step), np.uint8)
+        out[r] = above
+    return out.tobytes()
+
+
+def _summed(row: np.ndarray, step: int) -> np.ndarray:
+    whole = np.zeros(-(-len(row) // step) * step, np.uint8)
+    whole[: len(row)] = row
+    return np.cumsum(whole.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[: len(row)]
+
+
+def _mixed_row(kind: int, row: list[int], above: list[int], step: int) -> bytes:
+    for i, up in enumerate(above):
+        left = row[i - step] if i >= step else 0
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            corner = above[i - step] if i >= step else 0
+            p = left + up - corner
+            guess = min((left, up, corner), key=lambda x: abs(p - x))
+        row[i] = (row[i] + guess) & 255
+    return bytes(row)
+
+
+def _tiff(data: bytes, width: int, colors: int, bits: int, columns: int) -> bytes | None:
+    """Differences to the sample of the same color on the left; samples of 1, 2, 4, 8 or 16 bits."""
+    rows = len(data) // width if width else 0
+    found = np.frombuffer(data, np.uint8, rows * width).reshape(rows, width)
+    if bits in (8, 16):
+        samples = found if bits == 8 else found.view(">u2").astype(np.uint16)
+        summed = np.cumsum(samples.reshape(rows, columns, colors), axis=1, dtype=samples.dtype)
+        return (summed if bits == 8 else summed.astype(">u2")).tobytes()
+    if bits not in (1, 2, 4):
+        return None
+    split = np.unpackbits(found, axis=1)[:, : columns * colors * bits].reshape(rows, columns, colors, bits)
+    weight = 1 << np.arange(bits - 1, -1, -1)
+    summed = np.cumsum(split @ weight, axis=1) & ((1 << bits) - 1)
+    joined = (summed[..., None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(rows, -1)
+    return np.packbits(joined, axis=1).tobytes()
+
+
+def _ascii_hex(data: bytes | None) -> bytes | None:
+    text = re.sub(rb"[\s\x00]", b"", (data or b"").split(b">")[0])
+    try:
+        return bytes.fromhex((text + b"0" * (len(text) % 2)).decode("latin-1"))
+    except ValueError:
+        return None
+
+
+#: Filters by name and short name; those of images pass their bytes on.
+_DECODERS = {"FlateDecode": _inflate, "Fl": _inflate, "ASCIIHexDecode": _ascii_hex, "AHx": _ascii_hex, "ASCII85Decode": _ascii85, "A85": _ascii85, "RunLengthDecode": _run_length, "RL": _run_length, "LZWDecode": _lzw, "LZW": _lzw}
+_PASSED_ON = {"DCTDecode", "DCT", "JPXDecode", "JBIG2Decode", "CCITTFaxDecode", "CCF", "Crypt"}
+_PREDICTED = {"FlateDecode", "Fl", "LZWDecode", "LZW"}
+MAX_FILTERS = 64
+
+
+def _parameters(dictionary: str, n: int) -> list[dict[str, int]]:
+    """The numbers in the parameters of each of *n* filters."""
+    found = re.search(r"/(?:DecodeParms|DP)\s*(\[[^\]]*\]|<<.*?>>)", dictionary, re.S)
+    if not found:
+        return [{}] * n
+    each = re.findall(r"<<.*?>>|\bnull\b", found[1], re.S)
+    made = [{k: int(v) for k, v in re.findall(r"/(\w+)\s+(\d+)", x)} for x in each]
+    return (made + [{}] * n)[:n]
+
+
+def decoded(data: bytes | None, names: list[str], dictionary: str) -> tuple[bytes | None, list[tuple[str, int, int, bool]]]:
+    """Bytes after each filter in turn (None where one fails or is unknown), and what each made of how many."""
+    facts: list[tuple[str, int, int, bool]] = []
+    if data is None or len(names) > MAX_FILTERS:
+        return None, facts
+    for name, given in zip(names, _parameters(dictionary, len(names))):
+        passed = name in _PASSED_ON
+        if not passed and name not in _DECODERS:
+            return None, facts
+        out = data if passed else _DECODERS[name](data)
+        if name in _PREDICTED and out is not None:
+            out = unpredicted(out, given.get("Predictor", 1), given.get("Colors", 1), given.get("BitsPerComponent", 8), given.get("Columns", 1))
+        if out is None or len(out) > MAX_DECODED:
+            return None, facts
+        facts.append((name, len(data), len(out), passed))
+        data = out
+    return data, facts
+
+
+def decode_chain(encoded: Column, names: Column, dictionary: Column) -> Column:
+    """Struct of ``bytes`` and ``facts`` (filter, input_bytes, output_bytes, passed_on) of a stream's filter chain."""
+
+    @F.pandas_udf("bytes binary, facts array<struct<filter:string,input_bytes:bigint,output_bytes:bigint,passed_on:boolean>>")
+    def run(data: pd.Series, chain: pd.Series, text: pd.Series) -> pd.DataFrame:
+        keys = ("filter", "input_bytes", "output_bytes", "passed_on")
+        made = [decoded(x, list(n) if n is not None else [], t) for x, n, t in zip(data, chain, text)]
+        return pd.DataFrame({"bytes": [x for x, _ in made], "facts": [[dict(zip(keys, f)) for f in facts] for _, facts in made]})
+
+    return run(encoded, names, dictionary)
 
 
 def _column(decode):

@@ -62,3 +62,48 @@ def repair_decision(parse_status: Column, status: Column, flavours: Column) -> C
 def comparison_reason(note: Column, classification: Column, ours: Column, theirs: Column) -> Column:
     """The note, else nothing for a match, else both outcomes."""
     return F.coalesce(note, F.when(classification != "match", F.concat(F.lit("ours "), F.coalesce(ours, F.lit("none")), F.lit(", theirs "), F.coalesce(theirs, F.lit("none")))))
+
+
+# Value types that extension schemas needn't declare.
+VALUE_TYPES = ("Text", "URI", "URL", "XPath", "Boolean", "Integer", "Real", "Date", "AgentName", "ProperName", "MIMEType", "Lang Alt", "Seq", "Bag")
+
+
+def extension_checks(documents: DataFrame, properties: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_valid``, ``seq_valid``, ``bag_valid``, ``types_defined`` of extension schemas.
+
+    *properties* has ``doc_id``, ``role`` (text, sequence, bag, valueType or type), ``value`` and
+    ``array_kind``.  Without properties of a role its check holds: texts mustn't be blank, one of the
+    sequences (bags) must be one, and every value type is built in or declared by the document.
+    """
+    role = lambda x: F.col("role") == x
+    checked = properties.groupBy("doc_id").agg(
+        F.bool_and(F.when(role("text"), F.coalesce(F.trim("value") != "", F.lit(False)))).alias("text_valid"),
+        F.bool_or(F.when(role("sequence"), F.col("array_kind").eqNullSafe("Seq"))).alias("seq_valid"),
+        F.bool_or(F.when(role("bag"), F.col("array_kind").eqNullSafe("Bag"))).alias("bag_valid"),
+    )
+    used = properties.filter(role("valueType") & F.col("value").isNotNull() & ~F.col("value").isin(*VALUE_TYPES)).select("doc_id", "value")
+    lost = used.join(properties.filter(role("type")).select("doc_id", "value"), ["doc_id", "value"], "left_anti").select("doc_id").distinct().withColumn("lost", F.lit(True))
+    true = F.lit(True)
+    rows = documents.select("doc_id").join(checked, "doc_id", "left").join(lost, "doc_id", "left")
+    return rows.select("doc_id", *[F.coalesce(x, true).alias(x) for x in ("text_valid", "seq_valid", "bag_valid")], F.col("lost").isNull().alias("types_defined"))
+
+
+def packet_warnings(packets: DataFrame, claims: DataFrame) -> DataFrame:
+    """``doc_id``, ``warning``: a missing wrapper, a malformed or hostile packet, a claim made twice (``namespace``, ``name``).
+
+    *packets* has ``doc_id``, ``has_wrapper``, ``malformed`` and ``hostile``.
+    """
+    made = F.array(F.when(~F.col("has_wrapper"), "missingWrapper"), F.when(F.col("malformed"), "malformed"), F.when(F.col("hostile"), "hostile"))
+    own = packets.select("doc_id", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("warning"))
+    twice = claims.groupBy("doc_id", "namespace", "name").count().filter("count > 1").select("doc_id", F.concat(F.lit("duplicate claim "), "name").alias("warning")).distinct()
+    return own.unionByName(twice)
+
+
+def capped_facts(facts: DataFrame, most: int) -> DataFrame:
+    """The first *most* facts of each document in order of ``seq``, and one ``factCapReached`` row where there were more."""
+    from quillspark.operators.joins import top_per_key
+
+    kept = top_per_key(facts, ["doc_id"], ["seq"], most)
+    over = facts.groupBy("doc_id").count().filter(F.col("count") > most).select("doc_id")
+    reached = over.select("doc_id", *[(F.lit("factCapReached") if name == "kind" else F.lit(None)).cast(kind).alias(name) for name, kind in facts.dtypes if name != "doc_id"])
+    return kept.select(*facts.columns).unionByName(reached)

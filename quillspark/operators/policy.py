@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -70,6 +71,33 @@ def evaluate_policies(features: DataFrame, documents: DataFrame, rules: Sequence
     return grouped.select("doc_id", F.explode(F.array(*[f"r{i}" for i in range(len(rules))])).alias("r")).select("doc_id", "r.*")
 
 
+def selected_families(selection: Sequence[str] | str | None, rules: Sequence[PolicyRule] | None) -> Sequence[str] | str | None:
+    """Feature families to extract: ``all``, a list, or None; a policy adds its own families to a list and asks for all otherwise."""
+    if rules is None:
+        return selection
+    return "all" if selection in (None, "all") else sorted({*selection, *(r.family for r in rules)})
+
+
+#: The bound of a policy file, which is read whole.
+MAX_POLICY_BYTES = 1024 * 1024
+
+
+def read_policy(spark, path: str, schema: Mapping[str, Sequence[str]]) -> list[PolicyRule]:
+    """Rules of a policy file (JSON: ``rules``, a list of ``id``, ``family``, ``field``, ``operator``, ``value``), checked."""
+    row = spark.read.format("binaryFile").load(path).select("length", F.when(F.col("length") <= MAX_POLICY_BYTES, F.col("content")).alias("content")).first()
+    if row is None or row["content"] is None:
+        raise ValueError("no policy file, or one that is too large")
+    found = json.loads(bytes(row["content"]).decode("utf-8"))
+    if set(found) - {"schemaVersion", "name", "rules"} or not isinstance(found.get("rules"), list):
+        raise ValueError("a policy has rules and no other fields than schemaVersion and name")
+    names = {"id", "family", "field", "operator", "value"}
+    if any(not isinstance(r, dict) or set(r) - names or not {"id", "family", "field", "operator"} <= set(r) for r in found["rules"]):
+        raise ValueError("a policy rule has id, family, field, operator and value")
+    rules = [PolicyRule(r["id"], r["family"], r["field"], r["operator"], r.get("value")) for r in found["rules"]]
+    check_policies(rules, schema)
+    return rules
+
+
 def policy_report(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("doc_id").agg(F.bool_and("passed").alias("policy_passed"), F.count_if(~F.col("passed")).alias("failed_rules"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.checked import Checked, error, outcome
+from quillspark.functions.checked import Checked, error, outcome, over_budget, unsupported
 
 
 @dataclass(frozen=True)
@@ -19,9 +19,18 @@ class Rule:
     test: Checked
     message: str = ""
     deferred: bool = False
-    #: A rule that can't be bound to a family or property; it counts once, whatever objects there are.
+    #: A rule that can't be bound to a family or property; it counts once in every document's account.
     unsupported: str | None = field(default=None)
 
+    @property
+    def bound_test(self) -> Checked:
+        """The test, or what stands for one that no object could finish within the budgets."""
+        budget = over_budget(self.test)
+        return unsupported(budget) if budget else self.test
+
+
+CHECKS = "array<struct<profile_id:string,rule_pos:int,rule_id:string,deferred:boolean,outcome:string,error:string>>"
+
 
 def apply_rules(objects: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
     """One row per object and rule of its family or super types, in one pass over *objects*.
@@ -30,16 +39,19 @@ def apply_rules(objects: DataFrame, rules: Sequence[Rule], keep: Sequence[str] =
     properties.  The rules are column expressions, so nothing is joined or shuffled here.
     """
     types = F.array_distinct(F.concat(F.array("family"), F.coalesce("supertypes", F.array().cast("array<string>"))))
-    made = [
-        F.when(
-            F.array_contains(F.col("_types"), r.object_type),
-            F.struct(F.lit(r.profile_id).alias("profile_id"), F.lit(i).alias("rule_pos"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.deferred).alias("deferred"), outcome(r.test).alias("outcome"), error(r.test).alias("error")),
-        )
-        for i, r in enumerate(rules)
-        if r.unsupported is None
-    ]
-    rows = objects.withColumn("_types", types).select("doc_id", "family", "identity_key", "visit_seq", *keep, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("check"))
-    return rows.select("doc_id", "family", "identity_key", "visit_seq", *keep, "check.*")
+    by_type: dict[str, list] = {}
+    for i, r in enumerate(rules):
+        if r.unsupported is None:
+            test = r.bound_test
+            made = F.struct(F.lit(r.profile_id).alias("profile_id"), F.lit(i).alias("rule_pos"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.deferred).alias("deferred"), outcome(test).alias("outcome"), error(test).alias("error"))
+            by_type.setdefault(r.object_type, []).append(made)
+    # a row meets the rules of its own types only: the branches of other types aren't evaluated
+    checks = F.lit(None).cast(CHECKS)
+    for name, made in by_type.items():
+        checks = F.when(F.col("_type") == name, F.array(*made).cast(CHECKS)).otherwise(checks)
+    own = ["doc_id", "family", "identity_key", "visit_seq", *keep]
+    rows = objects.withColumn("_type", F.explode(F.filter(types, lambda x: x.isin(*by_type)))) if by_type else objects.withColumn("_type", F.lit(None).cast("string")).limit(0)
+    return rows.select(*own, F.explode(checks).alias("check")).select(*own, "check.*")
 
 
 def static_unsupported(spark, rules: Sequence[Rule]) -> DataFrame:
@@ -58,12 +70,25 @@ def retained_failures(outcomes: DataFrame, most: int | None) -> DataFrame:
     return failed.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id", "profile_id").orderBy(*order)))
 
 
-def account(outcomes: DataFrame) -> DataFrame:
-    """Counts per document and profile; failures and rules count checks, and an error counts as a check."""
+def account(outcomes: DataFrame, documents: DataFrame | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
+    """Counts per document and profile; failures and rules count checks, and an error counts as a check.
+
+    With *documents* (``doc_id``) each of them has an account under every profile of *rules*, also where no
+    rule met one of its objects, and each rule that couldn't be bound counts as unsupported in all of them.
+    """
     is_ = lambda x: F.col("outcome") == x
     counted = outcomes.groupBy("doc_id", "profile_id").agg(
         F.count("*").alias("checks_executed"), F.count_if(is_("failed")).alias("failed_rules"), F.count_if(is_("unsupported")).alias("unsupported_rules"), F.count_if(is_("passed") | is_("unsupported")).alias("passed_checks")
     )
+    if documents is not None:
+        unbound = {r.profile_id: 0 for r in rules}
+        for r in rules:
+            unbound[r.profile_id] += r.unsupported is not None
+        every = F.array(*[F.struct(F.lit(k).alias("profile_id"), F.lit(n).cast("bigint").alias("unbound")) for k, n in unbound.items()])
+        base = documents.select("doc_id").distinct().withColumn("p", F.explode(every)).select("doc_id", "p.*")
+        counts = ["checks_executed", "failed_rules", "unsupported_rules", "passed_checks"]
+        counted = base.join(counted, ["doc_id", "profile_id"], "left").select("doc_id", "profile_id", "unbound", *[F.coalesce(x, F.lit(0)).alias(x) for x in counts])
+        counted = counted.withColumn("unsupported_rules", F.col("unsupported_rules") + F.col("unbound")).drop("unbound")
     return counted.withColumn("rules_executed", F.col("checks_executed")).withColumn("compliant", (F.col("failed_rules") == 0) & (F.col("unsupported_rules") == 0))
 
 

@@ -1,22 +1,30 @@
-"""Documents as tables: discovery, size guard, and object rows by expressions over the bytes.
-
-A file is one row of Spark's ``binaryFile`` source.  Its bytes are read as Latin-1 text, in which a
-character is a byte, and the object syntax is taken apart by regular expressions inside the JVM.  The
-rows describe top-level objects, streams, trailers and facts; nested values stay text and are asked by
-key.  Encrypted documents are recognised, not decrypted.
+"""Documents as tables: discovery, size guard, and object rows from the bytes.
+
+A file is one row of Spark's ``binaryFile`` source.  Facts about the whole file are expressions over its
+bytes, read as Latin-1 text in which a character is a byte.  Objects are found by a scan over a file's
+bytes in the task that holds it: a stream's data ends where its /Length says if ``endstream`` stands there,
+and at the next ``endstream`` otherwise, so keywords inside data or strings end nothing.  The rows
+describe objects, streams, trailers and facts; nested values stay text and are asked by key.  Objects in
+object streams come as rows of their own.  Encrypted documents are recognised, not decrypted.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.filters import decode_chain
+
 MAX_FILE_BYTES = 256 * 1024 * 1024
 MAX_FILES = 100_000
 
 
 def discover(spark: SparkSession, paths: list[str], any_extension: bool = False, most: int = MAX_FILES) -> DataFrame:
-    """``path``, ``length``, ``modificationTime`` of the files below *paths*; contents aren't read.
+    """``path``, ``length``, ``modificationTime`` of the files below *paths* in order of their path; contents aren't read.
 
     More than *most* files are an error, as is none.
     """
@@ -29,18 +37,17 @@ def discover(spark: SparkSession, paths: list[str], any_extension: bool = False,
         raise ValueError(f"more than {most} files")
     if n == 0:
         raise ValueError("no files found")
-    return found
+    return found.orderBy("path")
 
 
 def scan(spark: SparkSession, paths: list[str], any_extension: bool = False, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``doc_id`` (the path), ``bytes``, ``content``, ``too_large``; the size guard is pushed to the listing."""
+    """``doc_id`` (the path), ``bytes``, ``content`` (null above *max_bytes*), ``too_large``, in one pass over the files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if not any_extension:
         reader = reader.option("pathGlobFilter", "*.[pP][dD][fF]")
-    files = reader.load(paths)
-    inside = files.filter(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), F.col("length").alias("bytes"), "content", F.lit(False).alias("too_large"))
-    outside = files.filter(F.col("length") > max_bytes).select(F.col("path").alias("doc_id"), F.col("length").alias("bytes"), F.lit(None).cast("binary").alias("content"), F.lit(True).alias("too_large"))
-    return inside.unionByName(outside)
+    # a file above the limit keeps its row, and its bytes stay out of it
+    large = F.col("length") > max_bytes
+    return reader.load(paths).select(F.col("path").alias("doc_id"), F.col("length").alias("bytes"), F.when(~large, F.col("content")).alias("content"), large.alias("too_large"))
 
 
 def from_memory(spark: SparkSession, contents: dict[str, bytes]) -> DataFrame:
@@ -76,7 +83,7 @@ def headers(files: DataFrame) -> DataFrame:
 
 
 _KIND = (
-    ("stream", r"(?s)^\s*<<.*>>\s*stream\r?\n"), ("dictionary", r"^\s*<<"), ("array", r"^\s*\["), ("hexString", r"^\s*<"), ("string", r"^\s*\("), ("name", r"^\s*/"), ("boolean", r"^\s*(true|false)\b"), ("null", r"^\s*null\b"),
+    ("dictionary", r"^\s*<<"), ("array", r"^\s*\["), ("hexString", r"^\s*<"), ("string", r"^\s*\("), ("name", r"^\s*/"), ("boolean", r"^\s*(true|false)\b"), ("null", r"^\s*null\b"),
     ("reference", r"^\s*\d+\s+\d+\s+R\b"), ("real", r"^\s*[+-]?\d*\.\d*\s*$"), ("integer", r"^\s*[+-]?\d+\s*$"),
 )
 
@@ -89,19 +96,161 @@ def object_kind(body: Column) -> Column:
     return out.otherwise("unknown")
 
 
+_OBJECT = re.compile(rb"(?<![0-9.])(\d{1,10})[\s\x00]+(\d{1,10})[\s\x00]+obj(?![A-Za-z])")
+#: What a body is skipped by: strings (two levels of brackets), comments; and what ends it.
+_PART = re.compile(rb"\((?:[^()\\]++|\\.|\((?:[^()\\]++|\\.|\((?:[^()\\]++|\\.)*+\))*+\))*+\)|%[^\r\n]*+|(?P<end>\bendobj\b)|(?P<stream>(?<=>)[\s\x00]*stream(?![A-Za-z])(?P<eol>\r\n|\n|\r)?)", re.S)
+_LENGTH = re.compile(rb"/Length[\s\x00]+(\d+)(?![\s\x00]+\d+[\s\x00]+R)")
+_ENDSTREAM = re.compile(rb"(?:\r\n|\n|\r)?endstream")
+
+
+def _objects_in(content: bytes) -> Iterator[tuple]:
+    """Offset, number, generation, body, and of a stream the data, declared length and keyword spacing."""
+    at = 0
+    while m := _OBJECT.search(content, at):
+        at, part = m.end(), None
+        for part in _PART.finditer(content, m.end()):
+            if part["end"] or part["stream"]:
+                break
+        if part is None or not (part["end"] or part["stream"]):
+            return  # the file ends inside an object
+        key = (m.start(), int(m[1]), int(m[2]))
+        body = content[m.end() : part.start()]
+        at = part.end()
+        if part["end"]:
+            yield (*key, body.decode("latin-1"), None, None, None, None)
+            continue
+        found = _LENGTH.search(body)
+        declared = int(found[1]) if found else None
+        close = _ENDSTREAM.match(content, at + declared) if declared is not None and at + declared <= len(content) else None
+        if close:
+            data, keyword = content[at : at + declared], close.end() - 9
+        else:
+            keyword = content.find(b"endstream", at)
+            if keyword < 0:
+                return
+            data = content[at:keyword]
+            data = data[:-2] if data.endswith(b"\r\n") else data[:-1] if data[-1:] in (b"\n", b"\r") else data
+        yield (*key, body.decode("latin-1"), data, declared, part["eol"] == b"\r\n", content[keyword - 1 : keyword] in (b"\n", b"\r"))
+        at = keyword + 9
+
+
+_ROW = "doc_id string, offset long, number long, generation long, body string, data binary, declared_length long, stream_keyword_crlf boolean, endstream_keyword_eol boolean"
+
+
 def objects(files: DataFrame) -> DataFrame:
-    """``doc_id``, ``ord``, ``number``, ``generation``, ``kind``, ``body``, ``type``, ``subtype`` of top-level objects.
+    """Top-level objects: ``doc_id``, ``ord`` (the byte where it begins), ``number``, ``generation``, ``kind``, ``body``, ``type``, ``subtype``.
+
+    A stream's body is its dictionary, and ``data``, ``declared_length``, ``stream_keyword_crlf`` and
+    ``endstream_keyword_eol`` tell of its bytes.  Of objects with one key the last in the file stands.  A file
+    that ends inside an object has the objects before it.
+    """
+    names = [x.split()[0] for x in _ROW.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                found = pd.DataFrame([(doc_id, *x) for x in _objects_in(content)], columns=names)
+                yield found.astype({"declared_length": "Int64", "stream_keyword_crlf": "boolean", "endstream_keyword_eol": "boolean"})
+
+    rows = files.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, _ROW)
+    last = rows.groupBy("doc_id", "number", "generation").agg(F.max_by(F.struct("offset", "body", "data", "declared_length", "stream_keyword_crlf", "endstream_keyword_eol"), "offset").alias("o"))
+    return _described(last.filter("number >= 1").select("doc_id", F.col("o.offset").alias("ord"), "number", "generation", "o.body", "o.data", "o.declared_length", "o.stream_keyword_crlf", "o.endstream_keyword_eol"))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    kind = F.when(F.col("data").isNotNull(), "stream").otherwise(object_kind(F.col("body")))
+    return rows.select("doc_id", "ord", "number", "generation", kind.alias("kind"), "body", entry(F.col("body"), "Type").alias("type"), entry(F.col("body"), "Subtype").alias("subtype"), "data", "declared_length", "stream_keyword_crlf", "endstream_keyword_eol")
+
+
+_PAIR = re.compile(rb"[\s\x00]*(\d+)[\s\x00]+(\d+)")
+
+
+def _packed_objects(decoded: bytes | None, count: int | None, first: int | None) -> list[tuple[int, str]] | None:
+    """Number and body of each object in an object stream's decoded bytes; None where its header is wrong."""
+    if decoded is None or count is None or first is None or first > len(decoded) or count > first // 4:
+        return [] if count == 0 else None
+    heads, at = [], 0
+    for _ in range(count):
+        m = _PAIR.match(decoded, at)
+        if not m or not int(m[1]) or first + int(m[2]) >= len(decoded):
+            return None
+        heads.append((int(m[1]), first + int(m[2])))
+        at = m.end()
+    ends = sorted({x for _, x in heads}) + [len(decoded)]
+    after = dict(zip(ends, ends[1:]))
+    return [(number, decoded[begin : after[begin]].decode("latin-1")) for number, begin in heads]
+
+
+def expanded_objects(rows: DataFrame) -> DataFrame:
+    """The objects inside object streams of :func:`objects` rows, in the same columns, with ``container``, the stream's number.
+
+    A stream that can't be decoded or has a wrong header gives one row with a null ``number``.
+    """
+    inside = rows.filter("kind = 'stream' AND type = 'ObjStm'")
+    number = lambda key: entry(F.col("body"), key).try_cast("bigint")
+    decoded = inside.select("doc_id", "ord", F.col("number").alias("container"), number("N").alias("n"), number("First").alias("first"), decoded_stream().getField("bytes").alias("decoded"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, place, container, n, first, data in zip(*(batch[c].tolist() for c in ("doc_id", "ord", "container", "n", "first", "decoded"))):
+                found = _packed_objects(data, None if pd.isna(n) else int(n), None if pd.isna(first) else int(first))
+                if found is not None and container in {k for k, _ in found}:
+                    found = None  # it can't contain itself
+                out += [(doc_id, place, container, None, None)] if found is None else [(doc_id, place, container, k, body) for k, body in found]
+            yield pd.DataFrame(out, columns=["doc_id", "ord", "container", "number", "body"]).astype({"number": "Int64"})
+
+    found = decoded.mapInPandas(run, "doc_id string, ord long, container long, number long, body string")
+    none = lambda kind: F.lit(None).cast(kind)
+    found = found.select("*", F.lit(0).cast("long").alias("generation"), none("binary").alias("data"), none("long").alias("declared_length"), none("boolean").alias("stream_keyword_crlf"), none("boolean").alias("endstream_keyword_eol"))
+    described = _described(found.withColumn("body", F.coalesce("body", F.lit("")))).columns
+    kind = F.when(F.col("number").isNotNull(), object_kind(F.col("body")))
+    return found.withColumn("kind", kind).withColumn("type", entry(F.col("body"), "Type")).withColumn("subtype", entry(F.col("body"), "Subtype")).select(*described, "container")
 
-    Of objects with one key the last in the file stands.
+
+def all_objects(files: DataFrame) -> DataFrame:
+    """Top-level objects and those inside object streams, as :func:`objects` rows; of one key the last in the file stands."""
+    top = objects(files)
+    both = top.unionByName(expanded_objects(top).filter("number IS NOT NULL").drop("container"))
+    last = both.groupBy("doc_id", "number", "generation").agg(F.max_by(F.struct(*[c for c in both.columns if c not in ("doc_id", "number", "generation")]), "ord").alias("o"))
+    return last.select("doc_id", "o.ord", "number", "generation", *[F.col(f"o.{c}") for c in both.columns if c not in ("doc_id", "ord", "number", "generation")])
+
+
+def decoded_stream() -> Column:
+    """Struct ``bytes``, ``facts`` of a stream row's data after its whole filter chain; null bytes where a filter fails."""
+    return decode_chain(F.col("data"), filter_names(F.col("body")), F.coalesce(F.col("body"), F.lit("")))
+
+
+def filter_names(body: Column) -> Column:
+    value = F.regexp_extract(body, r"/F(?:ilter)?\s*(\[[^\]]*\]|/[^\s/<>\[\]()]+)", 1)
+    return F.regexp_extract_all(value, F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1))
+
+
+def xref_streams(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``number``, ``decoded_bytes``, ``entries``, ``compressed_entries``, ``root``, ``size``, ``malformed`` of cross-reference streams.
+
+    Malformed is a stream without /Size or /W, of zero width, that can't be decoded or is shorter than its entries.
     """
-    found = F.regexp_extract_all(latin1(F.col("content")), F.lit(r"(?s)\d+\s+\d+\s+obj\b.*?\bendobj\b"), F.lit(0))
-    rows = files.filter(F.col("content").isNotNull()).select("doc_id", F.posexplode(found).alias("ord", "source"))
-    head = r"(?s)^(\d+)\s+(\d+)\s+obj\b(.*)\bendobj$"
-    rows = rows.select("doc_id", "ord", *[F.regexp_extract("source", head, i).try_cast("bigint").alias(n) for i, n in ((1, "number"), (2, "generation"))], F.regexp_extract("source", head, 3).alias("body"))
-    last = rows.groupBy("doc_id", "number", "generation").agg(F.max_by(F.struct("ord", "body"), "ord").alias("o"))
-    rows = last.filter("number >= 1").select("doc_id", "o.ord", "number", "generation", "o.body")
-    key = F.substring_index("body", "stream", 1)
-    return rows.select("doc_id", "ord", "number", "generation", object_kind(F.col("body")).alias("kind"), "body", entry(key, "Type").alias("type"), entry(key, "Subtype").alias("subtype"))
+    inside = rows.filter("kind = 'stream' AND type = 'XRef'")
+    body = F.col("body")
+    numbers = lambda key: F.transform(F.regexp_extract_all(F.regexp_extract(body, rf"/{key}\s*\[([^\]]*)\]", 1), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))
+    size = entry(body, "Size").try_cast("bigint")
+    flat = inside.select("doc_id", "number", size.alias("size"), numbers("W").alias("w"), numbers("Index").alias("index"), F.regexp_extract(body, r"/Root\s+(\d+)\s+\d+\s+R", 1).try_cast("bigint").alias("root"), decoded_stream().getField("bytes").alias("decoded"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, number, size, w, index, root, data in zip(*(batch[c].tolist() for c in ("doc_id", "number", "size", "w", "index", "root", "decoded"))):
+                w, index = list(map(int, w)), list(map(int, index))
+                entries = sum(index[1::2]) if index else 0 if pd.isna(size) else int(size)
+                width = sum(w)
+                good = len(w) == 3 and width > 0 and not pd.isna(size) and data is not None and len(data) >= entries * width
+                packed = sum(w[0] > 0 and int.from_bytes(data[k * width : k * width + w[0]]) == 2 for k in range(entries)) if good else None
+                out.append((doc_id, number, len(data) if good else None, entries if good else None, packed, None if pd.isna(root) else int(root), None if pd.isna(size) else int(size), not good))
+            frame = pd.DataFrame(out, columns=["doc_id", "number", "decoded_bytes", "entries", "compressed_entries", "root", "size", "malformed"])
+            yield frame.astype({c: "Int64" for c in ("decoded_bytes", "entries", "compressed_entries", "root", "size")})
+
+    return flat.mapInPandas(run, "doc_id string, number long, decoded_bytes long, entries long, compressed_entries long, root long, size long, malformed boolean")
 
 
 def entry(dictionary: Column, key: str) -> Column:
@@ -112,8 +261,7 @@ def entry(dictionary: Column, key: str) -> Column:
 
 def references(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``number``, ``key``, ``target``, ``target_generation``: references by dictionary key."""
-    inside = F.substring_index("body", "stream", 1)
-    found = F.regexp_extract_all(inside, F.lit(r"/([^\s/<>\[\]()]+)\s+(\d+)\s+(\d+)\s+R\b"), F.lit(0))
+    found = F.regexp_extract_all("body", F.lit(r"/([^\s/<>\[\]()]+)\s+(\d+)\s+(\d+)\s+R\b"), F.lit(0))
     flat = rows.select("doc_id", "number", F.posexplode(found).alias("ord", "source"))
     part = lambda i: F.regexp_extract("source", r"^/(\S+?)\s+(\d+)\s+(\d+)\s+R$", i)
     return flat.select("doc_id", "number", "ord", part(1).alias("key"), part(2).cast("bigint").alias("target"), part(3).cast("bigint").alias("target_generation"))
@@ -121,13 +269,8 @@ def references(rows: DataFrame) -> DataFrame:
 
 def streams(rows: DataFrame) -> DataFrame:
     """Stream objects with declared and discovered length, filters, keyword spacing and the raw bytes."""
-    body = F.col("body")
-    data = F.regexp_extract(body, r"(?s)stream\r?\n(.*?)\r?\n?endstream", 1)
-    declared = F.regexp_extract(F.substring_index(body, "stream", 1), r"/Length\s+(\d+)(?!\s+\d+\s+R)", 1).try_cast("bigint")
-    names = F.regexp_extract_all(F.regexp_extract(F.substring_index(body, "stream", 1), r"/Filter\s*(\[[^\]]*\]|/[^\s/<>\[\]()]+)", 1), F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1))
     return rows.filter("kind = 'stream'").select(
-        "doc_id", "number", "generation", declared.alias("declared_length"), F.length(data).cast("bigint").alias("discovered_length"), names.alias("filters"),
-        F.rlike(body, F.lit(r"\bstream\r\n")).alias("stream_keyword_crlf"), F.rlike(body, F.lit(r"[\r\n]endstream")).alias("endstream_keyword_eol"), F.encode(data, "ISO-8859-1").alias("data"),
+        "doc_id", "number", "generation", "declared_length", F.octet_length("data").cast("bigint").alias("discovered_length"), filter_names(F.col("body")).alias("filters"), "stream_keyword_crlf", "endstream_keyword_eol", "data",
     )
 
 
@@ -136,27 +279,55 @@ def trailers(files: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(latin1(F.col("content")), F.lit(r"(?s)trailer\s*<<.*?>>\s*(?=startxref|trailer|\d|$)"), F.lit(0))
     rows = files.filter(F.col("content").isNotNull()).select("doc_id", F.posexplode(found).alias("pos", "_t"))
     number = lambda pattern, i: F.regexp_extract("_t", pattern, i).try_cast("bigint")
-    return rows.select("doc_id", "pos", number(r"/Root\s+(\d+)\s+(\d+)\s+R", 1).alias("root"), number(r"/Root\s+(\d+)\s+(\d+)\s+R", 2).alias("root_generation"), number(r"/Size\s+(\d+)", 1).alias("size"), F.regexp_extract("_t", r"/ID\s*\[\s*<[^>]*>\s*<([^>]*)>", 1).alias("last_id"))
+    return rows.select("doc_id", "pos", number(r"/Root\s+(\d+)\s+(\d+)\s+R", 1).alias("root"), number(r"/Root\s+(\d+)\s+(\d+)\s+R", 2).alias("root_generation"), number(r"/Size\s+(\d+)", 1).alias("size"), number(r"/Info\s+(\d+)\s+\d+\s+R", 1).alias("info"), F.regexp_extract("_t", r"/ID\s*\[\s*<[^>]*>\s*<([^>]*)>", 1).alias("last_id"))
+
+
+_TABLE = re.compile(rb"(?<!start)\bxref\b(.*?)trailer", re.S)
+_GOOD_TABLE = re.compile(rb"\r?\n(?:\d+ \d+ *\r?\n(?:\d{10} \d{5} [nf](?: \r| \n|\r\n))*)*")
+_OFFSETS = (("PrevOffset", re.compile(rb"/Prev\s+(\d+)")), ("HybridOffset", re.compile(rb"/XRefStm\s+(\d+)")))
 
 
 def xref_facts(files: DataFrame) -> DataFrame:
     """``doc_id``, ``ord``, ``kind``, ``value``: classic tables with good or bad line ends, /Prev and /XRefStm."""
-    text = latin1(F.col("content"))
-    tables = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)\bxref\b(.*?)trailer"), F.lit(1)), lambda t: F.struct(F.when(F.rlike(t, F.lit(r"^\r?\n(\d+ \d+ *\r?\n(\d{10} \d{5} [nf]( \r| \n|\r\n))*)*$")), "EolMarkersComply").otherwise("MalformedClassic").alias("kind"), F.lit(None).cast("bigint").alias("value")))
-    offsets = lambda key, kind: F.transform(F.regexp_extract_all(text, F.lit(rf"/{key}\s+(\d+)"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("bigint").alias("value")))
-    rows = files.filter(F.col("content").isNotNull()).select("doc_id", F.posexplode(F.concat(tables, offsets("Prev", "PrevOffset"), offsets("XRefStm", "HybridOffset"))).alias("ord", "f"))
-    return rows.select("doc_id", "ord", "f.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                found = [("EolMarkersComply" if _GOOD_TABLE.fullmatch(m[1]) else "MalformedClassic", None) for m in _TABLE.finditer(content)]
+                found += [(kind, int(m[1])) for kind, pattern in _OFFSETS for m in pattern.finditer(content)]
+                yield pd.DataFrame([(doc_id, i, *x) for i, x in enumerate(found)], columns=["doc_id", "ord", "kind", "value"]).astype({"value": "Int64"})
+
+    return files.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, "doc_id string, ord int, kind string, value long")
 
 
 def parse_status(files: DataFrame) -> DataFrame:
-    """``parseFailed`` without a header, a catalog or within the size limit, ``encrypted``, else ``success``."""
-    roots = trailers(files).filter(F.col("root").isNotNull()).groupBy("doc_id").agg(F.max_by(F.struct("root", "root_generation"), "pos").alias("r"))
-    keys = objects(files).select("doc_id", F.struct(F.col("number").alias("root"), F.col("generation").alias("root_generation")).alias("k"), F.lit(True).alias("found"))
-    catalog = roots.join(keys, (roots["doc_id"] == keys["doc_id"]) & (roots["r"] == keys["k"])).select(roots["doc_id"], "found")
+    """``parseFailed`` without a header, a catalog or within the size limit, ``encrypted``, else ``success``.
+
+    The catalog is what the last trailer names, or a cross-reference stream where there is no trailer; it may stand in an object stream.
+    """
+    top = objects(files)
+    classic = trailers(files).filter(F.col("root").isNotNull()).groupBy("doc_id").agg(F.max_by("root", "pos").alias("classic"))
+    stream = xref_streams(top).filter(F.col("root").isNotNull()).groupBy("doc_id").agg(F.max_by("root", "number").alias("stream"))
+    roots = classic.join(stream, "doc_id", "full").select("doc_id", F.coalesce("classic", "stream").alias("number"))
+    keys = top.select("doc_id", "number").unionByName(expanded_objects(top).select("doc_id", "number")).distinct()
+    catalog = roots.join(keys, ["doc_id", "number"]).select("doc_id", F.lit(True).alias("found"))
     rows = headers(files).join(catalog, "doc_id", "left").join(files.select("doc_id", "too_large"), "doc_id")
     return rows.select("doc_id", F.when(F.col("too_large") | F.col("header_offset").isNull(), "parseFailed").when(F.col("encrypted"), "encrypted").when(F.col("found").isNull(), "parseFailed").otherwise("success").alias("status"))
 
 
+def parse_facts(files: DataFrame) -> DataFrame:
+    """``doc_id``, ``facts``: per document the facts that ``hasParseFact`` asks: header, encrypted, and each stream's lengths."""
+    fact = lambda kind, declared, discovered: F.struct(F.lit(kind).alias("kind"), declared.cast("bigint").alias("declared"), discovered.cast("bigint").alias("discovered"))
+    none = F.lit(None)
+    whole = headers(files).select("doc_id", F.explode(F.array(F.when(F.col("header_offset").isNotNull(), fact("header", none, none)), F.when(F.col("encrypted"), fact("encrypted", none, none)))).alias("f")).filter("f IS NOT NULL")
+    found = streams(objects(files))
+    # a stream without a declared length counts as declared what is there; only mismatches can make a difference, so a count of others is not kept
+    lengths = found.filter("declared_length <> discovered_length").groupBy("doc_id").agg(F.min(F.struct("number", "declared_length", "discovered_length")).alias("s"))
+    lengths = lengths.select("doc_id", fact("streamLength", F.col("s.declared_length"), F.col("s.discovered_length")).alias("f"))
+    gathered = whole.unionByName(lengths).groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("facts"))  # three facts at most
+    return files.select("doc_id").join(gathered, "doc_id", "left").select("doc_id", F.coalesce("facts", F.array().cast("array<struct<kind:string,declared:bigint,discovered:bigint>>")).alias("facts"))
+
+
 def flavour_claims(packets: DataFrame) -> DataFrame:
     """``doc_id``, ``family``, ``part``, ``conformance`` claimed by the text of XMP packets (``doc_id``, ``packet``)."""
     value = lambda name: F.coalesce(*[F.when(F.regexp_extract("packet", p, 1) != "", F.regexp_extract("packet", p, 1)) for p in (rf"<{name}>\s*([^<\s]+)\s*</{name}>", rf"{name}\s*=\s*[\"']([^\"']+)[\"']")])
@@ -169,3 +340,12 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     schema = "id struct<_clause:string,_testNumber:string>, _object string, _deferred string, test string, description string"
     rows = spark.read.format("xml").option("rowTag", "rule").schema(schema).load(path)
     return rows.select(F.concat_ws("-", "id._clause", "id._testNumber").alias("rule_id"), F.col("_object").alias("object_type"), F.coalesce(F.col("_deferred") == "true", F.lit(False)).alias("deferred"), "test", F.col("description").alias("message"))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of comparison manifests: JSON files with a list ``rows``; unknown fields are ignored, absent ones null."""
+    row = "id:string,path:string,tier:string,profilePolicy:struct<kind:string,flavour:string>,expectedFeatures:array<string>,producer:string,sizeBucket:string,encryption:string,tagging:string,license:string,expectedClassification:string,classificationNote:string"
+    schema = f"schemaVersion int, corpusRoot string, rows array<struct<{row}>>"
+    found = spark.read.schema(schema).option("multiLine", "true").json(path)
+    rows = found.select("corpusRoot", F.explode("rows").alias("r")).select("corpusRoot", "r.*")
+    return rows.withColumnsRenamed({"expectedFeatures": "features", "expectedClassification": "expected", "classificationNote": "note"})

@@ -64,3 +64,67 @@ def test_outcome(spark, rows):
     got = rows.select("i", c.outcome(c.gt(c.prop("n", "number"), c.lit(0))).alias("o")).orderBy("i").collect()
     assert [r.o for r in got] == ["passed", "failed", "unsupported", "passed"]
     assert rows.select(c.outcome(c.prop("n", "number")).alias("o")).distinct().collect()[0].o == "unsupported"
+
+
+def test_limits_of_all_pattern_functions(spark):
+    long = spark.createDataFrame([(0, "y" * 5001, ["y" * 5000, "n"])], "i int, s string, l array<string>")
+    text, items = c.prop("s", "string"), c.prop("l", "list")
+    got = run(spark, long, at=c.search(text, "y"), hits=c.size(c.filter_matches(items, "n")), others=c.size(c.filter_not_matches(items, "n")), far=c.size(c.filter_matches(items, "a" * 513)), ahead=c.size(c.filter_not_matches(items, "a(?=b)")))[0]
+    assert [got[k][1] for k in ("at", "hits", "others", "far", "ahead")] == ["text too long"] * 3 + ["pattern too long", "pattern not supported"]
+
+
+def nested(depth):
+    n = c.prop("n", "number")
+    test = c.prop("b", "bool")
+    for i in range(depth):
+        test = c.not_(c.or_(c.and_(test, c.lt(c.div(n, c.lit(i + 1)), c.lit(3))), c.eq(n, c.lit(i))))
+    return test
+
+
+def test_deep_expressions_stay_small(spark, rows):
+    sizes = [len(rows.select(c.outcome(nested(d)).alias("o"), c.error(nested(d)).alias("e"))._jdf.queryExecution().optimizedPlan().toString()) for d in (8, 16, 32, 64)]
+    assert all(b < 4.5 * a for a, b in zip(sizes, sizes[1:])) and sizes[-1] < 1_500_000  # with the square of the depth at most
+    def truth(row, depth):
+        value = row.b
+        for i in range(depth):
+            if value is None:
+                return "unsupported"
+            left = value
+            if left:
+                if row.n is None:
+                    return "unsupported"
+                left = row.n / (i + 1) < 3
+            value = not (left or (row.n is not None and abs(row.n - i) < 1e-12))
+        return "passed" if value else "failed"
+
+    for depth in (1, 2, 7, 20):
+        got = rows.select("i", "n", "b", c.outcome(nested(depth)).alias("o")).collect()
+        assert [r.o for r in got] == [truth(r, depth) for r in got]
+
+
+def test_values_bound_once_are_right(spark, rows):
+    s, n = c.prop("s", "string"), c.prop("n", "number")
+    deep = s
+    for _ in range(12):
+        deep = c.slice_(deep, 0)
+    number = c.choose(c.eq(n, c.lit(8)), n, c.prop("n", "number"))
+    for _ in range(3):
+        number = c.choose(c.eq(number, c.lit(8)), number, number)
+    got = run(spark, rows, text=deep, at=c.index_of(deep, c.slice_(c.lit("xx,"), 2)), same=c.eq(number, n), band=c.bit_and(c.add(n, c.lit(0)), c.lit(12)), sh=c.shift_right(c.mul(n, c.lit(1)), c.lit(1)))
+    assert [g["text"][0] for g in got if g["text"][1] is None] == ["aé,b,,", "", "x/y"] and got[2]["text"][1] and float(got[0]["at"][0]) == 3 and [g["same"][0] for g in got] == ["true"] * 4
+    assert got[0]["band"][1] == "not an integer" and float(got[3]["band"][0]) == 8 and float(got[3]["sh"][0]) == 4
+
+
+def test_parse_facts(spark):
+    fact = "array<struct<kind:string,declared:bigint,discovered:bigint>>"
+    rows = spark.createDataFrame([(0, [("header", None, None), ("streamLength", 3, 4)]), (1, [("encrypted", None, None), ("streamLength", 3, 3)]), (2, None)], f"i int, facts {fact}")
+    got = run(spark, rows, h=c.has_parse_fact("facts", "header"), e=c.has_parse_fact("facts", "encryption"), m=c.has_parse_fact("facts", "streamLengthMismatch"), o=c.has_parse_fact("facts", "other"))
+    assert [[g[k][0] for k in "hemo"] for g in got] == [["true", "false", "true", "false"], ["false", "true", "false", "false"], ["false"] * 4]
+
+
+def test_budgets():
+    test = c.lit(True)
+    for _ in range(31):
+        test = c.not_(test)
+    assert c.over_budget(test) is None and c.over_budget(c.not_(test)) == "budget exceeded: depth"
+    assert c.over_budget(c.or_(*[c.lit(True)] * 16)) is None and c.over_budget(c.or_(*[c.eq(c.lit(1), c.lit(1))] * 33)) is not None

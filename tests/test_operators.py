@@ -1,5 +1,6 @@
 import json
 import time
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,8 +120,9 @@ def test_sinks(spark, tmp_path):
     data = {r.doc_id: json.loads(r.value) for r in sinks.as_json(found).collect()}
     assert data[1]["profileReports"][0]["failedAssertions"] == [{"ordinal": 1, "rule_id": "r1", "identity_key": "p0"}]
     assert "path" not in json.loads(sinks.as_json(sinks.redacted(found)).first().value)["source"]
-    r = spark.createDataFrame([("a<&\">",), ("\x01",)], "s string").select(sinks.xml_text(F.col("s")).alias("x")).collect()
-    assert [x.x for x in r] == ["a&lt;&amp;&quot;&gt;", None]
+    assert spark.createDataFrame([("a<&\">",)], "s string").select(sinks.xml_text(F.col("s")).alias("x")).first().x == "a&lt;&amp;&quot;&gt;"
+    with pytest.raises(Exception, match="XML does not allow"):
+        spark.createDataFrame([("\x01",)], "s string").select(sinks.xml_text(F.col("s")).alias("x")).collect()
     for form in sinks.RENDERERS:
         sinks.write_reports(found, form, str(tmp_path / form))
         with pytest.raises(Exception, match="exist"):
@@ -129,12 +131,81 @@ def test_sinks(spark, tmp_path):
 
 
 def test_reports(spark):
-    rows = spark.createDataFrame([("m", "match"), ("m", "timeout"), ("n", "match")], "f string, classification string")
+    schema = "f string, tier string, ours string, theirs string, our_run string, their_run string, expected string"
+    done = ("completed", "completed")
+    rows = reports.compared(
+        spark.createDataFrame(
+            [
+                ("m", "T3", "valid", "valid", *done, None), ("m", "T2", None, None, *done, None), ("n", "T3", "valid", "invalid", "timeout", "completed", "bug"), ("n", "T3", "valid", "invalid", *done, "expectedDriftScope"),
+                ("n", "T2", "invalid", "valid", *done, "expectedDriftScope"), ("n", "T2", "invalid", "invalid", "completed", "timeout", "expectedDriftScope"), (None, "T2", "invalid", "invalid", "failed", "completed", None),
+            ],
+            schema,
+        )
+    )
+    assert [r.classification for r in rows.collect()] == ["match", "unexpectedDrift", "bug", "unexpectedDrift", "expectedDriftScope", "unexpectedDrift", "unexpectedDrift"]
     s = reports.comparison_summary(rows).first()
-    assert (s.total, s.matches, s.match_basis_points, s.release_blocking) == (3, 2, 6666, 1)
+    assert (s.total, s.matches, s.mismatches, s.classified_mismatches, s.unexpected_drift, s.false_compliant, s.release_blocking, s.timeouts, s.match_basis_points) == (7, 1, 6, 2, 4, 2, 5, 2, 1428)
     assert reports.comparison_summary(rows.limit(0)).first().match_basis_points == 0
-    assert {(r.value, r["count"], r.matches) for r in reports.grouped_summaries(rows, ["f"]).collect()} == {("m", 2, 1), ("n", 1, 1)}
-    assert {r.f: r["count"] for r in reports.zero_filled(rows, "f", ["m", "z"]).collect()} == {"m": 2, "z": 0}
+    assert {(r.value, r["count"], r.matches) for r in reports.grouped_summaries(rows, ["f"]).collect()} == {("m", 2, 1), ("n", 4, 0)}
+    gate = reports.release_gate(rows, 3).first()
+    assert (gate.t3_rows, gate.t3_matches, gate.t3_basis_points, gate.passed) == (3, 1, 3333, False)
+    good = rows.filter("classification = 'match'")
+    assert reports.release_gate(good, 1).first().passed and not reports.release_gate(good, 2).first().passed and reports.release_gate(good, 2, require_rows=False).first().passed
+    assert {r.f: r["count"] for r in reports.zero_filled(rows.filter("f IS NOT NULL"), "f", ["m", "z"]).collect()} == {"m": 2, "z": 0}
+
+
+def test_unbound_rules_and_untouched_documents(spark):
+    n = c.prop("n", "number")
+    made = [rules.Rule("p", "r1", "page", c.ge(n, c.lit(0))), rules.Rule("q", "r2", "font", c.unsupported("no"), unsupported="no")]
+    docs = spark.createDataFrame([(1,), (3,), (7,)], "doc_id int")
+    accounts = rules.account(rules.apply_rules(objects(spark).filter("doc_id <> 7"), made), docs, made)
+    got = {(r.doc_id, r.profile_id): (r.checks_executed, r.unsupported_rules, r.compliant) for r in accounts.collect()}
+    assert got == {(1, "p"): (9, 0, True), (3, "p"): (1, 0, True), (7, "p"): (0, 0, True), (1, "q"): (0, 1, False), (3, "q"): (0, 1, False), (7, "q"): (0, 1, False)}
+    assert {r.status for r in rules.document_status(accounts).collect()} == {"incomplete"}
+    plain = rules.account(rules.apply_rules(objects(spark), made[:1]), docs, made[:1])
+    assert {r.doc_id: r.status for r in rules.document_status(plain).collect()} == {1: "valid", 3: "valid", 7: "valid"}
+    assert rules.apply_rules(objects(spark), made[1:]).count() == 0
+
+
+def test_policy_files_and_families(spark, tmp_path):
+    schema = {"page": ["size", "name"]}
+    path = tmp_path / "p.json"
+    path.write_text(json.dumps({"rules": [{"id": "a", "family": "page", "field": "size", "operator": "min", "value": 3}, {"id": "b", "family": "page", "field": "name", "operator": "exists"}]}))
+    read = policy.read_policy(spark, str(path), schema)
+    assert [(r.rule_id, r.operator, r.value) for r in read] == [("a", "min", 3), ("b", "exists", None)]
+    for bad in ({"rules": []}, {"rules": [{"id": "a"}]}, {"rules": [{"id": "a", "family": "x", "field": "size", "operator": "exists"}]}, {"more": 1, "rules": []}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            policy.read_policy(spark, str(path), schema)
+    assert policy.selected_families(["font"], read) == ["font", "page"] and policy.selected_families(None, read) == "all" and policy.selected_families("all", None) == "all" and policy.selected_families(["x"], None) == ["x"]
+    with pytest.raises(ValueError):
+        derived.within_caps({"a": 5}, {"a": 4})
+    assert derived.within_caps({"a": 2}, {"a": 4, "b": 1}) == {"a": 2, "b": 1}
+
+
+def test_batches_and_extras(spark, tmp_path):
+    outcomes = rules.apply_rules(objects(spark), made())
+    accounts = rules.account(outcomes)
+    statuses = rules.document_status(accounts)
+    unsupported = outcomes.filter("outcome = 'unsupported'").select("doc_id", "profile_id", "rule_id", F.col("error").alias("reason"))
+    warnings = spark.createDataFrame([(1, "odd <header>")], "doc_id int, warning string")
+    features = policy.extract_features(objects(spark).filter("doc_id = 2").withColumn("name", F.lit("secret")), "font", {"name": "string"})
+    checks = spark.createDataFrame([(1, "pol", False)], "doc_id int, rule_id string, passed boolean")
+    found = sinks.build_reports(statuses, accounts, rules.retained_failures(outcomes, 1), unsupported, warnings, features, checks)
+    texts = {r.doc_id: r.value for r in sinks.as_text(found).collect()}
+    assert texts[1].endswith("  warning: odd <header>\n  policy pol: failed") and "  unsupported r2: type mismatch: number expected" in texts[2] and texts[2].endswith("features: 1")
+    xml = {r.doc_id: r.value for r in sinks.as_raw_xml(found).collect()}
+    assert '<value type="redactedString" bytes="6"></value>' in xml[2] and "<warning>odd &lt;header&gt;</warning>" in xml[1] and '<policyRule id="pol" passed="false"/>' in xml[1]
+    summary = rules.batch_summary(statuses)
+    for form in sinks.BATCH:
+        sinks.write_batch(found, summary, form, str(tmp_path / form))
+        parts = "".join(p.read_text() for p in sorted((tmp_path / form).glob("part-*")))
+        if form == "json":
+            whole = json.loads(parts)
+            assert [x["source"]["path"] for x in whole["items"]] == ["1", "2", "3"] and whole["summary"]["total"] == 3
+        elif "xml" in form.lower():
+            root = ElementTree.fromstring(parts)
+            assert len(root[0]) == 3 and root[-1].tag == "batchSummary" and root[-1].get("incomplete") == "1"
 
 
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):

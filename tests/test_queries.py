@@ -32,7 +32,3 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
-
-
-def test_report_json(spark, sf_dir):
-    assert entry.queries()["report_json"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
