@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -34,7 +36,10 @@ _BATCH_SETTING, _SPARK_S_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", 64
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """*df*, after bounding the session's Arrow batches by bytes, whatever the length of its texts."""
+    """*df*, after bounding the session's Arrow batches by bytes, whatever the length of its texts.
+
+    Spark reads the bound when the plan runs, so the setting stays in the session; one that is not Spark's default is kept.
+    """
     conf = df.sparkSession.conf
     if conf.get(_BATCH_SETTING, None) in (None, str(_SPARK_S_OWN), f"{_SPARK_S_OWN}b", "64m", "64MB"):
         conf.set(_BATCH_SETTING, str(BATCH_BYTES))
@@ -42,24 +47,27 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 _resident: dict[Any, Any] = {}
+_task: list[int] = []
+_touched: list[float] = []
+#: Seconds after which a worker without a task drops its model.
+IDLE_SECONDS = 4.0
 
 
 def resident(key: Any, build: Callable[[], Any]) -> Any:
     """The model that a Python worker holds: built once, and dropped when a task needs another one, or none.
 
-    Workers outlive stages, so models of earlier stages would otherwise add up.
+    Workers outlive stages, so models of earlier stages would otherwise add up.  One that waits for work
+    drops its model after a while.
     """
     if key not in _resident:
         _resident.clear()
         _resident[key] = build()
         gc.collect()
         trim()
+    _touch()
     return _resident[key]
 
 
-_task: list[int] = []
-
-
 def release() -> None:
     """Drop the worker's model and give freed memory back to the system, once in a task.
 
@@ -74,6 +82,27 @@ def release() -> None:
         _resident.clear()
         gc.collect()
     trim()
+    _touch()
+
+
+def _touch() -> None:
+    """Note that the worker has work, and see to it that its memory is given back when it has none."""
+    first = not _touched
+    _touched[:] = [time.monotonic()]
+    if first and TaskContext.get() is not None:
+        threading.Thread(target=_tidy, daemon=True).start()
+
+
+def _tidy() -> None:
+    tidied = 0.0
+    while True:
+        time.sleep(IDLE_SECONDS / 2)
+        last = _touched[0]
+        if last > tidied and time.monotonic() - last > IDLE_SECONDS:
+            tidied = last
+            _resident.clear()  # a task that is still at it keeps its own reference
+            gc.collect()
+            trim()
 
 
 def trim() -> None:

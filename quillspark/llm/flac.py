@@ -457,8 +457,9 @@ def padded(text: str) -> tuple[int, bytes]:
 def encode_texts(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``media``: each text as a FLAC stream.
 
-    A null text counts as empty: 64 zeros.  Repeated rows and null ids give rows of their own; other
-    columns are ignored; an empty table gives none.
+    A null text counts as empty: 64 zeros.  Very long texts are coded whole, in frames.  Of predictors that
+    code a frame equally short the lowest order is taken, so equal texts give equal streams.  Repeated rows
+    and null ids give rows of their own; other columns are ignored; an empty table gives none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -473,7 +474,10 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(store: DataFrame) -> DataFrame:
-    """``doc_id``, ``first_sample``, ``n_samples``, ``pcm`` (unsigned bytes) of every block of a store."""
+    """``doc_id``, ``first_sample``, ``n_samples``, ``pcm`` (unsigned bytes) of every block of a store.
+
+    A stream that is null or fails a checksum is an error; repeated rows give repeated blocks; an empty table gives none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -30,7 +30,7 @@ ROW_CHARS = 20_000
 SAMPLE_CHARS = 32_000
 #: Texts are parsed side by side in blocks of so many symbols; the count is that of the whole text's parse.
 BLOCK = 1024
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: A language's limit of phrases per letter: so many times the given quantile over pieces of its labelled
 #: text that the automaton hasn't seen, and for short texts so many phrases more.
 PIECE, QUANTILE, MARGIN, EXTRA_PHRASES = 100, 0.99, 1.6, 3
@@ -306,7 +306,9 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
     ``lang_pred`` is ``und`` for a text that is null or has no letter, and for all texts where nothing
     could be learnt.  ``score`` is the margin over the next language, 0 for ``und``; ``rate`` the
-    phrases per letter as a share of the language's limit, which a foreign text is above.  Rows with a null id are judged but neither learnt from nor held out.
+    phrases per letter as a share of the language's limit, which a foreign text is above.  Of languages that
+    need equally few bits the first in alphabetical order wins.  Very long texts are parsed whole.  Rows with
+    a null id are judged but neither learnt from nor held out.
     Repeated rows give equal results; other columns are ignored; an empty table gives none.
     """
     samples = labelled_samples(docs) if samples is None else samples
@@ -328,7 +330,11 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None) -> DataFram
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of *docs* in a learnt language: not ``und``, and not above ``FOREIGN_RATE``; all columns kept."""
+    """Rows of *docs* in a learnt language: not ``und``, and not above ``FOREIGN_RATE``; all columns kept.
+
+    Null, empty and letterless texts go, as does everything where nothing could be learnt; repeated rows all
+    stay or all go; very long texts are judged whole; an empty table gives none.
+    """
     shared = _parser(docs, labelled_samples(docs))
 
     @F.pandas_udf("boolean")

@@ -106,12 +106,12 @@ class WordEncoder:
 
 
 def _pieces(batches: Iterator[pd.DataFrame], path: str, max_tokens: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    encoder = resident(("words", path), lambda: WordEncoder(path))
     tail = np.array([END_ID], "<u4")
     block = Block()
 
     def flush() -> pd.DataFrame:
         out = []
+        encoder = resident(("words", path), lambda: WordEncoder(path))
         ids_of = read_off(encoder.remembered(block.place), (codes for _, codes in block.texts))
         for (doc_id, _), ids in zip(block.texts, ids_of):
             raw = np.concatenate([ids, tail]).tobytes()
@@ -217,7 +217,8 @@ def pack_pieces(cut: DataFrame, max_tokens: int = MAX_TOKENS, salts: int | None
 def packed(docs: DataFrame, path: str = TOKENIZER, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row per piece of each row of *docs* with its sequence and offset.
 
-    A null or empty text is the end id alone.  Repeated rows are packed as often as they occur; rows
+    A null or empty text is the end id alone; a very long text is cut into many pieces.  Pieces of one length
+    are ranked by a salt, id and start, ties by their checksum.  Repeated rows are packed as often as they occur; rows
     with a null id are packed with a null id.  Other columns are ignored.  An empty table gives none.
     """
     return pack_pieces(materialise(pieces(docs, path, max_tokens), "packing-pieces"), max_tokens)

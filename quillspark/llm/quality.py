@@ -1,6 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
-A logistic model of style features is fitted on trusted positives and unlabelled web text by the
+A logistic model of style features (shares of neighbouring byte classes, repeats, word length; no
+words) is fitted on trusted positives and unlabelled web text by the
 non-negative unbiased risk: ``prior * L+(positives) + max(0, L-(unlabelled) - prior * L-(positives))``.
 The class prior is estimated from the same two samples, as the smallest ratio of unlabelled to positive
 mass over the upper level sets of a first model.  Labels of negatives aren't used.
@@ -154,7 +155,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null text is scored as an empty one.  Where there is no trusted positive to learn from, nothing
     speaks against a text and every score is 1.  Rows with a null id are scored, not held out.
-    Repeated rows give equal results; other columns are ignored; an empty table gives none.
+    Very long texts are scored whole.  Rows that tie for the last place of a sample are taken by id and
+    features; a score that is exactly the threshold is predicted 1.  Repeated rows give equal results;
+    other columns are ignored; an empty table gives none.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     scored = docs.select("doc_id", held_out.alias("held_out"), _scores(docs, fit(docs, labels)).alias("score"))
@@ -162,7 +165,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of *docs* that are predicted good, with all their columns."""
+    """Rows of *docs* that are predicted good, with all their columns, repeated ones too; nulls and ties as in :func:`score_quality`."""
     return docs.filter(_scores(docs, fit(docs, labels)) >= THRESHOLD)
 
 

@@ -103,8 +103,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, samp
     url's path begins with the rule's; the longest rule string wins, of equally long ones that of the
     longer host, and of rules that are the same string the first verdict in alphabetical order.  A
     null url, or one without ``://``, has empty host and path and gets *default*, as does a url that
-    no rule fits.  Rules with nulls or an empty host never fit.  Repeated rows give equal results;
-    other columns are ignored; empty tables are fine.
+    no rule fits.  Rules with nulls or an empty host never fit.  Very long urls are compared whole.
+    Repeated rows give equal results; other columns are ignored; an empty table gives none, and without
+    rules every url gets *default*.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
@@ -133,7 +134,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, samp
 
     both = urls.select(place("order").alias("range"), "key", F.lit(1).alias("kind"), "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     both = both.unionByName(rule_rows.select("range", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit("").alias("host"), "path", "rule", "verdict"))
-    dealt = both.repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "key", "kind")
+    # ranges are dealt in turn, so that every partition has equally many
+    n = shuffle_partitions(spark)
+    dealt = both.repartitionById(n, F.pmod("range", F.lit(n)).cast("int")).sortWithinPartitions("range", "key", "kind")
     schema = "page_id long, host string, path string, rule string, verdict string"
     return dealt.mapInPandas(lambda b: _sweep(b, default), schema)
 

@@ -26,7 +26,8 @@ END_OF_RECORD = "\r\n\r\n"
 WARC_DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-CAPTURES_PER_FILE = 2_000
+#: The bounds of an archive, which a task reads whole: captures, and bytes of payloads (a larger page is an archive of its own).
+CAPTURES_PER_FILE, ARCHIVE_BYTES = 2_000, 64 << 20
 CHUNK = 1 << 20
 
 
@@ -72,8 +73,12 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
     A null html is an empty payload, a null url an empty target; line breaks in a url are
     percent-encoded.  A capture's identifier is its page id (``null`` for a null) with a row number
-    behind it, so that repeated rows stay captures of their own.
+    behind it, so that repeated rows stay captures of their own; a revisit refers to the page id alone.
+    Payloads of one size and SHA-1 are held equal.  Very long pages are written whole.  Other columns are
+    ignored; an empty table gives no records.
     """
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    captures_per_file = max(1, min(CAPTURES_PER_FILE, ARCHIVE_BYTES // (largest + 1)))
     url = F.coalesce(F.col("url"), F.lit(""))
     url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
@@ -91,7 +96,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     metadata = _record("metadata", F.concat("capture", F.lit(":metadata")), [uri, with_response], "application/warc-fields", F.concat(F.lit("page-id: "), F.col("page"), F.lit("\r\n")))
     records = rows.select(F.explode(F.array(F.when(F.col("refers_to").isNull(), response).otherwise(revisit), request, metadata)).alias("value"))
     writer = records.write.option("lineSep", END_OF_RECORD).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", 3 * CAPTURES_PER_FILE).text(path)
+    writer.option("maxRecordsPerFile", 3 * captures_per_file).text(path)
 
 
 def _headers(stream) -> dict[str, str]:
@@ -161,14 +166,14 @@ def read_warc(spark, path: str) -> DataFrame:
                 frame.insert(0, "archive", archive)
                 yield frame.astype({"payload_offset": "Int64", "payload_bytes": "Int64"})
 
-    # a task holds one archive at a time; archives are bounded by CAPTURES_PER_FILE
+    # a task holds one archive at a time; write_warc bounds them
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit, its request and its metadata.
 
-    Records are joined by the identifier that they are concurrent to.  Where a capture has several
+    Records are joined by the identifier that they are concurrent to; no records give no rows.  Where a capture has several
     records of a kind that with the smallest record id stands in the row, and ``n_records`` counts all.
     A request or metadata record without its response gives a row with a null ``response``.
     """
@@ -180,7 +185,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Write *pages* as archives into the shared folder, read them back and assemble their captures."""
+    """Write *pages* as archives into the shared folder, read them back and assemble their captures.
+
+    One row per page, repeated ones too; nulls, ties of payloads and long pages are as in :func:`write_warc`.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write_warc(pages, path)
     return assemble(read_warc(pages.sparkSession, path))

@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
-from quillspark.llm.quality import features, good_rows, score_quality
+from quillspark.llm.quality import QualityModel, features, good_rows, score_quality
 
 DOCS, LABELS = "doc_id long, text string, score string", "doc_id long, quality int, toxic int, text string"
 
@@ -47,3 +49,59 @@ def test_nothing_to_learn_from(spark):
 
 def test_features_of_odd_texts():
     assert np.isfinite(features(["", " ", "é", "a" * 100_000, "\x00\x7f"])).all()
+
+
+def slow_features(text):
+    """The features from their definition, a byte at a time."""
+    kinds = {}
+    for chars, kind in (("0123456789", 2), (" ", 3), ("\n", 4), (".", 5), (",", 6), ("!", 7), ("?", 8), ("|", 9), ("'\"`", 10), ("-_", 11), ("#$%&*+=^~@<>", 12), ("()[]{}/\\", 13), (":;", 14)):
+        kinds.update(dict.fromkeys(map(ord, chars), kind))
+    kinds.update(dict.fromkeys(range(65, 91), 1))
+    raw = text.encode()
+    of = [kinds.get(b, 15 if b < 32 or b == 127 else 0) for b in raw]
+    out = [0.0] * 260
+    for a, b in zip(of, of[1:]):
+        out[16 * a + b] += 1
+    out = [math.sqrt(x / (len(of) - 1)) if len(of) > 1 else 0.0 for x in out]
+    words = raw.split()
+    if words:
+        n = len(words)
+        out[256] = sum(a == b for a, b in zip(words, words[1:])) / n
+        out[257] = min(len(set(words)), 2 * n**0.7) / n**0.7
+        out[258] = math.log1p(len(raw) / n)
+    out[259] = math.log1p(len(raw)) / 10
+    return out
+
+
+def test_features_are_their_definition():
+    texts = ["", "a", "A b, c! 12\n\n\tx | y", "the the the cat " * 20, "é日本 (a) [b] {c} \x7f"]
+    assert features(texts) == pytest.approx(np.array([slow_features(t) for t in texts]), abs=1e-5)
+
+
+def pu_risk(w, p, u, prior):
+    """Positive-unlabelled risk from its definition, its negative part held at zero or above."""
+    loss = lambda z, y: np.mean(np.log1p(np.exp(-y * z)))
+    return prior * loss(p @ w, 1) + max(0.0, loss(u @ w, -1) - prior * loss(p @ w, -1))
+
+
+def test_risk_and_prior_on_known_mixtures():
+    rng = np.random.default_rng(3)
+    for prior in (0.3, 0.6):
+        positive = lambda n: rng.normal(1.5, 1, (n, 3))
+        negative = lambda n: rng.normal(-1.5, 1, (n, 3))
+        p, u = positive(2000), np.concatenate([positive(int(3000 * prior)), negative(int(3000 * (1 - prior)))])
+        rng.shuffle(u)
+        model = QualityModel(p, u)
+        assert abs(model.prior - prior) < 0.1
+        x, y = model._standard(p), model._standard(u)
+        found = pu_risk(model.weights, x, y, model.prior)
+        assert found < pu_risk(np.zeros_like(model.weights), x, y, model.prior) / 2
+        # no step along an axis is much better
+        for k in range(len(model.weights)):
+            for step in (-0.1, 0.1):
+                moved = model.weights.copy()
+                moved[k] += step
+                assert pu_risk(moved, x, y, model.prior) > found - 0.01
+        test = np.concatenate([positive(500), negative(500)])
+        right = (model._standard(test) @ model.weights > 0) == np.r_[np.ones(500, bool), np.zeros(500, bool)]
+        assert right.mean() > 0.95

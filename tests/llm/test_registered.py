@@ -111,3 +111,42 @@ def test_op10(spark, sf_dir, docs):
     got = {r.doc_id: r for r in rows}
     held = [got[r.doc_id].predicted == r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(held) / len(held) >= 0.9 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_op4_against_a_plain_greedy_parse(spark, sf_dir, docs):
+    """The language of texts of moderate length from the definition: fewest bits over a parse into longest substrings."""
+    from quillspark.llm.language_id import SAMPLE_CHARS, CrossParser, labelled_samples
+    from tests.llm.test_language_id import slow_phrases
+
+    samples = labelled_samples(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    parser = CrossParser({})
+    coded = {}
+    for language, text in samples.items():
+        codes = parser._symbols([text])[0]
+        coded[language] = codes[np.cumsum((codes & 0xC0) != 0x80) <= SAMPLE_CHARS].tobytes().decode("utf-8", "ignore")
+    got = {r.doc_id: r.lang_pred for r in run(spark, sf_dir, "op4_language_id")[1]}
+    short = [d for d in docs if 0 < len(d.text or "") < 1200][:60]
+    assert len(short) > 20
+    for d in short:
+        if not any(c.isalpha() for c in d.text):
+            assert got[d.doc_id] == "und"
+            continue
+        bits = {x: slow_phrases(parser, s, d.text) * np.log2(len(s.encode()) + 2) for x, s in coded.items()}
+        assert bits[got[d.doc_id]] == pytest.approx(min(bits.values()))
+
+
+def test_op10_against_a_plain_fit(spark, sf_dir, docs):
+    """Scores of a model fitted in one process on samples and features made from their definitions."""
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import quality
+    from tests.llm.test_quality import slow_features
+
+    key = {r.doc_id: r.h for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    trusted = {r.doc_id for r in labels if r.quality == 1 and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    rows = sorted((key[d.doc_id], slow_features(d.text or ""), d.doc_id) for d in docs)
+    model = quality.QualityModel(np.array([x for _, x, i in rows if i in trusted], np.float32), np.array([x for _, x, _ in rows], np.float32))
+    want = {i: float(quality._sigmoid(model._standard(np.array([x], np.float32)) @ model.weights)[0]) for _, x, i in rows}
+    got = {r.doc_id: r.score for r in run(spark, sf_dir, "op10_quality_classifier")[1]}
+    assert got == pytest.approx(want, abs=1e-3)

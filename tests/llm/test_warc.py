@@ -73,3 +73,11 @@ def _empty_archive(spark):
 
 def test_empty(spark):
     assert captures(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    rows = [(i, f"http://a/{i}", "x" * 400_000 + str(i), "", "") for i in range(30)] + [(100, "http://b/", "y" * (17 << 20), "", "")]
+    path = scratch_path(spark, "bounded")
+    write_warc(spark.createDataFrame(rows, SCHEMA).coalesce(1), path)
+    found = read_warc(spark, path).filter("record_type = 'response'").groupBy("archive").agg({"payload_bytes": "sum"}).collect()
+    assert sum(r[1] for r in found) == sum(len(h) for _, _, h, _, _ in rows) and max(r[1] for r in found) <= 64 << 20 and len(found) > 5
