@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (tests, a laptop) a local temporary folder takes its place.
+    Where the setting is absent a local temporary folder takes its place if Spark runs in one process; on a
+    cluster, whose executors wouldn't see that folder, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-quill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
