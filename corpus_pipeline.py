@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  Its result is
 written as Parquet and read again as the next stage's docs, which cuts lineage between stages.  All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``.  Null ids and repeated rows are rows like any other;
+null, empty and letterless texts leave with the first stage; very long texts are taken whole; ties are
+those of the operators; an empty table passes through all stages as one.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest id stays."""
+    """Of each component of texts that are similar in five-word shingles the row with the smallest id stays."""
     return simhash.near_deduplicated(docs)
 
 
