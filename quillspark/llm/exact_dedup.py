@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER, UPPER, drop_rows, materialise, shuffle_partitions, table, text_or_empty
+from quillspark.llm.common import LOWER, UPPER, materialise, shuffle_partitions, table, text_or_empty
 
 HEAD_CHARS = 64
 
@@ -33,6 +33,18 @@ def content_key(norm):
     return F.xxhash64(norm)
 
 
+def _hot_keys(rows: DataFrame, partitions: int) -> DataFrame:
+    """``key``, ``hot`` of the keys that hold more than a partition's share of the rows or bytes: fewer than twice the partitions.
+
+    Counts are pre-aggregated where the texts are.
+    """
+    size = F.octet_length("norm") + 32
+    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")), "exact-dedup-keys")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    large = (F.col("n") * partitions > total["n"]) | (F.col("bytes") * partitions > total["bytes"])
+    return counts.filter(large & (F.col("n") > 1)).select("key", F.lit(True).alias("hot"))
+
+
 def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, key: Callable[[Column], Column] = content_key) -> DataFrame:
     """One row per row of *docs* (``doc_id``, ``text``): which row of its group of equal texts stays.
 
@@ -44,16 +56,7 @@ def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, key: Callable[[Co
     partitions = shuffle_partitions(docs.sparkSession)
     rows = docs.select("doc_id", normalised(text_or_empty()).alias("norm"))
     rows = rows.select("doc_id", "norm", F.substring("norm", 1, head_chars).alias("head"), key(F.col("norm")).alias("key"))
-
-    # counts per key, pre-aggregated where the texts are; of all keys fewer than twice the partitions are hot
-    size = F.octet_length("norm") + 32
-    counts = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")), "exact-dedup-keys")
-    total = counts.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
-    if total["n"] is None:
-        total = {"n": 0, "bytes": 0}
-    is_hot = ((F.col("n") * partitions > total["n"]) | (F.col("bytes") * partitions > total["bytes"])) & (F.col("n") > 1)
-    hot = counts.filter(is_hot).select("key", F.lit(True).alias("hot"))
-    dealt = rows.join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = rows.join(F.broadcast(_hot_keys(rows, partitions)), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     dealt = dealt.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(partitions))).otherwise(F.lit(0)))
     place = ["head", "key", "salt"]
     ranged = dealt.repartitionByRange(*place)
@@ -84,15 +87,30 @@ def exact_dedup(docs: DataFrame, head_chars: int = HEAD_CHARS, key: Callable[[Co
     return cold.unionByName(merged.select(*out))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, head_chars: int = HEAD_CHARS, key: Callable[[Column], Column] = content_key) -> DataFrame:
     """The rows of *docs* that stay, with all their columns.
 
-    Nulls, ties, repeats and empty tables are as in :func:`exact_dedup`.
+    Nulls, ties, repeats and empty tables are as in :func:`exact_dedup`, whose sort carries the whole rows
+    here, so that nothing is joined back: each run of equal neighbours keeps its first row.  Rows of hot keys
+    go by themselves, salted, and the rows that their runs keep are compared in turn.
     """
-    # written, so that the list of rows to drop is not gathered in the partitions of the join by digest
-    gone = materialise(exact_dedup(docs).filter(~F.col("kept")), "exact-dedup-gone")
-    doomed = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_repeat"))
-    return drop_rows(docs, doomed, F.sha2(normalised(text_or_empty()), 256))
+    partitions = shuffle_partitions(docs.sparkSession)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), normalised(text_or_empty()).alias("norm"))
+    rows = rows.withColumn("head", F.substring("norm", 1, head_chars)).withColumn("key", key(F.col("norm")))
+    hot = _hot_keys(rows, partitions)
+
+    def firsts(dealt: DataFrame, *place: str) -> DataFrame:
+        in_order = Window.partitionBy(*place).orderBy("norm", F.col("id").desc())
+        before = F.lag("norm").over(in_order)
+        return dealt.withColumn("opens", before.isNull() | (before != F.col("norm"))).filter("opens")
+
+    cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").repartitionByRange("head", "key")
+    salted = rows.join(F.broadcast(hot.select("key")), "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(partitions)))
+    some = firsts(salted.repartitionByRange("key", "salt"), "head", "key", "salt").select("row", "id", "norm", "head", "key")
+    some = materialise(some, "exact-dedup-hot")  # a row for each salt of a hot text
+    both = firsts(cold, "head", "key").select("row").unionByName(firsts(some, "head", "key").select("row"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ HELD = 50_000
 CHUNK = 200_000
 BATCH_CHARS = 1_000_000
 #: The pipeline's stage: words of a shingle, similarity of linked texts, independent fingerprints.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_FINGERPRINTS = 5, 0.8, 10
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_FINGERPRINTS = 5, 0.8, 8
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -263,12 +263,19 @@ def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS, wid
 
 
 def _links(batches: Iterator[pd.DataFrame], max_bits: int, max_wide: int | None) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket (``bucket``, ``node``, ``fp``, with *max_wide* ``fps``); whole buckets are handled, small ones together."""
+    """Rows sorted by bucket; whole buckets are handled, small ones together.
+
+    They have ``bucket``, ``node`` and ``fp``, or with *max_wide* ``fps`` (all fingerprints, as bytes) and ``number``, that of the bucket's.
+    """
     release()
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = None if max_wide is None else np.stack(rows["fps"].to_numpy()).view(np.uint64)
-        i, j = link_runs(rows["fp"].to_numpy(np.int64).view(np.uint64), rows["bucket"].to_numpy(np.int64), max_bits, wide, max_wide or 0)
+        if max_wide is None:
+            wide, fp = None, rows["fp"].to_numpy(np.int64).view(np.uint64)
+        else:
+            wide = np.frombuffer(b"".join(rows["fps"].tolist()), "<u8").reshape(len(rows), -1)
+            fp = wide[np.arange(len(rows)), rows["number"].to_numpy(np.int64)]
+        i, j = link_runs(fp, rows["bucket"].to_numpy(np.int64), max_bits, wide, max_wide or 0)
         node = rows["node"].to_numpy(np.int64)
         return pd.DataFrame({"a": node[i], "b": node[j]}).drop_duplicates()
 
@@ -302,7 +309,7 @@ def _signed(mask: int) -> int:
 
 def _dealt(keyed: DataFrame, *carried: str) -> DataFrame:
     n = shuffle_partitions(keyed.sparkSession)
-    return keyed.select("bucket", "node", "fp", *carried).repartition(n, "bucket").sortWithinPartitions("bucket")
+    return keyed.select("bucket", "node", *carried).repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
 def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -321,7 +328,7 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
             break
         kept.append(keyed.join(hot, "bucket", "left_anti").select("fp", "bucket"))
         open_ = materialise(keyed.join(hot, "bucket", "left_semi").select("fp", "mask"), "simhash-hot-rows")
-    dealt = _dealt(reduce(DataFrame.unionByName, kept).withColumn("node", F.col("fp")))
+    dealt = _dealt(reduce(DataFrame.unionByName, kept).withColumn("node", F.col("fp")), "fp")
     return dealt.mapInPandas(lambda b: _links(b, MAX_BITS, None), "a long, b long").distinct()
 
 
@@ -341,17 +348,19 @@ def similar_links(nodes: DataFrame, n: int, similarity: float, hot_bucket: int =
     mean, deviation = differing_bits(n, similarity)
     one, spread = differing_bits(1, similarity)
     max_wide, max_bits = int(mean + deviation), int(one + 3 * spread)
-    each = nodes.select("node", "fps", F.posexplode("fps").alias("number", "fp"))
-    each = each.select("node", "fps", "number", "fp", F.explode(F.array(*[F.lit(b) for b in range(4)])).alias("block"))
-    keyed = each.select("node", "fps", "fp", F.xxhash64("number", "block", F.expr("shiftrightunsigned(fp, 16 * block) & 65535")).alias("bucket"))
+    block = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("number"), F.expr(f"shiftrightunsigned(fps[{i}], {16 * b}) & 65535").alias("value"), F.lit(b).alias("block")) for i in range(n) for b in range(4)]))
+    # all fingerprints travel as bytes, little-endian
+    packed = F.unhex(F.concat(*[F.regexp_replace(F.lpad(F.hex(F.get("fps", F.lit(i))), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1") for i in range(n)]))
+    each = nodes.withColumn("packed", packed).select("node", F.col("packed").alias("fps"), block.alias("b"))
+    keyed = each.select("node", "fps", "b.number", F.xxhash64("b.number", "b.block", "b.value").alias("bucket"))
     hot = materialise(keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket), "simhash-hot-buckets")
     if not hot.isEmpty():
         parts = F.ceil(F.col("count") / F.lit(hot_bucket)).cast("int")
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         split = keyed.join(hot.select("bucket", parts.alias("parts")), "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        split = split.select("node", "fps", "fp", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
-        keyed = keyed.join(hot, "bucket", "left_anti").select("node", "fps", "fp", "bucket").unionByName(split)
-    return _dealt(keyed, "fps").mapInPandas(lambda b: _links(b, max_bits, max_wide), "a long, b long").distinct()
+        split = split.select("node", "fps", "number", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
+        keyed = keyed.join(hot, "bucket", "left_anti").select("node", "fps", "number", "bucket").unionByName(split)
+    return _dealt(keyed, "fps", "number").mapInPandas(lambda b: _links(b, max_bits, max_wide), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -383,7 +392,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _components_of(docs: DataFrame, n: int, width: int, distinct: bool, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``doc_id``, ``fps``, ``digest``, ``component_id`` of each row, under the links that *linked* gives of ``node``, ``fps``."""
+    """``doc_id``, ``digest``, ``component_id`` of each row, with a single fingerprint ``fps``, under the links that *linked* gives of ``node``, ``fps``."""
     rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("digest"))
     rows = rows.mapInPandas(lambda batches: _fingerprints(batches, n, width, distinct), "doc_id long, fps array<long>, digest long")
     # a node is a fingerprint, or where there are several the hash of all
@@ -394,7 +403,8 @@ def _components_of(docs: DataFrame, n: int, width: int, distinct: bool, linked:
     # written, so that the join below has two plain exchanges, whose large partitions Spark can split
     ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-ids")
     named = materialise(rooted.join(ids, "root").select("node", "component_id"), "simhash-named")
-    return rows.join(named, "node").select("doc_id", "fps", "digest", "component_id")
+    light = rows if n == 1 else rows.drop("fps")
+    return light.join(named, "node").drop("node")
 
 
 def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -409,7 +419,7 @@ def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFra
 
 
 def similar_components(docs: DataFrame, n: int = STAGE_FINGERPRINTS, similarity: float = STAGE_SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """As :func:`simhash_components`, with texts linked by :func:`similar_links` of *n* fingerprints of distinct five-word shingles."""
+    """``doc_id``, ``digest``, ``component_id`` as in :func:`simhash_components`, with texts linked by :func:`similar_links` of *n* fingerprints of distinct five-word shingles."""
     return _components_of(docs, n, STAGE_SHINGLE, True, lambda nodes: similar_links(nodes, n, similarity, hot_bucket))
 
 

@@ -154,7 +154,7 @@ def similarity(a, b):
 
 @pytest.mark.parametrize("hot", [50_000, 30])
 def test_similar_links_against_brute_force(spark, hot):
-    rng, n = random.Random(6), 10
+    rng, n = random.Random(6), 8
     vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
     texts = []
     for _ in range(40):
