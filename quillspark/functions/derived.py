@@ -90,8 +90,9 @@ def display_name_parts(name: Column) -> Column:
 
 
 def reason_token(reason: Column, prefix: str, suffix: str) -> Column:
-    """The text between a prefix and the next suffix, null where they aren't there."""
-    rest = F.when(F.contains(reason, F.lit(prefix)), F.substring_index(reason, prefix, -1))
+    """The text between the first prefix and the next suffix, null where they aren't there."""
+    at = F.instr(reason, F.lit(prefix))
+    rest = F.when(at > 0, F.substring(reason, at + len(prefix), F.length(reason)))
     return F.when(F.contains(rest, F.lit(suffix)), F.substring_index(rest, suffix, 1))
 
 

@@ -536,10 +536,10 @@ def json_feature(spark, sf_dir):
 def _stream(spark, sf_dir):
     ops = F.create_map(*[F.lit(x) for pair in (("click", "BDC"), ("view", "EMC"), ("purchase", "Tj"), ("signup", "q"), ("error", "Do")) for x in pair])
     op = F.when(F.col("event_id") % 11 == 0, "zz").otherwise(F.coalesce(F.element_at(ops, F.col("event_type")), F.lit("zz")))
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("doc_id"), F.lit(0).alias("stream"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("R"), (F.col("event_id") % 7).cast("string")).alias("name"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit(0).alias("stream"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("R"), (F.col("event_id") % 7).cast("string")).alias("name"))
 
 
-_STREAM = """WITH s AS (SELECT user_id % 20 AS doc_id, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'zz' ELSE CASE event_type WHEN 'click' THEN 'BDC' WHEN 'view' THEN 'EMC' WHEN 'purchase' THEN 'Tj' WHEN 'signup' THEN 'q' WHEN 'error' THEN 'Do' ELSE 'zz' END END AS op, 'R' || (event_id % 7) AS name FROM events),
+_STREAM = """WITH s AS (SELECT user_id AS doc_id, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'zz' ELSE CASE event_type WHEN 'click' THEN 'BDC' WHEN 'view' THEN 'EMC' WHEN 'purchase' THEN 'Tj' WHEN 'signup' THEN 'q' WHEN 'error' THEN 'Do' ELSE 'zz' END END AS op, 'R' || (event_id % 7) AS name FROM events),
 r AS (SELECT *, sum(CASE op WHEN 'BDC' THEN 1 WHEN 'EMC' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS t FROM s),
 d AS (SELECT *, CAST(t - least(0, min(t) OVER (PARTITION BY doc_id ORDER BY seq)) AS BIGINT) AS depth FROM r)
 """
@@ -567,8 +567,9 @@ def marked_spans(spark, sf_dir):
 @query(_STREAM + "SELECT doc_id, seq, CASE WHEN name IN ('R0', 'R1', 'R2') THEN 'resolved' WHEN name = 'R3' THEN 'wrongType' ELSE 'missing' END AS status FROM d WHERE op = 'Do'")
 def resource_resolution(spark, sf_dir):
     rows = _stream(spark, sf_dir)
-    known = [(d, "xObject", n, s, f) for d in range(20) for n, s, f in (("R0", 0, "xObject"), ("R1", 1, "xObject"), ("R2", 0, "xObject"), ("R2", 1, "font"), ("R3", 0, "font"), ("R3", 2, "xObject"))]
-    resources = spark.createDataFrame(known, "doc_id bigint, family string, name string, scope int, object_family string")
+    known = [("R0", 0, "xObject"), ("R1", 1, "xObject"), ("R2", 0, "xObject"), ("R2", 1, "font"), ("R3", 0, "font"), ("R3", 2, "xObject")]
+    each = F.explode(F.array(*[F.struct(F.lit("xObject").alias("family"), F.lit(n).alias("name"), F.lit(s).alias("scope"), F.lit(f).alias("object_family")) for n, s, f in known]))
+    resources = rows.select("doc_id").distinct().withColumn("r", each).select("doc_id", "r.*")
     return content.resolved_uses(content.resource_uses(rows), resources).select("doc_id", "seq", "status")
 
 

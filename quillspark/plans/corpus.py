@@ -7,8 +7,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import derived
-from quillspark.operators import families, metadata, profiles, reports
+from quillspark.functions import checked, derived
+from quillspark.operators import accessibility, families, metadata, model, profiles, reports, rules
 from quillspark.plans.registry import query, table
 from quillspark.sources import documents
 
@@ -142,6 +142,95 @@ def model_structure_destinations(spark, sf_dir):
     return families.structure_destinations(_model(spark)).select(F.col("number").cast("int").alias("number"))
 
 
+@query("SELECT * FROM (VALUES ('minimal', 0, 1, 7, false, false, 2), ('junk-before', 5, 1, 7, false, false, 1), ('no-header', NULL, 1, 4, false, false, 0), ('encrypted', 0, 1, 7, true, false, 1), ('packed', 0, 1, 7, false, true, 2)) t(doc_id, header_offset, version_major, version_minor, encrypted, contains_xref_stream, object_count)")
+def file_headers(spark, sf_dir):
+    rows = documents.headers(_files(spark, "minimal", "junk-before", "no-header", "encrypted", "packed"))
+    return rows.select("doc_id", F.col("header_offset").cast("int").alias("header_offset"), "version_major", "version_minor", "encrypted", "contains_xref_stream", F.col("object_count").cast("int").alias("object_count"))
+
+
+@query("SELECT * FROM (VALUES ('minimal', 0, 1, NULL), ('model', 0, 1, 40), ('table', 0, 1, NULL)) t(doc_id, pos, root, info)")
+def file_trailers(spark, sf_dir):
+    return documents.trailers(_files(spark, "minimal", "model", "table")).select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("root").cast("int").alias("root"), F.col("info").cast("int").alias("info"))
+
+
+@query("SELECT * FROM (VALUES (7, 'A', 27), (8, 'Parent', 25), (24, 'Fields', 25), (27, 'Next', 28)) t(number, key, target)")
+def file_references(spark, sf_dir):
+    rows = documents.references(documents.objects(_files(spark, "model")).filter("number IN (7, 8, 24, 27)"))
+    arrays = families.typed_links(_model(spark)).filter("src = 24").select(F.col("src").alias("number"), F.col("link").alias("key"), F.col("dst").alias("target"))
+    found = rows.filter("key IN ('A', 'Parent', 'Next')").select("number", "key", "target").unionByName(arrays)
+    return found.select(F.col("number").cast("int").alias("number"), "key", F.col("target").cast("int").alias("target"))
+
+
+@query("SELECT * FROM (VALUES (1, 'pdfa', 2, 'b'), (1, 'pdfua', 1, NULL), (2, 'pdfa', 1, 'a')) t(doc_id, family, part, conformance)")
+def packet_claims(spark, sf_dir):
+    data = [(1, "<pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance><pdfuaid:part>1</pdfuaid:part>"), (2, '<rdf:Description pdfaid:part="1" pdfaid:conformance="A"/>'), (3, "<x/>")]
+    return documents.flavour_claims(spark.createDataFrame(data, "doc_id int, packet string"))
+
+
+@query("SELECT * FROM (VALUES (1, true, true, true), (2, false, true, false), (3, false, false, NULL), (4, NULL, NULL, false)) t(doc_id, serialization_valid, spacing_complies, title_ok)")
+def packet_checks(spark, sf_dir):
+    facts = spark.createDataFrame([(1, "PacketParsed", False), (2, "PacketParsed", None), (2, "Hostile", None), (3, "Malformed", True)], "doc_id int, kind string, bad_spacing boolean")
+    titles = spark.createDataFrame([(1, "x-default", "a"), (1, "en", " "), (2, "x-default", "a"), (2, "en", "b"), (4, "en", "a")], "doc_id int, lang string, value string")
+    rows = metadata.packet_valid(facts).join(metadata.spacing_complies(facts), "doc_id", "full")
+    return rows.join(metadata.one_default_title(titles), "doc_id", "full")
+
+
+@query(
+    "SELECT * FROM (VALUES (1, true, 'pdfa', 2, 'b', 'x', 'unknownProperty', 'p', true), (2, false, 'pdfua', 1, '', NULL, 'unknownLink', 'object 3 1', false), (3, NULL, 'wtpdf', 1, '-0-reuse', NULL, 'other', 'offset 9', NULL), (4, false, 'pdfa', NULL, '', NULL, 'unknownFamily', 'unknown', false)) t(i, private_use, family, part, conformance, token, category, location, dates)"
+)
+def text_functions(spark, sf_dir):
+    schema = "i int, s string, name string, reason string, path string, number int, generation int, offset bigint, info string, xmp string"
+    data = [
+        (1, "a\ue000", "pdfa-2b", "unknown property 'x' here", "p", 1, 0, 5, "D:20200102030405Z", "2020-01-02T03:04:05Z"), (2, "a", "pdfua-1", "unknown link", None, 3, 1, 5, "D:20200102030405Z", None),
+        (3, None, "wtpdf-1-0-reuse", "odd", None, None, None, 9, None, "2020"), (4, "é", "pdfa", "no family", None, None, None, None, "D:2020", "2021"),
+    ]
+    rows = spark.createDataFrame(data, schema)
+    parts = derived.display_name_parts(F.col("name"))
+    return rows.select(
+        "i", derived.has_private_use(F.col("s")).alias("private_use"), parts["family"].alias("family"), parts["part"].alias("part"), parts["conformance"].alias("conformance"), derived.reason_token(F.col("reason"), "'", "' here").alias("token"),
+        derived.reason_category(F.col("reason")).alias("category"), derived.location_text(F.col("path"), F.col("number"), F.col("generation"), F.col("offset")).alias("location"), derived.dates_match(F.col("info"), F.col("xmp")).alias("dates"),
+    )
+
+
+@query("SELECT * FROM (VALUES (1, '4.2', 'prtr', 'RGB', 'Lab', 1, 3), (2, NULL, NULL, NULL, NULL, NULL, NULL)) t(i, version, device_class, color_space, pcs, rendering_intent, tag_count)")
+def icc_headers(spark, sf_dir):
+    head = bytearray(132)
+    head[8:10], head[12:16], head[16:20], head[20:24], head[64:68], head[128:132] = b"\x04\x20", b"prtr", b"RGB ", b"Lab ", b"\0\0\0\1", b"\0\0\0\3"
+    rows = spark.createDataFrame([(1, head), (2, head[:100])], "i int, profile binary").select("i", derived.icc_header(F.col("profile")).alias("h"))
+    return rows.select("i", "h.version", "h.device_class", "h.color_space", "h.pcs", F.col("h.rendering_intent").cast("int").alias("rendering_intent"), F.col("h.tag_count").cast("int").alias("tag_count"))
+
+
+@query("SELECT * FROM (VALUES (1, 10, 'P', 0), (1, 11, 'Q', 1), (1, 12, 'P', 1)) t(doc_id, node, tag, source)")
+def artifacts(spark, sf_dir):
+    schema = "doc_id int, node int, page int, tag string"
+    found = accessibility.distinct_artifacts(spark.createDataFrame([(1, 10, 0, "P"), (1, 10, 0, "P")], schema), spark.createDataFrame([(1, 10, 0, "P"), (1, 11, 0, "Q"), (1, 12, 1, "P")], schema))
+    return found.select("doc_id", "node", "tag", "source")
+
+
+@query("SELECT * FROM (VALUES (1, 5, 2), (1, 6, 0)) t(doc_id, node, widgets)")
+def widgets(spark, sf_dir):
+    references = spark.createDataFrame([(1, 5, 50), (1, 5, 51), (1, 5, 52), (1, 6, 52), (1, 6, 99)], "doc_id int, node int, target int")
+    annotations = spark.createDataFrame([(1, 50, "Widget"), (1, 51, "Widget"), (1, 52, "Link")], "doc_id int, object int, subtype string")
+    return accessibility.widget_counts(references, annotations).select("doc_id", "node", F.col("widgets").cast("int").alias("widgets"))
+
+
+@query("SELECT family, count(*) AS n FROM (VALUES ('page'), ('page'), ('font'), ('font'), ('font'), ('font')) t(family) GROUP BY 1")
+def family_pruning(spark, sf_dir):
+    return model.only_families(_model(spark), ["page", "font"]).groupBy("family").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id, count(*) AS objects FROM lineitem GROUP BY 1 HAVING count(*) > 5")
+def object_budget(spark, sf_dir):
+    return model.over_budget(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")), 5)
+
+
+@query("SELECT l_suppkey AS doc_id, count(*) AS failures, CAST(max(n) AS INTEGER) AS last FROM (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE NOT l_quantity < 30) GROUP BY 1")
+def failures_without_cap(spark, sf_dir):
+    objects = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.lit("item").alias("family"), F.array().cast("array<string>").alias("supertypes"), F.lit(None).cast("string").alias("identity_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("visit_seq"), "l_quantity")
+    rule = rules.Rule("p", "quantity-small", "item", checked.all_(checked.lt(checked.prop("l_quantity", "number"), checked.lit(30))))
+    return rules.retained_failures(rules.apply_rules(objects, [rule]), None).groupBy("doc_id").agg(F.count("*").alias("failures"), F.max("ordinal").alias("last"))
+
+
 @query("SELECT 'model' AS doc_id, '(a title)' AS value")
 def model_info_value(spark, sf_dir):
     return families.info_values(documents.trailers(_files(spark, "model")), _model(spark), "Title")
