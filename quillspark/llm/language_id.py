@@ -37,6 +37,7 @@ PIECE, QUANTILE, MARGIN, EXTRA_PHRASES = 100, 0.99, 1.6, 3
 #: Share of that limit above which a text is foreign to every learnt language.
 FOREIGN_RATE = 1.0
 SEPARATOR = 1
+_PLACE = 0xFFFFFFFF
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -68,34 +69,52 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def displaced(nxt: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of transitions laid over each other: state ``s`` goes by ``c`` to ``target[base[s] + c]`` if ``owner`` is ``s`` there."""
+def displaced(nxt: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of transitions laid over each other in one table: the place of each state, and the table.
+
+    State ``s`` goes by ``c`` to the state at ``table[place[s] + c] & 0xFFFFFFFF``, if the upper half there is
+    ``place[s]``.  States with transitions have places of their own; those without share one.
+    """
     sizes = np.fromiter(map(len, nxt), np.int64, len(nxt))
     room = 2 * int(sizes.sum()) + 256
-    base, owner, target = np.zeros(len(nxt), np.int32), [-1] * (room + 512), [0] * (room + 512)
-    seed = 1
+    owner, target = [-1] * (room + 512), [0] * (room + 512)
+    place, used, seed = [0] * len(nxt), set(), 1
     for s in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
         row, tries = nxt[s], 0
         while True:
             seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
             at, tries = seed % room + 1, tries + 1
-            if all(owner[at + c] < 0 for c in row):
+            if at not in used and all(owner[at + c] < 0 for c in row):
                 break
             if tries > 2000:  # a place of its own at the end
                 at = len(owner) - 255
                 owner += [-1] * 512
                 target += [0] * 512
                 break
-        base[s] = at
+        used.add(at)
+        place[s] = at
         for c, to in row.items():
-            owner[at + c], target[at + c] = s, to
-    owner, target = np.array(owner, np.int32), np.array(target, np.int32)
-    single = np.flatnonzero(sizes == 1)
-    slots = (np.flatnonzero(owner[256:] < 0) + 256)[: len(single)]
-    row = np.array([next(iter(nxt[s].items())) for s in single.tolist()], np.int32).reshape(-1, 2)
-    base[single] = slots - row[:, 0]
-    owner[slots], target[slots] = single, row[:, 1]
-    return base, np.r_[owner, np.full(512, -1, np.int32)], np.r_[target, np.zeros(512, np.int32)]
+            owner[at + c], target[at + c] = at, to
+    free = 256
+    for s in np.flatnonzero(sizes == 1).tolist():
+        ((c, to),) = nxt[s].items()
+        while True:
+            while free < len(owner) and owner[free] >= 0:
+                free += 1
+            if free + 512 > len(owner):
+                owner += [-1] * 1024
+                target += [0] * 1024
+            if free - c not in used:
+                break
+            free += 1
+        used.add(free - c)
+        place[s], owner[free], target[free] = free - c, free - c, to
+        free += 1
+    last = len(owner)  # behind it nothing is owned
+    place, owner = np.array(place, np.int64), np.array(owner + [-1] * 512, np.int64)
+    place[sizes == 0] = last
+    target = np.array(target + [0] * 512, np.int64)
+    return place, np.where(owner >= 0, owner << 32 | place[target], -1)
 
 
 @lru_cache(maxsize=1)
@@ -117,22 +136,22 @@ class CrossParser:
         self.languages = sorted(samples)
         self.limits = None if limits is None else np.array([limits[x] for x in self.languages])
         self.lower, self.letter = _alphabet()
-        parts, begins, self.roots, self.bits, states, slots = [], [], [], [], 0, 0
+        tables, begins, self.roots, self.bits, behind = [], [], [], [], 0
         for language in self.languages:
             codes, _ = self._symbols([samples[language]])
             codes = codes[np.cumsum((codes & 0xC0) != 0x80) <= SAMPLE_CHARS]
             nxt = suffix_automaton(codes.tolist())
-            base, owner, target = displaced(nxt)
-            begin = np.full(256, -1, np.int32)
-            begin[list(nxt[0])] = [x + states for x in nxt[0].values()]
+            place, table = displaced(nxt)
+            begin = np.full(256, -1, np.int64)
+            begin[list(nxt[0])] = [place[x] + behind for x in nxt[0].values()]
             begins.append(begin)
-            parts.append((base + slots, np.where(owner >= 0, owner + states, -1), target + states))
-            self.roots.append(states)
+            tables.append(np.where(table >= 0, table + (behind << 32 | behind), -1))
+            self.roots.append(place[0] + behind)
             self.bits.append(np.log2(len(codes) + 2))
-            states, slots = states + len(base), slots + len(owner)
-        self.base, self.owner, self.target = (np.concatenate(x).astype(np.int32) for x in zip(*parts)) if parts else (np.zeros(0, np.int32),) * 3
-        self.begin = np.array(begins, np.int32).reshape(-1, 256)
-        self.roots = np.array(self.roots, np.int32)[:, None]
+            behind += len(table)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        self.begin = np.array(begins, np.int64).reshape(-1, 256)
+        self.roots = np.array(self.roots, np.int64)[:, None]
         self.bits = np.array(self.bits)
 
     def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +185,9 @@ class CrossParser:
 
     def _step(self, row: np.ndarray, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States after a symbol each, and the phrases that end by it (before it, and at it if none begins with it)."""
-        slot = self.base[state] + code
-        nxt = self.target[slot]
-        off = np.flatnonzero(self.owner[slot] != state)
+        found = self.table[state + code]
+        nxt = found & _PLACE
+        off = np.flatnonzero(found >> 32 != state)
         ended = np.zeros(len(state), np.int32)
         root, first = self.roots[row[off], 0], self.begin[row[off], code[off]]
         ended[off] = (state[off] != root).astype(np.int32) + (first < 0)
@@ -191,9 +210,9 @@ class CrossParser:
         for t in range(int(sizes[0]) if len(sizes) else 0):
             m = active[t]
             code, now = codes[at[:m] + t], state[:, :m]
-            slot = self.base[now] + code
-            nxt = self.target[slot]
-            row, off = np.nonzero(self.owner[slot] != now)  # a phrase ends before the symbol, and one at it if no phrase begins with it
+            found = self.table[now + code]
+            nxt = found & _PLACE
+            row, off = np.nonzero(found >> 32 != now)  # a phrase ends before the symbol, and one at it if no phrase begins with it
             first, root = self.begin[row, code[off]], self.roots[row, 0]
             count[row, off] += (now[row, off] != root).astype(np.int32) + (first < 0)
             nxt[row, off] = np.where(first < 0, root, first)
