@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import filters
-from quillspark.operators import accessibility, hierarchy, metadata, model
+from quillspark.operators import accessibility, families, hierarchy, metadata, model, profiles
+from quillspark.sources import documents
 from quillspark.sources import documents as d
 
 
@@ -61,3 +62,30 @@ def test_xref_facts(spark):
     good = b"xref\n0 1\n0000000000 65535 f \ntrailer << /Prev 12 >>"
     files = d.from_memory(spark, {"good": good, "bad": b"xref\n0 1\n0 f\ntrailer << /XRefStm 7 >>"})
     assert {(r.doc_id, r.kind, r.value) for r in d.xref_facts(files).collect()} == {("good", "EolMarkersComply", None), ("good", "PrevOffset", 12), ("bad", "MalformedClassic", None), ("bad", "HybridOffset", 7)}
+
+
+def test_entries_take_keys_and_values_in_turn(spark):
+    large = "<< " + " ".join(f"/K{i} ({i} \\) x) /R{i} {i} 0 R /D{i} << /A << /B <00> >> >>" for i in range(4000)) + " >>"
+    rows = spark.createDataFrame([(0, "<< /S /P /P 31 0 R /K [1 0 R << /X 2 >>] /T(a /Q b)/U<</V/W>>/Z true>>"), (1, large), (2, "<<>>"), (3, None)], "i int, body string")
+    got = {r.i: r for r in rows.select("i", families.entries(F.col("body")).alias("e")).select("i", "e", F.transform("e", families.key_of).alias("k"), families.value_of(F.col("e"), "P").alias("p")).collect()}
+    assert got[0].k == ["S", "P", "K", "T", "U", "Z"] and got[0].p == "31 0 R" and got[0].e[4] == "/U<</V/W>>"
+    assert len(got[1].k) == 12_000 and got[1].p is None and got[2].k == [] and got[3].k is None
+
+
+def test_families_and_links_of_nothing(spark):
+    empty = documents.objects(documents.from_memory(spark, {"x": b""}))
+    rows = families.typed(empty)
+    assert rows.count() == 0 and families.typed_links(rows).count() == 0 and families.page_fonts(rows).count() == 0 and families.appearance_types(rows).count() == 0
+    assert families.link_schema(spark).filter("family = 'catalog'").count() == 9
+
+
+def test_detection_of_profiles(spark):
+    docs = spark.createDataFrame([(i,) for i in range(5)], "doc_id int")
+    claims = spark.createDataFrame([(0, 0, "pdfa", 2, "b"), (0, 1, "pdfua", 1, None), (1, 0, "pdfua", 2, None), (1, 1, "pdfa", 2, "b"), (2, 0, "pdfa", 9, "b"), (3, 0, "pdfa", 9, "b"), (3, 1, "pdfua", 1, "")], "doc_id int, ordinal int, family string, part int, conformance string")
+    catalogue = spark.createDataFrame([("pdfa", 2, "b", "A2b"), ("pdfua", 1, "", "U1"), ("pdfua", 2, None, "U2")], "family string, part int, conformance string, profile_id string")
+    got = {(r.doc_id, r.ordinal): (r.profile_id, r.outcome) for r in profiles.detect_profiles(docs, claims, catalogue).collect()}
+    assert got == {
+        (0, 0): ("A2b", "selected"), (0, 1): ("U1", "selected"), (1, 0): ("U2", "selected"), (1, 1): (None, "incompatible"), (2, 0): (None, "unsupported"), (2, None): (None, "none"),
+        (3, 0): (None, "unsupported"), (3, 1): ("U1", "selected"), (4, None): (None, "none"),
+    }
+    assert profiles.detect_profiles(docs, claims.limit(0), catalogue, "A2b").filter("outcome = 'fallback' AND profile_id = 'A2b'").count() == 5
