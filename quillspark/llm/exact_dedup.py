@@ -96,18 +96,20 @@ def deduplicated(docs: DataFrame, head_chars: int = HEAD_CHARS, key: Callable[[C
     """
     partitions = shuffle_partitions(docs.sparkSession)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    norm = normalised(F.coalesce(F.col("row").getField("text"), F.lit("")))
     rows = docs.select(whole.alias("row"), F.col("doc_id").alias("id"), normalised(text_or_empty()).alias("norm"))
     rows = rows.withColumn("head", F.substring("norm", 1, head_chars)).withColumn("key", key(F.col("norm")))
     hot = _hot_keys(rows, partitions)
+    light = rows.drop("norm")  # made again behind the exchange, so that a text travels once
 
     def firsts(dealt: DataFrame, *place: str) -> DataFrame:
         in_order = Window.partitionBy(*place).orderBy("norm", F.col("id").desc())
         before = F.lag("norm").over(in_order)
-        return dealt.withColumn("opens", before.isNull() | (before != F.col("norm"))).filter("opens")
+        return dealt.withColumn("norm", norm).withColumn("opens", before.isNull() | (before != F.col("norm"))).filter("opens")
 
-    cold = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").repartitionByRange("head", "key")
-    salted = rows.join(F.broadcast(hot.select("key")), "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(partitions)))
-    some = firsts(salted.repartitionByRange("key", "salt"), "head", "key", "salt").select("row", "id", "norm", "head", "key")
+    cold = light.join(F.broadcast(hot.select("key")), "key", "left_anti").repartitionByRange("head", "key")
+    salted = light.join(F.broadcast(hot.select("key")), "key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(partitions)))
+    some = firsts(salted.repartitionByRange("key", "salt"), "head", "key", "salt").select("row", "id", "head", "key")
     some = materialise(some, "exact-dedup-hot")  # a row for each salt of a hot text
     both = firsts(cold, "head", "key").select("row").unionByName(firsts(some, "head", "key").select("row"))
     return both.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
