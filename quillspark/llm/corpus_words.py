@@ -1,10 +1,10 @@
 """Texts as sequences of the corpus's distinct words, so that each word is tokenised once.
 
 Tasks split their texts into words and code each text as places in the word list of its block, a bounded
-run of texts; texts and lists are written once, together.  The distinct words of the corpus are
-partitioned by word and get their ids there.  The ids join the blocks' lists by word, and each block's
-texts are read off its list.  What is shuffled are words and codes, not texts; a block is bounded, so no
-group grows with the corpus.
+run of texts; texts and lists are written once, together.  The lists' entries are partitioned and sorted by
+word, so that a word of the corpus gets its ids once, and go back to their blocks with them, whose texts
+are read off their lists.  What is shuffled are words and codes, not texts.  A block is bounded and has a
+word once, so no group grows faster than the number of blocks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, materialise, release, shuffle_partitions, slices, text_or_empty
+from quillspark.llm.common import bounded_batches, materialise, release, shuffle_partitions, text_or_empty
 
-#: Characters of a block of texts (a longer text is a block of its own), and words whose ids are made together.
+#: Characters of a block of texts; a longer text is a block of its own.
 BLOCK_CHARS = 8_000_000
-WORDS_AT_ONCE = 50_000
 
 
 class Block:
@@ -59,9 +58,9 @@ def _blocks(batches: Iterator[pd.DataFrame], split: Callable[[str], list[str]])
         n, words = len(block.texts), len(block.place)
         return pd.DataFrame(
             {
-                "block": uuid.uuid4().hex,
+                "block": uuid.uuid4().int >> 65,
                 "doc_id": pd.array([x for x, _ in block.texts] + [None] * words, "Int64"),
-                "place": pd.array([None] * n + list(range(words)), "Int64"),
+                "place": pd.array([None] * n + list(range(words)), "Int32"),
                 "word": [None] * n + list(block.place),
                 "codes": [codes.astype(width).tobytes() for _, codes in block.texts] + [None] * words,
                 "n_words": pd.array([words] * n + [None] * words, "Int64"),
@@ -79,11 +78,16 @@ def _blocks(batches: Iterator[pd.DataFrame], split: Callable[[str], list[str]])
 
 
 def _learnt(batches: Iterator[pd.DataFrame], learner: Callable[[], Callable[[list[str]], list[bytes]]]) -> Iterator[pd.DataFrame]:
+    """Entries in order of their words -> the same with ids; a word that goes on in the next batch is remembered."""
     learn = learner()
+    known: tuple[list[str], list[bytes]] = ([], [])
     for batch in batches:
         words = batch["word"].tolist()
-        for start, end in slices([1] * len(words), WORDS_AT_ONCE):
-            yield pd.DataFrame({"word": words[start:end], "ids": learn(words[start:end])})
+        ids = dict(zip(*known))
+        new = [x for x in dict.fromkeys(words) if x not in ids]
+        ids.update(zip(new, learn(new)))
+        known = (words[-1:], [ids[x] for x in words[-1:]])
+        yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "ids": [ids[x] for x in words]})
 
 
 def _block_texts(words: pd.DataFrame, texts: pd.DataFrame, summary: Callable[[np.ndarray], list[tuple]], names: list[str]) -> pd.DataFrame:
@@ -103,14 +107,11 @@ def per_text(docs: DataFrame, split: Callable[[str], list[str]], learner: Callab
     """
     rows = bounded_batches(docs).select("doc_id", text_or_empty().alias("text"))
     # written once, so that texts and words are of the same blocks
-    kinds = "block string, doc_id long, place long, word string, codes binary, n_words long"
+    kinds = "block long, doc_id long, place int, word string, codes binary, n_words long"
     blocks = materialise(rows.mapInPandas(lambda b: _blocks(b, split), kinds), "corpus-blocks")
-    lists = blocks.filter("word IS NOT NULL").select("block", "place", "word")
     n = shuffle_partitions(docs.sparkSession)
-    distinct = lists.select("word").distinct().repartition(n, "word")
-    # written, so that the join with the word lists has two plain exchanges, whose large partitions Spark can split
-    learnt = materialise(distinct.mapInPandas(lambda b: _learnt(b, learner), "word string, ids binary"), "corpus-words")
-    listed = lists.join(learnt, "word").select("block", "place", "ids")
+    lists = blocks.filter("word IS NOT NULL").select("block", "place", "word").repartition(n, "word").sortWithinPartitions("word")
+    listed = bounded_batches(lists).mapInPandas(lambda b: _learnt(b, learner), "block long, place int, ids binary")
     texts = blocks.filter("codes IS NOT NULL").select(F.col("block").alias("of_block"), "doc_id", "codes", "n_words")
     names = [x.split()[0] for x in schema.split(", ")]
 
