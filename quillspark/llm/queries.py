@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import byte_bpe, exact_dedup, flac, html_text, language_id, packing, quality, simhash, url_filter, warc
+from quillspark.llm import byte_bpe, exact_dedup, filter_audit, flac, html_text, language_id, packing, quality, simhash, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op2_warc": warc.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
