@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import byte_bpe, exact_dedup, filter_audit, flac, html_text, language_id, packing, quality, simhash, spelling, url_filter, warc
+from quillspark.llm import byte_bpe, exact_dedup, filter_audit, flac, html_text, language_id, packing, quality, setsketch, simhash, spelling, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_setsketch_near_dedup": setsketch.op12_setsketch_near_dedup,
     "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op2_warc": warc.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_setsketch_near_dedup": setsketch.ORACLE_SQL,
     "op13_spelling_variants": spelling.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:

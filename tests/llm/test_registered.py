@@ -28,8 +28,8 @@ def run(spark, sf_dir, name):
 
 
 def test_names():
-    assert [f"op{n}_" for n in range(1, 12)] == [n[: n.index("_") + 1] for n in QUERIES if n != "pipeline"]
-    assert set(ORACLE_SQL) == {"op1_url_filter", "op2_warc", "op6_exact_dedup", "op11_filter_audit", "op13_spelling_variants"}
+    assert [f"op{n}_" for n in range(1, 14)] == [n[: n.index("_") + 1] for n in QUERIES if n != "pipeline"]
+    assert set(ORACLE_SQL) == {"op1_url_filter", "op2_warc", "op6_exact_dedup", "op11_filter_audit", "op12_setsketch_near_dedup", "op13_spelling_variants"}
 
 
 def test_op3(spark, sf_dir, docs):
