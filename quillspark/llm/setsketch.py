@@ -10,10 +10,11 @@
    from the numbers of registers above, below and equal, jointly with the sets' known sizes; the likelihood
    has its maximum at a root of a quadratic equation, as the scale's base is near 1.  Pairs five deviations
    below the limit go; the others are verified on the sets of 64-bit shingle hashes.
-4. Buckets whose nodes are in different components then are not finished: their nodes are compared by
-   registers with all nodes of other components there, first for the best partner of each node until that
-   links nothing more, then for every likely partner.  All of these are verified on the sets.  A bucket
-   above ``HOT_BUCKET`` is cut into parts; a node visits all parts unless it is in the bucket's largest
+4. Buckets whose nodes are in different components then are not finished: their nodes come together once
+   more, with their sets.  Each node outside the bucket's largest component is compared by registers with the
+   nodes of other components there, and the likely ones are verified in the task, by counting shared hashes
+   in an index of the bucket.  A link merges two components at once, so that a bucket yields no more links
+   than it has nodes.  A large bucket is cut into parts; a node visits all parts unless it is in the largest
    component, whose own nodes needn't be compared with each other.
 
 Sets are made again from the texts for nodes in shared buckets only, which costs less than storing all.
@@ -39,7 +40,8 @@ BANDS, BAND = 36, 5
 REGISTERS = BANDS * BAND
 #: Deviations of the estimate below the limit at which a pair is given up.
 DEVIATIONS = 5.0
-HOT_BUCKET = 4096
+#: Shingles that live in a part of a bucket.
+PART_SHINGLES = 1 << 20
 BATCH_CHARS, CHUNK, SEED = 1_000_000, 1 << 15, 42
 _FACTORS = np.random.default_rng(SEED).integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -120,9 +122,9 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     release()
     for batch in batches:
-        sets = [shingle_set(t) for t in batch["text"]]
-        same = [xxhash.xxh3_128_digest(s.tobytes()) == node for s, node in zip(sets, batch["node"])]
-        yield pd.DataFrame({"node": [n for n, y in zip(batch["node"], same) if y], "hashes": [s.view(np.int64) for s, y in zip(sets, same) if y]})
+        sets = [shingle_set(t).tobytes() for t in batch["text"]]
+        same = [xxhash.xxh3_128_digest(s) == node for s, node in zip(sets, batch["node"])]
+        yield pd.DataFrame({"node": [n for n, y in zip(batch["node"], same) if y], "hashes": [s for s, y in zip(sets, same) if y]})
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -137,45 +139,76 @@ def _likely_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.loc[keep, ["a", "b"]]
 
 
+def _similar(both: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    return both * (100 + PERCENT) >= PERCENT * (size_a + size_b)
+
+
+def _verified_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release()
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch["hashes_a"], batch["hashes_b"]):
+            merged = np.sort(np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)]))
+            keep.append(bool(_similar(np.count_nonzero(merged[1:] == merged[:-1]), len(a) // 8, len(b) // 8)))
+        yield batch.loc[keep, ["a", "b"]]
+
+
 class _Home:
-    """The nodes that live in a part of a bucket."""
+    """The nodes that live in a part of a bucket, with an index from hashes to nodes."""
 
     def __init__(self) -> None:
         self.frames: list[pd.DataFrame] = []
-        self.rows: pd.DataFrame | None = None
+        self.regs: np.ndarray | None = None
 
     def close(self) -> None:
-        if self.rows is None:
-            self.rows = pd.concat(self.frames, ignore_index=True)
-            self.regs, self.sizes = _stack(self.rows["regs"]), self.rows["n_shingles"].to_numpy()
-            self.nodes, self.roots = self.rows["node"].to_numpy(object), self.rows["root"].to_numpy(object)
-
-    def partners(self, guests: pd.DataFrame, best: bool) -> Iterator[tuple[bytes, bytes]]:
-        """The likely partners in other components of each of *guests* outside the bucket's largest component, or the likeliest."""
+        if self.regs is None:
+            rows = pd.concat(self.frames, ignore_index=True)
+            self.regs, self.sizes, self.nodes = _stack(rows["regs"]), rows["n_shingles"].to_numpy(), rows["node"].to_numpy(object)
+            self.numbers: dict[bytes, int] = {}
+            self.roots = np.array([self.numbers.setdefault(r, len(self.numbers)) for r in rows["root"]])
+            hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            self.hashes, self.owners = hashes[order], np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)[order]
+
+    def shared(self, mine: np.ndarray) -> np.ndarray:
+        """How many of the hashes *mine* each node has."""
+        begin, end = (np.searchsorted(self.hashes, mine, side) for side in ("left", "right"))
+        some = end > begin
+        runs = end[some] - begin[some]
+        place = np.arange(runs.sum()) + np.repeat(begin[some] - np.cumsum(runs) + runs, runs)
+        return np.bincount(self.owners[place], minlength=len(self.nodes))
+
+    def links(self, guests: pd.DataFrame) -> Iterator[tuple[bytes, bytes]]:
+        """A link from each of *guests* outside the bucket's largest component to each other component that has one; components merge as they are linked."""
         for g in guests[~guests["largest"]].itertuples(index=False):
-            other = np.flatnonzero(self.roots != g.root)
-            if len(other):
-                mine = np.frombuffer(g.regs, "<u2")
-                near = other[(self.regs[other] == mine).sum(1) * 2 > REGISTERS]
-                keep, found = likely(np.broadcast_to(mine, (len(near), REGISTERS)), self.regs[near], np.full(len(near), g.n_shingles), self.sizes[near])
-                near, found = near[keep], found[keep]
-                if best and len(near):
-                    near = near[[int(np.argmax(found))]]
-                yield from ((min(g.node, x), max(g.node, x)) for x in self.nodes[near])
-
-
-def _open_pairs(batches: Iterator[pd.DataFrame], best: bool) -> Iterator[pd.DataFrame]:
-    """Likely pairs across components, of rows sorted by bucket and part, those at home before those that visit."""
+            number = self.numbers.setdefault(g.root, len(self.numbers))
+            other = np.flatnonzero(self.roots != number)
+            mine = np.frombuffer(g.regs, "<u2")
+            near = other[(self.regs[other] == mine).sum(1) * 2 > REGISTERS]
+            if len(near):
+                keep, _ = likely(np.broadcast_to(mine, (len(near), REGISTERS)), self.regs[near], np.full(len(near), g.n_shingles), self.sizes[near])
+                near = near[keep]
+            if len(near):
+                near = near[_similar(self.shared(np.frombuffer(g.hashes, np.uint64))[near], g.n_shingles, self.sizes[near])]
+            while len(near):
+                yield g.node, self.nodes[near[0]]
+                gone = self.roots[near[0]]
+                self.roots[self.roots == gone] = number
+                self.numbers = {r: number if n == gone else n for r, n in self.numbers.items()}
+                near = near[self.roots[near] != number]
+
+
+def _open_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links across components, of rows sorted by bucket and part, those at home before those that visit."""
     release()
-    key, home, found = None, _Home(), set()
+    key, home, found = None, _Home(), []
 
     def finish() -> None:
         if home.frames:
             home.close()
-            found.update(home.partners(home.rows, best))
+            found.extend(home.links(pd.concat(home.frames)))
 
     for batch in batches:
-        batch = batch.assign(root=batch["root"].map(bytes), node=batch["node"].map(bytes))
         for (bucket, part, visits), rows in batch.groupby(["bucket", "part", "visits"], sort=True):
             if key != (bucket, part):
                 finish()
@@ -184,37 +217,27 @@ def _open_pairs(batches: Iterator[pd.DataFrame], best: bool) -> Iterator[pd.Data
                 home.frames.append(rows)
             elif home.frames:
                 home.close()
-                found.update(home.partners(rows, best))
-        if len(found) > 20_000:
-            yield pd.DataFrame(list(found), columns=["a", "b"])
-            found.clear()
+                found.extend(home.links(rows))
+        yield pd.DataFrame(found, columns=["a", "b"])
+        found.clear()
     finish()
-    if found:
-        yield pd.DataFrame(list(found), columns=["a", "b"])
+    yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The *pairs* ``a``, ``b`` whose ``hashes`` in *sets* have an intersection of 80 percent of their union."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("hashes_a") + F.size("hashes_b")).alias("sum"))
-    return met.filter(F.col("both").cast("long") * (100 + PERCENT) >= PERCENT * F.col("sum").cast("long")).select("a", "b")
-
-
-def _open_rows(shared: DataFrame, nodes: DataFrame, roots: DataFrame, hot_bucket: int) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt to parts of at most about *hot_bucket* rows that live there."""
-    rows = materialise(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "setsketch-rooted")
-    kinds = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    kinds = kinds.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "root")).alias("most")).filter("kinds > 1")
-    kinds = materialise(kinds.select("bucket", F.ceil(F.col("n") / F.lit(hot_bucket)).cast("int").alias("parts"), F.col("most.root").alias("largest_root")), "setsketch-open")
+def _open_rows(shared: DataFrame, nodes: DataFrame, roots: DataFrame, part_shingles: int) -> DataFrame:
+    """Rows of the buckets that hold several components, dealt to parts in which about *part_shingles* at most live."""
+    labelled = nodes.select("node", "n_shingles").join(roots, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root"))
+    rows = materialise(shared.join(labelled, "node").select("bucket", "node", "n_shingles", "root"), "setsketch-rooted")
+    kinds = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum(F.col("n_shingles") + 64).alias("size"))
+    kinds = kinds.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "root")).alias("most")).filter("kinds > 1")
+    kinds = materialise(kinds.select("bucket", F.ceil(F.col("size") / F.lit(part_shingles)).cast("int").alias("parts"), F.col("most.root").alias("largest_root")), "setsketch-open")
     home = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     open_ = rows.join(kinds, "bucket").withColumn("home", home).withColumn("largest", F.col("root") == F.col("largest_root"))
     open_ = open_.withColumn("part", F.explode(F.when(F.col("largest"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    open_ = materialise(open_.select("bucket", "part", (F.col("part") != F.col("home")).alias("visits"), "node", "root", "largest"), "setsketch-dealt")
-    return open_.join(nodes.select("node", "n_shingles", "regs"), "node")
+    return materialise(open_.select("bucket", "part", (F.col("part") != F.col("home")).alias("visits"), "node", "root", "largest"), "setsketch-dealt")
 
 
-def links(nodes: DataFrame, texts: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def links(nodes: DataFrame, texts: DataFrame, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """``node``, ``root`` of all linked *nodes* (``node``, ``n_shingles``, ``regs``, ``digest`` of a text); *texts* has ``digest``, ``text``."""
     size = 2 * BAND
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", size * i + 1, size)) for i in range(BANDS)]))
@@ -222,37 +245,29 @@ def links(nodes: DataFrame, texts: DataFrame, hot_bucket: int = HOT_BUCKET) -> D
     counts = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "setsketch-counts")
     shared = materialise(banded.join(counts, "bucket"), "setsketch-shared")
     crowd = materialise(shared.groupBy("node").agg(F.sum("n").alias("crowd")), "setsketch-crowd")
-    needed = nodes.join(crowd, "node", "left_semi").select("node", F.col("digest").alias("node_digest"))
+    some = materialise(nodes.join(crowd, "node", "left_semi"), "setsketch-some")
+    needed = some.select("node", F.col("digest").alias("node_digest"))
     sets = texts.join(needed, F.col("digest") == F.col("node_digest")).select("node", "text")
-    sets = materialise(sets.mapInPandas(_sets, "node binary, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "setsketch-sets")
+    sets = materialise(sets.mapInPandas(_sets, "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), "setsketch-sets")
 
     centres = shared.join(crowd, "node").groupBy("bucket").agg(F.max(F.struct("crowd", "node")).alias("most"))
     centres = materialise(centres.select("bucket", F.col("most.node").alias("centre")), "setsketch-centres")
     star = shared.join(centres, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     star = materialise(star, "setsketch-stars")
-    left, right = (nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
-    tried = materialise(star.join(left, "a").join(right, "b").mapInPandas(_likely_pairs, "a binary, b binary"), "setsketch-likely")
-    linked = materialise(verified(tried, sets), "setsketch-links")
-
-    best = True
-    while True:
-        roots = components(linked)
-        open_ = _open_rows(shared.select("bucket", "node"), nodes, roots, hot_bucket)
-        if open_.isEmpty():
-            return roots
-        dealt = open_.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "visits")
-        found = dealt.mapInPandas(lambda b, best=best: _open_pairs(b, best), "a binary, b binary").distinct()
-        fresh = materialise(found.join(tried, ["a", "b"], "left_anti"), "setsketch-pairs")
-        new = materialise(verified(fresh, sets), "setsketch-links")
-        grew = not new.isEmpty()
-        if grew:
-            linked = linked.unionByName(new)
-        if not best:
-            return components(linked) if grew else roots
-        tried, best = tried.unionByName(fresh), grew
-
-
-def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    left, right = (some.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
+    pairs = materialise(star.join(left, "a").join(right, "b").mapInPandas(_likely_pairs, "a binary, b binary"), "setsketch-likely")
+    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
+    linked = materialise(pairs.join(left, "a").join(right, "b").mapInPandas(_verified_pairs, "a binary, b binary"), "setsketch-links")
+
+    roots = components(linked)
+    open_ = _open_rows(shared.select("bucket", "node"), some, roots, part_shingles)
+    dealt = open_.join(some.select("node", "n_shingles", "regs"), "node").join(sets, "node")
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "visits")
+    more = materialise(dealt.mapInPandas(_open_links, "a binary, b binary").distinct(), "setsketch-links")
+    return roots if more.isEmpty() else components(linked.unionByName(more))
+
+
+def near_duplicates(docs: DataFrame, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of *docs* (``doc_id``, ``text``).
 
     Texts are linked if the intersection of their sets of four-word shingles is at least 80 percent of the
@@ -265,7 +280,7 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     rows = materialise(texts.mapInPandas(_sketches, "doc_id long, digest long, n_shingles long, node binary, regs binary"), "setsketch-rows")
     some = rows.filter("n_shingles > 0")
     nodes = materialise(some.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min("digest").alias("digest"), F.first("regs").alias("regs")), "setsketch-nodes")
-    roots = links(nodes.drop("first_id"), texts.select("digest", "text"), hot_bucket)
+    roots = links(nodes.drop("first_id"), texts.select("digest", "text"), part_shingles)
     # written, so that the joins have plain exchanges on both sides, whose large partitions Spark can split
     rooted = materialise(nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "setsketch-roots")
     ids = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "setsketch-ids")

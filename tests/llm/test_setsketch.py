@@ -49,9 +49,9 @@ def slow_near(rows):
     return sorted(out, key=str)
 
 
-def check(spark, rows, hot_bucket=4096, parts=None):
+def check(spark, rows, part_shingles=1 << 20, parts=None):
     docs = spark.createDataFrame([(*r, "clash", 1, "c") for r in rows], SCHEMA)
-    got = near_duplicates(docs.repartition(parts) if parts else docs, hot_bucket)
+    got = near_duplicates(docs.repartition(parts) if parts else docs, part_shingles)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == slow_near(rows)
 
@@ -63,10 +63,10 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize("hot_bucket", [4096, 5])
-def test_groups_around_the_limit(spark, hot_bucket):
+@pytest.mark.parametrize("part_shingles", [1 << 20, 1000])
+def test_groups_around_the_limit(spark, part_shingles):
     """Copies of copies, whose links are found only if a bucket's nodes are compared beyond its centre."""
-    rng, rows = random.Random(hot_bucket), []
+    rng, rows = random.Random(part_shingles), []
     for g in range(6):
         base = [f"w{rng.randrange(5000)}" for _ in range(120 + 40 * g)]
         members = [base]
@@ -76,7 +76,7 @@ def test_groups_around_the_limit(spark, hot_bucket):
     rows += [(i, " ".join(f"u{rng.randrange(10**5)}" for _ in range(80))) for i in range(40)]
     passage = " ".join(f"p{i}" for i in range(60))
     rows += [(500 + i, f"{passage} " + " ".join(f"v{rng.randrange(10**5)}" for _ in range(40))) for i in range(60)]
-    check(spark, rows, hot_bucket)
+    check(spark, rows, part_shingles)
 
 
 def test_odd_rows(spark):
@@ -103,7 +103,7 @@ def test_same_rows_at_any_partitioning(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(edited(rng, base, rng.randint(0, 6)))) for i in range(80)] + [(200 + i, " ".join(base)) for i in range(50)]
-    check(spark, rows, 10, 64)
+    check(spark, rows, 2000, 64)
 
 
 def test_registers_merge_and_collide_as_similarity_says():
