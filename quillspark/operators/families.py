@@ -1,7 +1,7 @@
 """Typed model objects and their links from object rows (see ``sources.documents``).
 
 Every family comes from one pass over the objects: the family, keys and links of a dictionary are
-expressions over its text, so a filter on families prunes what isn't asked for.  Links are rows
+expressions over its nested value, so a filter on families prunes what isn't asked for.  Links are rows
 ``doc_id``, ``src``, ``src_family``, ``link``, ``ord``, ``dst``; a target is looked up by an equi-join.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import nested
 from quillspark.operators import model
 from quillspark.operators.model import lookup
 
@@ -37,50 +38,36 @@ LINKS: dict[str, tuple[tuple[str, str], ...]] = {
     "image": (("SMask", "image"), ("Mask", "image"), ("Metadata", "metadata")),
 }
 
-_NAME = r"[^\s/<>\[\]()]+"
+ACTIONS = ("GoTo", "GoToR", "GoToE", "URI", "Launch", "Named", "JavaScript", "SubmitForm", "ResetForm", "ImportData", "Thread", "Sound", "Movie", "Hide", "SetOCGState", "Rendition", "Trans", "GoTo3DView")
 
 
-def entries(body: Column) -> Column:
-    """The entries of a dictionary in order of its text, each as its key and value (``/Key value``).
-
-    A value may be a dictionary (three levels of them), reference, array, string, name or other word.  Keys
-    and values are taken in turn, so a name that is a value is no key.
-    """
-    text = rf"[^<>]++|<[0-9A-Fa-f\s]*+>"
-    nested = rf"<<(?:{text}|<<(?:{text}|<<(?:{text})*+>>)*+>>)*+>>"
-    value = rf"(?:{nested}|\d+\s+\d+\s+R\b|\[[^\]]*+\]|\((?:[^()\\]++|\\.)*+\)|<[0-9A-Fa-f\s]*+>|/{_NAME}|[^\s/<>\[\]()]+)"
-    inner = F.regexp_replace(body, r"(?s)^\s*<<|>>\s*$", "")
-    return F.regexp_extract_all(inner, F.lit(rf"(?s)/{_NAME}\s*{value}"), F.lit(0))
-
-
-def key_of(entry: Column) -> Column:
-    return F.regexp_extract(entry, rf"^/({_NAME})", 1)
+def text_at(*keys: str | int) -> Column:
+    """The value at nested keys of a row as text (``/Name``, ``7 0 R``, ``(text)``, ``42``); null where it is absent."""
+    return nested.at(F.col("value"), *keys, kind="string")
 
 
-def value_of(own: Column, key: str) -> Column:
-    """The text of the value at a key among :func:`entries`, the first of them; null where it is absent."""
-    found = F.get(F.filter(own, lambda e: key_of(e) == key), F.lit(0))
-    return F.regexp_replace(found, rf"^/{_NAME}\s*", "")
+def _target(text: Column) -> Column:
+    return F.regexp_extract(text, r"^(\d+) \d+ R$", 1).try_cast("bigint")
 
 
 def typed(objects: DataFrame) -> DataFrame:
-    """Object rows with ``entries``, ``keys`` and ``family``; the family is null where none fits."""
-    rows = objects.withColumn("entries", F.when(F.col("kind").isin("dictionary", "stream"), entries(F.col("body"))))
-    rows = rows.withColumn("keys", F.transform("entries", key_of))
+    """Object rows with ``keys`` and ``family``; the family is null where none fits."""
+    rows = objects.withColumn("keys", F.when(F.col("kind").isin("dictionary", "stream"), nested.own_keys(F.col("value"))))
     known = model.family(F.col("type"), F.col("subtype"), F.coalesce("keys", F.array().cast("array<string>")))
     has = lambda *names: F.arrays_overlap(F.col("keys"), F.array(*map(F.lit, names)))
     by_shape = (
         F.when(F.col("subtype").isin(*ANNOTATION_SUBTYPES) & has("Rect"), "annotation")
         .when(has("Title") & has("Parent") & has("First", "Next", "Prev", "Dest", "A"), "outline")
-        .when(F.col("body").rlike(r"/S\s*/(GoTo|GoToR|GoToE|URI|Launch|Named|JavaScript|SubmitForm|ResetForm|ImportData|Thread|Sound|Movie|Hide|SetOCGState|Rendition|Trans|GoTo3DView)\b"), "action")
+        .when(text_at("S").isin(*[f"/{a}" for a in ACTIONS]), "action")
     )
     return rows.withColumn("family", F.coalesce(lookup(MORE_TYPES, F.col("type")), known, by_shape))
 
 
 def _under(key: str) -> Column:
-    """The references in a row's value at *key*, as structs (link, dst)."""
-    numbers = F.regexp_extract_all(F.coalesce(value_of(F.col("entries"), key), F.lit("")), F.lit(r"(\d+)\s+\d+\s+R"), F.lit(1))
-    return F.transform(numbers, lambda x: F.struct(F.lit(key).alias("link"), x.try_cast("bigint").alias("dst")))
+    """The references in a row's value at *key*, as structs (link, dst): the value itself, or an array's or dictionary's own members."""
+    found = F.transform(nested.members(nested.at(F.col("value"), key)), lambda v: _target(F.try_variant_get(v, "$", "string")))
+    found = F.filter(F.coalesce(found, F.array().cast("array<bigint>")), lambda x: x.isNotNull())
+    return F.transform(found, lambda x: F.struct(F.lit(key).alias("link"), x.alias("dst")))
 
 
 def typed_links(objects: DataFrame, families: Sequence[str] | None = None) -> DataFrame:
@@ -114,13 +101,12 @@ def linked_objects(objects: DataFrame, links: DataFrame) -> DataFrame:
 
 def pages(objects: DataFrame) -> DataFrame:
     """``doc_id``, ``node``, ``parent`` of the page tree's nodes (``leaf`` for a page), for the operators on hierarchies."""
-    parent = F.regexp_extract(value_of(F.col("entries"), "Parent"), r"(\d+)", 1).try_cast("bigint")
-    return objects.filter(F.col("family").isin("page", "pageTree")).select("doc_id", F.col("number").alias("node"), parent.alias("parent"), (F.col("family") == "page").alias("leaf"))
+    return objects.filter(F.col("family").isin("page", "pageTree")).select("doc_id", F.col("number").alias("node"), _target(text_at("Parent")).alias("parent"), (F.col("family") == "page").alias("leaf"))
 
 
 def inherited_values(objects: DataFrame, key: str) -> DataFrame:
     """``doc_id``, ``node``, ``value``: of each page the text at *key*, else the nearest one up its parents."""
-    own = objects.filter(F.col("family").isin("page", "pageTree")).select("doc_id", F.col("number").alias("node"), F.lit("v").alias("family"), F.lit(key).alias("name"), value_of(F.col("entries"), key).alias("object")).filter("object IS NOT NULL")
+    own = objects.filter(F.col("family").isin("page", "pageTree")).select("doc_id", F.col("number").alias("node"), F.lit("v").alias("family"), F.lit(key).alias("name"), text_at(key).alias("object")).filter("object IS NOT NULL")
     tree = pages(objects)
     found = model.effective_resources(tree.drop("leaf"), own)
     return found.join(tree.filter("leaf").select("doc_id", "node"), ["doc_id", "node"], "left_semi").select("doc_id", "node", F.col("object").alias("value"))
@@ -131,13 +117,11 @@ def page_fonts(objects: DataFrame) -> DataFrame:
 
     Resources stand in the page (or page tree) itself or in a dictionary of their own that it refers to.
     """
-    fonts = lambda body: F.regexp_extract_all(F.regexp_extract(body, r"(?s)/Font(?![A-Za-z])\s*<<(.*?)>>", 1), F.lit(rf"/({_NAME})\s+\d+\s+\d+\s+R"), F.lit(0))
     nodes = objects.filter(F.col("family").isin("page", "pageTree"))
-    inline = nodes.select("doc_id", F.col("number").alias("node"), F.explode(fonts(F.col("body"))).alias("f"))
-    refers = nodes.select("doc_id", F.col("number").alias("node"), F.regexp_extract(F.col("body"), r"/Resources\s+(\d+)\s+\d+\s+R", 1).try_cast("bigint").alias("number")).filter("number IS NOT NULL")
-    apart = objects.join(refers, ["doc_id", "number"]).select("doc_id", "node", F.explode(fonts(F.col("body"))).alias("f"))
-    part = lambda i: F.regexp_extract("f", rf"^/({_NAME})\s+(\d+)", i)
-    found = inline.unionByName(apart).select("doc_id", "node", F.lit("font").alias("family"), part(1).alias("name"), part(2).cast("bigint").alias("object"))
+    inline = nodes.select("doc_id", F.col("number").alias("node"), F.explode(nested.at(F.col("value"), "Resources", "Font", kind="map<string,string>")).alias("name", "f"))
+    refers = nodes.select("doc_id", F.col("number").alias("node"), _target(text_at("Resources")).alias("number")).filter("number IS NOT NULL")
+    apart = objects.join(refers, ["doc_id", "number"]).select("doc_id", "node", F.explode(nested.at(F.col("value"), "Font", kind="map<string,string>")).alias("name", "f"))
+    found = inline.unionByName(apart).select("doc_id", "node", F.lit("font").alias("family"), "name", _target(F.col("f")).alias("object")).filter("object IS NOT NULL")
     tree = pages(objects)
     seen = model.effective_resources(tree.drop("leaf"), found)
     return seen.join(tree.filter("leaf").select("doc_id", "node"), ["doc_id", "node"], "left_semi").select("doc_id", "node", "name", "object")
@@ -145,7 +129,8 @@ def page_fonts(objects: DataFrame) -> DataFrame:
 
 def structure_destinations(objects: DataFrame) -> DataFrame:
     """Actions and outline items whose destination's first element is a structure element: ``doc_id``, ``number``."""
-    target = F.regexp_extract(F.coalesce(value_of(F.col("entries"), "SD"), value_of(F.col("entries"), "D"), value_of(F.col("entries"), "Dest")), r"^\[?\s*(\d+)\s+\d+\s+R", 1).try_cast("bigint")
+    first = lambda key: F.coalesce(nested.at(F.col("value"), key, 0, kind="string"), text_at(key))
+    target = _target(F.coalesce(first("SD"), first("D"), first("Dest")))
     named = objects.filter(F.col("family").isin("action", "outline")).select("doc_id", "number", target.alias("target"))
     elements = objects.filter("family = 'structureElement'").select("doc_id", F.col("number").alias("target"))
     return named.join(elements, ["doc_id", "target"], "left_semi").select("doc_id", "number")
@@ -153,9 +138,9 @@ def structure_destinations(objects: DataFrame) -> DataFrame:
 
 def appearance_types(objects: DataFrame) -> DataFrame:
     """``doc_id``, ``number``, ``appearance`` of annotations: Stream, Dictionary, Missing, Other, or null without a normal appearance."""
-    normal = F.regexp_extract(value_of(F.col("entries"), "AP"), r"(?s)/N(?![A-Za-z])\s*(\d+\s+\d+\s+R|<<|[^\s/]+)", 1)
-    notes = objects.filter(F.col("family").isin("annotation", "formField")).select("doc_id", "number", F.when(normal != "", normal).alias("n"))
-    notes = notes.withColumn("target", F.regexp_extract("n", r"^(\d+)\s+\d+\s+R$", 1).try_cast("bigint"))
+    is_dictionary = nested.at(F.col("value"), "AP", "N", kind="map<string,variant>").isNotNull()
+    notes = objects.filter(F.col("family").isin("annotation", "formField")).select("doc_id", "number", F.when(is_dictionary, "<<").otherwise(text_at("AP", "N")).alias("n"))
+    notes = notes.withColumn("target", _target(F.col("n")))
     targets = objects.select("doc_id", F.col("number").alias("target"), F.col("kind").alias("target_kind"))
     rows = notes.join(targets, ["doc_id", "target"], "left")
     by_target = F.when(F.col("target_kind").isNull(), "Missing").when(F.col("target_kind") == "stream", "Stream").when(F.col("target_kind") == "dictionary", "Dictionary").otherwise("Other")
@@ -172,7 +157,7 @@ def embedded_members(entries: DataFrame, files: DataFrame) -> DataFrame:
 def info_values(trailers: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     """``doc_id``, ``value``: the text at *key* in the information dictionary that the last trailer names (``pos``, ``info``)."""
     last = trailers.filter("info IS NOT NULL").groupBy("doc_id").agg(F.max_by("info", "pos").alias("number"))
-    return objects.join(last, ["doc_id", "number"]).select("doc_id", value_of(F.col("entries"), key).alias("value"))
+    return objects.join(last, ["doc_id", "number"]).select("doc_id", text_at(key).alias("value"))
 
 
 def schema_counts(properties: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,20 +4,28 @@ A file is one row of Spark's ``binaryFile`` source.  Facts about the whole file
 bytes, read as Latin-1 text in which a character is a byte.  Objects are found by a scan over a file's
 bytes in the task that holds it: a stream's data ends where its /Length says if ``endstream`` stands there,
 and at the next ``endstream`` otherwise, so keywords inside data or strings end nothing.  The rows
-describe objects, streams, trailers and facts; nested values stay text and are asked by key.  Objects in
+describe objects, streams, trailers and facts.  Objects in
 object streams come as rows of their own.  Encrypted documents are recognised, not decrypted.
+
+The scan writes an object's text as JSON once, and keys are asked of the VARIANT read from that: names as
+``/Name``, references as ``7 0 R``, strings with their brackets, dictionaries and arrays nested.  So no inner key
+or text inside a string is taken for the object's own.  A file whose scan fails gives one row with the error,
+and its status is ``internal``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import nested
 from quillspark.functions.filters import decode_chain
+from quillspark.operators.isolation import failed_rows, good_rows, map_isolated
+from quillspark.shared import materialise
 
 MAX_FILE_BYTES = 256 * 1024 * 1024
 MAX_FILES = 100_000
@@ -99,12 +107,64 @@ def object_kind(body: Column) -> Column:
 _OBJECT = re.compile(rb"(?<![0-9.])(\d{1,10})[\s\x00]+(\d{1,10})[\s\x00]+obj(?![A-Za-z])")
 #: What a body is skipped by: strings (two levels of brackets), comments; and what ends it.
 _PART = re.compile(rb"\((?:[^()\\]++|\\.|\((?:[^()\\]++|\\.|\((?:[^()\\]++|\\.)*+\))*+\))*+\)|%[^\r\n]*+|(?P<end>\bendobj\b)|(?P<stream>(?<=>)[\s\x00]*stream(?![A-Za-z])(?P<eol>\r\n|\n|\r)?)", re.S)
-_LENGTH = re.compile(rb"/Length[\s\x00]+(\d+)(?![\s\x00]+\d+[\s\x00]+R)")
+#: Levels of nested values that are read; a file with more fails.
+MAX_LEVELS = 256
+_TOKEN = re.compile(r"(?:[\s\x00]+|%[^\r\n]*)*(<<|>>|[\[\](]|<[^<>]*>|/[^\s\x00/<>\[\](){}%]*|\d+[\s\x00]+\d+[\s\x00]+R(?![^\s\x00/<>\[\](){}%])|[^\s\x00/<>\[\]()%]+)?")
+_BRACKET = re.compile(r"\\.|[()]", re.S)
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _plain(token: str):
+    """A token that isn't nested: a name, reference, number, word or hexadecimal string."""
+    if token[0] == "/":
+        return re.sub("#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), token)
+    if token[-1] == "R":
+        return " ".join(token.replace("\0", " ").split())
+    if token in _WORDS:
+        return _WORDS[token]
+    if re.fullmatch(r"[+-]?\d+", token):
+        return int(token) if len(token) <= 38 else token
+    return float(token) if re.fullmatch(r"[+-]?(?:\d+\.\d*|\.\d+)", token) and len(token) <= 300 else token
+
+
+def nested_value(text: str, at: int = 0):
+    """The value that begins at a place of a text, in Python's types; what is still open at the end is closed there.  Of equal keys the last stands."""
+    stack: list[list] = [[]]
+    opened: list[str] = []
+    while True:
+        m = _TOKEN.match(text, at)
+        token, at = m[1], m.end()
+        if token is None or token in (">>", "]"):
+            if not opened:
+                break
+            items = stack.pop()
+            if opened.pop() == "<<":
+                items = {k[1:]: v for k, v in zip(items[::2], items[1::2]) if isinstance(k, str) and k[:1] == "/"}
+            stack[-1].append(items)
+        elif token in ("<<", "["):
+            opened.append(token)
+            stack.append([])
+            if len(opened) > MAX_LEVELS:
+                raise ValueError("values nested too deeply")
+        elif token == "(":
+            begin, depth = at - 1, 1
+            while depth and (b := _BRACKET.search(text, at)):
+                at = b.end()
+                depth += {"(": 1, ")": -1}.get(b[0], 0)
+            at = len(text) if depth else at
+            stack[-1].append(text[begin:at])
+        else:
+            stack[-1].append(_plain(token))
+        if not opened and stack[0]:
+            break
+    return stack[0][0] if stack[0] else None
+
+
 _ENDSTREAM = re.compile(rb"(?:\r\n|\n|\r)?endstream")
 
 
 def _objects_in(content: bytes) -> Iterator[tuple]:
-    """Offset, number, generation, body, and of a stream the data, declared length and keyword spacing."""
+    """Offset, number, generation, body, its value as JSON, and of a stream the data, declared length and keyword spacing."""
     at = 0
     while m := _OBJECT.search(content, at):
         at, part = m.end(), None
@@ -116,11 +176,13 @@ def _objects_in(content: bytes) -> Iterator[tuple]:
         key = (m.start(), int(m[1]), int(m[2]))
         body = content[m.end() : part.start()]
         at = part.end()
+        value = nested_value(body.decode("latin-1"))
+        whole = (*key, body.decode("latin-1"), json.dumps(value))
         if part["end"]:
-            yield (*key, body.decode("latin-1"), None, None, None, None)
+            yield (*whole, None, None, None, None)
             continue
-        found = _LENGTH.search(body)
-        declared = int(found[1]) if found else None
+        declared = value.get("Length") if isinstance(value, dict) else None
+        declared = declared if isinstance(declared, int) and 0 <= declared < 2**63 else None
         close = _ENDSTREAM.match(content, at + declared) if declared is not None and at + declared <= len(content) else None
         if close:
             data, keyword = content[at : at + declared], close.end() - 9
@@ -130,36 +192,40 @@ def _objects_in(content: bytes) -> Iterator[tuple]:
                 return
             data = content[at:keyword]
             data = data[:-2] if data.endswith(b"\r\n") else data[:-1] if data[-1:] in (b"\n", b"\r") else data
-        yield (*key, body.decode("latin-1"), data, declared, part["eol"] == b"\r\n", content[keyword - 1 : keyword] in (b"\n", b"\r"))
+        yield (*whole, data, declared, part["eol"] == b"\r\n", content[keyword - 1 : keyword] in (b"\n", b"\r"))
         at = keyword + 9
 
 
-_ROW = "doc_id string, offset long, number long, generation long, body string, data binary, declared_length long, stream_keyword_crlf boolean, endstream_keyword_eol boolean"
+_ROW = "offset long, number long, generation long, body string, json string, data binary, declared_length long, stream_keyword_crlf boolean, endstream_keyword_eol boolean"
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """Every object that the files hold, in order of none, and one row with ``error`` for a file whose scan fails."""
+    return map_isolated(files.filter(F.col("content").isNotNull()), "doc_id", ["content"], lambda content: list(_objects_in(bytes(content))), _ROW)
 
 
-def objects(files: DataFrame) -> DataFrame:
-    """Top-level objects: ``doc_id``, ``ord`` (the byte where it begins), ``number``, ``generation``, ``kind``, ``body``, ``type``, ``subtype``.
+def objects(files: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """Top-level objects: ``doc_id``, ``ord`` (the byte where it begins), ``number``, ``generation``, ``kind``, ``body``, ``value``, ``type``, ``subtype``.
 
     A stream's body is its dictionary, and ``data``, ``declared_length``, ``stream_keyword_crlf`` and
     ``endstream_keyword_eol`` tell of its bytes.  Of objects with one key the last in the file stands.  A file
-    that ends inside an object has the objects before it.
+    that ends inside an object has the objects before it; one whose scan fails has none (see :func:`failures`).
+    *scan* is what :func:`scanned` gave, if it is at hand.
     """
-    names = [x.split()[0] for x in _ROW.split(", ")]
+    rows = good_rows(scanned(files) if scan is None else scan)
+    last = rows.groupBy("doc_id", "number", "generation").agg(F.max_by(F.struct("offset", "body", "json", "data", "declared_length", "stream_keyword_crlf", "endstream_keyword_eol"), "offset").alias("o"))
+    return _described(last.filter("number >= 1").select("doc_id", F.col("o.offset").alias("ord"), "number", "generation", "o.body", "o.json", "o.data", "o.declared_length", "o.stream_keyword_crlf", "o.endstream_keyword_eol"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                found = pd.DataFrame([(doc_id, *x) for x in _objects_in(content)], columns=names)
-                yield found.astype({"declared_length": "Int64", "stream_keyword_crlf": "boolean", "endstream_keyword_eol": "boolean"})
 
-    rows = files.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, _ROW)
-    last = rows.groupBy("doc_id", "number", "generation").agg(F.max_by(F.struct("offset", "body", "data", "declared_length", "stream_keyword_crlf", "endstream_keyword_eol"), "offset").alias("o"))
-    return _described(last.filter("number >= 1").select("doc_id", F.col("o.offset").alias("ord"), "number", "generation", "o.body", "o.data", "o.declared_length", "o.stream_keyword_crlf", "o.endstream_keyword_eol"))
+def failures(files: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """``doc_id``, ``error``, ``status`` of the files whose scan failed."""
+    return failed_rows(scanned(files) if scan is None else scan, "doc_id")
 
 
 def _described(rows: DataFrame) -> DataFrame:
     kind = F.when(F.col("data").isNotNull(), "stream").otherwise(object_kind(F.col("body")))
-    return rows.select("doc_id", "ord", "number", "generation", kind.alias("kind"), "body", entry(F.col("body"), "Type").alias("type"), entry(F.col("body"), "Subtype").alias("subtype"), "data", "declared_length", "stream_keyword_crlf", "endstream_keyword_eol")
+    rows = rows.withColumn("value", F.try_parse_json("json"))
+    return rows.select("doc_id", "ord", "number", "generation", kind.alias("kind"), "body", "json", "value", entry(F.col("value"), "Type").alias("type"), entry(F.col("value"), "Subtype").alias("subtype"), "data", "declared_length", "stream_keyword_crlf", "endstream_keyword_eol")
 
 
 _PAIR = re.compile(rb"[\s\x00]*(\d+)[\s\x00]+(\d+)")
@@ -187,25 +253,25 @@ def expanded_objects(rows: DataFrame) -> DataFrame:
     A stream that can't be decoded or has a wrong header gives one row with a null ``number``.
     """
     inside = rows.filter("kind = 'stream' AND type = 'ObjStm'")
-    number = lambda key: entry(F.col("body"), key).try_cast("bigint")
-    decoded = inside.select("doc_id", "ord", F.col("number").alias("container"), number("N").alias("n"), number("First").alias("first"), decoded_stream().getField("bytes").alias("decoded"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, place, container, n, first, data in zip(*(batch[c].tolist() for c in ("doc_id", "ord", "container", "n", "first", "decoded"))):
-                found = _packed_objects(data, None if pd.isna(n) else int(n), None if pd.isna(first) else int(first))
-                if found is not None and container in {k for k, _ in found}:
-                    found = None  # it can't contain itself
-                out += [(doc_id, place, container, None, None)] if found is None else [(doc_id, place, container, k, body) for k, body in found]
-            yield pd.DataFrame(out, columns=["doc_id", "ord", "container", "number", "body"]).astype({"number": "Int64"})
-
-    found = decoded.mapInPandas(run, "doc_id string, ord long, container long, number long, body string")
+    number = lambda key: nested.at(F.col("value"), key, kind="bigint")
+    inside = inside.withColumn("place", F.struct("doc_id", "ord", "number"))
+    decoded = inside.select("place", F.col("number").alias("container"), number("N").alias("n"), number("First").alias("first"), decoded_stream().getField("bytes").alias("decoded"))
+
+    def inner(container, n, first, data):
+        found = _packed_objects(bytes(data) if data is not None else None, None if n is None else int(n), None if first is None else int(first))
+        if found is None or container in {k for k, _ in found}:  # it can't contain itself
+            raise ValueError("wrong object stream")
+        return [(container, k, body, json.dumps(nested_value(body))) for k, body in found]
+
+    key = decoded.withColumn("place", F.to_json("place"))
+    found = map_isolated(key, "place", ["container", "n", "first", "decoded"], inner, "container long, number long, body string, json string")
+    of = F.from_json("place", "doc_id string, ord long, number long")
+    found = found.withColumn("of", of).select("of.doc_id", "of.ord", F.col("of.number").alias("container"), "number", "body", "json")
     none = lambda kind: F.lit(None).cast(kind)
     found = found.select("*", F.lit(0).cast("long").alias("generation"), none("binary").alias("data"), none("long").alias("declared_length"), none("boolean").alias("stream_keyword_crlf"), none("boolean").alias("endstream_keyword_eol"))
-    described = _described(found.withColumn("body", F.coalesce("body", F.lit("")))).columns
-    kind = F.when(F.col("number").isNotNull(), object_kind(F.col("body")))
-    return found.withColumn("kind", kind).withColumn("type", entry(F.col("body"), "Type")).withColumn("subtype", entry(F.col("body"), "Subtype")).select(*described, "container")
+    value = F.try_parse_json("json")
+    found = found.withColumn("kind", F.when(F.col("number").isNotNull(), object_kind(F.col("body")))).withColumn("value", value).withColumn("type", entry(F.col("value"), "Type")).withColumn("subtype", entry(F.col("value"), "Subtype"))
+    return found.select(*rows.columns, "container")
 
 
 def all_objects(files: DataFrame) -> DataFrame:
@@ -218,12 +284,14 @@ def all_objects(files: DataFrame) -> DataFrame:
 
 def decoded_stream() -> Column:
     """Struct ``bytes``, ``facts`` of a stream row's data after its whole filter chain; null bytes where a filter fails."""
-    return decode_chain(F.col("data"), filter_names(F.col("body")), F.coalesce(F.col("body"), F.lit("")))
+    return decode_chain(F.col("data"), filter_names(F.col("value")), F.coalesce(F.col("body"), F.lit("")))
 
 
-def filter_names(body: Column) -> Column:
-    value = F.regexp_extract(body, r"/F(?:ilter)?\s*(\[[^\]]*\]|/[^\s/<>\[\]()]+)", 1)
-    return F.regexp_extract_all(value, F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1))
+def filter_names(value: Column) -> Column:
+    """The names at /Filter (or /F), one or several."""
+    named = F.coalesce(nested.at(value, "Filter"), nested.at(value, "F"))
+    names = F.coalesce(F.try_variant_get(named, "$", "array<string>"), F.array(F.try_variant_get(named, "$", "string")))
+    return F.coalesce(F.transform(F.filter(names, lambda n: n.startswith("/")), lambda n: F.substring(n, 2, 1000)), F.array().cast("array<string>"))
 
 
 def xref_streams(rows: DataFrame) -> DataFrame:
@@ -232,54 +300,62 @@ def xref_streams(rows: DataFrame) -> DataFrame:
     Malformed is a stream without /Size or /W, of zero width, that can't be decoded or is shorter than its entries.
     """
     inside = rows.filter("kind = 'stream' AND type = 'XRef'")
-    body = F.col("body")
-    numbers = lambda key: F.transform(F.regexp_extract_all(F.regexp_extract(body, rf"/{key}\s*\[([^\]]*)\]", 1), F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("bigint"))
-    size = entry(body, "Size").try_cast("bigint")
-    flat = inside.select("doc_id", "number", size.alias("size"), numbers("W").alias("w"), numbers("Index").alias("index"), F.regexp_extract(body, r"/Root\s+(\d+)\s+\d+\s+R", 1).try_cast("bigint").alias("root"), decoded_stream().getField("bytes").alias("decoded"))
+    value = F.col("value")
+    numbers = lambda key: F.coalesce(nested.at(value, key, kind="array<bigint>"), F.array().cast("array<bigint>"))
+    flat = inside.select("doc_id", "number", nested.at(value, "Size", kind="bigint").alias("size"), numbers("W").alias("w"), numbers("Index").alias("index"), reference(nested.at(value, "Root")).alias("root"), decoded_stream().getField("bytes").alias("decoded"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc_id, number, size, w, index, root, data in zip(*(batch[c].tolist() for c in ("doc_id", "number", "size", "w", "index", "root", "decoded"))):
-                w, index = list(map(int, w)), list(map(int, index))
-                entries = sum(index[1::2]) if index else 0 if pd.isna(size) else int(size)
-                width = sum(w)
-                good = len(w) == 3 and width > 0 and not pd.isna(size) and data is not None and len(data) >= entries * width
-                packed = sum(w[0] > 0 and int.from_bytes(data[k * width : k * width + w[0]]) == 2 for k in range(entries)) if good else None
-                out.append((doc_id, number, len(data) if good else None, entries if good else None, packed, None if pd.isna(root) else int(root), None if pd.isna(size) else int(size), not good))
-            frame = pd.DataFrame(out, columns=["doc_id", "number", "decoded_bytes", "entries", "compressed_entries", "root", "size", "malformed"])
-            yield frame.astype({c: "Int64" for c in ("decoded_bytes", "entries", "compressed_entries", "root", "size")})
+    def counted(size, w, index, root, data):
+        w, index = [int(x) for x in w if x is not None], [int(x) for x in index if x is not None]
+        entries, width = sum(index[1::2]) if index else int(size or 0), sum(w)
+        good = len(w) == 3 and min(w) >= 0 and width > 0 and size is not None and entries >= 0 and data is not None and len(data) >= entries * width
+        packed = sum(w[0] > 0 and int.from_bytes(data[k * width : k * width + w[0]]) == 2 for k in range(entries)) if good else None
+        return [(len(data) if good else None, entries if good else None, packed, None if root is None else int(root), None if size is None else int(size), not good)]
 
-    return flat.mapInPandas(run, "doc_id string, number long, decoded_bytes long, entries long, compressed_entries long, root long, size long, malformed boolean")
+    key = flat.withColumn("place", F.to_json(F.struct("doc_id", "number")))
+    flags = map_isolated(key, "place", ["size", "w", "index", "root", "decoded"], counted, "decoded_bytes long, entries long, compressed_entries long, root long, size long, malformed boolean")
+    of = F.from_json("place", "doc_id string, number long")
+    return flags.withColumn("of", of).select("of.doc_id", "of.number", "decoded_bytes", "entries", "compressed_entries", "root", "size", F.coalesce("malformed", F.lit(True)).alias("malformed"))
 
 
-def entry(dictionary: Column, key: str) -> Column:
-    """The name or number at a key of a dictionary's text, null where it is something else or absent."""
-    found = F.regexp_extract(dictionary, rf"/{key}\s*(/[^\s/<>\[\]()]+|[+-]?[\d.]+)", 1)
-    return F.when(found != "", F.ltrim(found, F.lit("/")))
+def entry(value: Column, key: str) -> Column:
+    """The name or number at an own key of a dictionary, null where it is something else or absent."""
+    found = nested.at(value, key, kind="string")
+    return F.when(F.rlike(found, F.lit(r"^(/.*|[+-]?[\d.]+)$")), F.ltrim(found, F.lit("/")))
+
+
+def reference(value: Column, part: int = 1) -> Column:
+    """The object number (or, as part 2, the generation) that a value refers to; null for any other value."""
+    return F.regexp_extract(F.try_variant_get(value, "$", "string"), r"^(\d+) (\d+) R$", part).try_cast("bigint")
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``number``, ``key``, ``target``, ``target_generation``: references by dictionary key."""
-    found = F.regexp_extract_all("body", F.lit(r"/([^\s/<>\[\]()]+)\s+(\d+)\s+(\d+)\s+R\b"), F.lit(0))
-    flat = rows.select("doc_id", "number", F.posexplode(found).alias("ord", "source"))
-    part = lambda i: F.regexp_extract("source", r"^/(\S+?)\s+(\d+)\s+(\d+)\s+R$", i)
-    return flat.select("doc_id", "number", "ord", part(1).alias("key"), part(2).cast("bigint").alias("target"), part(3).cast("bigint").alias("target_generation"))
+    """``doc_id``, ``number``, ``key``, ``target``, ``target_generation``: references at own keys of dictionaries."""
+    flat = rows.select("doc_id", "number", F.explode(nested.entries_of(F.col("value"))).alias("key", "at"))
+    return flat.select("doc_id", "number", "key", reference(F.col("at")).alias("target"), reference(F.col("at"), 2).alias("target_generation")).filter("target IS NOT NULL")
 
 
 def streams(rows: DataFrame) -> DataFrame:
     """Stream objects with declared and discovered length, filters, keyword spacing and the raw bytes."""
     return rows.filter("kind = 'stream'").select(
-        "doc_id", "number", "generation", "declared_length", F.octet_length("data").cast("bigint").alias("discovered_length"), filter_names(F.col("body")).alias("filters"), "stream_keyword_crlf", "endstream_keyword_eol", "data",
+        "doc_id", "number", "generation", "declared_length", F.octet_length("data").cast("bigint").alias("discovered_length"), filter_names(F.col("value")).alias("filters"), "stream_keyword_crlf", "endstream_keyword_eol", "data",
     )
 
 
+_TRAILER = re.compile(rb"\btrailer[\s\x00]*(?=<<)")
+
+
 def trailers(files: DataFrame) -> DataFrame:
     """``doc_id``, ``pos``, root key, second identifier and size of each trailer in order."""
-    found = F.regexp_extract_all(latin1(F.col("content")), F.lit(r"(?s)trailer\s*<<.*?>>\s*(?=startxref|trailer|\d|$)"), F.lit(0))
-    rows = files.filter(F.col("content").isNotNull()).select("doc_id", F.posexplode(found).alias("pos", "_t"))
-    number = lambda pattern, i: F.regexp_extract("_t", pattern, i).try_cast("bigint")
-    return rows.select("doc_id", "pos", number(r"/Root\s+(\d+)\s+(\d+)\s+R", 1).alias("root"), number(r"/Root\s+(\d+)\s+(\d+)\s+R", 2).alias("root_generation"), number(r"/Size\s+(\d+)", 1).alias("size"), number(r"/Info\s+(\d+)\s+\d+\s+R", 1).alias("info"), F.regexp_extract("_t", r"/ID\s*\[\s*<[^>]*>\s*<([^>]*)>", 1).alias("last_id"))
+
+    def found(content):
+        text = bytes(content).decode("latin-1")
+        return [(i, json.dumps(nested_value(text, m.end()))) for i, m in enumerate(_TRAILER.finditer(content))]
+
+    rows = good_rows(map_isolated(files.filter(F.col("content").isNotNull()), "doc_id", ["content"], found, "pos int, json string"))
+    value = F.col("v")
+    rows = rows.withColumn("v", F.try_parse_json("json"))
+    second = F.regexp_extract(nested.at(value, "ID", 1, kind="string"), "^<([^>]*)>$", 1)
+    return rows.select("doc_id", "pos", reference(nested.at(value, "Root")).alias("root"), reference(nested.at(value, "Root"), 2).alias("root_generation"), nested.at(value, "Size", kind="bigint").alias("size"), reference(nested.at(value, "Info")).alias("info"), nested.at(value, "Encrypt").isNotNull().alias("encrypted"), F.coalesce(second, F.lit("")).alias("last_id"))
 
 
 _TABLE = re.compile(rb"(?<!start)\bxref\b(.*?)trailer", re.S)
@@ -290,29 +366,29 @@ _OFFSETS = (("PrevOffset", re.compile(rb"/Prev\s+(\d+)")), ("HybridOffset", re.c
 def xref_facts(files: DataFrame) -> DataFrame:
     """``doc_id``, ``ord``, ``kind``, ``value``: classic tables with good or bad line ends, /Prev and /XRefStm."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                found = [("EolMarkersComply" if _GOOD_TABLE.fullmatch(m[1]) else "MalformedClassic", None) for m in _TABLE.finditer(content)]
-                found += [(kind, int(m[1])) for kind, pattern in _OFFSETS for m in pattern.finditer(content)]
-                yield pd.DataFrame([(doc_id, i, *x) for i, x in enumerate(found)], columns=["doc_id", "ord", "kind", "value"]).astype({"value": "Int64"})
+    def found(content):
+        facts = [("EolMarkersComply" if _GOOD_TABLE.fullmatch(m[1]) else "MalformedClassic", None) for m in _TABLE.finditer(content)]
+        facts += [(kind, int(m[1]) if len(m[1]) < 19 else None) for kind, pattern in _OFFSETS for m in pattern.finditer(content)]
+        return [(i, *x) for i, x in enumerate(facts)]
 
-    return files.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, "doc_id string, ord int, kind string, value long")
+    return good_rows(map_isolated(files.filter(F.col("content").isNotNull()), "doc_id", ["content"], found, "ord int, kind string, value long"))
 
 
 def parse_status(files: DataFrame) -> DataFrame:
-    """``parseFailed`` without a header, a catalog or within the size limit, ``encrypted``, else ``success``.
+    """``internal`` where the scan fails, ``parseFailed`` without a header or catalog or above the size limit, ``encrypted``, else ``success``.
 
     The catalog is what the last trailer names, or a cross-reference stream where there is no trailer; it may stand in an object stream.
     """
-    top = objects(files)
+    scan = materialise(scanned(files), "documents-scan")
+    top = objects(files, scan)
     classic = trailers(files).filter(F.col("root").isNotNull()).groupBy("doc_id").agg(F.max_by("root", "pos").alias("classic"))
     stream = xref_streams(top).filter(F.col("root").isNotNull()).groupBy("doc_id").agg(F.max_by("root", "number").alias("stream"))
     roots = classic.join(stream, "doc_id", "full").select("doc_id", F.coalesce("classic", "stream").alias("number"))
     keys = top.select("doc_id", "number").unionByName(expanded_objects(top).select("doc_id", "number")).distinct()
     catalog = roots.join(keys, ["doc_id", "number"]).select("doc_id", F.lit(True).alias("found"))
-    rows = headers(files).join(catalog, "doc_id", "left").join(files.select("doc_id", "too_large"), "doc_id")
-    return rows.select("doc_id", F.when(F.col("too_large") | F.col("header_offset").isNull(), "parseFailed").when(F.col("encrypted"), "encrypted").when(F.col("found").isNull(), "parseFailed").otherwise("success").alias("status"))
+    lost = failures(files, scan).select("doc_id", "error")
+    rows = headers(files).join(catalog, "doc_id", "left").join(lost, "doc_id", "left").join(files.select("doc_id", "too_large"), "doc_id")
+    return rows.select("doc_id", F.when(F.col("error").isNotNull(), "internal").when(F.col("too_large") | F.col("header_offset").isNull(), "parseFailed").when(F.col("encrypted"), "encrypted").when(F.col("found").isNull(), "parseFailed").otherwise("success").alias("status"))
 
 
 def parse_facts(files: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import filters
-from quillspark.operators import accessibility, families, hierarchy, metadata, model, profiles
+from quillspark.operators import accessibility, families, hierarchy, isolation, metadata, model, profiles, rules
 from quillspark.sources import documents
 from quillspark.sources import documents as d
 
@@ -64,12 +66,65 @@ def test_xref_facts(spark):
     assert {(r.doc_id, r.kind, r.value) for r in d.xref_facts(files).collect()} == {("good", "EolMarkersComply", None), ("good", "PrevOffset", 12), ("bad", "MalformedClassic", None), ("bad", "HybridOffset", 7)}
 
 
-def test_entries_take_keys_and_values_in_turn(spark):
-    large = "<< " + " ".join(f"/K{i} ({i} \\) x) /R{i} {i} 0 R /D{i} << /A << /B <00> >> >>" for i in range(4000)) + " >>"
-    rows = spark.createDataFrame([(0, "<< /S /P /P 31 0 R /K [1 0 R << /X 2 >>] /T(a /Q b)/U<</V/W>>/Z true>>"), (1, large), (2, "<<>>"), (3, None)], "i int, body string")
-    got = {r.i: r for r in rows.select("i", families.entries(F.col("body")).alias("e")).select("i", "e", F.transform("e", families.key_of).alias("k"), families.value_of(F.col("e"), "P").alias("p")).collect()}
-    assert got[0].k == ["S", "P", "K", "T", "U", "Z"] and got[0].p == "31 0 R" and got[0].e[4] == "/U<</V/W>>"
-    assert len(got[1].k) == 12_000 and got[1].p is None and got[2].k == [] and got[3].k is None
+def dictionary(spark, *texts):
+    """The objects of one file for each text, the text being object 1's."""
+    files = {str(i): b"%PDF-1.7\n1 0 obj\n" + t.encode("latin-1") + b"\nendobj\n" for i, t in enumerate(texts)}
+    return documents.objects(documents.from_memory(spark, files))
+
+
+def test_own_keys_are_not_those_of_inner_values_or_strings(spark):
+    texts = [
+        "<< /Inner << /Type /Page >> /Type /Catalog >>", "<< /T (a (b) /Pages 9 0 R) /Pages 2 0 R >>", "<< /D [[1 2] /X 7 0 R] /Type /Action >>", "<< /A << /B << /C << /D << /E 1 0 R >> >> >> >> /B 3 0 R >>", "<< /Ty#70e /Font /S (\\) /Type /Page) >>",
+        "<< /Group << /Type /Group /S /Transparency >> /Type /Page /Rect [0 .5 -1. +2] >>", "<< /S (open", "<< /A 1 /A 2 /Odd >>", "<</Type/Catalog/U<</V/W>>/Z true/N null>>",
+    ]
+    rows = families.typed(dictionary(spark, *texts))
+    got = {int(r.doc_id): r for r in rows.select("doc_id", "type", "family", "keys", "json").collect()}
+    assert [got[i].type for i in (0, 2, 4, 5, 8)] == ["Catalog", "Action", "Font", "Page", "Catalog"] and got[0].family == "catalog" and got[5].family == "page"
+    assert sorted(got[3].keys) == ["A", "B"] and sorted(got[2].keys) == ["D", "Type"] and sorted(got[8].keys) == ["N", "Type", "U", "Z"]
+    assert json.loads(got[5].json)["Rect"] == [0, 0.5, -1.0, 2] and json.loads(got[6].json)["S"].startswith("(open") and json.loads(got[7].json) == {"A": 2}
+    refs = {(r.doc_id, r.key, r.target) for r in documents.references(rows).collect()}
+    assert refs == {("1", "Pages", 2), ("3", "B", 3)}
+
+
+def test_deep_and_large_values(spark):
+    deep = "<< /A " * 200 + "1" + " >>" * 200
+    large = "<< " + " ".join(f"/K{i} ({i} \\) x) /R{i} {i} 0 R" for i in range(4000)) + " >>"
+    rows = families.typed(dictionary(spark, deep, large)).select("doc_id", F.size("keys").alias("n"), "json").collect()
+    assert {r.doc_id: r.n for r in rows} == {"0": 1, "1": 8000} and rows[0].json is not None
+
+
+def test_an_odd_number_or_depth_fails_its_file_only(spark):
+    good = b"%PDF-1.7\n1 0 obj\n<< /Type /Catalog >>\nendobj\ntrailer\n<< /X << /Y 1 >> /Root 1 0 R /Z 5 >>\n"
+    deep = b"%PDF-1.7\n1 0 obj\n" + b"[" * 300 + b"\nendobj\ntrailer << /Root 1 0 R >>"
+    length = good.replace(b"trailer", b"2 0 obj\n<< /Length 123456789012345678901234567890 >>\nstream\nabc\nendstream\nendobj\ntrailer")
+    prev = good + b"xref\ntrailer << /Prev 1234567890123456789012345 /Root 1 0 R >>"
+    index = good.replace(b"trailer", b"3 0 obj\n<< /Type /XRef /Size 99999999999999999999999 /W [1 2 1] /Index [0 99999999999999999999999] /Length 1 >>\nstream\nx\nendstream\nendobj\ntrailer")
+    files = documents.from_memory(spark, {"good": good, "deep": deep, "length": length, "prev": prev, "index": index, "none": b""})
+    got = {r.doc_id: r.status for r in documents.parse_status(files).collect()}
+    assert got == {"good": "success", "deep": "internal", "length": "success", "prev": "success", "index": "success", "none": "parseFailed"}
+    assert {(r.doc_id, r.value) for r in documents.xref_facts(files).filter("kind = 'PrevOffset'").collect()} == {("prev", None)}
+    assert documents.xref_streams(documents.objects(files)).filter("doc_id = 'index' AND malformed").count() == 1
+    assert [r.error for r in documents.failures(files).collect()] == ["ValueError: values nested too deeply"]
+    assert documents.trailers(files).filter("doc_id = 'good'").first().root == 1
+
+
+def test_failing_rows_are_rows(spark):
+    def half(i, text):
+        yield (i // 2, text)
+        if i % 100 == 7:
+            raise ValueError(f"row {i}")
+        if i == 950:
+            yield (2**63, "large")
+
+    rows = spark.createDataFrame([(i, i, None if i % 3 else "x") for i in range(1000)], "id int, i int, text string")
+    got = isolation.map_isolated(rows, "id", ["i", "text"], half, "half long, text string").cache()
+    assert isolation.good_rows(got).count() == 989 and got.count() == 1000
+    failed = isolation.failed_rows(got, "id")
+    assert {(r.id, r.error, r.status) for r in failed.collect()} == {(i, f"ValueError: row {i}", "internal") for i in range(7, 1000, 100)} | {(950, "OverflowError: half is out of range", "internal")}
+    statuses = isolation.good_rows(got).select("id", F.lit("valid").alias("status")).unionByName(failed.select("id", "status"))
+    summary = rules.batch_summary(statuses).first()
+    assert (summary.valid, summary.internal_errors, summary.exit_code, summary.category) == (989, 11, 70, "processingFailed")
+    assert isolation.map_isolated(rows.limit(0), "id", ["i", "text"], half, "half long, text string").count() == 0
 
 
 def test_families_and_links_of_nothing(spark):
