@@ -55,9 +55,16 @@ def apply_rules(objects: DataFrame, rules: Sequence[Rule], keep: Sequence[str] =
 
 
 def static_unsupported(spark, rules: Sequence[Rule]) -> DataFrame:
-    """A row for each rule that couldn't be bound, in order of the rules."""
-    rows = [(r.profile_id, i, r.rule_id, r.object_type, r.unsupported) for i, r in enumerate(rules) if r.unsupported]
-    return spark.createDataFrame(rows, "profile_id string, rule_pos int, rule_id string, object_type string, reason string")
+    """A row for each rule that couldn't be bound, numbered as :func:`sorted_unsupported` does."""
+    rows = [(r.profile_id, r.rule_id, r.object_type, r.unsupported) for r in rules]
+    return sorted_unsupported(spark.createDataFrame(rows, "profile_id string, rule_id string, object_type string, reason string"))
+
+
+def sorted_unsupported(rules: DataFrame) -> DataFrame:
+    """The rules that have a ``reason`` not to be bound, each once, with ``ordinal`` in each profile by id, type and reason."""
+    own = ["profile_id", "rule_id", "object_type", "reason"]
+    order = Window.partitionBy("profile_id").orderBy("rule_id", "object_type", "reason")
+    return rules.filter("reason IS NOT NULL").select(*own).distinct().withColumn("ordinal", F.row_number().over(order))
 
 
 def retained_failures(outcomes: DataFrame, most: int | None) -> DataFrame:

@@ -108,10 +108,11 @@ def rule_division(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c.outcome(test).alias("outcome"))
 
 
-@query("SELECT 'rule-b' AS rule_id, 'page' AS object_type, 'unknown property' AS reason")
+@query("WITH r AS (SELECT DISTINCT p_brand AS profile_id, p_type AS rule_id, 'size' || (p_size % 4) AS object_type, CASE p_size % 3 WHEN 1 THEN 'unknown property' WHEN 2 THEN 'unknown link' END AS reason FROM part) SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY rule_id, object_type, reason) AS INTEGER) AS ordinal FROM r WHERE reason IS NOT NULL")
 def static_unsupported(spark, sf_dir):
-    made = [rules.Rule("p", "rule-a", "document", c.lit(True)), rules.Rule("p", "rule-b", "page", c.unsupported("unknown property"), unsupported="unknown property")]
-    return rules.static_unsupported(spark, made).select("rule_id", "object_type", "reason")
+    size = F.col("p_size")
+    reason = F.when(size % 3 == 1, "unknown property").when(size % 3 == 2, "unknown link")
+    return rules.sorted_unsupported(table(spark, sf_dir, "part").select(F.col("p_brand").alias("profile_id"), F.col("p_type").alias("rule_id"), F.concat(F.lit("size"), (size % 4).cast("string")).alias("object_type"), reason.alias("reason")))
 
 
 @query(_OUTCOMES + f"SELECT documents.doc_id, '{PROFILE}' AS profile_id, coalesce(a.failed_rules, 0) AS failed_rules, coalesce(a.unsupported_rules, 0) + 1 AS unsupported_rules, 'incomplete' AS status FROM (SELECT DISTINCT doc_id FROM documents) documents LEFT JOIN (SELECT * FROM a WHERE doc_id % 3 <> 0) a USING (doc_id)")
@@ -135,11 +136,11 @@ def rule_budget(spark, sf_dir):
     return rules.apply_rules(document_objects(spark, sf_dir), made).select("doc_id", "rule_id", "outcome", "error")
 
 
-@query("SELECT doc_id, true AS header, lang = 'de' AS encryption, n_chars <> strlen(text) AS mismatch, false AS other FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL")
+@query("SELECT doc_id, true AS header, coalesce(lang = 'de', false) AS encryption, n_chars IS DISTINCT FROM strlen(text) AS mismatch, false AS other FROM documents")
 def has_parse_fact(spark, sf_dir):
     fact = lambda kind, declared=None, discovered=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None) if declared is None else declared).cast("bigint").alias("declared"), (F.lit(None) if discovered is None else discovered).cast("bigint").alias("discovered"))
     facts = F.array(fact("header"), fact("streamLength", F.col("n_chars"), F.octet_length("text")), F.when(F.col("lang") == "de", fact("encrypted")).otherwise(fact("plain")))
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL").withColumn("facts", facts)
+    rows = table(spark, sf_dir, "documents").withColumn("facts", facts)
     return rows.select("doc_id", *[c.has_parse_fact("facts", name).value.alias(k) for k, name in (("header", "header"), ("encryption", "encryption"), ("mismatch", "streamLengthMismatch"), ("other", "unknown"))])
 
 
@@ -778,8 +779,8 @@ def repair_decision(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", decision.alias("decision"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'kept' ELSE 'ours ' || quality || ', theirs ' || toxic END AS reason FROM (SELECT * FROM labels WHERE quality = 1 OR quality <> toxic)")
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'kept' ELSE 'ours ' || quality || ', theirs ' || toxic END AS reason FROM labels")
 def comparison_reason(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").filter("quality = 1 OR quality <> toxic")
+    rows = table(spark, sf_dir, "labels")
     note = F.when(F.col("quality") == 1, "kept")
     return rows.select("doc_id", metadata.comparison_reason(note, F.lit("expectedDrift"), F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("reason"))

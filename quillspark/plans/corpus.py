@@ -1,10 +1,8 @@
-"""Queries over small documents that are made here, and over claims, clusters and repairs of the driver's tables."""
+"""Queries over documents that Spark writes from the driver's tables, and over claims, clusters and repairs of those tables."""
 
 from __future__ import annotations
 
-import zlib
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import checked, derived
@@ -12,211 +10,282 @@ from quillspark.operators import accessibility, families, metadata, model, profi
 from quillspark.plans.registry import query, table
 from quillspark.sources import documents
 
-# Documents.
-
-
-def _stream(dictionary: bytes, data: bytes, length: int | None = None) -> bytes:
-    return b"<< " + dictionary + b" /Length " + str(len(data) if length is None else length).encode() + b" >>\nstream\n" + data + b"\nendstream"
-
-
-def _file(*objects: tuple[int, bytes], trailer: bytes = b"/Root 1 0 R", before: bytes = b"") -> bytes:
-    body = b"".join(str(n).encode() + b" 0 obj\n" + x + b"\nendobj\n" for n, x in objects)
-    end = b"trailer\n<< " + trailer + b" >>\n" if trailer else b""
-    return before + b"%PDF-1.7\n" + body + end + b"startxref\n0\n%%EOF\n"
-
-
-_CATALOG = (1, b"<< /Type /Catalog >>")
-_INNER = b"1 0 7 23 << /Type /Catalog >> [1 2 3]"
-_PACKED = zlib.compress(_INNER)
-_ENTRIES = bytes([1, 0, 9, 0, 2, 0, 2, 1, 0, 0, 0, 0])
-_MANY = 2000
-_TABLE = b"xref\n0 %d\n" % _MANY + b"0000000000 00000 n \n" * _MANY + b"trailer\n<< /Root 1 0 R /Prev 77 >>\n"
-FILES = {
-    "minimal": _file(_CATALOG, (2, b"42")),
-    "junk-before": _file(_CATALOG, before=b"junk\n"),
-    "no-header": b"not a pdf\n",
-    "no-catalog": _file((2, b"<< /Type /Page >>")),
-    "encrypted": _file(_CATALOG, trailer=b"/Root 1 0 R /Encrypt 3 0 R"),
-    "packed": _file((2, _stream(b"/Type /ObjStm /N 2 /First 9 /Filter /FlateDecode", zlib.compress(b"1 0 7 21 << /Type /Catalog >> [1 2 3]"))), (3, _stream(b"/Type /XRef /Size 3 /W [1 2 1] /Root 1 0 R", _ENTRIES)), trailer=b""),
-    "keywords": _file(_CATALOG, (2, _stream(b"/A (endobj \\) (stream) x)", b"abc endobj\nendstream def")), (3, _stream(b"", b"abc", 20)), (4, b"(text with 9 0 obj and endobj) % endobj\n"), trailer=b"/Root 1 0 R"),
-    "table": _file(_CATALOG, trailer=b"").replace(b"startxref", _TABLE + b"startxref"),
-    "bad-table": _file(_CATALOG, trailer=b"").replace(b"startxref", b"xref\n0 1\n0000000000 65535 f\ntrailer\n<< /Root 1 0 R /XRefStm 5 >>\nstartxref"),
-    "chain": _file(_CATALOG, (2, _stream(b"/Filter [/AHx /Fl]", zlib.compress(b"hello").hex().encode() + b">")), (3, _stream(b"/Filter [/DCTDecode]", b"\xff\xd8jpeg")), (4, _stream(b"/Filter /Unknown", b"x")), (5, _stream(b"/Filter /Fl /DecodeParms << /Predictor 12 /Columns 3 >>", zlib.compress(bytes([2, 1, 2, 3, 2, 1, 1, 1]))))),
-    "model": _file(
-        (1, b"<< /Type /Catalog /Pages 2 0 R /Metadata 20 0 R /OutputIntents [21 0 R] /Outlines 22 0 R /AcroForm 24 0 R /OpenAction 27 0 R >>"),
-        (2, b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 10 0 R /F2 11 0 R >> >> /Rotate 90 >>"),
-        (3, b"<< /Type /Page /Parent 2 0 R /Contents [5 0 R 6 0 R] /Annots [7 0 R 8 0 R 99 0 R] /Resources 9 0 R >>"),
-        (4, b"<< /Type /Page /Parent 2 0 R /Rotate 0 /AA << /O 27 0 R /C 28 0 R >> >>"),
-        (5, _stream(b"", b"q Q")), (6, _stream(b"", b"BT ET")),
-        (7, b"<< /Type /Annot /Subtype /Link /Rect [0 0 1 1] /A 27 0 R /AP << /N 5 0 R >> >>"),
-        (8, b"<< /Type /Annot /Subtype /Widget /Rect [0 0 1 1] /Parent 25 0 R /AP << /N << /On 5 0 R >> >> >>"),
-        (9, b"<< /Font << /F1 12 0 R >> >>"),
-        (10, b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"), (11, b"<< /Type /Font /Subtype /Type0 /DescendantFonts [13 0 R] /ToUnicode 5 0 R >>"), (12, b"<< /Type /Font /Subtype /TrueType /FontDescriptor 14 0 R >>"),
-        (13, b"<< /Type /Font /Subtype /CIDFontType2 /FontDescriptor 14 0 R >>"), (14, b"<< /Type /FontDescriptor /FontFile2 5 0 R >>"),
-        (20, _stream(b"/Type /Metadata", b"<x/>")), (21, b"<< /Type /OutputIntent /DestOutputProfile 5 0 R >>"), (22, b"<< /Type /Outlines /First 23 0 R /Last 23 0 R >>"), (23, b"<< /Title (a) /Parent 22 0 R /Dest [30 0 R /Fit] /A 28 0 R >>"),
-        (24, b"<< /Fields [25 0 R] >>"), (25, b"<< /Type /Annot /Subtype /Widget /Kids [8 0 R] /T (f) >>"), (27, b"<< /S /GoTo /D [3 0 R /Fit] /Next 28 0 R >>"), (28, b"<< /S /URI /URI (http://a) >>"), (30, b"<< /Type /StructElem /S /P /P 31 0 R >>"), (31, b"<< /Type /StructTreeRoot /K [30 0 R] >>"),
-        (40, b"<< /Producer (maker) /Title (a title) >>"), trailer=b"/Root 1 0 R /Info 40 0 R",
-    ),
-}
-
-
-def _files(spark, *names: str) -> DataFrame:
-    return documents.from_memory(spark, {k: FILES[k] for k in names or FILES})
-
-
-def _model(spark) -> DataFrame:
-    return families.typed(documents.objects(_files(spark, "model")))
-
-
-@query("SELECT * FROM (VALUES ('minimal', 'success'), ('junk-before', 'success'), ('no-header', 'parseFailed'), ('no-catalog', 'parseFailed'), ('encrypted', 'encrypted'), ('packed', 'success'), ('keywords', 'success'), ('table', 'success'), ('bad-table', 'success'), ('chain', 'success'), ('model', 'success')) t(doc_id, status)")
+# Documents: one file for each row of ``part``, made of its columns.
+
+#: Objects that every file has; the catalog and the tree node hold inner keys and strings that must not count as their own.
+_FIXED = {
+    1: "<< /Inner << /Type /Page /Pages 99 0 R >> /Type /Catalog /Pages 2 0 R /Outlines 22 0 R /AcroForm 24 0 R /OpenAction 27 0 R >>",
+    7: "<< /Type /Annot /Subtype /Link /Rect [0 0 1 1] /A 27 0 R /AP << /N 5 0 R >> >>",
+    8: "<< /Type /Annot /Subtype /Widget /Rect [0 0 1 1] /Parent 25 0 R /AP << /N << /On 5 0 R >> >> >>",
+    9: "<< /XObject << /Font 7 0 R >> /Font << /F1 12 0 R >> >>",
+    10: "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>",
+    12: "<< /Type /Font /Subtype /TrueType /FontDescriptor 14 0 R >>",
+    14: "<< /Type /FontDescriptor /FontFile2 5 0 R >>",
+    22: "<< /Type /Outlines /First 23 0 R /Last 23 0 R >>",
+    23: "<< /Title (a /Parent 9 0 R \\) b) /Parent 22 0 R /Dest [30 0 R /Fit] /A 28 0 R >>",
+    24: "<< /Fields [25 0 R] >>",
+    25: "<< /Type /Annot /Subtype /Widget /Kids [8 0 R] /T (f) >>",
+    27: "<< /S /GoTo /D [100 0 R /Fit] /Next 28 0 R >>",
+    28: "<< /S /URI /URI (http://a) >>",
+    30: "<< /Type /StructElem /S /P /P 31 0 R >>",
+    31: "<< /Type /StructTreeRoot /K [30 0 R] >>",
+}
+
+
+def _hex(text: Column) -> Column:
+    """ASCIIHex data of a text."""
+    return F.concat(F.hex(F.encode(text, "ISO-8859-1")), F.lit(">"))
+
+
+def _stream(entries: str, data: Column, length: Column | None = None) -> Column:
+    return F.concat(F.lit(f"<< {entries} /Length "), (F.length(data) if length is None else length).cast("string"), F.lit(" >>\nstream\n"), data, F.lit("\nendstream"))
+
+
+def _files(spark, sf_dir: str) -> DataFrame:
+    """A file for each part: pages by size, titles by name, and by its key files that are broken, encrypted, packed or nested too deeply."""
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    every = lambda n, some: F.when(k % n == 0, some).otherwise(F.lit(""))
+    whole = lambda number, body: text(f"{number} 0 obj\n" if isinstance(number, int) else text(number, " 0 obj\n"), body, "\nendobj\n")
+    pages = F.sequence(F.lit(0).cast("bigint"), F.col("p_size").cast("bigint") % 3)
+    kids = F.array_join(F.transform(pages, lambda i: text(i + 100, " 0 R")), " ")
+    tree = text("<< /Note (<< /Rotate 7 >>) /Type /Pages /Kids [", kids, "] /Rotate ", F.col("p_size"), " /Resources << /Font << /F1 10 0 R /F2 12 0 R >> >> >>")
+    page = lambda i: whole(i + 100, text("<< /Group << /Type /Group >> /Type /Page /Parent 2 0 R /Contents [5 0 R 6 0 R] /Annots [7 0 R 8 0 R 99 0 R] ", F.when(i % 2 == 1, text("/Rotate ", i * 90, " /Resources 9 0 R")).otherwise(F.lit("/AA << /O 27 0 R /C << /D 28 0 R >> >>")), " >>"))
+    packed = text("50 0 51 ", F.length(text("<< /Type /Part /Size ", F.col("p_size"), " >> ")))
+    first = text(packed, " " * 12)
+    content = text(first, "<< /Type /Part /Size ", F.col("p_size"), " >> ", "[", k, "]")
+    object_stream = text("<< /Type /ObjStm /N 2 /First ", F.length(first), " /Filter /AHx /Length ", F.length(_hex(content)), " >>\nstream\n", _hex(content), "\nendstream")
+    cross = F.concat(F.repeat(F.lit("01000900"), F.col("p_size").cast("int")), F.lit("02000201>"))
+    cross_stream = text("<< /Type /XRef /W [1 2 1] /Root 1 0 R /Inner << /Size 99999 >> /Size ", F.col("p_size") + 1, " /Filter /ASCIIHexDecode /Length ", F.length(cross), " >>\nstream\n", cross, "\nendstream")
+    table_ = F.when(k % 3 == 0, text("xref\n0 1\n0000000000 65535 f \ntrailer\n<< /X << /Root 9 0 R >> /Prev ", k, " /Root 1 0 R >>\n")).when(k % 3 == 1, text("xref\n0 1\n0 f\ntrailer\n<< /XRefStm ", k, " /Root 1 0 R >>\n")).otherwise(F.lit(""))
+    root = F.when(k % 19 == 0, "77").otherwise("1")
+    made = text(
+        every(11, F.lit("junk\n")), F.when(k % 13 == 0, "no header\n").otherwise(text("%PDF-1.", k % 8, "\n")),
+        *[whole(n, F.lit(body)) for n, body in _FIXED.items()], whole(2, tree), F.array_join(F.transform(pages, page), ""),
+        whole(5, _stream("/A (endobj \\) (stream) x)", F.col("p_type"), F.when(k % 5 == 0, 1).otherwise(F.length("p_type")))), whole(6, _stream("/Filter [/AHx]", _hex(F.col("p_name")))), whole(16, _stream("/Filter /DCTDecode", F.lit("jpeg"))), whole(17, _stream("/Filter /Unknown", F.lit("x"))),
+        whole(40, text("<< /Producer << /Title (inner) >> /Title (", F.col("p_name"), ") >>")), every(2, whole(60, object_stream)), every(4, whole(61, cross_stream)), every(17, whole(70, F.repeat(F.lit("["), documents.MAX_LEVELS + 1))),
+        table_, "trailer\n<< /Old << /Root 3 0 R >> /Info 40 0 R ", every(7, F.lit("/Encrypt 3 0 R ")), "/Root ", root, " 0 R >>\nstartxref\n0\n%%EOF\n", F.repeat(F.lit("z"), (k % 6).cast("int")),
+    )
+    content_ = F.encode(made, "ISO-8859-1")
+    return table(spark, sf_dir, "part").select(k.cast("string").alias("doc_id"), F.octet_length(content_).cast("bigint").alias("bytes"), content_.alias("content"), F.lit(False).alias("too_large"))
+
+
+def _model(spark, sf_dir: str) -> DataFrame:
+    return families.typed(documents.objects(_files(spark, sf_dir)))
+
+
+#: The parts whose files can be read, their pages, and rows that each of them has.
+_READ = "r AS (SELECT *, CAST(p_partkey AS VARCHAR) AS doc_id FROM part WHERE p_partkey % 17 <> 0), pages AS (SELECT r.*, i FROM r, range(0, 3) t(i) WHERE i <= p_size % 3)"
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_partkey % 17 = 0 THEN 'internal' WHEN p_partkey % 13 = 0 THEN 'parseFailed' WHEN p_partkey % 7 = 0 THEN 'encrypted' WHEN p_partkey % 19 = 0 THEN 'parseFailed' ELSE 'success' END AS status FROM part")
 def file_status(spark, sf_dir):
-    return documents.parse_status(_files(spark))
+    return documents.parse_status(_files(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 'dictionary', 'Catalog', NULL, NULL), (2, 'stream', NULL, 24, 24), (3, 'stream', NULL, 20, 3), (4, 'string', NULL, NULL, NULL)) t(number, kind, type, declared_length, discovered_length)")
+@query(
+    f"""WITH {_READ} SELECT doc_id, number, kind, type FROM r, (VALUES (1, 'dictionary', 'Catalog'), (2, 'dictionary', 'Pages'), (5, 'stream', NULL), (6, 'stream', NULL), (16, 'stream', NULL), (17, 'stream', NULL), (7, 'dictionary', 'Annot'), (8, 'dictionary', 'Annot'), (9, 'dictionary', NULL), (10, 'dictionary', 'Font'), (12, 'dictionary', 'Font'),
+(14, 'dictionary', 'FontDescriptor'), (22, 'dictionary', 'Outlines'), (23, 'dictionary', NULL), (24, 'dictionary', NULL), (25, 'dictionary', 'Annot'), (27, 'dictionary', NULL), (28, 'dictionary', NULL), (30, 'dictionary', 'StructElem'), (31, 'dictionary', 'StructTreeRoot'), (40, 'dictionary', NULL)) v(number, kind, type)
+UNION ALL SELECT doc_id, CAST(100 + i AS INTEGER), 'dictionary', 'Page' FROM pages UNION ALL SELECT doc_id, 60, 'stream', 'ObjStm' FROM r WHERE p_partkey % 2 = 0 UNION ALL SELECT doc_id, 61, 'stream', 'XRef' FROM r WHERE p_partkey % 4 = 0"""
+)
 def file_objects(spark, sf_dir):
-    rows = documents.objects(_files(spark, "keywords"))
-    lengths = documents.streams(rows).select("number", "discovered_length")
-    return rows.join(lengths, "number", "left").select(F.col("number").cast("int").alias("number"), "kind", "type", F.col("declared_length").cast("int").alias("declared_length"), F.col("discovered_length").cast("int").alias("discovered_length"))
+    return documents.objects(_files(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"), "kind", "type")
+
+
+@query(f"WITH {_READ} SELECT doc_id, number, declared_length, discovered_length FROM (SELECT doc_id, 5 AS number, CAST(CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE length(p_type) END AS INTEGER) AS declared_length, CAST(length(p_type) AS INTEGER) AS discovered_length FROM r UNION ALL SELECT doc_id, 6, CAST(2 * length(p_name) + 1 AS INTEGER), CAST(2 * length(p_name) + 1 AS INTEGER) FROM r)")
+def file_streams(spark, sf_dir):
+    rows = documents.streams(documents.objects(_files(spark, sf_dir))).filter("number IN (5, 6)")
+    return rows.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("number", "declared_length", "discovered_length")])
 
 
-@query("SELECT * FROM (VALUES ('table', 'EolMarkersComply', NULL), ('table', 'PrevOffset', 77), ('bad-table', 'MalformedClassic', NULL), ('bad-table', 'HybridOffset', 5)) t(doc_id, kind, value)")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'EolMarkersComply' AS kind, NULL::BIGINT AS value FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'PrevOffset', p_partkey FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'MalformedClassic', NULL FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'HybridOffset', p_partkey FROM part WHERE p_partkey % 3 = 1")
 def file_xref_facts(spark, sf_dir):
-    return documents.xref_facts(_files(spark, "table", "bad-table")).select("doc_id", "kind", F.col("value").cast("int").alias("value"))
+    return documents.xref_facts(_files(spark, sf_dir)).select("doc_id", "kind", "value")
 
 
-@query("SELECT * FROM (VALUES (2, 1, 'dictionary', 'Catalog'), (2, 7, 'array', NULL)) t(container, number, kind, type)")
+@query(f"WITH {_READ} SELECT doc_id, 60 AS container, 50 AS number, 'dictionary' AS kind, 'Part' AS type, p_size::BIGINT AS size FROM r WHERE p_partkey % 2 = 0 UNION ALL SELECT doc_id, 60, 51, 'array', NULL, NULL FROM r WHERE p_partkey % 2 = 0")
 def file_object_streams(spark, sf_dir):
-    rows = documents.expanded_objects(documents.objects(_files(spark, "packed", "minimal")))
-    return rows.select(F.col("container").cast("int").alias("container"), F.col("number").cast("int").alias("number"), "kind", "type")
+    rows = documents.expanded_objects(documents.objects(_files(spark, sf_dir)))
+    return rows.select("doc_id", F.col("container").cast("int").alias("container"), F.col("number").cast("int").alias("number"), "kind", "type", documents.nested.at(F.col("value"), "Size", kind="bigint").alias("size"))
 
 
-@query("SELECT 3 AS number, 12 AS decoded_bytes, 3 AS entries, 1 AS compressed_entries, 1 AS root, false AS malformed")
+@query(f"WITH {_READ} SELECT doc_id, 61 AS number, 4 * (p_size + 1) AS decoded_bytes, p_size + 1 AS entries, 1 AS compressed_entries, 1 AS root, false AS malformed FROM r WHERE p_partkey % 4 = 0")
 def file_xref_streams(spark, sf_dir):
-    rows = documents.xref_streams(documents.objects(_files(spark, "packed", "minimal")))
-    return rows.select(*[F.col(c).cast("int").alias(c) for c in ("number", "decoded_bytes", "entries", "compressed_entries", "root")], "malformed")
+    rows = documents.xref_streams(documents.objects(_files(spark, sf_dir)))
+    return rows.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("number", "decoded_bytes", "entries", "compressed_entries", "root")], "malformed")
 
 
-@query("SELECT * FROM (VALUES (2, '68656C6C6F', 'AHx,Fl', false), (3, 'FFD86A706567', 'DCTDecode', true), (4, NULL, '', NULL), (5, '010203020304', 'Fl', false)) t(number, decoded, filters, passed_on)")
+@query(f"WITH {_READ} SELECT doc_id, number, decoded, filters, passed_on FROM (SELECT doc_id, 6 AS number, hex(encode(p_name)) AS decoded, 'AHx' AS filters, false AS passed_on FROM r UNION ALL SELECT doc_id, 16, hex(encode('jpeg')), 'DCTDecode', true FROM r UNION ALL SELECT doc_id, 17, NULL, '', NULL FROM r)")
 def file_filter_chains(spark, sf_dir):
-    rows = documents.objects(_files(spark, "chain")).filter("kind = 'stream'").select("number", documents.decoded_stream().alias("d"))
-    return rows.select(F.col("number").cast("int").alias("number"), F.hex("d.bytes").alias("decoded"), F.array_join(F.transform("d.facts", lambda f: f["filter"]), ",").alias("filters"), F.get("d.facts", F.lit(0))["passed_on"].alias("passed_on"))
+    rows = documents.objects(_files(spark, sf_dir)).filter("kind = 'stream' AND number IN (6, 16, 17)").select("doc_id", "number", documents.decoded_stream().alias("d"))
+    return rows.select("doc_id", F.col("number").cast("int").alias("number"), F.hex("d.bytes").alias("decoded"), F.array_join(F.transform("d.facts", lambda f: f["filter"]), ",").alias("filters"), F.get("d.facts", F.lit(0))["passed_on"].alias("passed_on"))
 
 
-@query("SELECT * FROM (VALUES ('minimal', 'header'), ('no-header', ''), ('encrypted', 'encrypted,header'), ('keywords', 'header,streamLength')) t(doc_id, facts)")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, concat_ws(',', CASE WHEN p_partkey % 7 = 0 THEN 'encrypted' END, CASE WHEN p_partkey % 13 <> 0 THEN 'header' END, CASE WHEN p_partkey % 17 <> 0 AND p_partkey % 5 = 0 AND length(p_type) <> 1 THEN 'streamLength' END) AS facts FROM part")
 def file_parse_facts(spark, sf_dir):
-    rows = documents.parse_facts(_files(spark, "minimal", "no-header", "encrypted", "keywords"))
+    rows = documents.parse_facts(_files(spark, sf_dir))
     return rows.select("doc_id", F.array_join(F.transform("facts", lambda f: f["kind"]), ",").alias("facts"))
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 'catalog', 'Metadata', 20, 'metadata', true), (1, 'catalog', 'OutputIntents', 21, 'outputIntent', true), (1, 'catalog', 'Pages', 2, 'pageTree', true), (1, 'catalog', 'Outlines', 22, 'outline', true), (1, 'catalog', 'AcroForm', 24, 'acroForm', true), (1, 'catalog', 'OpenAction', 27, 'action', true),
-(2, 'pageTree', 'Kids', 3, 'page', true), (2, 'pageTree', 'Kids', 4, 'page', true), (3, 'page', 'Contents', 5, NULL, true), (3, 'page', 'Contents', 6, NULL, true), (3, 'page', 'Annots', 7, 'annotation', true), (3, 'page', 'Annots', 8, 'formField', true), (3, 'page', 'Annots', 99, NULL, false), (4, 'page', 'AA', 27, 'action', true), (4, 'page', 'AA', 28, 'action', true),
-(7, 'annotation', 'A', 27, 'action', true), (8, 'formField', 'Parent', 25, 'formField', true), (11, 'font', 'DescendantFonts', 13, 'font', true), (11, 'font', 'ToUnicode', 5, NULL, true), (12, 'font', 'FontDescriptor', 14, 'fontDescriptor', true), (13, 'font', 'FontDescriptor', 14, 'fontDescriptor', true), (14, 'fontDescriptor', 'FontFile2', 5, NULL, true),
-(21, 'outputIntent', 'DestOutputProfile', 5, NULL, true), (22, 'outline', 'First', 23, 'outline', true), (22, 'outline', 'Last', 23, 'outline', true), (23, 'outline', 'A', 28, 'action', true), (23, 'outline', 'Dest', 30, 'structureElement', true), (24, 'acroForm', 'Fields', 25, 'formField', true), (25, 'formField', 'Kids', 8, 'formField', true),
-(27, 'action', 'Next', 28, 'action', true), (27, 'action', 'D', 3, 'page', true), (30, 'structureElement', 'P', 31, 'structureTreeRoot', true), (31, 'structureTreeRoot', 'K', 30, 'structureElement', true)) t(src, src_family, link, dst, dst_family, found)"""
+    f"""WITH {_READ} SELECT doc_id, v.* FROM r, (VALUES (1, 'catalog', 'Pages', 2, 'pageTree', true), (1, 'catalog', 'Outlines', 22, 'outline', true), (1, 'catalog', 'AcroForm', 24, 'acroForm', true), (1, 'catalog', 'OpenAction', 27, 'action', true), (7, 'annotation', 'A', 27, 'action', true), (8, 'formField', 'Parent', 25, 'formField', true),
+(12, 'font', 'FontDescriptor', 14, 'fontDescriptor', true), (14, 'fontDescriptor', 'FontFile2', 5, NULL, true), (22, 'outline', 'First', 23, 'outline', true), (22, 'outline', 'Last', 23, 'outline', true), (23, 'outline', 'A', 28, 'action', true), (23, 'outline', 'Dest', 30, 'structureElement', true), (24, 'acroForm', 'Fields', 25, 'formField', true),
+(25, 'formField', 'Kids', 8, 'formField', true), (27, 'action', 'Next', 28, 'action', true), (27, 'action', 'D', 100, 'page', true), (30, 'structureElement', 'P', 31, 'structureTreeRoot', true), (31, 'structureTreeRoot', 'K', 30, 'structureElement', true)) v(src, src_family, link, dst, dst_family, found)
+UNION ALL SELECT doc_id, 2, 'pageTree', 'Kids', CAST(100 + i AS INTEGER), 'page', true FROM pages
+UNION ALL SELECT doc_id, CAST(100 + i AS INTEGER), 'page', v.* FROM pages, (VALUES ('Contents', 5, NULL, true), ('Contents', 6, NULL, true), ('Annots', 7, 'annotation', true), ('Annots', 8, 'formField', true), ('Annots', 99, NULL, false)) v(link, dst, dst_family, found)
+UNION ALL SELECT doc_id, CAST(100 + i AS INTEGER), 'page', 'AA', 27, 'action', true FROM pages WHERE i % 2 = 0"""
 )
 def model_links(spark, sf_dir):
-    rows = _model(spark)
+    rows = _model(spark, sf_dir)
     found = families.linked_objects(rows, families.typed_links(rows))
-    return found.select(F.col("src").cast("int").alias("src"), "src_family", "link", F.col("dst").cast("int").alias("dst"), "dst_family", "found")
+    return found.select("doc_id", F.col("src").cast("int").alias("src"), "src_family", "link", F.col("dst").cast("int").alias("dst"), "dst_family", "found")
 
 
-@query("SELECT * FROM (VALUES (3, 'F1', 12), (3, 'F2', 11), (4, 'F1', 10), (4, 'F2', 11)) t(node, name, object)")
+@query(f"WITH {_READ} SELECT doc_id, CAST(100 + i AS INTEGER) AS node, 'F1' AS name, CASE WHEN i % 2 = 1 THEN 12 ELSE 10 END AS object FROM pages UNION ALL SELECT doc_id, CAST(100 + i AS INTEGER), 'F2', 12 FROM pages")
 def model_page_fonts(spark, sf_dir):
-    return families.page_fonts(_model(spark)).select(F.col("node").cast("int").alias("node"), "name", F.col("object").cast("int").alias("object"))
+    return families.page_fonts(_model(spark, sf_dir)).select("doc_id", F.col("node").cast("int").alias("node"), "name", F.col("object").cast("int").alias("object"))
 
 
-@query("SELECT * FROM (VALUES (3, '90'), (4, '0')) t(node, value)")
+@query(f"WITH {_READ} SELECT doc_id, CAST(100 + i AS INTEGER) AS node, CAST(CASE WHEN i % 2 = 1 THEN 90 * i ELSE p_size END AS VARCHAR) AS value FROM pages")
 def model_inherited_values(spark, sf_dir):
-    return families.inherited_values(_model(spark), "Rotate").select(F.col("node").cast("int").alias("node"), "value")
+    return families.inherited_values(_model(spark, sf_dir), "Rotate").select("doc_id", F.col("node").cast("int").alias("node"), "value")
 
 
-@query("SELECT * FROM (VALUES (7, 'Stream'), (8, 'Dictionary'), (25, NULL)) t(number, appearance)")
+@query(f"WITH {_READ} SELECT doc_id, v.* FROM r, (VALUES (7, 'Stream'), (8, 'Dictionary'), (25, NULL)) v(number, appearance)")
 def model_appearances(spark, sf_dir):
-    return families.appearance_types(_model(spark)).select(F.col("number").cast("int").alias("number"), "appearance")
+    return families.appearance_types(_model(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"), "appearance")
 
 
-@query("SELECT 23 AS number")
+@query(f"WITH {_READ} SELECT doc_id, 23 AS number FROM r")
 def model_structure_destinations(spark, sf_dir):
-    return families.structure_destinations(_model(spark)).select(F.col("number").cast("int").alias("number"))
+    return families.structure_destinations(_model(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"))
 
 
-@query("SELECT * FROM (VALUES ('minimal', 0, 1, 7, false, false, 2), ('junk-before', 5, 1, 7, false, false, 1), ('no-header', NULL, 1, 4, false, false, 0), ('encrypted', 0, 1, 7, true, false, 1), ('packed', 0, 1, 7, false, true, 2)) t(doc_id, header_offset, version_major, version_minor, encrypted, contains_xref_stream, object_count)")
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN p_partkey % 13 <> 0 THEN CASE WHEN p_partkey % 11 = 0 THEN 5 ELSE 0 END END AS header_offset, 1 AS version_major, CAST(CASE WHEN p_partkey % 13 = 0 THEN 4 ELSE p_partkey % 8 END AS INTEGER) AS version_minor, p_partkey % 7 = 0 AS encrypted, p_partkey % 4 = 0 AS contains_xref_stream, CAST(CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_partkey % 6 + 1 END AS INTEGER) AS post_eof_bytes FROM part"
+)
 def file_headers(spark, sf_dir):
-    rows = documents.headers(_files(spark, "minimal", "junk-before", "no-header", "encrypted", "packed"))
-    return rows.select("doc_id", F.col("header_offset").cast("int").alias("header_offset"), "version_major", "version_minor", "encrypted", "contains_xref_stream", F.col("object_count").cast("int").alias("object_count"))
+    rows = documents.headers(_files(spark, sf_dir))
+    return rows.select("doc_id", F.col("header_offset").cast("int").alias("header_offset"), "version_major", "version_minor", "encrypted", "contains_xref_stream", F.col("post_eof_bytes").cast("int").alias("post_eof_bytes"))
 
 
-@query("SELECT * FROM (VALUES ('minimal', 0, 1, NULL), ('model', 0, 1, 40), ('table', 0, 1, NULL)) t(doc_id, pos, root, info)")
+@query("WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_partkey % 3 < 2 AS two, CASE WHEN p_partkey % 19 = 0 THEN 77 ELSE 1 END AS root FROM part) SELECT doc_id, CASE WHEN two THEN 1 ELSE 0 END AS pos, root, 40 AS info FROM t UNION ALL SELECT doc_id, 0, 1, NULL FROM t WHERE two")
 def file_trailers(spark, sf_dir):
-    return documents.trailers(_files(spark, "minimal", "model", "table")).select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("root").cast("int").alias("root"), F.col("info").cast("int").alias("info"))
+    return documents.trailers(_files(spark, sf_dir)).select("doc_id", "pos", F.col("root").cast("int").alias("root"), F.col("info").cast("int").alias("info"))
 
 
-@query("SELECT * FROM (VALUES (7, 'A', 27), (8, 'Parent', 25), (24, 'Fields', 25), (27, 'Next', 28)) t(number, key, target)")
+@query(f"WITH {_READ} SELECT doc_id, v.* FROM r, (VALUES (7, 'A', 27), (8, 'Parent', 25), (27, 'Next', 28), (1, 'Pages', 2), (1, 'Outlines', 22), (1, 'AcroForm', 24), (1, 'OpenAction', 27)) v(number, key, target)")
 def file_references(spark, sf_dir):
-    rows = documents.references(documents.objects(_files(spark, "model")).filter("number IN (7, 8, 24, 27)"))
-    arrays = families.typed_links(_model(spark)).filter("src = 24").select(F.col("src").alias("number"), F.col("link").alias("key"), F.col("dst").alias("target"))
-    found = rows.filter("key IN ('A', 'Parent', 'Next')").select("number", "key", "target").unionByName(arrays)
-    return found.select(F.col("number").cast("int").alias("number"), "key", F.col("target").cast("int").alias("target"))
+    rows = documents.references(documents.objects(_files(spark, sf_dir)).filter("number IN (1, 7, 8, 24, 27)"))
+    return rows.select("doc_id", F.col("number").cast("int").alias("number"), "key", F.col("target").cast("int").alias("target"))
+
+
+@query(f"WITH {_READ} SELECT doc_id, '(' || p_name || ')' AS value FROM r")
+def model_info_value(spark, sf_dir):
+    return families.info_values(documents.trailers(_files(spark, sf_dir)), _model(spark, sf_dir), "Title")
 
 
-@query("SELECT * FROM (VALUES (1, 'pdfa', 2, 'b'), (1, 'pdfua', 1, NULL), (2, 'pdfa', 1, 'a')) t(doc_id, family, part, conformance)")
+@query(f"WITH {_READ} SELECT family, count(*) AS n FROM (SELECT 'page' AS family FROM pages UNION ALL SELECT unnest(['font', 'font']) FROM r) GROUP BY 1")
+def family_pruning(spark, sf_dir):
+    return model.only_families(_model(spark, sf_dir), ["page", "font"]).groupBy("family").agg(F.count("*").alias("n"))
+
+
+# Packets, texts and scalar facts of the tables' rows.
+
+
+@query("SELECT p_partkey AS doc_id, 'pdfa' AS family, p_size AS part, CASE WHEN p_partkey % 3 = 0 THEN lower(substr(p_type, 1, 1)) END AS conformance FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, 'pdfua', CAST(p_partkey % 9 AS INTEGER), NULL FROM part WHERE p_partkey % 2 = 0")
 def packet_claims(spark, sf_dir):
-    data = [(1, "<pdfaid:part>2</pdfaid:part><pdfaid:conformance>B</pdfaid:conformance><pdfuaid:part>1</pdfuaid:part>"), (2, '<rdf:Description pdfaid:part="1" pdfaid:conformance="A"/>'), (3, "<x/>")]
-    return documents.flavour_claims(spark.createDataFrame(data, "doc_id int, packet string"))
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    as_element = F.concat(F.lit("<pdfaid:part>"), size, F.lit("</pdfaid:part>"), F.when(k % 3 == 0, F.concat(F.lit("<pdfaid:conformance>"), F.substring("p_type", 1, 1), F.lit("</pdfaid:conformance>"))).otherwise(""))
+    as_attribute = F.concat(F.lit('<rdf:Description pdfaid:part="'), size, F.lit('"'), F.when(k % 3 == 0, F.concat(F.lit(' pdfaid:conformance="'), F.substring("p_type", 1, 1), F.lit('"'))).otherwise(""), F.lit("/>"))
+    packet = F.concat(F.when(k % 4 == 0, "<x/>").when(k % 4 == 1, as_attribute).otherwise(as_element), F.when(k % 2 == 0, F.concat(F.lit("<pdfuaid:part>"), (k % 9).cast("string"), F.lit("</pdfuaid:part>"))).otherwise(""))
+    return documents.flavour_claims(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), packet.alias("packet")))
 
 
-@query("SELECT * FROM (VALUES (1, true, true, true), (2, false, true, false), (3, false, false, NULL), (4, NULL, NULL, false)) t(doc_id, serialization_valid, spacing_complies, title_ok)")
+@query(
+    """WITH f AS (SELECT o_custkey AS doc_id, bool_or(o_orderstatus = 'F') AND NOT bool_or(o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%') AS serialization_valid, NOT bool_or(o_orderkey % 5 = 0) AS spacing_complies FROM orders GROUP BY 1),
+t AS (SELECT conv_id AS doc_id, count(*) FILTER (trim(text) <> '') = 1 AND count(*) FILTER (trim(text) <> '' AND turn = 0) = 1 AS title_ok FROM conversations GROUP BY 1)
+SELECT doc_id, serialization_valid, spacing_complies, title_ok FROM f FULL JOIN t USING (doc_id)"""
+)
 def packet_checks(spark, sf_dir):
-    facts = spark.createDataFrame([(1, "PacketParsed", False), (2, "PacketParsed", None), (2, "Hostile", None), (3, "Malformed", True)], "doc_id int, kind string, bad_spacing boolean")
-    titles = spark.createDataFrame([(1, "x-default", "a"), (1, "en", " "), (2, "x-default", "a"), (2, "en", "b"), (4, "en", "a")], "doc_id int, lang string, value string")
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "Malformed").when(F.col("o_orderpriority").startswith("2"), "Hostile").when(F.col("o_orderstatus") == "F", "PacketParsed")
+    facts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.explode(F.array(kind, F.when(F.col("o_orderstatus") == "F", "PacketParsed").otherwise("Other"))).alias("kind"), F.when(F.col("o_orderkey") % 5 == 0, True).alias("bad_spacing"))
+    titles = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.when(F.col("turn") == 0, "x-default").otherwise("en").alias("lang"), F.col("text").alias("value"))
     rows = metadata.packet_valid(facts).join(metadata.spacing_complies(facts), "doc_id", "full")
     return rows.join(metadata.one_default_title(titles), "doc_id", "full")
 
 
 @query(
-    "SELECT * FROM (VALUES (1, true, 'pdfa', 2, 'b', 'x', 'unknownProperty', 'p', true), (2, false, 'pdfua', 1, '', NULL, 'unknownLink', 'object 3 1', false), (3, NULL, 'wtpdf', 1, '-0-reuse', NULL, 'other', 'offset 9', NULL), (4, false, 'pdfa', NULL, '', NULL, 'unknownFamily', 'unknown', false)) t(i, private_use, family, part, conformance, token, category, location, dates)"
+    """SELECT p_partkey, p_size % 2 = 0 AS private_use, lower(p_brand[1:2]) || 'x' AS family, p_size AS part, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'b' END AS conformance, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS token,
+CASE p_partkey % 3 WHEN 0 THEN 'unknownProperty' WHEN 1 THEN 'unknownLink' ELSE 'other' END AS category, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'object ' || p_size || ' 0' ELSE 'offset ' || p_partkey END AS location, p_size <= 30 AS dates FROM part"""
 )
 def text_functions(spark, sf_dir):
-    schema = "i int, s string, name string, reason string, path string, number int, generation int, offset bigint, info string, xmp string"
-    data = [
-        (1, "a\ue000", "pdfa-2b", "unknown property 'x' here", "p", 1, 0, 5, "D:20200102030405Z", "2020-01-02T03:04:05Z"), (2, "a", "pdfua-1", "unknown link", None, 3, 1, 5, "D:20200102030405Z", None),
-        (3, None, "wtpdf-1-0-reuse", "odd", None, None, None, 9, None, "2020"), (4, "é", "pdfa", "no family", None, None, None, None, "D:2020", "2021"),
-    ]
-    rows = spark.createDataFrame(data, schema)
-    parts = derived.display_name_parts(F.col("name"))
-    return rows.select(
-        "i", derived.has_private_use(F.col("s")).alias("private_use"), parts["family"].alias("family"), parts["part"].alias("part"), parts["conformance"].alias("conformance"), derived.reason_token(F.col("reason"), "'", "' here").alias("token"),
-        derived.reason_category(F.col("reason")).alias("category"), derived.location_text(F.col("path"), F.col("number"), F.col("generation"), F.col("offset")).alias("location"), derived.dates_match(F.col("info"), F.col("xmp")).alias("dates"),
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    case = lambda *x: F.when(k % 3 == 0, x[0]).when(k % 3 == 1, x[1]).otherwise(x[2])
+    none = F.lit(None).cast("string")
+    name = F.concat(F.lower(F.substring("p_brand", 1, 2)), F.lit("x-"), size, F.when(F.col("p_size") % 3 == 0, "").otherwise("b"))
+    parts, reason = derived.display_name_parts(name), case(F.concat(F.lit("unknown property '"), F.col("p_type"), F.lit("' here")), F.concat(F.lit("no link "), F.col("p_name")), F.col("p_brand"))
+    private = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("\ue000"))).otherwise(F.col("p_name"))
+    stamp = F.concat(F.lit("D:202001"), F.lpad(size, 2, "0"), F.lit("030405Z"))
+    other = F.concat(F.lit("2020-01-"), F.lpad(F.least("p_size", F.lit(30)).cast("string"), 2, "0"), F.lit("T03:04:05Z"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", derived.has_private_use(private).alias("private_use"), parts["family"].alias("family"), parts["part"].alias("part"), parts["conformance"].alias("conformance"), derived.reason_token(reason, "'", "' here").alias("token"), derived.reason_category(reason).alias("category"),
+        derived.location_text(case(F.col("p_name"), none, none), case(F.lit(None), F.col("p_size"), F.lit(None)).cast("int"), case(F.lit(None), F.lit(0), F.lit(None)).cast("int"), k).alias("location"), derived.dates_match(stamp, other).alias("dates"),
     )
 
 
-@query("SELECT * FROM (VALUES (1, '4.2', 'prtr', 'RGB', 'Lab', 1, 3), (2, NULL, NULL, NULL, NULL, NULL, NULL)) t(i, version, device_class, color_space, pcs, rendering_intent, tag_count)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN (p_size % 5) || '.' || (p_size % 16) END AS version, CASE WHEN p_partkey % 5 <> 0 THEN 'prtr' END AS device_class, CASE WHEN p_partkey % 5 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'RGB' ELSE 'CMYK' END END AS color_space, CASE WHEN p_partkey % 5 <> 0 THEN 'Lab' END AS pcs, CASE WHEN p_partkey % 5 <> 0 THEN p_size::BIGINT END AS rendering_intent, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey END AS tag_count FROM part")
 def icc_headers(spark, sf_dir):
-    head = bytearray(132)
-    head[8:10], head[12:16], head[16:20], head[20:24], head[64:68], head[128:132] = b"\x04\x20", b"prtr", b"RGB ", b"Lab ", b"\0\0\0\1", b"\0\0\0\3"
-    rows = spark.createDataFrame([(1, head), (2, head[:100])], "i int, profile binary").select("i", derived.icc_header(F.col("profile")).alias("h"))
-    return rows.select("i", "h.version", "h.device_class", "h.color_space", "h.pcs", F.col("h.rendering_intent").cast("int").alias("rendering_intent"), F.col("h.tag_count").cast("int").alias("tag_count"))
+    number = lambda x, digits: F.lpad(F.hex(x.cast("bigint")), digits, "0")
+    letters = lambda x: F.hex(x)
+    k, size = F.col("p_partkey"), F.col("p_size")
+    digits = F.concat(F.repeat(F.lit("00"), 8), number(size % 5, 2), number(size % 16 * 16, 2), F.repeat(F.lit("00"), 2), letters(F.lit("prtr")), letters(F.when(k % 2 == 0, "RGB ").otherwise("CMYK")), letters(F.lit("Lab ")), F.repeat(F.lit("00"), 40), number(size, 8), F.repeat(F.lit("00"), 60), F.when(k % 5 != 0, number(k, 8)).otherwise(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", derived.icc_header(F.unhex(digits)).alias("h"))
+    return rows.select("p_partkey", "h.version", "h.device_class", "h.color_space", "h.pcs", "h.rendering_intent", "h.tag_count")
 
 
-@query("SELECT * FROM (VALUES (1, 10, 'P', 0), (1, 11, 'Q', 1), (1, 12, 'P', 1)) t(doc_id, node, tag, source)")
+@query("SELECT doc_id, node, page, tag, min(source) AS source FROM (SELECT l_orderkey AS doc_id, l_partkey AS node, l_linenumber AS page, l_returnflag AS tag, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS source FROM lineitem UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, 1 FROM lineitem WHERE l_quantity < 10) GROUP BY ALL")
 def artifacts(spark, sf_dir):
-    schema = "doc_id int, node int, page int, tag string"
-    found = accessibility.distinct_artifacts(spark.createDataFrame([(1, 10, 0, "P"), (1, 10, 0, "P")], schema), spark.createDataFrame([(1, 10, 0, "P"), (1, 11, 0, "Q"), (1, 12, 1, "P")], schema))
-    return found.select("doc_id", "node", "tag", "source")
+    line = table(spark, sf_dir, "lineitem")
+    own = [F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("node"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("tag")]
+    content = line.filter("l_linestatus <> 'O'").unionByName(line.filter("l_quantity < 10"))
+    return accessibility.distinct_artifacts(line.filter("l_linestatus = 'O'").select(*own), content.select(*own))
 
 
-@query("SELECT * FROM (VALUES (1, 5, 2), (1, 6, 0)) t(doc_id, node, widgets)")
+@query("SELECT l_orderkey AS doc_id, l_suppkey AS node, count(*) FILTER (o_orderstatus = 'F') AS widgets FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND l_linenumber > 2 GROUP BY 1, 2")
 def widgets(spark, sf_dir):
-    references = spark.createDataFrame([(1, 5, 50), (1, 5, 51), (1, 5, 52), (1, 6, 52), (1, 6, 99)], "doc_id int, node int, target int")
-    annotations = spark.createDataFrame([(1, 50, "Widget"), (1, 51, "Widget"), (1, 52, "Link")], "doc_id int, object int, subtype string")
-    return accessibility.widget_counts(references, annotations).select("doc_id", "node", F.col("widgets").cast("int").alias("widgets"))
+    # lines up to the second refer to nothing
+    target = F.when(F.col("l_linenumber") > 2, F.col("l_orderkey")).otherwise(-F.col("l_orderkey") - 1)
+    references = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("node"), target.alias("target"))
+    annotations = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").alias("object"), F.when(F.col("o_orderstatus") == "F", "Widget").otherwise("Link").alias("subtype"))
+    return accessibility.widget_counts(references, annotations)
 
 
-@query("SELECT family, count(*) AS n FROM (VALUES ('page'), ('page'), ('font'), ('font'), ('font'), ('font')) t(family) GROUP BY 1")
-def family_pruning(spark, sf_dir):
-    return model.only_families(_model(spark), ["page", "font"]).groupBy("family").agg(F.count("*").alias("n"))
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN text END AS text, text IS NULL AS utf8 FROM conversations")
+def text_decoding(spark, sf_dir):
+    """Texts with either mark; every third with a lone surrogate behind it."""
+    big = F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))
+    little = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    raw = F.when(F.col("turn") % 3 == 0, big).when(F.col("turn") % 3 == 1, little).otherwise(F.concat(big, F.unhex(F.lit("D800"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", derived.utf16_text(raw).alias("text"), derived.utf8_valid(raw).alias("utf8"))
+
+
+@query(
+    """SELECT p_partkey, p_partkey % 3 = 1 AS alt, p_size % 4 = 0 OR p_size > 25 AS glyphs, CASE p_partkey % 4 WHEN 0 THEN 'ICCBased' WHEN 1 THEN 'DeviceRGB' WHEN 2 THEN 'Indexed' END AS family, CASE WHEN p_partkey % 4 = 1 THEN 3 END AS n, CASE WHEN p_partkey % 4 = 0 THEN p_size::BIGINT END AS target FROM part"""
+)
+def scalar_checks(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    alt = F.when(k % 3 == 0, F.array("p_name")).when(k % 3 == 1, F.array(F.lit("en"), F.col("p_name"))).otherwise(F.array(F.col("p_name"), F.lit("")))
+    value = F.when(k % 4 == 0, F.concat(F.lit("[/ICCBased "), size.cast("string"), F.lit(" 0 R]"))).when(k % 4 == 1, "/DeviceRGB").when(k % 4 == 2, "[ /Indexed /DeviceRGB 1 <00> ]").otherwise(size.cast("string"))
+    space = derived.normalized_color_space(value, F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", derived.media_alt_valid(alt).alias("alt"), derived.glyph_evidence(F.when(size % 4 == 0, True), F.lit(None).cast("boolean"), size - 25, F.lit(None).cast("boolean")).alias("glyphs"), space["family"].alias("family"), space["n"].alias("n"), space["target"].alias("target"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 <> 2 THEN CAST(page_id AS VARCHAR) END AS id, CASE WHEN url NOT LIKE '%/' AND octet_length(encode('fixed-' || regexp_extract(url, '[^/]*$'))) <= 255 THEN 'fixed-' || regexp_extract(url, '[^/]*$') END AS output FROM pages")
+def packet_and_output(spark, sf_dir):
+    k = F.col("page_id")
+    packet = F.when(k % 3 == 0, F.concat(F.lit("<?xpacket begin='' id='"), k.cast("string"), F.lit("'?>"))).when(k % 3 == 1, F.concat(F.lit('<?xpacket begin="" id="'), k.cast("string"), F.lit('"?>'))).otherwise("<x/>")
+    return table(spark, sf_dir, "pages").select("page_id", derived.packet_attribute(packet, "id").alias("id"), derived.repair_output_name(F.col("url"), F.lit("fixed-")).alias("output"))
 
 
 @query("SELECT l_orderkey AS doc_id, count(*) AS objects FROM lineitem GROUP BY 1 HAVING count(*) > 5")
@@ -231,11 +300,6 @@ def failures_without_cap(spark, sf_dir):
     return rules.retained_failures(rules.apply_rules(objects, [rule]), None).groupBy("doc_id").agg(F.count("*").alias("failures"), F.max("ordinal").alias("last"))
 
 
-@query("SELECT 'model' AS doc_id, '(a title)' AS value")
-def model_info_value(spark, sf_dir):
-    return families.info_values(documents.trailers(_files(spark, "model")), _model(spark), "Title")
-
-
 @query(
     """WITH p AS (SELECT p_type AS family, CASE WHEN p_size % 2 = 0 THEN 'stored' ELSE 'derived' END AS evidence FROM part), l AS (SELECT p_type AS family FROM part WHERE p_size < 10 UNION ALL SELECT 'links only'),
 c AS (SELECT family, count(*) AS properties FROM p GROUP BY 1), e AS (SELECT family, string_agg(evidence || '=' || n, ',' ORDER BY evidence) AS evidence FROM (SELECT family, evidence, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1)
@@ -351,28 +415,3 @@ def packet_warnings(spark, sf_dir):
     return metadata.packet_warnings(packets, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderstatus").alias("namespace"), F.col("o_orderpriority").alias("name")))
 
 
-@query("SELECT * FROM (VALUES (1, 'ab', false), (2, 'é', false), (3, NULL, false), (4, '😀', false), (5, NULL, true), (6, NULL, true)) t(i, text, utf8)")
-def text_decoding(spark, sf_dir):
-    """UTF-16 with either mark, a lone surrogate (3), a pair (4), and no mark at all."""
-    raw = [(1, b"\xfe\xff\x00a\x00b"), (2, b"\xff\xfe\xe9\x00"), (3, b"\xfe\xff\xd8\x00\x00a"), (4, b"\xfe\xff\xd8\x3d\xde\x00"), (5, b"plain"), (6, None)]
-    rows = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in raw], "i int, b binary")
-    return rows.select("i", derived.utf16_text(F.col("b")).alias("text"), derived.utf8_valid(F.col("b")).alias("utf8"))
-
-
-@query(
-    "SELECT * FROM (VALUES (1, true, true, 'ICCBased', NULL, 9), (2, false, false, 'DeviceRGB', 3, NULL), (3, false, true, 'Indexed', NULL, NULL), (4, true, false, NULL, NULL, NULL), (5, false, false, 'DeviceN', NULL, NULL)) t(i, alt, glyphs, family, n, target)"
-)
-def scalar_checks(spark, sf_dir):
-    schema = "i int, alt array<string>, embedded boolean, widths int, value string, keys array<string>"
-    data = [(1, ["en", "text"], True, None, "[/ICCBased 9 0 R]", None), (2, ["en"], None, 0, "/DeviceRGB", None), (3, ["en", ""], False, 4, "[ /Indexed /DeviceRGB 1 <00> ]", None), (4, [], None, None, "12", None), (5, None, None, None, "<< /TintTransform 1 0 R >>", ["TintTransform", "Colorants"])]
-    rows = spark.createDataFrame(data, schema)
-    space = derived.normalized_color_space(F.col("value"), F.col("keys"))
-    none = F.lit(None).cast("boolean")
-    return rows.select("i", derived.media_alt_valid(F.col("alt")).alias("alt"), derived.glyph_evidence(F.col("embedded"), none, F.col("widths"), none).alias("glyphs"), space["family"].alias("family"), space["n"].alias("n"), space["target"].cast("int").alias("target"))
-
-
-@query("SELECT * FROM (VALUES (1, 'x', 'fixed-a.pdf'), (2, NULL, NULL), (3, 'W5M0', 'fixed-b.pdf')) t(i, id, output)")
-def packet_and_output(spark, sf_dir):
-    data = [(1, "<?xpacket begin='' id='x'?>", "/in/a.pdf"), (2, "<x/>", "/in/"), (3, '<?xpacket begin="" id="W5M0"?>', "b.pdf")]
-    rows = spark.createDataFrame(data, "i int, packet string, path string")
-    return rows.select("i", derived.packet_attribute(F.col("packet"), "id").alias("id"), derived.repair_output_name(F.col("path"), F.lit("fixed-")).alias("output"))
