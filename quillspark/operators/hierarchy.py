@@ -48,13 +48,31 @@ def ancestor_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return found.select("doc_id", "node", path.alias("path")).select("doc_id", "node", F.size("path").alias("depth"), "path")
 
 
-def nearest_value(nodes: DataFrame, paths: DataFrame, value: str, into: str, own: bool = True) -> DataFrame:
-    """The value of the node itself (if *own*) or else of the nearest ancestor that has one."""
-    valued = nodes.filter(F.col(value).isNotNull()).select("doc_id", F.col("node").alias("_at"), F.col(value).alias("_value"))
-    chain = F.concat(F.array("node"), "path") if own else F.col("path")
-    steps = paths.select("doc_id", "node", F.posexplode(chain).alias("_step", "_at"))
-    found = steps.join(valued, ["doc_id", "_at"]).groupBy("doc_id", "node").agg(F.min_by("_value", "_step").alias(into))
-    return nodes.join(found, ["doc_id", "node"], "left")
+def inherited(nodes: DataFrame, value: str, into: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """*nodes* (``doc_id``, ``node``, ``parent``) with *into*: the node's own *value*, else that of the nearest ancestor that has one.
+
+    Only the value found so far and the next node to ask are carried; both reach twice as far in each round,
+    each a written table.  A cycle without a value, and what is above *max_depth*, give null.
+    """
+    state = nodes.select("doc_id", "node", F.when(F.col(value).isNull(), F.col("parent")).alias("_top"), F.col(value).alias(into))
+    reach = 1
+    while True:
+        state = materialise(state, "tree-inherited")
+        if reach > max_depth or state.filter(F.col("_top").isNotNull()).isEmpty():
+            break
+        above = state.select("doc_id", F.col("node").alias("_top"), F.col("_top").alias("_next"), F.col(into).alias("_found"))
+        met = state.filter(F.col("_top").isNotNull()).join(above, ["doc_id", "_top"], "left").select("doc_id", "node", F.col("_next").alias("_top"), F.col("_found").alias(into))
+        state = state.filter(F.col("_top").isNull()).unionByName(met)
+        reach *= 2
+    return nodes.join(state.drop("_top"), ["doc_id", "node"], "left")
+
+
+def nearest_value(nodes: DataFrame, paths: DataFrame | None, value: str, into: str, own: bool = True) -> DataFrame:
+    """The value of the node itself (if *own*) or else of the nearest ancestor that has one; *paths* is not needed."""
+    if own:
+        return inherited(nodes, value, into)
+    above = inherited(nodes, value, into).select("doc_id", F.col("node").alias("parent"), into)
+    return nodes.join(above, ["doc_id", "parent"], "left").select(*nodes.columns, into)
 
 
 def ancestor_roles(nodes: DataFrame, paths: DataFrame, role: str = "role") -> DataFrame:

@@ -600,7 +600,7 @@ def tree_paths(spark, sf_dir):
 @query(_TREE + ", c AS (SELECT doc_id, node, unnest(list_concat([node], path)) AS at, unnest(range(len(path) + 1)) AS step FROM p) SELECT c.doc_id, c.node, arg_min(t.lang, step) FILTER (t.lang IS NOT NULL) AS inherited_lang FROM c JOIN t ON t.doc_id = c.doc_id AND t.node = c.at GROUP BY c.doc_id, c.node")
 def inherited_language(spark, sf_dir):
     nodes = _tree(spark, sf_dir)
-    return hierarchy.nearest_value(nodes, hierarchy.ancestor_paths(nodes), "lang", "inherited_lang").select("doc_id", "node", "inherited_lang")
+    return hierarchy.inherited(nodes, "lang", "inherited_lang").select("doc_id", "node", "inherited_lang")
 
 
 _NESTING = (

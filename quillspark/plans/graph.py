@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import checked, nested
-from quillspark.operators import graphs, isolation, scopes
+from quillspark.operators import graphs, isolation, scopes, structure
 from quillspark.plans.registry import query, table
 
 # Trees of parts: node k hangs on k // 3; every tenth node of a document is a root of its own.
@@ -170,3 +170,69 @@ def _segments(spark, sf_dir: str) -> DataFrame:
 @query(_SEGMENTS + "SELECT doc_id, CAST(segment AS BIGINT) AS segment, min(seq) AS seq FROM c WHERE n > 6 OR b > 70 GROUP BY 1, 2")
 def segment_warnings(spark, sf_dir):
     return scopes.capped_segments(_segments(spark, sf_dir), 6, 70, block_rows=5000)[1]
+
+
+# Structure elements: parts as binary heaps, whose kids are of every kind.
+
+
+def _elements(spark, sf_dir: str) -> DataFrame:
+    part, k, size = table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / 3).cast("bigint"), F.col("p_size")
+    ref = lambda n: F.concat(n.cast("string"), F.lit(" 0 R"))
+    kids = F.concat(F.lit("["), size.cast("string"), F.lit(',{"Type":"/MCR","Pg":"77 0 R","MCID":'), (size - 10).cast("string"), F.lit('},{"Type":"/OBJR"'), F.when(size % 2 == 0, F.concat(F.lit(',"Obj":"'), ref(k), F.lit('"'))).otherwise(""), F.lit('},"'), ref(k * 2), F.lit('","(text)"]'))
+    fields = F.concat_ws(",", F.when(size % 9 != 0, F.concat(F.lit('"S":"/'), F.when(size % 5 == 0, "Artifact").otherwise(F.concat(F.lit("H"), (size % 8).cast("string"))), F.lit('"'))), F.when(k > 1, F.concat(F.lit('"P":"'), ref(F.floor(k / 2).cast("bigint")), F.lit('"'))), F.when(size % 4 == 0, F.concat(F.lit('"Pg":"'), ref(size), F.lit('"'))), F.concat(F.lit('"K":'), kids))
+    rows = part.filter(k >= 1).select((F.col("p_partkey") % 3).alias("doc_id"), k.alias("node"), F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
+    return rows.select("doc_id", "node", F.try_parse_json("json").alias("value"))
+
+
+_ELEMENTS = """WITH RECURSIVE e AS (SELECT p_partkey % 3 AS doc_id, p_partkey // 3 AS node, CASE WHEN p_partkey // 3 > 1 THEN p_partkey // 3 // 2 END AS parent, p_size AS size, CASE WHEN p_size % 4 = 0 THEN p_size::BIGINT END AS page,
+ CASE WHEN p_size % 9 <> 0 THEN CASE WHEN p_size % 5 = 0 THEN 'Artifact' ELSE 'H' || (p_size % 8) END END AS role FROM part WHERE p_partkey // 3 >= 1),
+up AS (SELECT doc_id, node, parent AS top, page FROM e UNION ALL SELECT u.doc_id, u.node, e.parent, e.page FROM up u JOIN e ON e.doc_id = u.doc_id AND e.node = u.top WHERE u.page IS NULL),
+pages AS (SELECT doc_id, node, max(page) AS inherited FROM up GROUP BY 1, 2)
+"""
+
+
+@query(
+    _ELEMENTS
+    + """SELECT 'node' AS tag, doc_id, node, role, page, parent AS target, NULL::BIGINT AS mcid FROM e UNION ALL SELECT 'child', doc_id, node, NULL, NULL, node * 2, NULL FROM e UNION ALL SELECT 'reference', doc_id, node, NULL, page, node, NULL FROM e WHERE size % 2 = 0 UNION ALL SELECT 'artifact', doc_id, node, role, page, NULL, NULL FROM e WHERE role = 'Artifact'
+UNION ALL SELECT 'content', doc_id, node, NULL, inherited, NULL, size FROM e JOIN pages USING (doc_id, node) UNION ALL SELECT 'content', doc_id, node, NULL, 77, NULL, size - 10 FROM e WHERE size >= 10"""
+)
+def structure_tables(spark, sf_dir):
+    """Five tables from one scan, marked content with inherited pages."""
+    made = structure.structure_tables(_elements(spark, sf_dir))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, tag, role, page, target, mcid: df.select(F.lit(tag).alias("tag"), "doc_id", "node", role.alias("role"), page.alias("page"), target.alias("target"), mcid.alias("mcid"))
+    c, text, number = F.col, none("string"), none("bigint")
+    out = row(made.nodes, "node", c("role"), c("page"), c("parent"), number).unionByName(row(made.children, "child", text, number, c("target"), number)).unionByName(row(made.references, "reference", text, c("page"), c("target"), number))
+    return out.unionByName(row(made.artifacts, "artifact", c("role"), c("page"), number, number)).unionByName(row(structure.paged_content(made), "content", text, c("page"), number, c("mcid")))
+
+
+@query(_ELEMENTS + "SELECT doc_id, node, NULL::INT AS ord, 'missing role' AS message FROM e WHERE role IS NULL UNION ALL SELECT doc_id, node, 1, 'bad content number' FROM e WHERE size < 10 UNION ALL SELECT doc_id, node, 2, 'reference without an object' FROM e WHERE size % 2 = 1 UNION ALL SELECT doc_id, node, 4, 'unknown kid' FROM e")
+def structure_warnings(spark, sf_dir):
+    return structure.structure_tables(_elements(spark, sf_dir)).warnings
+
+
+# Attributes of orders: their own, then those of their classes, which customers' segments and priorities define.
+
+_LAYERS = """WITH m AS (SELECT o_orderpriority AS class, 'status' AS name, 'by ' || o_orderpriority AS value FROM orders GROUP BY ALL UNION ALL SELECT o_orderpriority, 'least', CAST(min(o_orderkey) AS VARCHAR) FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, 'status', 'is ' || o_orderstatus FROM orders GROUP BY 1, 3),
+l AS (SELECT o_orderkey AS node, unnest([o_orderpriority, o_orderstatus, 'none']) AS class, unnest([0, 1, 2]) AS layer FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, unnest([o_orderstatus, o_orderpriority]), unnest([0, 1]) FROM orders WHERE o_orderkey % 5 <> 0)
+"""
+
+
+def _layers(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    classes = F.when(k % 5 == 0, F.array("o_orderpriority", "o_orderstatus", F.lit("none"))).otherwise(F.array("o_orderstatus", "o_orderpriority"))
+    elements = orders.select(F.lit(1).alias("doc_id"), k.alias("node"), F.when(k % 3 == 0, F.create_map(F.lit("status"), F.concat(F.lit("own "), "o_orderstatus"))).alias("attributes"), classes.alias("classes"))
+    by_priority = orders.groupBy(F.col("o_orderpriority").alias("class")).agg(F.min("o_orderkey").alias("least"))
+    of_priority = by_priority.select("class", F.create_map(F.lit("status"), F.concat(F.lit("by "), "class"), F.lit("least"), F.col("least").cast("string")).alias("attributes"))
+    of_status = orders.select(F.col("o_orderstatus").alias("class")).distinct().select("class", F.create_map(F.lit("status"), F.concat(F.lit("is "), "class")).alias("attributes"))
+    return elements, of_priority.unionByName(of_status).withColumn("doc_id", F.lit(1))
+
+
+@query(_LAYERS + ", a AS (SELECT node, name, value, layer FROM l JOIN m USING (class) UNION ALL SELECT o_orderkey, 'status', 'own ' || o_orderstatus, 9 FROM orders WHERE o_orderkey % 3 = 0) SELECT node, name, arg_max(value, layer) AS value FROM a GROUP BY node, name")
+def layered_attributes(spark, sf_dir):
+    return structure.layered_attributes(*_layers(spark, sf_dir)).select("node", "name", "value")
+
+
+@query("SELECT o_orderkey AS node, 'none' AS class FROM orders WHERE o_orderkey % 5 = 0")
+def unresolved_classes(spark, sf_dir):
+    return structure.unresolved_classes(*_layers(spark, sf_dir)).select("node", "class")
