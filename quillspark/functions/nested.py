@@ -29,6 +29,12 @@ def at(value: Column, *keys: str | int, kind: str = "variant") -> Column:
     return F.try_variant_get(value, path_to(*keys), kind)
 
 
+def whole_number(value: Column, *keys: str | int) -> Column:
+    """The whole number at nested *keys*; null for any other value, a fraction or text among them."""
+    found = at(value, *keys) if keys else value
+    return F.when(F.schema_of_variant(found) == "BIGINT", F.try_variant_get(found, "$", "bigint"))
+
+
 def entries_of(value: Column) -> Column:
     """A dictionary's own entries as a map of variants; null for anything else."""
     return F.try_variant_get(value, "$", "map<string,variant>")
@@ -71,25 +77,26 @@ def property_of(name: str, kind: str, family: Column, typed: Mapping[str, Mappin
 
 
 def all_entries(rows: DataFrame, value: str, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Every entry at any depth of the variants in column *value*: the other columns, ``path``, ``depth``, ``key``, ``container``, ``value``.
+    """Every entry at any depth of the variants in column *value*: the other columns, ``path``, ``order``, ``depth``, ``key``, ``container``, ``value``.
 
     One round opens all values of one level, so a level costs a pass over that level's values only; each
-    round is a written table.  ``key`` is null for a list's elements, whose place stands in the path.  Values
+    round is a written table.  ``key`` is null for a list's elements, whose place stands in the path.  ``order`` is the
+    path with places padded, so that entries sort by it as they stand.  Values
     below *max_levels* stay closed and are told by ``container``.  Null and plain values have no entries.
     """
     others = [c for c in rows.columns if c != value]
     empty = F.array().cast("array<string>")
-    level, depth, found = rows.select(*others, empty.alias("path"), F.col(value).alias("value")), 0, None
+    level, depth, found = rows.select(*others, empty.alias("path"), empty.alias("order"), F.col(value).alias("value")), 0, None
     while depth < max_levels:
         depth += 1
-        of_map = F.transform(F.map_entries(entries_of(F.col("value"))), lambda e: F.struct(e["key"].alias("step"), e["key"].alias("key"), e["value"].alias("value")))
-        of_list = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("step"), F.lit(None).cast("string").alias("key"), x.alias("value")))
-        opened = level.select(*others, "path", F.explode(F.coalesce(of_map, of_list)).alias("e"))
+        of_map = F.transform(F.map_entries(entries_of(F.col("value"))), lambda e: F.struct(e["key"].alias("step"), e["key"].alias("place"), e["key"].alias("key"), e["value"].alias("value")))
+        of_list = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda x, i: F.struct(i.cast("string").alias("step"), F.lpad(i.cast("string"), 10, "0").alias("place"), F.lit(None).cast("string").alias("key"), x.alias("value")))
+        opened = level.select(*others, "path", "order", F.explode(F.coalesce(of_map, of_list)).alias("e"))
         inner = F.col("e.value")
         container = F.coalesce(entries_of(inner).isNotNull(), F.lit(False)) | F.coalesce(F.try_variant_get(inner, "$", "array<variant>").isNotNull(), F.lit(False))
-        opened = materialise(opened.select(*others, F.array_append("path", F.col("e.step")).alias("path"), F.lit(depth).alias("depth"), F.col("e.key").alias("key"), container.alias("container"), inner.alias("value")), "nested-level")
+        opened = materialise(opened.select(*others, F.array_append("path", F.col("e.step")).alias("path"), F.array_append("order", F.col("e.place")).alias("order"), F.lit(depth).alias("depth"), F.col("e.key").alias("key"), container.alias("container"), inner.alias("value")), "nested-level")
         found = opened if found is None else found.unionByName(opened)
-        level = opened.filter("container").select(*others, "path", "value")
+        level = opened.filter("container").select(*others, "path", "order", "value")
         if level.isEmpty():
             break
     return found

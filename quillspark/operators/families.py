@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import nested
 from quillspark.operators import model
 from quillspark.operators.model import lookup
+from quillspark.sources.documents import decoded_stream
 
 # Families by Type and Subtype beyond those of ``model``, and the links of each family by key.
 MORE_TYPES = {"Catalog": "catalog", "Page": "page", "Outlines": "outline", "FontDescriptor": "fontDescriptor", "ExtGState": "extGState", "Encoding": "encoding", "XRef": "xrefStream", "ObjStm": "objectStream"}
 ANNOTATION_SUBTYPES = ("Text", "Link", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLine", "Highlight", "Underline", "Squiggly", "StrikeOut", "Stamp", "Caret", "Ink", "Popup", "FileAttachment", "Sound", "Movie", "Screen", "PrinterMark", "TrapNet", "Watermark", "3D", "Redact")
 ACTION_KEYS = ("A", "AA", "OpenAction")
 LINKS: dict[str, tuple[tuple[str, str], ...]] = {
-    "catalog": (("Metadata", "metadata"), ("OutputIntents", "outputIntent"), ("Pages", "pageTree"), ("Outlines", "outline"), ("AcroForm", "acroForm"), ("StructTreeRoot", "structureTreeRoot"), ("OpenAction", "action"), ("AA", "action"), ("Names", "names")),
+    "catalog": (("Metadata", "metadata"), ("OutputIntents", "outputIntent"), ("Pages", "pageTree"), ("Outlines", "outline"), ("AcroForm", "acroForm"), ("StructTreeRoot", "structureTreeRoot"), ("OpenAction", "action"), ("AA", "action"), ("Names", "names"), ("OCProperties", "optionalContentProperties"), ("Perms", "permissions"), ("Dests", "destinations")),
     "pageTree": (("Kids", "page"),),
     "page": (("Contents", "contentStream"), ("Annots", "annotation"), ("AA", "action"), ("Metadata", "metadata")),
     "annotation": (("A", "action"), ("AA", "action"), ("FS", "fileSpec"), ("Popup", "annotation")),
@@ -171,3 +172,85 @@ def first_visits(links: DataFrame) -> DataFrame:
     """Of links to one target from one source the first in order."""
     nth = F.row_number().over(Window.partitionBy("doc_id", "src", "dst").orderBy("ord"))
     return links.withColumn("_n", nth).filter("_n = 1").drop("_n")
+
+
+# The categories of resources, and the family that an entry of each leads to.
+RESOURCES = {"Font": "font", "XObject": "xObject", "ColorSpace": "colorSpace", "ExtGState": "extGState", "Pattern": "pattern", "Shading": "shading", "Properties": "properties"}
+
+
+def resource_entries(objects: DataFrame, families: Sequence[str] = ("page", "pageTree", "formXObject", "pattern")) -> DataFrame:
+    """``doc_id``, ``src``, ``src_family``, ``category``, ``name``, ``dst``: the resources that objects name themselves.
+
+    Resources, and each category of them, stand in the object or in a dictionary that it refers to; ``dst`` is
+    null for an entry that is written out in place.  All categories come from one pass over the owners.
+    """
+    own = objects.filter(F.col("family").isin(*families)).select("doc_id", F.col("number").alias("src"), F.col("family").alias("src_family"), nested.at(F.col("value"), "Resources").alias("r"))
+
+    def opened(rows: DataFrame, column: str) -> DataFrame:
+        """*rows* whose reference in *column* is replaced by the dictionary that it leads to; references to nothing go."""
+        rows = rows.withColumn("_to", _target(F.try_variant_get(column, "$", "string")))
+        targets = objects.select("doc_id", F.col("number").alias("_to"), F.col("value").alias("_v"))
+        there = rows.filter("_to IS NOT NULL").join(targets, ["doc_id", "_to"])
+        return rows.filter("_to IS NULL").drop("_to").unionByName(there.withColumn(column, F.col("_v")).drop("_to", "_v"))
+
+    each = opened(own.filter("r IS NOT NULL"), "r").select("doc_id", "src", "src_family", F.explode(nested.entries_of(F.col("r"))).alias("category", "c")).filter(F.col("category").isin(*RESOURCES))
+    named = opened(each, "c").select("doc_id", "src", "src_family", "category", F.explode(nested.entries_of(F.col("c"))).alias("name", "e"))
+    return named.select("doc_id", "src", "src_family", "category", "name", _target(F.try_variant_get("e", "$", "string")).alias("dst"))
+
+
+def page_resources(objects: DataFrame) -> DataFrame:
+    """``doc_id``, ``node``, ``category``, ``name``, ``object``: what each page sees, its own before those of its parents in the page tree."""
+    found = resource_entries(objects, ("page", "pageTree")).select("doc_id", F.col("src").alias("node"), F.col("category").alias("family"), "name", F.col("dst").alias("object"))
+    tree = pages(objects)
+    seen = model.effective_resources(tree.drop("leaf"), found.filter("object IS NOT NULL"))
+    return seen.join(tree.filter("leaf").select("doc_id", "node"), ["doc_id", "node"], "left_semi").select("doc_id", "node", F.col("family").alias("category"), "name", "object")
+
+
+def content_streams(objects: DataFrame) -> DataFrame:
+    """``doc_id``, ``src``, ``src_family``, ``stream``: pages with each of their content streams, and form XObjects with themselves.
+
+    A form's content sees its own resources only (:func:`resource_entries`), a page's those of the page (:func:`page_resources`).
+    """
+    streams = objects.filter("kind = 'stream'").select("doc_id", F.col("number").alias("stream"))
+    of_pages = typed_links(objects, ["page"]).filter("link = 'Contents'").select("doc_id", "src", "src_family", F.col("dst").alias("stream")).join(streams, ["doc_id", "stream"], "left_semi")
+    forms = objects.filter("family = 'formXObject' AND kind = 'stream'").select("doc_id", F.col("number").alias("src"), F.col("family").alias("src_family"), F.col("number").alias("stream"))
+    return of_pages.select("doc_id", "src", "src_family", "stream").unionByName(forms)
+
+
+def font_values(objects: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
+    """``doc_id``, ``number``, ``name``, ``width``, ``to_unicode`` of fonts.
+
+    The name is BaseFont, else the descriptor's FontName, else the first descendant's BaseFont.  The width is DW, else
+    the first of Widths, where that is a whole number.  ToUnicode is a string, or the decoded text of the
+    stream that it refers to; null where it is absent, can't be decoded or is larger than *most_bytes*.
+    """
+    plain = lambda text: F.when(text.startswith("/"), F.substring(text, 2, 1000))
+    fonts = objects.filter("family = 'font'").select(
+        "doc_id", "number", plain(text_at("BaseFont")).alias("own"), _target(text_at("FontDescriptor")).alias("descriptor"), _target(text_at("DescendantFonts", 0)).alias("descendant"), F.coalesce(nested.whole_number(F.col("value"), "DW"), nested.whole_number(F.col("value"), "Widths", 0)).alias("width"), text_at("ToUnicode").alias("u")
+    ).withColumn("map", _target(F.col("u")))
+    descriptors = objects.filter("family = 'fontDescriptor'").select("doc_id", F.col("number").alias("descriptor"), plain(text_at("FontName")).alias("described"))
+    below = objects.filter("family = 'font'").select("doc_id", F.col("number").alias("descendant"), plain(text_at("BaseFont")).alias("inner"))
+    maps = objects.filter("kind = 'stream'").join(fonts.select("doc_id", F.col("map").alias("number")).distinct(), ["doc_id", "number"], "left_semi")
+    maps = maps.select("doc_id", F.col("number").alias("map"), decoded_stream().getField("bytes").alias("bytes"))
+    rows = fonts.join(descriptors, ["doc_id", "descriptor"], "left").join(below, ["doc_id", "descendant"], "left").join(maps, ["doc_id", "map"], "left")
+    text = F.when(F.col("map").isNotNull(), F.when(F.octet_length("bytes") <= most_bytes, F.decode("bytes", "ISO-8859-1"))).when(F.col("u").startswith("(") & (F.octet_length("u") - 2 <= most_bytes), F.substring("u", 2, F.length("u") - 2))
+    return rows.select("doc_id", "number", F.coalesce("own", "described", "inner").alias("name"), "width", text.alias("to_unicode"))
+
+
+def tint_signatures(objects: DataFrame) -> DataFrame:
+    """``doc_id``, ``number``, ``alternate``, ``tint``: stable texts of the Alternate and TintTransform of colour spaces, for ``joins.tint_consistency``."""
+    stable = lambda key: F.to_json(nested.at(F.col("value"), key))
+    return objects.filter(nested.at(F.col("value"), "TintTransform").isNotNull()).select("doc_id", "number", stable("Alternate").alias("alternate"), stable("TintTransform").alias("tint"))
+
+
+def same_output_profile(objects: DataFrame) -> DataFrame:
+    """``doc_id``, ``same``: whether the output intents of a document that name a profile all refer to one; null where one isn't a reference to a stream."""
+    intents = objects.filter("family = 'outputIntent'").select("doc_id", text_at("DestOutputProfile").alias("p")).filter("p IS NOT NULL").withColumn("dst", _target(F.col("p")))
+    streams = objects.filter("kind = 'stream'").select("doc_id", F.col("number").alias("dst"), F.lit(True).alias("found"))
+    judged = intents.join(streams, ["doc_id", "dst"], "left").groupBy("doc_id").agg((F.min("dst") == F.max("dst")).alias("one"), F.bool_and(F.coalesce("found", F.lit(False))).alias("all"))
+    return objects.select("doc_id").distinct().join(judged, "doc_id", "left").select("doc_id", F.when(F.col("one").isNull() & F.col("all").isNull(), True).when(F.col("all"), F.col("one")).alias("same"))
+
+
+def indirect_models(objects: DataFrame, handled: Sequence[str] = ("catalog", "page", "metadata", "annotation", "outputIntent", "font")) -> DataFrame:
+    """``doc_id``, ``number``, ``family``: classified dictionaries that no traversal of their own handles."""
+    return objects.filter(F.col("family").isNotNull() & ~F.col("family").isin(*handled)).select("doc_id", "number", "family")

@@ -15,6 +15,20 @@ MAX_DEPTH = 128
 # Roles of the standard structure tree that group others.
 GROUPING_ROLES = ("Art", "BibEntry", "BlockQuote", "Caption", "Div", "Document", "DocumentFragment", "Index", "NonStruct", "Part", "Private", "Sect", "TOC", "TOCI", "Aside")
 
+# The roles of the standard structure tree.
+STANDARD_ROLES = (
+    "Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "LI", "Lbl", "LBody", "Table", "TR", "TH", "TD", "THead", "TBody", "TFoot",
+    "Span", "Quote", "Note", "Reference", "BibEntry", "Code", "Link", "Annot", "Ruby", "Warichu", "Figure", "Formula", "Form", "Artifact", "Strong", "Em", "Title", "FENote", "Aside", "Sub", "MathML",
+)
+
+
+def is_standard_role(role: Column) -> Column:
+    return F.coalesce(role.isin(*STANDARD_ROLES), F.lit(False))
+
+
+def is_grouping_role(role: Column) -> Column:
+    return F.coalesce(role.isin(*GROUPING_ROLES), F.lit(False))
+
 
 def ancestor_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``doc_id``, ``node``, ``depth``, ``path`` (parent first, root last); a cycle ends the path.
@@ -145,3 +159,18 @@ def table_geometry(cells: DataFrame) -> DataFrame:
     taken = places.groupBy("doc_id", "table_id", "r", "c").agg(F.count("*").alias("n"))
     per_row = taken.groupBy("doc_id", "table_id", "r").agg(F.count("*").alias("width"), F.count_if(F.col("n") > 1).alias("overlaps"))
     return per_row.groupBy("doc_id", "table_id").agg(F.count("*").alias("rows"), F.max("width").alias("columns"), (F.min("width") != F.max("width")).alias("ragged"), F.sum("overlaps").alias("overlapping_places"))
+
+
+def table_members(nodes: DataFrame, roles: tuple[str, ...] = ("TR", "TH", "TD")) -> DataFrame:
+    """``doc_id``, ``table``, ``node``, ``role``, ``place``: nodes of *roles* under their nearest Table, numbered from 0 in pre-order.
+
+    *nodes* has ``doc_id``, ``node``, ``parent``, ``ord``, ``role``.  A table inside a table is one of its own, whose
+    members aren't those of the outer one.
+    """
+    from quillspark.operators.graphs import visit_order
+
+    marked = nodes.withColumn("_table", F.when(F.col("role") == "Table", F.col("node")))
+    above = nearest_value(marked, None, "_table", "table", own=False).filter(F.col("role").isin(*roles) & F.col("table").isNotNull())
+    order = visit_order(nodes)[0].select("doc_id", "node", "pre")
+    place = F.row_number().over(Window.partitionBy("doc_id", "table").orderBy("pre")) - 1
+    return above.select("doc_id", "table", "node", "role").join(order, ["doc_id", "node"]).withColumn("place", place).select("doc_id", "table", "node", "role", "place")

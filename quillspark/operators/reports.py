@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.nested import all_entries
+
 
 def basis_points(part: Column, whole: Column) -> Column:
     """floor(part * 10000 / whole), 0 for an empty whole."""
@@ -149,3 +151,24 @@ def repair_summary(items: DataFrame) -> DataFrame:
     is_ = lambda x: F.count_if(F.col("status") == x)
     counted = items.agg(F.count("*").alias("total_files"), is_("succeeded").alias("succeeded"), is_("noAction").alias("no_action"), is_("refused").alias("refused"), is_("failed").alias("failed"))
     return counted.withColumn("category", F.when(F.col("failed") > 0, "internalError").when(F.col("refused") > 0, "processingFailed").otherwise("success"))
+
+
+def report_outcomes(reports: DataFrame) -> DataFrame:
+    """``id``, ``outcome`` of another validator's reports: ``id``, ``json`` (text), ``exit_code``; a report's id is unique.
+
+    ``parseFailed`` where a field failedToParse at any depth is a number above 0, ``encrypted`` where a field encrypted
+    is, else by the first boolean field isCompliant: a record's own comes before those of its values, which come
+    in order of their keys or places.  What isn't JSON, or has none of these, goes by the exit code (0 valid, 1 invalid, 7
+    parseFailed, else null).
+    """
+    rows = reports.select("id", F.try_parse_json("json").alias("value"))
+    fields = all_entries(rows, "value").filter(F.col("key").isin("failedToParse", "encrypted", "isCompliant"))
+    kind, holder = F.schema_of_variant("value"), F.slice("order", 1, F.col("depth") - 1)
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("value", "$", "double"))
+    is_compliant = (F.col("key") == "isCompliant") & (kind == "BOOLEAN")
+    found = fields.groupBy("id").agg(
+        F.bool_or((F.col("key") == "failedToParse") & (number > 0)).alias("failed"), F.bool_or((F.col("key") == "encrypted") & (number > 0)).alias("locked"), F.min_by(F.when(is_compliant, F.try_variant_get("value", "$", "boolean")), F.when(is_compliant, holder)).alias("compliant")
+    )
+    code = F.col("exit_code")
+    outcome = F.when(F.col("failed"), "parseFailed").when(F.col("locked"), "encrypted").when(F.col("compliant"), "valid").when(~F.col("compliant"), "invalid").when(code == 0, "valid").when(code == 1, "invalid").when(code == 7, "parseFailed")
+    return reports.select("id", "exit_code").join(found, "id", "left").select("id", outcome.alias("outcome"))

@@ -60,8 +60,8 @@ def tagged_rows(elements: DataFrame, most_kids: int = MAX_KIDS) -> DataFrame:
     def kid(k: Column, i: Column) -> Column:
         inner = lambda key, kind: nested.at(k, key, kind=kind)
         kind = inner("Type", "string")
-        plain = F.when(F.schema_of_variant(k).isin("BIGINT"), F.try_variant_get(k, "$", "bigint"))
-        mcid = F.when(kind == "/MCR", inner("MCID", "bigint")).otherwise(plain)
+        plain = nested.whole_number(k)
+        mcid = F.when(kind == "/MCR", nested.whole_number(k, "MCID")).otherwise(plain)
         content_page = F.coalesce(_target(nested.at(k, "Pg")), page)
         object_ = _target(nested.at(k, "Obj"))
         return (
@@ -122,3 +122,10 @@ def unresolved_classes(elements: DataFrame, class_map: DataFrame) -> DataFrame:
     """``doc_id``, ``node``, ``class``: names that no class of the document has."""
     named = elements.select("doc_id", "node", F.explode("classes").alias("class")).filter("class IS NOT NULL").distinct()
     return named.join(class_map.select("doc_id", "class"), ["doc_id", "class"], "left_anti").select("doc_id", "node", "class")
+
+
+def signature_nodes(tables: StructureTables, objects: DataFrame) -> DataFrame:
+    """``doc_id``, ``node``: Form elements that refer to a signature field, an object whose own FT is Sig."""
+    fields = objects.filter(nested.at(F.col("value"), "FT", kind="string") == "/Sig").select("doc_id", F.col("number").alias("target"))
+    named = tables.references.join(fields, ["doc_id", "target"], "left_semi").select("doc_id", "node").distinct()
+    return tables.nodes.filter("role = 'Form'").join(named, ["doc_id", "node"], "left_semi").select("doc_id", "node")

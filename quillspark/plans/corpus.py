@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import checked, derived
 from quillspark.operators import accessibility, families, metadata, model, profiles, reports, rules
 from quillspark.plans.registry import query, table
+from quillspark.shared import materialise
 from quillspark.sources import documents
 
 # Documents: one file for each row of ``part``, made of its columns.
@@ -71,7 +72,8 @@ def _files(spark, sf_dir: str) -> DataFrame:
 
 
 def _model(spark, sf_dir: str) -> DataFrame:
-    return families.typed(documents.objects(_files(spark, sf_dir)))
+    # written once: links, trees and targets would each scan the files again
+    return families.typed(materialise(documents.objects(_files(spark, sf_dir)), "files-objects"))
 
 
 #: The parts whose files can be read, their pages, and rows that each of them has.
@@ -190,6 +192,79 @@ def family_pruning(spark, sf_dir):
     return model.only_families(_model(spark, sf_dir), ["page", "font"]).groupBy("family").agg(F.count("*").alias("n"))
 
 
+# Resources: one file for each customer.
+
+
+def _resource_files(spark, sf_dir: str) -> DataFrame:
+    """A file for each customer: resources in place, by reference and inherited, fonts of three shapes, two output intents."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    whole = lambda number, *body: text(f"{number} 0 obj\n", *body, "\nendobj\n")
+    made = text(
+        "%PDF-1.7\n", whole(1, "<< /Type /Catalog /Pages 2 0 R /OCProperties 40 0 R /Perms << /DocMDP 41 0 R >> >>"), whole(40, "<< /Type /OCProperties >>"), whole(41, "<< /Type /Sig >>"),
+        whole(2, "<< /Type /Pages /Kids [3 0 R 4 0 R] /Resources << /XObject << /X0 10 0 R >> /ColorSpace << /C0 20 0 R >> /Unknown << /Z 10 0 R >> >> >>"),
+        whole(3, "<< /Type /Page /Parent 2 0 R /Contents [5 0 R 99 0 R] /Resources << /XObject << /X0 11 0 R /X1 10 0 R >> /ExtGState << /G 30 0 R /Own << /CA 1 >> >> >> >>"), whole(4, "<< /Type /Page /Parent 2 0 R /Contents 5 0 R /Resources 9 0 R >>"), whole(5, _stream("", F.lit("q Q"))),
+        whole(9, "<< /Pattern << /P", k, " 31 0 R >> /Font 8 0 R >>"), whole(8, "<< /F0 15 0 R /F1 18 0 R >>"), whole(10, _stream("/Type /XObject /Subtype /Form /Resources << /Font << /F 15 0 R >> >>", F.lit("BT ET"))), whole(11, _stream("/Subtype /Image", F.lit("x"))),
+        whole(15, "<< /Type /Font /Subtype /Type0 /DescendantFonts [16 0 R] /ToUnicode 17 0 R >>"), whole(16, "<< /Type /Font /Subtype /CIDFontType2 /BaseFont /", F.col("c_mktsegment"), " /DW ", k, " >>"), whole(17, _stream("/Filter /AHx", _hex(F.col("c_name")))),
+        whole(18, "<< /Type /Font /Subtype /TrueType /FontDescriptor 19 0 R /Widths [", k + 1, " 600] /ToUnicode (", F.col("c_name"), ") >>"), whole(19, "<< /Type /FontDescriptor /FontName /N", F.col("c_nationkey"), " >>"),
+        whole(20, "<< /Family /Separation /Alternate /DeviceCMYK /TintTransform << /FunctionType 2 /N ", F.col("c_nationkey"), " >> >>"), whole(30, "<< /Type /ExtGState >>"), whole(31, "<< /PatternType 1 /Resources << /Font << /F 18 0 R >> >> >>"),
+        whole(50, "<< /Type /OutputIntent /DestOutputProfile 17 0 R >>"), whole(51, "<< /Type /OutputIntent /DestOutputProfile ", F.when(k % 3 == 0, 5).when(k % 3 == 1, 17).otherwise(16), " 0 R >>"), "trailer\n<< /Root 1 0 R >>\n%%EOF\n",
+    )
+    content = F.encode(made, "ISO-8859-1")
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("doc_id"), F.octet_length(content).cast("bigint").alias("bytes"), content.alias("content"), F.lit(False).alias("too_large"))
+
+
+def _resource_model(spark, sf_dir: str) -> DataFrame:
+    return families.typed(materialise(documents.objects(_resource_files(spark, sf_dir)), "files-objects"))
+
+
+_CUSTOMER = "WITH r AS (SELECT *, CAST(c_custkey AS VARCHAR) AS doc_id FROM customer)"
+
+
+@query(
+    _CUSTOMER
+    + """SELECT doc_id, v.* FROM r, (VALUES (2, 'XObject', 'X0', 10), (2, 'ColorSpace', 'C0', 20), (3, 'XObject', 'X0', 11), (3, 'XObject', 'X1', 10), (3, 'ExtGState', 'G', 30), (3, 'ExtGState', 'Own', NULL), (4, 'Font', 'F0', 15), (4, 'Font', 'F1', 18), (10, 'Font', 'F', 15), (31, 'Font', 'F', 18)) v(src, category, name, dst) UNION ALL SELECT doc_id, 4, 'Pattern', 'P' || c_custkey, 31 FROM r"""
+)
+def resource_entries(spark, sf_dir):
+    rows = families.resource_entries(_resource_model(spark, sf_dir))
+    return rows.select("doc_id", F.col("src").cast("int").alias("src"), "category", "name", F.col("dst").cast("int").alias("dst"))
+
+
+@query(
+    _CUSTOMER
+    + """SELECT doc_id, v.* FROM r, (VALUES (3, 'XObject', 'X0', 11), (3, 'XObject', 'X1', 10), (3, 'ExtGState', 'G', 30), (3, 'ColorSpace', 'C0', 20), (4, 'XObject', 'X0', 10), (4, 'ColorSpace', 'C0', 20), (4, 'Font', 'F0', 15), (4, 'Font', 'F1', 18)) v(node, category, name, object) UNION ALL SELECT doc_id, 4, 'Pattern', 'P' || c_custkey, 31 FROM r"""
+)
+def page_resources(spark, sf_dir):
+    rows = families.page_resources(_resource_model(spark, sf_dir))
+    return rows.select("doc_id", F.col("node").cast("int").alias("node"), "category", "name", F.col("object").cast("int").alias("object"))
+
+
+@query(_CUSTOMER + "SELECT doc_id, v.* FROM r, (VALUES (3, 'page', 5), (4, 'page', 5), (10, 'formXObject', 10)) v(src, src_family, stream)")
+def content_streams(spark, sf_dir):
+    rows = families.content_streams(_resource_model(spark, sf_dir))
+    return rows.select("doc_id", F.col("src").cast("int").alias("src"), "src_family", F.col("stream").cast("int").alias("stream"))
+
+
+@query(_CUSTOMER + "SELECT doc_id, 15 AS number, c_mktsegment AS name, NULL AS width, c_name AS to_unicode FROM r UNION ALL SELECT doc_id, 16, c_mktsegment, c_custkey, NULL FROM r UNION ALL SELECT doc_id, 18, 'N' || c_nationkey, c_custkey + 1, c_name FROM r")
+def font_values(spark, sf_dir):
+    return families.font_values(_resource_model(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"), "name", "width", "to_unicode")
+
+
+@query(_CUSTOMER + """SELECT doc_id, 20 AS number, '"/DeviceCMYK"' AS alternate, '{"FunctionType":2,"N":' || c_nationkey || '}' AS tint FROM r""")
+def tint_signatures(spark, sf_dir):
+    return families.tint_signatures(_resource_model(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"), "alternate", "tint")
+
+
+@query(_CUSTOMER + "SELECT doc_id, CASE c_custkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS same FROM r")
+def same_output_profile(spark, sf_dir):
+    return families.same_output_profile(_resource_model(spark, sf_dir))
+
+
+@query(_CUSTOMER + "SELECT doc_id, v.* FROM r, (VALUES (2, 'pageTree'), (10, 'formXObject'), (11, 'image'), (19, 'fontDescriptor'), (30, 'extGState'), (31, 'pattern'), (40, 'optionalContentProperties'), (41, 'signature')) v(number, family) ")
+def indirect_models(spark, sf_dir):
+    return families.indirect_models(_resource_model(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"), "family")
+
+
 # Packets, texts and scalar facts of the tables' rows.
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import checked, nested
-from quillspark.operators import graphs, isolation, scopes, structure
+from quillspark.operators import graphs, hierarchy, isolation, reports, scopes, structure
 from quillspark.plans.registry import query, table
 
 # Trees of parts: node k hangs on k // 3; every tenth node of a document is a root of its own.
@@ -236,3 +236,32 @@ def layered_attributes(spark, sf_dir):
 @query("SELECT o_orderkey AS node, 'none' AS class FROM orders WHERE o_orderkey % 5 = 0")
 def unresolved_classes(spark, sf_dir):
     return structure.unresolved_classes(*_layers(spark, sf_dir)).select("node", "class")
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT p_partkey % 3 AS doc_id, p_partkey // 3 AS node, CASE WHEN p_partkey // 3 > 1 THEN p_partkey // 3 // 2 END AS parent, CASE p_size % 5 WHEN 0 THEN 'Table' WHEN 1 THEN 'TR' WHEN 2 THEN 'TD' WHEN 3 THEN 'TH' ELSE 'Div' END AS role FROM part WHERE p_partkey // 3 >= 1),
+t AS (SELECT doc_id, node, role, [node] AS key, NULL::BIGINT AS tbl FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.node, n.role, list_append(t.key, n.node), CASE WHEN t.role = 'Table' THEN t.node ELSE t.tbl END FROM n JOIN t ON t.doc_id = n.doc_id AND t.node = n.parent)
+SELECT doc_id, tbl AS "table", node, role, CAST(row_number() OVER (PARTITION BY doc_id, tbl ORDER BY key) - 1 AS INTEGER) AS place FROM t WHERE tbl IS NOT NULL AND role IN ('TR', 'TD', 'TH')"""
+)
+def table_members(spark, sf_dir):
+    node, size = F.floor(F.col("p_partkey") / 3).cast("bigint"), F.col("p_size") % 5
+    role = F.when(size == 0, "Table").when(size == 1, "TR").when(size == 2, "TD").when(size == 3, "TH").otherwise("Div")
+    nodes = table(spark, sf_dir, "part").filter(node >= 1).select((F.col("p_partkey") % 3).alias("doc_id"), node.alias("node"), F.when(node > 1, F.floor(node / 2).cast("bigint")).alias("parent"), F.lit(0).alias("ord"), role.alias("role"))
+    return hierarchy.table_members(nodes)
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 'valid' WHEN 2 THEN 'parseFailed' END WHEN o_orderkey % 10 > 7 THEN 'parseFailed' WHEN o_orderkey % 7 = 0 THEN 'encrypted' WHEN o_orderkey % 5 = 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'parseFailed' END
+WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'valid' ELSE 'invalid' END ELSE CASE WHEN o_orderstatus = 'O' THEN 'valid' ELSE 'invalid' END END AS outcome FROM (SELECT DISTINCT o_orderkey, o_orderstatus FROM orders)"""
+)
+def report_outcomes(spark, sf_dir):
+    """Reports with fields at several depths: a later list's own field gives way to that of the key before it."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    flag = lambda s: F.when(status == s, "true").otherwise("false")
+    deep = F.concat(F.lit('"jobs":[{"a":{"isCompliant":"no"}},{"b":{"isCompliant":'), flag("O"), F.lit('}}],"z":{"isCompliant":null}'))
+    own = F.when(k % 2 == 0, F.concat(F.lit('"isCompliant":'), flag("F"), F.lit(","))).otherwise("")
+    fields = F.when(k % 5 == 0, F.lit('"none":[{"isCompliant":1}]')).otherwise(F.concat(own, deep))
+    json = F.concat(F.lit('{"summary":{"failedToParse":'), F.greatest(k % 10 - 7, F.lit(0)).cast("string"), F.lit(',"in":[{"encrypted":'), F.when(k % 7 == 0, 2).otherwise(0).cast("string"), F.lit("}]},"), fields, F.lit("}"))
+    code = F.when(k % 4 == 2, 7).otherwise((k % 4).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").distinct()
+    return reports.report_outcomes(rows.select(k.alias("id"), F.when(k % 6 == 0, "no json").otherwise(json).alias("json"), code.alias("exit_code")))

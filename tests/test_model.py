@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import filters
-from quillspark.operators import accessibility, families, hierarchy, isolation, metadata, model, profiles, rules
+from quillspark.operators import accessibility, families, hierarchy, isolation, metadata, model, profiles, reports, rules, structure
 from quillspark.sources import documents
 from quillspark.sources import documents as d
 
@@ -131,7 +131,90 @@ def test_families_and_links_of_nothing(spark):
     empty = documents.objects(documents.from_memory(spark, {"x": b""}))
     rows = families.typed(empty)
     assert rows.count() == 0 and families.typed_links(rows).count() == 0 and families.page_fonts(rows).count() == 0 and families.appearance_types(rows).count() == 0
-    assert families.link_schema(spark).filter("family = 'catalog'").count() == 9
+    assert families.link_schema(spark).filter("family = 'catalog'").count() == 12
+
+
+def numbered(spark, bodies):
+    """The typed objects of one file with these bodies by number."""
+    content = b"%PDF-1.7\n" + b"".join(f"{n} 0 obj\n{b}\nendobj\n".encode("latin-1") for n, b in bodies.items())
+    return families.typed(documents.objects(documents.from_memory(spark, {"d": content}))).cache()
+
+
+def test_resources_in_place_by_reference_and_inherited(spark):
+    rows = numbered(spark, {
+        1: "<< /Type /Pages /Kids [2 0 R 3 0 R 4 0 R] /Resources 9 0 R >>", 2: "<< /Type /Page /Parent 1 0 R /Resources << /Font << /A 20 0 R /B (x) /C null >> /XObject [5 0 R] /Junk << /Z 1 0 R >> >> >>",
+        3: "<< /Type /Page /Parent 1 0 R /Resources 77 0 R >>", 4: "<< /Type /Page /Parent 1 0 R /Resources << /Font 10 0 R /Shading 78 0 R >> >>", 9: "<< /Font << /A 21 0 R /D 22 0 R >> /Properties << >> >>", 10: "<< /A 23 0 R >>",
+    })
+    own = {(r.src, r.category, r.name): r.dst for r in families.resource_entries(rows).collect()}
+    assert own == {(2, "Font", "A"): 20, (2, "Font", "B"): None, (2, "Font", "C"): None, (1, "Font", "A"): 21, (1, "Font", "D"): 22, (4, "Font", "A"): 23}
+    seen = {(r.node, r.name): r.object for r in families.page_resources(rows).collect()}
+    assert seen == {(2, "A"): 20, (2, "D"): 22, (3, "A"): 21, (3, "D"): 22, (4, "A"): 23, (4, "D"): 22}
+
+
+def test_fonts_profiles_and_content_of_odd_objects(spark):
+    stream = "<< {} /Length 3 >>\nstream\nabc\nendstream"
+    rows = numbered(spark, {
+        1: "<< /Type /Font /BaseFont (text) /Widths [1.5 2] /ToUnicode /Identity-H >>", 2: "<< /Type /Font /FontDescriptor 99 0 R /DW 7 /Widths [5] /ToUnicode 5 0 R >>", 3: "<< /Type /Font /ToUnicode (abcd) >>", 4: "<< /Type /Font /ToUnicode 6 0 R >>",
+        5: stream.format(""), 6: stream.format("/Filter /Unknown"), 7: "<< /Type /OutputIntent /DestOutputProfile 5 0 R >>", 8: "<< /Type /OutputIntent /DestOutputProfile 5 0 R >>", 10: "<< /Type /Page /Contents [5 0 R 1 0 R 98 0 R] >>", 11: stream.format("/Subtype /Form"), 12: "<< /Subtype /Form >>",
+        13: "<< /Inner << /TintTransform 1 0 R >> >>", 14: "<< /TintTransform [1 0 R] >>",
+    })
+    got = {r.number: (r.name, r.width, r.to_unicode) for r in families.font_values(rows).collect()}
+    assert got == {1: (None, None, None), 2: (None, 7, "abc"), 3: (None, None, "abcd"), 4: (None, None, None)}
+    assert {r.number: r.to_unicode for r in families.font_values(rows, most_bytes=3).collect()} == {1: None, 2: "abc", 3: None, 4: None}
+    assert families.same_output_profile(rows).first().same is True and families.same_output_profile(rows.filter("number = 5")).first().same is True
+    assert {(r.src, r.stream) for r in families.content_streams(rows).collect()} == {(10, 5), (11, 11)}
+    assert [(r.number, r.alternate, r.tint) for r in families.tint_signatures(rows).collect()] == [(14, None, '["1 0 R"]')]
+    assert {r.number for r in families.indirect_models(rows).collect()} == {11, 12}
+    direct = numbered(spark, {1: "<< /Type /OutputIntent /DestOutputProfile (x) >>", 2: "<< /Type /OutputIntent >>"})
+    assert families.same_output_profile(direct).first().same is None
+
+
+def test_members_of_nested_tables_and_signature_nodes(spark):
+    rows = [(1, 1, None, 0, "Table"), (1, 2, 1, 1, "TR"), (1, 3, 1, 0, "TR"), (1, 4, 2, 0, "TD"), (1, 5, 4, 0, "Table"), (1, 6, 5, 0, "TH"), (1, 7, 3, 0, "Div"), (1, 8, 7, 0, "TD"), (1, 9, None, 1, "TD"), (2, 1, None, 0, None)]
+    nodes = spark.createDataFrame(rows, "doc_id int, node bigint, parent bigint, ord int, role string")
+    assert {(r.table, r.node): r.place for r in hierarchy.table_members(nodes).collect()} == {(1, 3): 0, (1, 8): 1, (1, 2): 2, (1, 4): 3, (5, 6): 0}
+    judged = nodes.select("role", hierarchy.is_standard_role(F.col("role")).alias("s"), hierarchy.is_grouping_role(F.col("role")).alias("g")).distinct().collect()
+    assert {r.role: (r.s, r.g) for r in judged} == {"Table": (True, False), "TR": (True, False), "TD": (True, False), "TH": (True, False), "Div": (True, True), None: (False, False)} and len(hierarchy.STANDARD_ROLES) == 52
+    elements = [(1, 1, '{"S":"/Form","K":{"Type":"/OBJR","Obj":"7 0 R"}}'), (1, 2, '{"S":"/Form","K":{"Type":"/OBJR","Obj":"8 0 R"}}'), (1, 3, '{"S":"/P","K":{"Type":"/OBJR","Obj":"7 0 R"}}')]
+    tables = structure.structure_tables(spark.createDataFrame(elements, "doc_id int, node bigint, j string").select("doc_id", "node", F.try_parse_json("j").alias("value")))
+    fields = spark.createDataFrame([(1, 7, '{"FT":"/Sig"}'), (1, 8, '{"V":{"FT":"/Sig"}}')], "doc_id int, number bigint, j string").select("doc_id", "number", F.try_parse_json("j").alias("value"))
+    assert [r.node for r in structure.signature_nodes(tables, fields).collect()] == [1]
+
+
+def slow_outcome(text, code):
+    def find(value, key, test):
+        inner = []
+        if isinstance(value, dict):
+            if key in value and test(value[key]):
+                return [value[key]]
+            inner = [value[k] for k in sorted(value)]
+        elif isinstance(value, list):
+            inner = value
+        return next((x for x in (find(v, key, test) for v in inner) if x), [])
+
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and v > 0
+    try:
+        value = json.loads(text)
+    except (TypeError, ValueError):
+        value = None
+    if find(value, "failedToParse", number):
+        return "parseFailed"
+    if find(value, "encrypted", number):
+        return "encrypted"
+    compliant = find(value, "isCompliant", lambda v: isinstance(v, bool))
+    return ("valid" if compliant[0] else "invalid") if compliant else {0: "valid", 1: "invalid", 7: "parseFailed"}.get(code)
+
+
+def test_outcomes_of_reports(spark):
+    t, f = '"isCompliant":true', '"isCompliant":false'
+    texts = [
+        None, "", "no", "3", "[]", "{}", f"{{{t}}}", f'{{"b":{{{t}}},"a":[{{"x":1}},{{"y":{{{f}}}}}]}}', f'{{"a":{{{f}}},{t}}}', f'{{"isCompliant":"yes","z":{{{f}}}}}', f'[{",".join(["{}"] * 11)},{{{f}}},{{{t}}}]', '{"a":{"encrypted":1.5},"failedToParse":0}', f'{{"x":[{{"failedToParse":2}}],"encrypted":1,{t}}}',
+        f'{{"encrypted":true,"failedToParse":"5",{f}}}', f'{{"isCompliant":{{{t}}}}}', f'{{"isCompliant":{{"isCompliant":null}},"a":{{"b":{{{f}}}}},"b":{{{t}}}}}',
+    ]
+    rows = [(i * 10 + c, x, c) for i, x in enumerate(texts) for c in (0, 1, 5, 7)]
+    got = {r.id: r.outcome for r in reports.report_outcomes(spark.createDataFrame(rows, "id int, json string, exit_code int")).collect()}
+    assert got == {i: slow_outcome(x, c) for i, x, c in rows}
+    assert reports.report_outcomes(spark.createDataFrame([], "id int, json string, exit_code int")).count() == 0
 
 
 def test_detection_of_profiles(spark):
