@@ -17,7 +17,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise, scratch_path, table
@@ -28,6 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The bounds of an archive, which a task reads whole: captures, and bytes of payloads (a larger page is an archive of its own).
 CAPTURES_PER_FILE, ARCHIVE_BYTES = 2_000, 64 << 20
+#: Largest payloads of the classes of sizes; each class has archives of its own, so that one large page doesn't make the others' small.
+SIZE_CLASSES = [ARCHIVE_BYTES // CAPTURES_PER_FILE * 8**i for i in range(4)]
 CHUNK = 1 << 20
 
 
@@ -53,13 +55,15 @@ def _record(kind: str, record_id, fields: list, content_type: str, block):
     return F.concat(*lines)
 
 
-def with_types(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``payload``, ``digest``, ``refers_to`` (null for a response).
+def with_types(pages: DataFrame, some: Column | None = None) -> DataFrame:
+    """``page_id``, ``url``, ``payload``, ``digest``, ``refers_to`` (null for a response) of *pages*, or *some* of them.
 
     Of equal payloads that with the largest id is the response and the others revisit it.  Only groups
     of two or more are joined back; they are pre-aggregated, and Spark broadcasts them if they are small.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    # equal payloads are of one size class, so that each class can look for them by itself
+    chosen = pages if some is None else pages.filter(some)
+    rows = chosen.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     groups = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL")
     groups = materialise(groups.select("sha1", "size", "first_id"), "warc-equal-payloads")
@@ -74,16 +78,27 @@ def write_warc(pages: DataFrame, path: str) -> None:
     A null html is an empty payload, a null url an empty target; line breaks in a url are
     percent-encoded.  A capture's identifier is its page id (``null`` for a null) with a row number
     behind it, so that repeated rows stay captures of their own; a revisit refers to the page id alone.
-    Payloads of one size and SHA-1 are held equal.  Very long pages are written whole.  Other columns are
+    Payloads of one size and SHA-1 are held equal.  Very long pages are written whole.  Archives hold pages of one
+    class of sizes each, as many as fit ``ARCHIVE_BYTES`` if all were the class's largest; a page above the last class is alone.  Other columns are
     ignored; an empty table gives no records.
     """
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    captures_per_file = max(1, min(CAPTURES_PER_FILE, ARCHIVE_BYTES // (largest + 1)))
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    size_class = sum((F.when(size > bound, 1).otherwise(0) for bound in SIZE_CLASSES), F.lit(0)).cast("int")
+    classes = pages.select(size_class.alias("c")).distinct().collect()  # fewer rows than classes
+    for number in sorted(r.c for r in classes):
+        most = max(1, ARCHIVE_BYTES // SIZE_CLASSES[number]) if number < len(SIZE_CLASSES) else 1
+        _write_class(pages, size_class == number, number, most, path)
+    if not classes:
+        _write_class(pages, F.lit(True), 0, 1, path)
+
+
+def _write_class(pages: DataFrame, of_class: Column, number: int, captures_per_file: int, path: str) -> None:
+    """The pages of one class of sizes, *captures_per_file* to an archive."""
     url = F.coalesce(F.col("url"), F.lit(""))
     url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    rows = with_types(pages).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("payload", "digest", "refers_to", url.alias("url"), page.alias("page"), F.concat(F.lit("urn:capture:"), page, F.lit(":"), F.col("row").cast("string")).alias("capture"))
+    rows = with_types(pages, of_class).withColumn("row", F.concat(F.lit(f"{number}-"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.select("payload", "digest", "refers_to", url.alias("url"), page.alias("page"), F.concat(F.lit("urn:capture:"), page, F.lit(":"), "row").alias("capture"))
     uri = ("WARC-Target-URI", F.col("url"))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
@@ -96,7 +111,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     metadata = _record("metadata", F.concat("capture", F.lit(":metadata")), [uri, with_response], "application/warc-fields", F.concat(F.lit("page-id: "), F.col("page"), F.lit("\r\n")))
     records = rows.select(F.explode(F.array(F.when(F.col("refers_to").isNull(), response).otherwise(revisit), request, metadata)).alias("value"))
     writer = records.write.option("lineSep", END_OF_RECORD).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+    writer.option("maxRecordsPerFile", 3 * captures_per_file).mode("append").text(path)
 
 
 def _headers(stream) -> dict[str, str]:
