@@ -56,17 +56,6 @@ def test_archives_are_plain_warc(spark):
         list(parse_archive(raw[:-200]))
 
 
-def test_a_large_page_leaves_small_ones_together(spark):
-    path = scratch_path(spark, "warc-test")
-    small = spark.range(500).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id % 400) AS html")
-    large = spark.range(2).selectExpr("id + 900 AS page_id", "'u' AS url", "repeat('0123456789', 4000000) AS html")
-    write_warc(small.unionByName(large).coalesce(2), path)
-    files = spark.read.format("binaryFile").load(path).select("content").collect()
-    counts = sorted(sum(r["record_type"] in ("response", "revisit") for r in parse_archive(bytes(f.content))) for f in files)
-    assert sum(counts) == 502 and len([c for c in counts if c]) <= 4
-    assert captures(small.unionByName(large)).filter("response.record_type = 'revisit'").count() == 101
-
-
 def test_orphans_and_several_of_a_kind(spark):
     schema = read_warc(spark, _empty_archive(spark)).schema
     row = lambda kind, rid, to: ("a", kind, rid, to, None, None, None, None, None, None)
