@@ -22,7 +22,7 @@ MORE_TYPES = {"Catalog": "catalog", "Page": "page", "Outlines": "outline", "Font
 ANNOTATION_SUBTYPES = ("Text", "Link", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLine", "Highlight", "Underline", "Squiggly", "StrikeOut", "Stamp", "Caret", "Ink", "Popup", "FileAttachment", "Sound", "Movie", "Screen", "PrinterMark", "TrapNet", "Watermark", "3D", "Redact")
 ACTION_KEYS = ("A", "AA", "OpenAction")
 LINKS: dict[str, tuple[tuple[str, str], ...]] = {
-    "catalog": (("Metadata", "metadata"), ("OutputIntents", "outputIntent"), ("Pages", "pageTree"), ("Outlines", "outline"), ("AcroForm", "acroForm"), ("StructTreeRoot", "structureTreeRoot"), ("OpenAction", "action"), ("AA", "action"), ("Names", "names"), ("OCProperties", "optionalContentProperties"), ("Perms", "permissions"), ("Dests", "destinations")),
+    "catalog": (("Metadata", "metadata"), ("OutputIntents", "outputIntent"), ("Pages", "pageTree"), ("Outlines", "outline"), ("AcroForm", "acroForm"), ("StructTreeRoot", "structureTreeRoot"), ("OpenAction", "action"), ("AA", "action"), ("Names", "names")),
     "pageTree": (("Kids", "page"),),
     "page": (("Contents", "contentStream"), ("Annots", "annotation"), ("AA", "action"), ("Metadata", "metadata")),
     "annotation": (("A", "action"), ("AA", "action"), ("FS", "fileSpec"), ("Popup", "annotation")),
@@ -254,3 +254,14 @@ def same_output_profile(objects: DataFrame) -> DataFrame:
 def indirect_models(objects: DataFrame, handled: Sequence[str] = ("catalog", "page", "metadata", "annotation", "outputIntent", "font")) -> DataFrame:
     """``doc_id``, ``number``, ``family``: classified dictionaries that no traversal of their own handles."""
     return objects.filter(F.col("family").isNotNull() & ~F.col("family").isin(*handled)).select("doc_id", "number", "family")
+
+
+# Keys of the catalog that lead to models without links of their own.
+CATALOG_MODELS = ("AcroForm", "StructTreeRoot", "OCProperties", "Names", "Outlines", "Perms", "Dests")
+
+
+def catalog_models(objects: DataFrame) -> DataFrame:
+    """``doc_id``, ``src``, ``key``, ``dst``: the catalog's dictionaries of its own, in place (null ``dst``) or by reference."""
+    found = F.array(*[F.struct(F.lit(key).alias("key"), nested.at(F.col("value"), key).alias("v")) for key in CATALOG_MODELS])
+    rows = objects.filter("family = 'catalog'").select("doc_id", F.col("number").alias("src"), F.explode(found).alias("e")).select("doc_id", "src", "e.key", _target(F.try_variant_get("e.v", "$", "string")).alias("dst"), nested.entries_of(F.col("e.v")).isNotNull().alias("here"))
+    return rows.filter(F.coalesce("here", F.lit(False)) | F.col("dst").isNotNull()).select("doc_id", "src", "key", "dst")

@@ -260,6 +260,12 @@ def same_output_profile(spark, sf_dir):
     return families.same_output_profile(_resource_model(spark, sf_dir))
 
 
+@query(_CUSTOMER + "SELECT doc_id, v.* FROM r, (VALUES (1, 'OCProperties', 40), (1, 'Perms', NULL)) v(src, key, dst)")
+def catalog_models(spark, sf_dir):
+    rows = families.catalog_models(_resource_model(spark, sf_dir))
+    return rows.select("doc_id", F.col("src").cast("int").alias("src"), "key", F.col("dst").cast("int").alias("dst"))
+
+
 @query(_CUSTOMER + "SELECT doc_id, v.* FROM r, (VALUES (2, 'pageTree'), (10, 'formXObject'), (11, 'image'), (19, 'fontDescriptor'), (30, 'extGState'), (31, 'pattern'), (40, 'optionalContentProperties'), (41, 'signature')) v(number, family) ")
 def indirect_models(spark, sf_dir):
     return families.indirect_models(_resource_model(spark, sf_dir)).select("doc_id", F.col("number").cast("int").alias("number"), "family")

@@ -131,7 +131,7 @@ def test_families_and_links_of_nothing(spark):
     empty = documents.objects(documents.from_memory(spark, {"x": b""}))
     rows = families.typed(empty)
     assert rows.count() == 0 and families.typed_links(rows).count() == 0 and families.page_fonts(rows).count() == 0 and families.appearance_types(rows).count() == 0
-    assert families.link_schema(spark).filter("family = 'catalog'").count() == 12
+    assert families.link_schema(spark).filter("family = 'catalog'").count() == 9
 
 
 def numbered(spark, bodies):
@@ -165,6 +165,8 @@ def test_fonts_profiles_and_content_of_odd_objects(spark):
     assert {(r.src, r.stream) for r in families.content_streams(rows).collect()} == {(10, 5), (11, 11)}
     assert [(r.number, r.alternate, r.tint) for r in families.tint_signatures(rows).collect()] == [(14, None, '["1 0 R"]')]
     assert {r.number for r in families.indirect_models(rows).collect()} == {11, 12}
+    catalog = numbered(spark, {1: "<< /Type /Catalog /Names << >> /Perms (x) /Dests 7 0 R /Inner << /Outlines 8 0 R >> /AcroForm null >>"})
+    assert {(r.key, r.dst) for r in families.catalog_models(catalog).collect()} == {("Names", None), ("Dests", 7)}
     direct = numbered(spark, {1: "<< /Type /OutputIntent /DestOutputProfile (x) >>", 2: "<< /Type /OutputIntent >>"})
     assert families.same_output_profile(direct).first().same is None
 
