@@ -59,13 +59,16 @@ def resident(key: Any, build: Callable[[], Any]) -> Any:
     Workers outlive stages, so models of earlier stages would otherwise add up.  One that waits for work
     drops its model after a while.
     """
-    if key not in _resident:
+    held = _resident.get(key)
+    if held is None:
         _resident.clear()
-        _resident[key] = build()
+        held = build()
+        _touch()  # a slow build must not look like idleness, and what is held here can't be dropped meanwhile
+        _resident[key] = held
         gc.collect()
         trim()
     _touch()
-    return _resident[key]
+    return held
 
 
 def release() -> None:
