@@ -14,9 +14,7 @@
 4. A bucket yields links to the smallest fingerprint it reaches, so links stay linear in the rows;
    components over all buckets come from alternating large-star and small-star joins.
 
-The pipeline's stage links texts by their similarity in five-word shingles: the share of differing bits
-over ``STAGE_FINGERPRINTS`` fingerprints estimates it.  Candidates agree in a 16-bit block of one of them
-and come through the same tree, with the bits of all fingerprints counted at its leaves.
+The pipeline's stage takes its candidates from the same fingerprints and tree (:mod:`similar_texts`).
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bounded_batches, drop_rows, materialise, release, shuffle_partitions, slices, table, text_or_empty
+from quillspark.llm.common import bounded_batches, materialise, release, shuffle_partitions, slices, table, text_or_empty
 
 SEED = 42
 SHINGLE = 3
@@ -44,8 +42,6 @@ HELD = 50_000
 #: Shingles that are hashed and counted together, and texts that are taken together up to it.
 CHUNK = 200_000
 BATCH_CHARS = 1_000_000
-#: The pipeline's stage: words of a shingle, similarity of linked texts, independent fingerprints.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_FINGERPRINTS = 5, 0.8, 8
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -262,23 +258,8 @@ def link_runs(values: np.ndarray, run: np.ndarray, max_bits: int = MAX_BITS, wid
     return order[linked], order[stands[linked]]
 
 
-def _links(batches: Iterator[pd.DataFrame], max_bits: int, max_wide: int | None) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket; whole buckets are handled, small ones together.
-
-    They have ``bucket``, ``node`` and ``fp``, or with *max_wide* ``fps`` (all fingerprints, as bytes) and ``number``, that of the bucket's.
-    """
-    release()
-
-    def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        if max_wide is None:
-            wide, fp = None, rows["fp"].to_numpy(np.int64).view(np.uint64)
-        else:
-            wide = np.frombuffer(b"".join(rows["fps"].tolist()), "<u8").reshape(len(rows), -1)
-            fp = wide[np.arange(len(rows)), rows["number"].to_numpy(np.int64)]
-        i, j = link_runs(fp, rows["bucket"].to_numpy(np.int64), max_bits, wide, max_wide or 0)
-        node = rows["node"].to_numpy(np.int64)
-        return pd.DataFrame({"a": node[i], "b": node[j]}).drop_duplicates()
-
+def whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``bucket`` as frames of whole buckets, small ones together."""
     held: list[pd.DataFrame] = []
     size = 0
     for batch in batches:
@@ -289,11 +270,20 @@ def _links(batches: Iterator[pd.DataFrame], max_bits: int, max_wide: int | None)
         rows = pd.concat(held, ignore_index=True)
         done = int(rows["bucket"].searchsorted(rows["bucket"].iloc[-1]))
         if done:
-            yield flush(rows.iloc[:done])
+            yield rows.iloc[:done]
         held = [rows.iloc[done:].copy()]
         size = len(held[0])
     if size:
-        yield flush(pd.concat(held, ignore_index=True))
+        yield pd.concat(held, ignore_index=True)
+
+
+def _links(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
+    """Links ``a``, ``b`` of rows (``bucket``, ``node``, ``fp``) sorted by bucket."""
+    release()
+    for rows in whole_buckets(batches):
+        i, j = link_runs(rows["fp"].to_numpy(np.int64).view(np.uint64), rows["bucket"].to_numpy(np.int64), max_bits)
+        node = rows["node"].to_numpy(np.int64)
+        yield pd.DataFrame({"a": node[i], "b": node[j]}).drop_duplicates()
 
 
 def _parts(mask: int, n: int) -> list[int]:
@@ -329,38 +319,7 @@ def near_links(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
         kept.append(keyed.join(hot, "bucket", "left_anti").select("fp", "bucket"))
         open_ = materialise(keyed.join(hot, "bucket", "left_semi").select("fp", "mask"), "simhash-hot-rows")
     dealt = _dealt(reduce(DataFrame.unionByName, kept).withColumn("node", F.col("fp")), "fp")
-    return dealt.mapInPandas(lambda b: _links(b, MAX_BITS, None), "a long, b long").distinct()
-
-
-def differing_bits(n: int, similarity: float) -> tuple[float, float]:
-    """Mean and standard deviation of the differing bits of *n* fingerprints of two sets with this Jaccard similarity."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return 64 * n * share, float(np.sqrt(64 * n * share * (1 - share)))
-
-
-def similar_links(nodes: DataFrame, n: int, similarity: float, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Distinct ``node``, ``fps`` (*n* longs) -> links ``a``, ``b`` of nodes that agree in a 16-bit block of a fingerprint and are similar.
-
-    Similar are nodes whose fingerprints differ in no more bits than the mean for *similarity* and a standard
-    deviation (three for the fingerprint of the block).  A bucket above *hot_bucket* rows is cut into parts, and
-    each pair of parts is compared in a bucket of its own, so none is left out and no task holds more than two.
-    """
-    mean, deviation = differing_bits(n, similarity)
-    one, spread = differing_bits(1, similarity)
-    max_wide, max_bits = int(mean + deviation), int(one + 3 * spread)
-    block = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("number"), F.expr(f"shiftrightunsigned(fps[{i}], {16 * b}) & 65535").alias("value"), F.lit(b).alias("block")) for i in range(n) for b in range(4)]))
-    # all fingerprints travel as bytes, little-endian
-    packed = F.unhex(F.concat(*[F.regexp_replace(F.lpad(F.hex(F.get("fps", F.lit(i))), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1") for i in range(n)]))
-    each = nodes.withColumn("packed", packed).select("node", F.col("packed").alias("fps"), block.alias("b"))
-    keyed = each.select("node", "fps", "b.number", F.xxhash64("b.number", "b.block", "b.value").alias("bucket"))
-    hot = materialise(keyed.groupBy("bucket").count().filter(F.col("count") > hot_bucket), "simhash-hot-buckets")
-    if not hot.isEmpty():
-        parts = F.ceil(F.col("count") / F.lit(hot_bucket)).cast("int")
-        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        split = keyed.join(hot.select("bucket", parts.alias("parts")), "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        split = split.select("node", "fps", "number", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
-        keyed = keyed.join(hot, "bucket", "left_anti").select("node", "fps", "number", "bucket").unionByName(split)
-    return _dealt(keyed, "fps", "number").mapInPandas(lambda b: _links(b, max_bits, max_wide), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda b: _links(b, MAX_BITS), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -418,27 +377,6 @@ def simhash_components(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFra
     return _components_of(docs, 1, SHINGLE, False, lambda nodes: near_links(nodes.select(F.col("node").alias("fp")), hot_bucket))
 
 
-def similar_components(docs: DataFrame, n: int = STAGE_FINGERPRINTS, similarity: float = STAGE_SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """``doc_id``, ``digest``, ``component_id`` as in :func:`simhash_components`, with texts linked by :func:`similar_links` of *n* fingerprints of distinct five-word shingles."""
-    return _components_of(docs, n, STAGE_SHINGLE, True, lambda nodes: similar_links(nodes, n, similarity, hot_bucket))
-
-
-def near_deduplicated(docs: DataFrame, n: int = STAGE_FINGERPRINTS, similarity: float = STAGE_SIMILARITY) -> DataFrame:
-    """One row of each component of :func:`similar_components`, with all columns of *docs*: that with the smallest id.
-
-    Of several rows with that id the one of the smallest text digest stays, and one of identical rows; a
-    null id comes after any other.  Null and empty texts are one component.  An empty table gives none.
-    """
-    rows = materialise(similar_components(docs, n, similarity), "simhash-stage")
-    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("best"))
-    best = materialise(best.select(F.col("component_id").alias("_c"), F.col("best.doc_id").alias("_best_id"), F.col("best.digest").alias("_best_digest")), "simhash-best")
-    stays = rows["doc_id"].eqNullSafe(best["_best_id"]) & (rows["digest"] == best["_best_digest"])
-    judged = materialise(rows.join(best, rows["component_id"].eqNullSafe(best["_c"])).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), stays.alias("_stays")), "simhash-judged")
-    counted = judged.groupBy("_id", "_digest").agg(F.max("_stays").alias("_stays"), F.count("*").alias("_n"))
-    doomed = counted.filter(~F.col("_stays") | (F.col("_n") > 1)).select("_id", "_digest", F.col("_stays").alias("_repeat"))
-    return drop_rows(docs, materialise(doomed, "simhash-doomed"), F.xxhash64(text_or_empty()))
-
-
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")

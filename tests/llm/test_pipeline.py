@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from quillspark.llm import exact_dedup, language_id, packing, quality, simhash
+from quillspark.llm import exact_dedup, language_id, packing, quality, similar_texts
 from quillspark.llm.common import table
 
 
@@ -14,7 +14,7 @@ def test_stages_match_their_operators(spark, sf_dir):
         "language_id": lambda d: {r.doc_id for r in language_id.identify(d).collect() if r.lang_pred != "und" and r.rate <= language_id.FOREIGN_RATE},
         "quality_classifier": lambda d: {r.doc_id for r in quality.score_quality(d, table(spark, sf_dir, "labels")).collect() if r.predicted == 1},
         "exact_dedup": lambda d: {r.doc_id for r in exact_dedup.exact_dedup(d).collect() if r.kept},
-        "simhash_near_dedup": lambda d: {r.component_id for r in simhash.similar_components(d).collect()},
+        "simhash_near_dedup": lambda d: {r.component_id for r in similar_texts.similar_components(d).collect()},
     }
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = corpus_pipeline.materialise(stage(spark, state, sf_dir), "test")

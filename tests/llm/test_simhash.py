@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm.simhash import CHUNK, components, differing_bits, fingerprint, fingerprints, gray_rank, link_runs, near_deduplicated, near_links, similar_components, similar_links, simhash_components
+from quillspark.llm.simhash import CHUNK, components, fingerprint, fingerprints, gray_rank, link_runs, near_links, simhash_components
 
 
 def slow_fingerprint(text):
@@ -124,11 +124,8 @@ def test_documents(spark):
         if i is not None:
             least[w] = min(i, least.get(w, i))
     assert got == sorted(((i is None, i or 0, f, least.get(w)) for (i, _), f, w in zip(rows, fps, label)), key=str)
-    left = near_deduplicated(docs)
-    assert left.columns == docs.columns
-    assert left.count() == len({r.component_id if r.component_id is not None else r.digest for r in similar_components(docs).collect()})
     empty = spark.createDataFrame([], docs.schema)
-    assert simhash_components(empty).count() == 0 and near_deduplicated(empty).count() == 0
+    assert simhash_components(empty).count() == 0
 
 
 def test_a_text_of_more_shingles_than_a_part():
@@ -138,58 +135,3 @@ def test_a_text_of_more_shingles_than_a_part():
     got = fingerprints(several)[:, 0].tolist()
     assert got == [slow_fingerprint(x) for x in several]
     assert fingerprints(["a b c d"], 3)[0, 0] == fingerprint("a b c d") and len(set(fingerprints(["a b c d"], 3)[0].tolist())) == 3
-
-
-def edited(rng, words, edits, vocabulary):
-    words = list(words)
-    for _ in range(edits):
-        words[rng.randrange(len(words))] = rng.choice(vocabulary)
-    return words
-
-
-def similarity(a, b):
-    x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
-    return len(x & y) / len(x | y)
-
-
-@pytest.mark.parametrize("hot", [50_000, 30])
-def test_similar_links_against_brute_force(spark, hot):
-    rng, n = random.Random(6), 8
-    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
-    texts = []
-    for _ in range(40):
-        words = rng.choices(vocabulary, k=300)
-        texts += [words] + [edited(rng, words, rng.choice([1, 4, 8, 16]), vocabulary) for _ in range(3)]
-    fps = fingerprints([" ".join(t) for t in texts], n, 5, True)
-    mean, deviation = differing_bits(n, 0.8)
-    one, spread = differing_bits(1, 0.8)
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            apart = np.bitwise_count(fps[i] ^ fps[j])
-            block = [(fps[i] ^ fps[j]) >> np.uint64(16 * b) & np.uint64(65535) for b in range(4)]
-            if apart.sum() <= int(mean + deviation) and any((block[b][k] == 0) and apart[k] <= int(one + 3 * spread) for b in range(4) for k in range(n)):
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
-    frame = spark.createDataFrame([(i, x) for i, x in enumerate(fps.view(np.int64).tolist())], "node long, fps array<long>")
-    root = dict(components(similar_links(frame, n, 0.8, hot)).collect())
-    assert [root.get(i, i) for i in range(len(texts))] == label
-
-
-def test_recall_above_the_similarity(spark):
-    rng = random.Random(11)
-    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
-    rows, near, far = [], {}, {}
-    for i in range(300):
-        words = rng.choices(vocabulary, k=200)
-        other = edited(rng, words, rng.choice([1, 2, 3, 4, 5, 8, 12, 20]), vocabulary)
-        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
-        j = similarity(words, other)
-        (near if j >= 0.8 else far)[i] = j
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.component_id for r in similar_components(docs).collect()}
-    linked = lambda i: found[2 * i] == found[2 * i + 1]
-    assert sum(map(linked, near)) / len(near) >= 0.9
-    assert not any(linked(i) for i, j in far.items() if j < 0.65)
-    assert len({found[2 * i] for i in range(300)}) == 300
-    assert near_deduplicated(docs.limit(0)).count() == 0
