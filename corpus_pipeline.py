@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import exact_dedup, language_id, packing, quality, simhash
+from quillspark.llm import exact_dedup, language_id, packing, quality, similar_texts
 from quillspark.llm.common import materialise, table
 
 
@@ -31,8 +31,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that are similar in five-word shingles the row with the smallest id stays."""
-    return simhash.near_deduplicated(docs)
+    """Of each component of texts that are similar in five-word shingles (0.8 or more) the row with the smallest id stays."""
+    return similar_texts.near_deduplicated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
