@@ -7,10 +7,11 @@
    and the number of bands follows from the width: a pair at the limit agrees in none with a probability of
    ``MISS`` at most (:func:`bands`).
 3. In a bucket the Gray-sorted tree of :mod:`simhash` links nodes by the bits of two fingerprints, three
-   deviations above the mean of a pair at the limit.  What hangs together there is a group; groups of the
-   same nodes in several buckets are one.
-4. Every node of a group is paired with the group's node that shares most groups.  Pairs four deviations
-   above the mean over all fingerprints go, the others are verified on the sets of 64-bit shingle hashes.
+   deviations above the mean of a pair at the limit.  What hangs together there is a group.  Its centre is
+   the smallest of the nodes near the majority of its bits, so that the many groups that the copies of a text
+   form in different bands have few centres between them; groups of the same centre are one.
+4. Every node of a group is paired with the centre.  Pairs four deviations above the mean over all
+   fingerprints go, the others are verified on the sets of 64-bit shingle hashes.
 5. Groups that hold several components then are gone through once more, with their sets: each node outside
    the group's largest component is counted against an index of the others' shingles.  A link merges two
    components at once, so links stay linear; large groups are cut into parts (as in :mod:`setsketch`).
@@ -37,6 +38,8 @@ from quillspark.llm.simhash import BATCH_CHARS, HOT_BUCKET, _bit_counts, _dealt,
 SHINGLE, PERCENT, FINGERPRINTS = 5, 80, 12
 #: Chance rows of a bucket (two to this power), least width of a band, and the share of pairs at the limit that no band catches.
 CHANCE, LEAST_WIDTH, MISS = 6, 16, 0.01
+#: Bits by which a centre may be farther from the majority of its group's 128 bits than the nearest node.
+SLACK = 6
 SEED = 42
 
 
@@ -101,23 +104,31 @@ def _sketches(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]
 
 
 def _groups(batches: Iterator[pd.DataFrame], max_bits: int, max_wide: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket (``node``, ``fp``, ``next_fp``) -> ``bucket``, ``n``, ``node`` of what hangs together in one, named by its nodes."""
+    """Rows sorted by bucket (``node``, ``fp``, ``next_fp``) -> ``centre``, ``node`` of what hangs together in a bucket."""
     release()
     for rows in whole_buckets(batches):
         wide = rows[["fp", "next_fp"]].to_numpy(np.int64).view(np.uint64)
         member, head = link_runs(np.ascontiguousarray(wide[:, 0]), rows["bucket"].to_numpy(np.int64), max_bits, wide, max_wide)
         heads = np.unique(head)
-        place, group = np.r_[member, heads], np.r_[head, heads]
-        nodes = rows["node"].to_numpy(object)[place]
-        found = pd.DataFrame({"group": group, "node": nodes}).sort_values(["group", "node"], ignore_index=True)
-        begins = np.flatnonzero(np.r_[True, np.diff(found["group"]) != 0]) if len(found) else np.zeros(0, np.int64)
+        found = pd.DataFrame({"group": np.r_[head, heads], "place": np.r_[member, heads]})
+        found = found.assign(node=rows["node"].to_numpy(object)[found["place"]]).sort_values(["group", "node"], ignore_index=True)
+        if not len(found):
+            continue
+        begins = np.flatnonzero(np.r_[True, np.diff(found["group"]) != 0])
         sizes = np.diff(np.r_[begins, len(found)])
-        names = np.fromiter((xxhash.xxh3_64_intdigest(b"".join(found["node"].iloc[b : b + n])) for b, n in zip(begins, sizes)), np.uint64, len(begins)).view(np.int64)
-        yield pd.DataFrame({"bucket": np.repeat(names, sizes), "n": np.repeat(sizes, sizes), "node": found["node"]}).drop_duplicates(["bucket", "node"])
+        bits = np.unpackbits(np.ascontiguousarray(wide[found["place"]]).view(np.uint8), axis=1)
+        most = 2 * np.add.reduceat(bits, begins, axis=0, dtype=np.int32) > sizes[:, None]
+        far = (bits != np.repeat(most, sizes, axis=0)).sum(axis=1)
+        near = np.flatnonzero(far <= np.repeat(np.minimum.reduceat(far, begins), sizes) + SLACK)
+        # nodes of a group are in order, so the first near one is the smallest
+        centre = np.repeat(near[np.searchsorted(near, begins)], sizes)
+        other = np.flatnonzero(centre != np.arange(len(found)))
+        nodes = found["node"].to_numpy(object)
+        yield pd.DataFrame({"centre": nodes[centre[other]], "node": nodes[other]}).drop_duplicates()
 
 
 def candidate_groups(nodes: DataFrame, count: int, n: int = FINGERPRINTS, percent: int = PERCENT, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """*count* distinct ``node``, ``fps`` (*n* longs) -> distinct ``bucket``, ``n``, ``node``: groups of nodes that may be similar.
+    """*count* distinct ``node``, ``fps`` (*n* longs) -> distinct ``centre``, ``node``: groups of nodes that may be similar, each with a row for every node but its centre.
 
     A bucket above *hot_bucket* rows is cut into parts, and each pair of parts is compared in a bucket of
     its own, so none is left out and no task holds more than two.  Which buckets may be hot is found on every
@@ -139,7 +150,7 @@ def candidate_groups(nodes: DataFrame, count: int, n: int = FINGERPRINTS, percen
         split = keyed.join(hot, "bucket").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         split = split.select("node", "fp", "next_fp", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"))
         keyed = keyed.join(hot, "bucket", "left_anti").select("node", "fp", "next_fp", "bucket").unionByName(split)
-    return _dealt(keyed, "fp", "next_fp").mapInPandas(lambda b: _groups(b, max_bits, max_wide), "bucket long, n long, node binary").distinct()
+    return _dealt(keyed, "fp", "next_fp").mapInPandas(lambda b: _groups(b, max_bits, max_wide), "centre binary, node binary").distinct()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,19 +237,19 @@ def _open_links(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Da
 
 def verified_roots(groups: DataFrame, nodes: DataFrame, texts: DataFrame, n: int = FINGERPRINTS, percent: int = PERCENT, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """``node``, ``root`` of all nodes linked inside *groups*; *nodes* has ``node``, ``n_shingles``, ``digest``, ``fps`` (*n* longs), *texts* ``digest``, ``text``."""
-    crowd = materialise(groups.groupBy("node").agg(F.sum("n").alias("crowd")), "similar-crowd")
-    some = materialise(nodes.join(crowd, "node", "left_semi"), "similar-some")
-    centres = groups.join(crowd, "node").groupBy("bucket").agg(F.max(F.struct("crowd", "node")).alias("most"))
-    centres = materialise(centres.select("bucket", F.col("most.node").alias("centre")), "similar-centres")
-    star = groups.join(centres, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    star = materialise(star, "similar-stars")
+    pair = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
+    every = groups.select(F.explode(F.array("centre", "node")).alias("node")).distinct()
+    some = materialise(nodes.join(every, "node", "left_semi"), "similar-some")
+    star = groups.select(*pair).distinct()
     left, right = (some.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("fps").alias(f"fps_{x}")) for x in "ab")
     differing = F.aggregate(F.zip_with("fps_a", "fps_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing <= most_bits(64 * n, differing_share(percent), 4))
     pairs = materialise(star.join(left, "a").join(right, "b").filter(fits).select("a", "b"), "similar-likely")
 
     # sets are made for pairs that the bits don't rule out, and for groups in which a star leaves pairs open
-    larger = groups.filter("n > 2").select("bucket", "node")
+    sizes = materialise(groups.groupBy("centre").count().filter("count > 1").select("centre"), "similar-larger")
+    larger = groups.join(sizes, "centre", "left_semi").select(F.xxhash64("centre").alias("bucket"), "node")
+    larger = materialise(larger.unionByName(sizes.select(F.xxhash64("centre").alias("bucket"), F.col("centre").alias("node"))), "similar-open-groups")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(larger.select("node")).distinct()
     needed = some.join(wanted, "node", "left_semi").select("node", F.col("digest").alias("node_digest"))
     sets = texts.join(needed, F.col("digest") == F.col("node_digest")).select("node", "text")
