@@ -96,8 +96,18 @@ def reason_token(reason: Column, prefix: str, suffix: str) -> Column:
     return F.when(F.contains(rest, F.lit(suffix)), F.substring_index(rest, suffix, 1))
 
 
+# Why a rule can't run.
+REASON_CATEGORIES = ("missingLink", "missingObjectType", "missingProperty", "missingSemanticFamily", "unsupportedExpression")
+
+
 def reason_category(reason: Column) -> Column:
-    return F.when(F.contains(reason, F.lit("property")), "unknownProperty").when(F.contains(reason, F.lit("link")), "unknownLink").when(F.contains(reason, F.lit("family")), "unknownFamily").otherwise("other")
+    """The category of a reason's text: the first of an unknown link, property or family that it names, else an expression.
+
+    A reason that is a semantic family's absence by name is that.  Null stays null.
+    """
+    names = lambda what: F.rlike(reason, F.lit(f"unknown (validation model )?{what}"))
+    found = F.when(reason == "missingSemanticFamily", reason).when(names("link"), "missingLink").when(names("property"), "missingProperty").when(names("family"), "missingObjectType")
+    return found.otherwise(F.when(reason.isNotNull(), "unsupportedExpression"))
 
 
 def is_identifier(text: Column) -> Column:

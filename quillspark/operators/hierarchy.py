@@ -13,7 +13,10 @@ from quillspark.shared import materialise
 
 MAX_DEPTH = 128
 # Roles of the standard structure tree that group others.
-GROUPING_ROLES = ("Art", "BibEntry", "BlockQuote", "Caption", "Div", "Document", "DocumentFragment", "Index", "NonStruct", "Part", "Private", "Sect", "TOC", "TOCI", "Aside")
+GROUPING_ROLES = ("Document", "Part", "Art", "Sect", "Div", "BlockQuote", "Caption", "TOC", "TOCI", "Index", "NonStruct", "Private", "Aside", "DocumentFragment", "Title")
+# Roles by what they are about.
+ROLE_FAMILIES = {"table": ("Table", "TR", "TH", "TD", "THead", "TBody", "TFoot"), "list": ("L", "LI", "Lbl", "LBody"), "heading": ("H", "H1", "H2", "H3", "H4", "H5", "H6"), "link": ("Link",)}
+FORMULA_ROLES = ("Formula", "MathML")
 
 # The roles of the standard structure tree.
 STANDARD_ROLES = (
@@ -62,6 +65,58 @@ def ancestor_paths(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return found.select("doc_id", "node", path.alias("path")).select("doc_id", "node", F.size("path").alias("depth"), "path")
 
 
+def role_family(role: Column) -> Column:
+    """What a role is about: table, list, heading or link; null for any other."""
+    found = F.lit(None).cast("string")
+    for name, roles in ROLE_FAMILIES.items():
+        found = F.when(role.isin(*roles), name).otherwise(found)
+    return found
+
+
+def inherited_together(nodes: DataFrame, values: dict[str, Column], max_depth: int = MAX_DEPTH) -> DataFrame:
+    """``doc_id``, ``node`` and each of *values* (new name: expression over *nodes*), the node's own or that of its nearest ancestor.
+
+    All are carried in the same rounds: each joins once, whatever the number of values, and reaches twice as far.
+    A node asks on as long as one of its values is missing.  What is above *max_depth*, or nowhere, is null.
+    """
+    open_ = F.lit(False)
+    for x in values.values():
+        open_ = open_ | x.isNull()
+    state = nodes.select("doc_id", "node", F.when(open_, F.col("parent")).alias("_top"), *[x.alias(k) for k, x in values.items()])
+    reach = 1
+    while True:
+        state = materialise(state, "tree-together")
+        if reach > max_depth or state.filter(F.col("_top").isNotNull()).isEmpty():
+            break
+        above = state.select("doc_id", F.col("node").alias("_top"), F.col("_top").alias("_next"), *[F.col(k).alias(f"_above_{k}") for k in values])
+        met = state.filter(F.col("_top").isNotNull()).join(above, ["doc_id", "_top"], "left")
+        now = {k: F.coalesce(k, f"_above_{k}") for k in values}
+        missing = F.lit(False)
+        for x in now.values():
+            missing = missing | x.isNull()
+        met = met.select("doc_id", "node", F.when(missing, F.col("_next")).alias("_top"), *[x.alias(k) for k, x in now.items()])
+        state = state.filter(F.col("_top").isNull()).unionByName(met)
+        reach *= 2
+    return state.drop("_top")
+
+
+def node_facts(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """*nodes* (``doc_id``, ``node``, ``parent``, ``role``, ``lang``) with what rules ask of a structure element.
+
+    ``standard``, ``grouping`` and ``role_family`` follow from the role; ``level`` and ``nests`` as in :func:`heading_nests`;
+    ``parent_lang`` is that of the nearest element above that has one, ``in_formula`` whether a formula is above.  What
+    is above comes in one set of doubling rounds.  A null role is none of these, a parent that isn't a node ends the
+    way up, a cycle is followed to *max_depth* at most, and repeated nodes aren't allowed.
+    """
+    level = heading_level(F.coalesce("role", F.lit("")))
+    asked = {"_heading": F.when(level > 0, level), "_lang": F.col("lang"), "_formula": F.when(F.col("role").isin(*FORMULA_ROLES), True)}
+    above = inherited_together(nodes, asked, max_depth).withColumnRenamed("node", "parent")
+    role = F.col("role")
+    nests = F.when(level <= 1, True).otherwise(F.coalesce(F.col("_heading") < level, F.lit(False)))
+    facts = {"standard": is_standard_role(role), "grouping": is_grouping_role(role), "role_family": role_family(role), "level": level, "nests": nests, "parent_lang": F.col("_lang"), "in_formula": F.coalesce("_formula", F.lit(False))}
+    return nodes.join(above, ["doc_id", "parent"], "left").select(*nodes.columns, *[x.alias(k) for k, x in facts.items()])
+
+
 def inherited(nodes: DataFrame, value: str, into: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """*nodes* (``doc_id``, ``node``, ``parent``) with *into*: the node's own *value*, else that of the nearest ancestor that has one.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.reports import percent
+
 # The declarations that claim a conformance.
 DECLARATIONS = {"http://pdfa.org/declarations/wtpdf#accessibility1.0": "accessibility", "http://pdfa.org/declarations/wtpdf#reuse1.0": "reuse"}
 
@@ -62,6 +64,27 @@ def select_profiles(documents: DataFrame, selections: DataFrame, catalogue: Data
     return documents.select("doc_id").join(chosen, "doc_id", "left")
 
 
+def catalogue_entries(versions: DataFrame, rules: DataFrame) -> DataFrame:
+    """The catalogue: of each profile its newest version, with what of its rules can run.
+
+    *versions* has ``profile_id``, ``version`` (dotted numbers), ``family``, ``part``, ``conformance``, ``source``;
+    *rules* ``profile_id``, ``version``, ``rule_id``, ``reason`` (null if the rule can run).  Versions are compared number by
+    number, so 1.10 is newer than 1.9; of equal ones the least ``source`` stands.  A rule listed twice counts once,
+    unsupported if any of its rows is.  A profile without rules covers nothing, a version that isn't dotted
+    numbers is the oldest, and rules of other versions or unknown profiles don't count.
+    """
+    numbers = F.transform(F.split("version", "\\."), lambda x: x.try_cast("bigint"))
+    order = F.when(F.rlike("version", F.lit(r"^\d{1,18}(\.\d{1,18})*$")), numbers)
+    body = F.struct("version", "family", "part", F.coalesce("conformance", F.lit("")).alias("conformance"), "source")
+    ranked = versions.select("profile_id", F.coalesce(order, F.array(F.lit(-1).cast("bigint"))).alias("_order"), "source", body.alias("entry"))
+    newest = ranked.groupBy("profile_id").agg(F.max("_order").alias("_order")).join(ranked, ["profile_id", "_order"]).groupBy("profile_id").agg(F.min_by("entry", F.struct("source", F.col("entry.version"), F.to_json("entry"))).alias("entry"))
+    one = rules.groupBy("profile_id", "version", "rule_id").agg(F.bool_or(F.col("reason").isNotNull()).alias("_unsupported"))
+    counted = one.groupBy("profile_id", "version").agg(F.count("*").alias("rules"), F.count_if("_unsupported").alias("unsupported"))
+    found = newest.select("profile_id", "entry.*").join(counted, ["profile_id", "version"], "left").fillna(0, ["rules", "unsupported"])
+    runs = F.col("rules") - F.col("unsupported")
+    return found.withColumn("executable", runs).withColumn("percent", percent(runs, F.col("rules")))
+
+
 def family_key(policy: Column, family: Column) -> Column:
     """Under what a corpus row is counted: ``auto`` for a policy that detects, else the flavour's family."""
     return F.when(policy.startswith("auto"), "auto").otherwise(family)

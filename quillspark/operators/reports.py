@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.derived import REASON_CATEGORIES, reason_category
 from quillspark.functions.nested import all_entries
 
 
@@ -46,6 +47,17 @@ def zero_filled(rows: DataFrame, key: str, categories: Sequence[str]) -> DataFra
     return every.join(counted, key, "left").select(key, F.coalesce("_n", F.lit(0)).alias("count"))
 
 
+def reason_counts(rules: DataFrame, key: str = "flavour") -> DataFrame:
+    """*key*, ``category``, ``count``: the rules of each flavour that can't run, by every category of their ``reason``, 0 where none is.
+
+    A flavour whose rules can all run has zeros; one aggregation, whatever the number of categories.
+    """
+    category = reason_category(F.col("reason"))
+    counted = rules.groupBy(key).agg(*[F.count_if(category == c).alias(c) for c in REASON_CATEGORIES])
+    every = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("count")) for c in REASON_CATEGORIES]))
+    return counted.select(key, every.alias("_c")).select(key, "_c.*")
+
+
 def coverage(rules: DataFrame, key: str = "flavour") -> DataFrame:
     """Per flavour: rules in all, lowered, bound, unsupported, and the percent that can run."""
     counted = rules.groupBy(key).agg(F.count("*").alias("total"), F.count_if("lowered").alias("lowered"), F.count_if("bound").alias("bound"), F.count_if(F.col("reason").isNotNull()).alias("unsupported"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.rules import retained_failures
+from quillspark.shared import materialise
+
 # One sentence per status.
 STATEMENTS = {
     "valid": "The document complies with the profile.",
@@ -122,6 +125,35 @@ def _xml_extras() -> Column:
     return F.concat(wrap("featuresReport", features), wrap("policyReport", policy), wrap("warnings", warnings))
 
 
+CHECK_ORDER = ["doc_id", "profile_id", "part", "place", "deferred", "visit_seq", "rule_pos", "identity_key"]
+
+
+def check_lines(outcomes: DataFrame, most: int | None, passed: bool = False) -> DataFrame:
+    """The assertions of each document and profile as lines of XML, in ``CHECK_ORDER``.
+
+    ``part`` 0 is ``failedChecks``, with at most *most* failures of a rule (None: all), ``part`` 1, only if *passed*
+    asks for it, is ``passedChecks``, with all of them.  ``place`` 0 opens an element, 1 is a check and 2 closes
+    it; a document without such checks has no element.  The lines are rows of their own, so that a document with
+    a third of all checks is no list in one row and its range is sorted by many tasks.
+    """
+    own = ["doc_id", "profile_id", "deferred", "visit_seq", "rule_pos", "identity_key", "rule_id"]
+    kept = retained_failures(outcomes, most).select(*own, F.lit(0).alias("part"))
+    if passed:
+        kept = kept.unionByName(outcomes.filter("outcome = 'passed'").select(*own, F.lit(1).alias("part")))
+    kept = materialise(kept, "report-checks")  # both unions below ask it
+    status = F.when(F.col("part") == 0, "failed").otherwise("passed")
+    check = F.concat(F.lit('<check ruleId="'), xml_text(F.col("rule_id")), F.lit('" status="'), status, F.lit('" location="'), xml_text(F.coalesce("identity_key", F.lit("unknown"))), F.lit('"/>'))
+    lines = kept.select("doc_id", "profile_id", "part", F.lit(1).alias("place"), "deferred", "visit_seq", "rule_pos", "identity_key", check.alias("value"))
+    element = F.concat(status, F.lit("Checks>"))
+    ends = kept.select("doc_id", "profile_id", "part").distinct().withColumn("end", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("<"), element).alias("value")), F.struct(F.lit(2).alias("place"), F.concat(F.lit("</"), element).alias("value")))))
+    return lines.unionByName(ends.select("doc_id", "profile_id", "part", "end.*"), allowMissingColumns=True)
+
+
+def write_checks(outcomes: DataFrame, most: int | None, path: str, passed: bool = False) -> None:
+    """Write :func:`check_lines` in order, a part file each range; never over an existing folder."""
+    check_lines(outcomes, most, passed).orderBy(*CHECK_ORDER).select("value").write.mode("error").text(path)
+
+
 def as_xml(reports: DataFrame) -> DataFrame:
     """One ``job`` element a document; a document without profiles has one empty validation report."""
     inside = F.when(F.size("profiles") > 0, F.array_join(F.transform("profiles", _xml_profile), "")).otherwise('<validationReport profileName="" isCompliant="false"><details passedChecks="0" failedChecks="0" unsupportedRules="0"/></validationReport>')
@@ -176,7 +208,8 @@ def batch_lines(reports: DataFrame, summary: DataFrame, form: str) -> DataFrame:
         attributes = F.concat(*[F.concat(F.lit(f' {camel(c)}="'), F.col(c).cast("string"), F.lit('"')) for c in names])
         ending = F.concat(F.lit(foot + "<batchSummary"), attributes, F.lit("/></report>" if form == "xml" else "/></rawReport>"))
     rows = RENDERERS[form](reports).select(F.lit(1).alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "value")
-    if form == "json":  # a comma before every document but the first
+    if form == "json":  # a comma before every document but the first; written, so that the reports are made once
+        rows = materialise(rows, "report-lines")
         first = rows.agg(F.min("doc_id")).first()[0]
         rows = rows.withColumn("value", F.when(F.col("doc_id") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), F.col("value"))))
     begin = summary.select(F.lit(0).alias("part"), F.lit("").alias("doc_id"), F.lit(head).alias("value"))
@@ -194,3 +227,15 @@ def write_reports(reports: DataFrame, form: str, path: str) -> None:
     if form not in RENDERERS:
         raise ValueError(f"unknown format {form}")
     RENDERERS[form](reports).select("value").write.mode("error").text(path)
+
+
+def write_comparison(rows: DataFrame, summary: DataFrame, folder: str) -> None:
+    """Compared *rows*, their one-row *summary* and what blocks a release, as JSON in three new folders below *folder*.
+
+    ``drift`` has the rows that don't match and weren't expected to drift, and the false-compliant ones.  An empty
+    table writes empty folders.
+    """
+    base = folder.rstrip("/")
+    rows.write.mode("error").json(f"{base}/corpus")
+    summary.write.mode("error").json(f"{base}/summary")
+    rows.filter("release_blocking").write.mode("error").json(f"{base}/drift")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import checked as c
 from quillspark.functions import derived
-from quillspark.operators import accessibility, content, hierarchy, joins, metadata, model, policy, reports, rules, sinks
+from quillspark.operators import accessibility, content, hierarchy, joins, metadata, model, policy, profiles, reports, rules, sinks
 from quillspark.plans.registry import ORACLE_SQL, QUERIES, query, table
 from quillspark.shared import materialise
 
@@ -175,6 +175,17 @@ def report_xml(spark, sf_dir):
     return sinks.as_xml(_reports(spark, sf_dir))
 
 
+@query(
+    _OUTCOMES
+    + f""", c AS (SELECT doc_id, rule_id, rule_pos, outcome, CASE outcome WHEN 'failed' THEN 0 ELSE 1 END AS part FROM o WHERE outcome IN ('failed', 'passed'))
+SELECT doc_id, '{PROFILE}' AS profile_id, part, 1 AS place, rule_pos, '<check ruleId="' || rule_id || '" status="' || outcome || '" location="document:' || doc_id || '"/>' AS value FROM c
+UNION ALL SELECT doc_id, '{PROFILE}', part, unnest([0, 2]), NULL, unnest(['<', '</']) || outcome || 'Checks>' FROM (SELECT DISTINCT doc_id, part, outcome FROM c)"""
+)
+def report_check_lines(spark, sf_dir):
+    lines = sinks.check_lines(rules.apply_rules(document_objects(spark, sf_dir), document_rules()), None, passed=True)
+    return lines.select("doc_id", "profile_id", "part", "place", "rule_pos", "value")
+
+
 @query(_OUTCOMES + f"SELECT doc_id, '<tr><td>' || doc_id || '</td><td>' || status || '</td><td>{PROFILE}</td></tr>' AS value FROM s")
 def report_html(spark, sf_dir):
     return sinks.as_html_rows(_reports(spark, sf_dir))
@@ -404,6 +415,16 @@ def zero_fill(spark, sf_dir):
     return reports.zero_filled(table(spark, sf_dir, "lineitem"), "l_returnflag", ["A", "N", "R", "X"])
 
 
+@query(
+    """WITH r AS (SELECT l_returnflag AS flavour, CASE WHEN l_quantity < 5 THEN 'missingLink' WHEN l_quantity < 9 THEN 'missingProperty' WHEN l_quantity < 20 AND l_linenumber = 1 THEN 'unsupportedExpression' END AS c FROM lineitem)
+SELECT flavour, category, count(*) FILTER (c = category) AS count FROM r, (SELECT unnest(['missingLink', 'missingObjectType', 'missingProperty', 'missingSemanticFamily', 'unsupportedExpression']) AS category) GROUP BY ALL"""
+)
+def profile_reasons(spark, sf_dir):
+    q = F.col("l_quantity")
+    reason = F.when(q < 5, "unknown validation model link: owner of a property").when(q < 9, "unknown property: size").when((q < 20) & (F.col("l_linenumber") == 1), "a property of a link")
+    return reports.reason_counts(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flavour"), reason.alias("reason")))
+
+
 @query(
     "SELECT l_shipflag AS flavour, count(*) AS total, count(*) FILTER (q > 10) AS lowered, count(*) FILTER (q > 20) AS bound, count(*) FILTER (q < 5) AS unsupported, count(*) FILTER (q > 20) * 100 // count(*) AS percent FROM (SELECT l_returnflag AS l_shipflag, l_quantity AS q FROM lineitem) GROUP BY 1"
 )
@@ -613,10 +634,22 @@ SELECT l.doc_id, l.node, l.level, CASE WHEN l.level <= 1 THEN true ELSE coalesce
 
 @query(_NESTING)
 def heading_nesting(spark, sf_dir):
-    nodes = _tree(spark, sf_dir)
-    roles = hierarchy.ancestor_roles(nodes, hierarchy.ancestor_paths(nodes))
-    joined = nodes.join(roles, ["doc_id", "node"])
-    return joined.select("doc_id", "node", hierarchy.heading_level(F.col("role")).alias("level"), hierarchy.heading_nests(F.col("roles"), F.col("role")).alias("nests"))
+    return hierarchy.node_facts(_tree(spark, sf_dir)).select("doc_id", "node", "level", "nests")
+
+
+_ROLES = ["H1", "H2", "H3", "Formula", "Sect", "P", "Title", "BibEntry", "MathML", "TD", "Lbl", "Link", "Own"]
+
+
+@query(
+    _TREE.replace("'H' || (p_size % 8) AS role", f"{_ROLES}[p_size % 13 + 1] AS role")
+    + """, c AS (SELECT doc_id, node, unnest(path) AS at, unnest(range(len(path))) AS step FROM p), l AS (SELECT *, CASE WHEN regexp_full_match(role, 'H[1-6]') THEN CAST(substring(role, 2, 1) AS INTEGER) ELSE 0 END AS level FROM t),
+n AS (SELECT c.doc_id, c.node, arg_min(l.level, step) FILTER (l.level > 0) AS above, arg_min(l.lang, step) FILTER (l.lang IS NOT NULL) AS parent_lang, bool_or(l.role IN ('Formula', 'MathML')) AS f FROM c JOIN l ON l.doc_id = c.doc_id AND l.node = c.at GROUP BY 1, 2)
+SELECT l.doc_id, l.node, l.role, role <> 'Own' AS standard, role IN ('Sect', 'Title') AS grouping, CASE WHEN level > 0 THEN 'heading' WHEN role = 'TD' THEN 'table' WHEN role = 'Lbl' THEN 'list' WHEN role = 'Link' THEN 'link' END AS role_family,
+ l.level, CASE WHEN l.level <= 1 THEN true ELSE coalesce(above < l.level, false) END AS nests, parent_lang, coalesce(f, false) AS in_formula FROM l LEFT JOIN n USING (doc_id, node)"""
+)
+def structure_node_facts(spark, sf_dir):
+    nodes = _tree(spark, sf_dir).withColumn("role", F.element_at(F.array(*map(F.lit, _ROLES)), (F.col("p_size") % 13 + 1).cast("int")))
+    return hierarchy.node_facts(nodes).select("doc_id", "node", "role", "standard", "grouping", "role_family", "level", "nests", "parent_lang", "in_formula")
 
 
 @query("SELECT conv_id AS node, string_agg(role, '&' ORDER BY turn) AS child_roles FROM conversations GROUP BY conv_id")
@@ -784,3 +817,17 @@ def comparison_reason(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
     note = F.when(F.col("quality") == 1, "kept")
     return rows.select("doc_id", metadata.comparison_reason(note, F.lit("expectedDrift"), F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("reason"))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT p_brand AS profile_id, p_size % 12 AS minor, p_type AS rule_id, p_partkey % 7 = 0 AS bad FROM part),
+v AS (SELECT profile_id, max(minor) AS minor FROM r GROUP BY 1), one AS (SELECT profile_id, minor, rule_id, bool_or(bad) AS bad FROM r GROUP BY ALL)
+SELECT profile_id, '1.' || minor AS version, 'pdfa' AS family, CAST(right(profile_id, 1) AS INTEGER) AS part, '' AS conformance, 'source ' || minor AS source, count(*) AS rules, count(*) FILTER (bad) AS unsupported, count(*) FILTER (NOT bad) AS executable, count(*) FILTER (NOT bad) * 100 // count(*) AS percent
+FROM v JOIN one USING (profile_id, minor) GROUP BY profile_id, minor"""
+)
+def profile_entries(spark, sf_dir):
+    """Brands as profiles in up to twelve versions, 1.0 to 1.11, types as their rules."""
+    minor = (F.col("p_size") % 12).cast("string")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("profile_id"), F.concat(F.lit("1."), minor).alias("version"), F.col("p_type").alias("rule_id"), F.when(F.col("p_partkey") % 7 == 0, "unknown property").alias("reason"), minor.alias("minor"))
+    versions = rows.select("profile_id", "version", F.lit("pdfa").alias("family"), F.substring("profile_id", -1, 1).cast("int").alias("part"), F.lit(None).cast("string").alias("conformance"), F.concat(F.lit("source "), "minor").alias("source")).distinct()
+    return profiles.catalogue_entries(versions, rows)

@@ -298,14 +298,14 @@ def packet_checks(spark, sf_dir):
 
 @query(
     """SELECT p_partkey, p_size % 2 = 0 AS private_use, lower(p_brand[1:2]) || 'x' AS family, p_size AS part, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'b' END AS conformance, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS token,
-CASE p_partkey % 3 WHEN 0 THEN 'unknownProperty' WHEN 1 THEN 'unknownLink' ELSE 'other' END AS category, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'object ' || p_size || ' 0' ELSE 'offset ' || p_partkey END AS location, p_size <= 30 AS dates FROM part"""
+CASE p_partkey % 3 WHEN 0 THEN 'missingProperty' WHEN 1 THEN 'missingLink' ELSE 'unsupportedExpression' END AS category, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'object ' || p_size || ' 0' ELSE 'offset ' || p_partkey END AS location, p_size <= 30 AS dates FROM part"""
 )
 def text_functions(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     case = lambda *x: F.when(k % 3 == 0, x[0]).when(k % 3 == 1, x[1]).otherwise(x[2])
     none = F.lit(None).cast("string")
     name = F.concat(F.lower(F.substring("p_brand", 1, 2)), F.lit("x-"), size, F.when(F.col("p_size") % 3 == 0, "").otherwise("b"))
-    parts, reason = derived.display_name_parts(name), case(F.concat(F.lit("unknown property '"), F.col("p_type"), F.lit("' here")), F.concat(F.lit("no link "), F.col("p_name")), F.col("p_brand"))
+    parts, reason = derived.display_name_parts(name), case(F.concat(F.lit("unknown property '"), F.col("p_type"), F.lit("' here")), F.concat(F.lit("unknown validation model link "), F.col("p_name")), F.col("p_brand"))
     private = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("\ue000"))).otherwise(F.col("p_name"))
     stamp = F.concat(F.lit("D:202001"), F.lpad(size, 2, "0"), F.lit("030405Z"))
     other = F.concat(F.lit("2020-01-"), F.lpad(F.least("p_size", F.lit(30)).cast("string"), 2, "0"), F.lit("T03:04:05Z"))

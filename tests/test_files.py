@@ -186,13 +186,13 @@ def packet_checks(spark, sf_dir):
 
 
 @query(
-    "SELECT * FROM (VALUES (1, true, 'pdfa', 2, 'b', 'x', 'unknownProperty', 'p', true), (2, false, 'pdfua', 1, '', NULL, 'unknownLink', 'object 3 1', false), (3, NULL, 'wtpdf', 1, '-0-reuse', NULL, 'other', 'offset 9', NULL), (4, false, 'pdfa', NULL, '', NULL, 'unknownFamily', 'unknown', false)) t(i, private_use, family, part, conformance, token, category, location, dates)"
+    "SELECT * FROM (VALUES (1, true, 'pdfa', 2, 'b', 'x', 'missingProperty', 'p', true), (2, false, 'pdfua', 1, '', NULL, 'missingLink', 'object 3 1', false), (3, NULL, 'wtpdf', 1, '-0-reuse', NULL, 'unsupportedExpression', 'offset 9', NULL), (4, false, 'pdfa', NULL, '', NULL, 'missingObjectType', 'unknown', false)) t(i, private_use, family, part, conformance, token, category, location, dates)"
 )
 def text_functions(spark, sf_dir):
     schema = "i int, s string, name string, reason string, path string, number int, generation int, offset bigint, info string, xmp string"
     data = [
         (1, "a\ue000", "pdfa-2b", "unknown property 'x' here", "p", 1, 0, 5, "D:20200102030405Z", "2020-01-02T03:04:05Z"), (2, "a", "pdfua-1", "unknown link", None, 3, 1, 5, "D:20200102030405Z", None),
-        (3, None, "wtpdf-1-0-reuse", "odd", None, None, None, 9, None, "2020"), (4, "é", "pdfa", "no family", None, None, None, None, "D:2020", "2021"),
+        (3, None, "wtpdf-1-0-reuse", "odd", None, None, None, 9, None, "2020"), (4, "é", "pdfa", "unknown validation model family", None, None, None, None, "D:2020", "2021"),
     ]
     rows = spark.createDataFrame(data, schema)
     parts = derived.display_name_parts(F.col("name"))

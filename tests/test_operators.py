@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import checked as c
 from quillspark.functions import derived
-from quillspark.operators import content, hierarchy, joins, policy, reports, rules, sinks
+from quillspark.operators import content, hierarchy, joins, policy, profiles, reports, rules, sinks
 from quillspark.streaming import verdicts
 
 
@@ -208,6 +208,74 @@ def test_batches_and_extras(spark, tmp_path):
             assert len(root[0]) == 3 and root[-1].tag == "batchSummary" and root[-1].get("incomplete") == "1"
 
 
+def test_check_lines(spark, tmp_path):
+    rows = [*objects(spark).collect(), (1, "page", None, None, 20, 0), (1, "page", None, 'a<"&', 21, 2)]
+    outcomes = rules.apply_rules(spark.createDataFrame(rows, objects(spark).schema), made())
+    both = sinks.check_lines(outcomes, 1, passed=True).orderBy(*sinks.CHECK_ORDER).collect()
+    by_part = {}
+    for r in both:
+        by_part.setdefault((r.doc_id, r.part), []).append(r.value)
+    assert set(by_part) == {(1, 0), (1, 1), (3, 1)}  # nothing failed in 3, nothing was decided in 2
+    assert by_part[1, 0] == ["<failedChecks>", '<check ruleId="r1" status="failed" location="p0"/>', "</failedChecks>"]
+    passed = [ElementTree.fromstring(x) for x in by_part[1, 1][1:-1]]
+    # seven of r1 in visit order, then nine of the deferred rule, none of them capped
+    assert [x.get("ruleId") for x in passed] == ["r1"] * 7 + ["r2"] * 9 and passed[6].get("location") == 'a<"&'
+    assert [x.get("location") for x in passed[7:]] == [f"p{i}" for i in range(9)]
+    assert sinks.check_lines(outcomes, 1).filter("part = 1").isEmpty() and sinks.check_lines(outcomes, None).filter("place = 1").count() == 4
+    assert ["location=\"unknown\"" in r.value for r in sinks.check_lines(outcomes, None).filter("place = 1 AND visit_seq = 20").collect()] == [True]
+    sinks.write_checks(outcomes, 1, str(tmp_path / "checks"), passed=True)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "checks").glob("part-*"))).splitlines() == [r.value for r in both]
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_checks(outcomes, 1, str(tmp_path / "checks"))
+    assert sinks.check_lines(outcomes.limit(0), None, passed=True).count() == 0
+
+
+def test_catalogue_entries(spark):
+    versions = [("a", "1.9", "pdfa", 1, "b", "x"), ("a", "1.10", "pdfa", 1, None, "z"), ("a", "1.10", "pdfa", 1, "b", "y"), ("b", "draft", "pdfua", 1, None, "x"), ("c", "draft", "x", 1, "", "x"), ("c", "0", "x", 2, "", "x"), ("d", None, "x", 1, None, None), ("e", "1.0", "x", 1, None, "s"), ("e", "1.0", "x", 1, None, "s")]
+    made_of = [("a", "1.10", "r1", None), ("a", "1.10", "r1", None), ("a", "1.10", "r2", "unknown"), ("a", "1.10", "r2", None), ("a", "1.10", "r3", None), ("a", "1.9", "r9", None), ("z", "1", "r", None), ("b", "draft", "r", None), (None, None, None, None)]
+    catalogue = spark.createDataFrame(versions, "profile_id string, version string, family string, part int, conformance string, source string").withColumn("rules", F.lit("x"))
+    rule_rows = spark.createDataFrame(made_of, "profile_id string, version string, rule_id string, reason string")
+    got = {r.profile_id: (r.version, r.conformance, r.part, r.source, r.rules, r.unsupported, r.executable, r.percent) for r in profiles.catalogue_entries(catalogue, rule_rows).collect()}
+    assert got == {"a": ("1.10", "b", 1, "y", 3, 1, 2, 66), "b": ("draft", "", 1, "x", 1, 0, 1, 100), "c": ("0", "", 2, "x", 0, 0, 0, 0), "d": (None, "", 1, None, 0, 0, 0, 0), "e": ("1.0", "", 1, "s", 0, 0, 0, 0)}
+    assert profiles.catalogue_entries(catalogue.limit(0), rule_rows).count() == 0
+
+
+def test_comparison_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "valid", "valid", None), (2, "valid", "invalid", "ambiguity"), (3, "invalid", "valid", "scope"), (4, "invalid", "valid", None)], "id int, ours string, theirs string, expected string")
+    found = reports.compared(rows.withColumn("our_run", F.lit("completed")).withColumn("their_run", F.lit("completed")))
+    sinks.write_comparison(found, reports.comparison_summary(found), str(tmp_path))
+    read = {n: [json.loads(x) for p in sorted((tmp_path / n).glob("part-*")) for x in p.read_text().splitlines()] for n in ("corpus", "summary", "drift")}
+    assert sorted(x["id"] for x in read["corpus"]) == [1, 2, 3, 4] and sorted(x["id"] for x in read["drift"]) == [2, 4]
+    assert [x["total"] for x in read["summary"]] == [4] and read["summary"][0]["false_compliant"] == 1
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_comparison(found, reports.comparison_summary(found), str(tmp_path))
+
+
+def test_node_facts(spark):
+    rows = [(1, 1, None, "H2", None), (1, 2, 1, "Formula", "en"), (1, 3, 2, "H3", None), (1, 4, 3, "H2", ""), (1, 5, 4, None, None), (1, 6, 5, "BibEntry", "de"), (1, 7, 99, "H1", None), (1, 8, 9, "H2", None), (1, 9, 8, "Title", None), (2, 3, None, "H", None)]
+    nodes = spark.createDataFrame(rows, "doc_id int, node bigint, parent bigint, role string, lang string").withColumn("_level", F.lit(0))
+    got = {(r.doc_id, r.node): r for r in hierarchy.node_facts(nodes).collect()}
+    assert len(got) == len(rows)
+    nests = {k: r.nests for k, r in got.items()}
+    # a top heading needs one above it from level 2 on; 8 and 9 hang on each other, so 8 finds itself
+    assert nests == {(1, 1): False, (1, 2): True, (1, 3): True, (1, 4): False, (1, 5): True, (1, 6): True, (1, 7): True, (1, 8): False, (1, 9): True, (2, 3): True}
+    assert [got[1, i].parent_lang for i in range(1, 7)] == [None, None, "en", "en", "", ""]
+    assert [got[1, i].in_formula for i in range(1, 7)] == [False, False, True, True, True, True]
+    assert [got[1, i].grouping for i in (5, 6, 9)] == [False, False, True] and [got[1, i].standard for i in (5, 6)] == [False, True]
+    assert [got[k].role_family for k in ((1, 1), (1, 6), (2, 3))] == ["heading", None, "heading"] and got[2, 3].level == 0
+    # a chain of 300 nodes: what stands above the limit isn't found
+    chain = spark.range(300).select(F.lit(1).alias("doc_id"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.when(F.col("id") == 0, "Formula").otherwise("P").alias("role"), F.lit(None).cast("string").alias("lang"))
+    assert hierarchy.node_facts(chain, 1000).filter("in_formula").count() == 299
+    assert hierarchy.node_facts(nodes.limit(0)).count() == 0
+
+
+def test_reason_counts(spark):
+    rows = [("a", "unknown link: x"), ("a", "unknown validation model property"), ("a", "type mismatch of a property"), ("a", "missingSemanticFamily"), ("a", ""), ("b", None), (None, "unknown family")]
+    got = {(r.flavour, r.category): r["count"] for r in reports.reason_counts(spark.createDataFrame(rows, "flavour string, reason string")).collect()}
+    assert len(got) == 15 and {k: n for k, n in got.items() if n} == {("a", "missingLink"): 1, ("a", "missingProperty"): 1, ("a", "unsupportedExpression"): 2, ("a", "missingSemanticFamily"): 1, (None, "missingObjectType"): 1}
+    assert reports.reason_counts(spark.createDataFrame([], "flavour string, reason string")).count() == 0
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     rows = objects(spark)
     for k in range(3):
