@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import checked, nested
 from quillspark.operators import graphs, hierarchy, isolation, reports, scopes, structure
 from quillspark.plans.registry import query, table
+from quillspark.shared import spread
+
+#: Rows of a table that one task makes trees of values of.
+VALUES_A_TASK = 20_000
 
 # Trees of parts: node k hangs on k // 3; every tenth node of a document is a root of its own.
 
@@ -180,7 +184,7 @@ def _elements(spark, sf_dir: str) -> DataFrame:
     ref = lambda n: F.concat(n.cast("string"), F.lit(" 0 R"))
     kids = F.concat(F.lit("["), size.cast("string"), F.lit(',{"Type":"/MCR","Pg":"77 0 R","MCID":'), (size - 10).cast("string"), F.lit('},{"Type":"/OBJR"'), F.when(size % 2 == 0, F.concat(F.lit(',"Obj":"'), ref(k), F.lit('"'))).otherwise(""), F.lit('},"'), ref(k * 2), F.lit('","(text)"]'))
     fields = F.concat_ws(",", F.when(size % 9 != 0, F.concat(F.lit('"S":"/'), F.when(size % 5 == 0, "Artifact").otherwise(F.concat(F.lit("H"), (size % 8).cast("string"))), F.lit('"'))), F.when(k > 1, F.concat(F.lit('"P":"'), ref(F.floor(k / 2).cast("bigint")), F.lit('"'))), F.when(size % 4 == 0, F.concat(F.lit('"Pg":"'), ref(size), F.lit('"'))), F.concat(F.lit('"K":'), kids))
-    rows = part.filter(k >= 1).select((F.col("p_partkey") % 3).alias("doc_id"), k.alias("node"), F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
+    rows = spread(part.filter(k >= 1).select("p_partkey", "p_size"), VALUES_A_TASK).select((F.col("p_partkey") % 3).alias("doc_id"), k.alias("node"), F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
     return rows.select("doc_id", "node", F.try_parse_json("json").alias("value"))
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillspark.plans import corpus
+from quillspark.plans import corpus, graph
 from quillspark.shared import spread
 from quillspark.sources import documents
 
@@ -43,3 +43,9 @@ def test_remembered_bodies(spark):
     body = b"".join(b"%d 0 obj\n%s\nstream\nabc\nendstream\nendobj\n" % (n, x) for n, x in enumerate([long, long, b"<< /Length 3 /N /A#42 >>", b"<< /Length 3 /N /A#42 >>"], 1))
     rows = documents.objects(documents.from_memory(spark, {"x": body})).collect()
     assert [(r.declared_length, bytes(r.data)) for r in rows] == [(3, b"abc")] * 4 and len({r.json for r in rows}) == 2 and any('"/AB"' in r.json for r in rows)
+
+
+def test_trees_of_values_are_made_in_several_tasks(spark, small_tables, monkeypatch):
+    monkeypatch.setattr(graph, "VALUES_A_TASK", 1000)
+    elements = graph._elements(spark, small_tables).select("doc_id", "node")
+    assert elements.count() == 4997 and elements.rdd.getNumPartitions() == 5
