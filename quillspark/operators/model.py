@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.hierarchy import ancestor_paths
+from quillspark.shared import tasks_for
+
+#: Paths that one task opens into a row for each node on them.
+PATHS_A_TASK = 20_000
 
 # The family of a dictionary by its Subtype, else by its Type, else by the keys it has.
 FAMILY_BY_SUBTYPE = {"Image": "image", "Form": "formXObject", "PS": "postScriptXObject", "Widget": "formField"}
@@ -104,7 +108,8 @@ def effective_resources(pages: DataFrame, resources: DataFrame) -> DataFrame:
 
     *pages* has ``doc_id``, ``node``, ``parent``; *resources* ``doc_id``, ``node``, ``family``, ``name``, ``object``.
     """
-    paths = ancestor_paths(pages)
+    # paths pack well, so that the bytes of many are no reason for a task of its own
+    paths = ancestor_paths(pages).repartition(tasks_for(pages, PATHS_A_TASK))
     scopes = paths.select("doc_id", "node", F.posexplode(F.concat(F.array("node"), "path")).alias("scope", "_at"))
     rows = scopes.join(resources.withColumnRenamed("node", "_at"), ["doc_id", "_at"])
     return rows.groupBy("doc_id", "node", "family", "name").agg(F.min_by("object", "scope").alias("object"), F.min("scope").alias("scope"))

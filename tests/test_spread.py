@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
+from quillspark.operators import model
 from quillspark.plans import corpus, graph
-from quillspark.shared import spread
+from quillspark.shared import spread, tasks_for
 from quillspark.sources import documents
 
 
@@ -49,3 +50,14 @@ def test_trees_of_values_are_made_in_several_tasks(spark, small_tables, monkeypa
     monkeypatch.setattr(graph, "VALUES_A_TASK", 1000)
     elements = graph._elements(spark, small_tables).select("doc_id", "node")
     assert elements.count() == 4997 and elements.rdd.getNumPartitions() == 5
+
+
+def test_paths_are_opened_in_several_tasks(spark, monkeypatch):
+    """A chain of 99 nodes with a resource each: every task opens ten paths or so, and each name comes from its own node."""
+    monkeypatch.setattr(model, "PATHS_A_TASK", 10)
+    asked = []
+    monkeypatch.setattr(model, "tasks_for", lambda rows, n: asked.append(tasks_for(rows, n)) or asked[-1])
+    pages = spark.range(1, 100).selectExpr("0 AS doc_id", "id AS node", "nullif(id - 1, 0) AS parent")
+    found = model.effective_resources(pages, pages.selectExpr("doc_id", "node", "'font' AS family", "'F' || node AS name", "node AS object"))
+    assert asked == [10] and found.count() == 99 * 100 // 2
+    assert {(r.name, r.object, r.scope) for r in found.filter("node = 99").collect()} == {(f"F{n}", n, 99 - n) for n in range(1, 100)}
