@@ -259,7 +259,8 @@ def verified_roots(groups: DataFrame, nodes: DataFrame, texts: DataFrame, n: int
 
     roots = components(linked)
     open_ = _open_rows(larger, some, roots, part_shingles)
-    dealt = open_.join(some.select("node", "n_shingles"), "node").join(sets, "node")
+    # a set tells its own size, so that the many rows of open groups are joined once
+    dealt = open_.join(sets, "node").withColumn("n_shingles", F.expr("octet_length(hashes) div 8"))
     dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "visits")
     more = materialise(dealt.mapInPandas(lambda b: _open_links(b, percent), "a binary, b binary").distinct(), "similar-links")
     return roots if more.isEmpty() else components(linked.unionByName(more))
