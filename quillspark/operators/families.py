@@ -64,11 +64,10 @@ def typed(objects: DataFrame) -> DataFrame:
     return rows.withColumn("family", F.coalesce(lookup(MORE_TYPES, F.col("type")), known, by_shape))
 
 
-def _under(key: str) -> Column:
-    """The references in a row's value at *key*, as structs (link, dst): the value itself, or an array's or dictionary's own members."""
-    found = F.transform(nested.members(nested.at(F.col("value"), key)), lambda v: _target(F.try_variant_get(v, "$", "string")))
-    found = F.filter(F.coalesce(found, F.array().cast("array<bigint>")), lambda x: x.isNotNull())
-    return F.transform(found, lambda x: F.struct(F.lit(key).alias("link"), x.alias("dst")))
+def _under(key: Column, value: Column) -> Column:
+    """The references in a *value* that stands at *key*, as structs (link, dst): the value itself, or an array's or dictionary's own members."""
+    found = F.transform(nested.members(value), lambda v: _target(F.try_variant_get(v, "$", "string")))
+    return F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.struct(key.alias("link"), x.alias("dst")))
 
 
 def typed_links(objects: DataFrame, families: Sequence[str] | None = None) -> DataFrame:
@@ -78,12 +77,14 @@ def typed_links(objects: DataFrame, families: Sequence[str] | None = None) -> Da
     actions); ``ord`` counts through a row's links in order of the family's keys.  Only *families* are looked
     at, all by default.
     """
-    made = F.lit(None).cast("array<struct<link:string,dst:bigint>>")
-    for name, own in LINKS.items():
-        if families is None or name in families:
-            made = F.when(F.col("family") == name, F.concat(*[_under(key) for key, _ in own])).otherwise(made)
-    rows = objects.filter(F.col("family").isin(*(LINKS if families is None else families)))
-    rows = rows.select("doc_id", F.col("number").alias("src"), F.col("family").alias("src_family"), F.posexplode(made).alias("ord", "l"))
+    asked = {name: own for name, own in LINKS.items() if families is None or name in families}
+    keys = F.lit(None).cast("array<string>")
+    for name, own in asked.items():
+        keys = F.when(F.col("family") == name, F.array(*[F.lit(key) for key, _ in own])).otherwise(keys)
+    # a dictionary is opened once, and only keys that it has are looked into
+    rows = objects.filter(F.col("family").isin(*asked)).select("doc_id", F.col("number").alias("src"), F.col("family").alias("src_family"), keys.alias("_keys"), nested.entries_of(F.col("value")).alias("_own"))
+    made = F.transform(F.filter("_keys", lambda key: F.map_contains_key("_own", key)), lambda key: _under(key, F.element_at("_own", key)))
+    rows = rows.select("doc_id", "src", "src_family", F.posexplode(F.flatten(F.filter(made, lambda x: x.isNotNull()))).alias("ord", "l"))
     return rows.select("doc_id", "src", "src_family", "l.link", "ord", "l.dst")
 
 
@@ -189,9 +190,11 @@ def resource_entries(objects: DataFrame, families: Sequence[str] = ("page", "pag
     def opened(rows: DataFrame, column: str) -> DataFrame:
         """*rows* whose reference in *column* is replaced by the dictionary that it leads to; references to nothing go."""
         rows = rows.withColumn("_to", _target(F.try_variant_get(column, "$", "string")))
-        targets = objects.select("doc_id", F.col("number").alias("_to"), F.col("value").alias("_v"))
+        # values are read from their JSON behind the join, for the dictionaries that are referred to
+        targets = objects.select("doc_id", F.col("number").alias("_to"), F.col("json" if "json" in objects.columns else "value").alias("_v"))
         there = rows.filter("_to IS NOT NULL").join(targets, ["doc_id", "_to"])
-        return rows.filter("_to IS NULL").drop("_to").unionByName(there.withColumn(column, F.col("_v")).drop("_to", "_v"))
+        found = F.try_parse_json("_v") if "json" in objects.columns else F.col("_v")
+        return rows.filter("_to IS NULL").drop("_to").unionByName(there.withColumn(column, found).drop("_to", "_v"))
 
     each = opened(own.filter("r IS NOT NULL"), "r").select("doc_id", "src", "src_family", F.explode(nested.entries_of(F.col("r"))).alias("category", "c")).filter(F.col("category").isin(*RESOURCES))
     named = opened(each, "c").select("doc_id", "src", "src_family", "category", F.explode(nested.entries_of(F.col("c"))).alias("name", "e"))

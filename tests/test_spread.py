@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillspark.operators import model
+from quillspark.operators import families, model
 from quillspark.plans import corpus, graph
 from quillspark.shared import spread, tasks_for
 from quillspark.sources import documents
@@ -61,3 +61,20 @@ def test_paths_are_opened_in_several_tasks(spark, monkeypatch):
     found = model.effective_resources(pages, pages.selectExpr("doc_id", "node", "'font' AS family", "'F' || node AS name", "node AS object"))
     assert asked == [10] and found.count() == 99 * 100 // 2
     assert {(r.name, r.object, r.scope) for r in found.filter("node = 99").collect()} == {(f"F{n}", n, 99 - n) for n in range(1, 100)}
+
+
+def test_a_dictionary_is_opened_once_for_its_links(spark):
+    """Links ask for the keys that a dictionary has, in place of a branch for each family and each of its keys."""
+    rows = documents.objects(documents.from_memory(spark, {"x": b"1 0 obj\n<< /Type /Page /Annots [4 0 R 7 (5 0 R) 5 0 R] /Contents 3 0 R /AA << /O 6 0 R /C 8 >> /Parent 2 0 R >>\nendobj\n2 0 obj\n[1 0 R]\nendobj\n"}))
+    links = families.typed_links(families.typed(rows))
+    assert [(r.link, r.ord, r.dst) for r in links.orderBy("ord").collect()] == [("Contents", 0, 3), ("Annots", 1, 4), ("Annots", 2, 5), ("AA", 3, 6)]
+    assert families.typed_links(families.typed(rows), ["font"]).count() == 0 and families.typed_links(families.typed(rows), []).count() == 0
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") < 60
+
+
+def test_plain_bodies_end_where_others_do(spark):
+    """The short way over plain bodies gives what the whole scan gives, whatever stands around ``endobj``."""
+    ends = [b"endobj\n", b"endobj%\n", b"endobjx endobj\n", b"(endobj) endobj\n", b"%endobj\nendobj\n", b"xendobj endobj\n", b"\0endobj\n", b">>\nstream\nendobj\nendstream\nendobj\n", b"<" + b"0" * documents.REMEMBERED_BYTES + b"> endobj\n"]
+    found = [documents._last_objects(b"1 0 obj\n7 " + end + b"2 0 obj\n8 endobj\n")[0][3].strip() for end in ends]
+    assert found == ["7", "7", "7 endobjx", "7 (endobj)", "7 %endobj", "7 xendobj", "7 \0", "7 >>", "7 <" + "0" * documents.REMEMBERED_BYTES + ">"]
