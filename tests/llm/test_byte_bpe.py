@@ -78,3 +78,18 @@ def test_frames(spark, library):
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in coded.collect()}[4] == library.encode_ordinary(TEXTS[3])
     assert {r.doc_id: bytes(r.data) for r in decode(coded).collect()}[4] == TEXTS[3].encode()
     assert round_trip(docs.limit(0)).count() == 0
+
+
+def test_words_are_shuffled_packed_and_texts_not_at_all(spark, library):
+    """Texts stay in the buckets of their blocks; a list of words goes out and comes back as packed values, less than their bytes."""
+    words = [f" word{i:05}" for i in range(20_000)]
+    pack = corpus_words.packed_words(words)
+    assert corpus_words.unpacked_words(**pack) == words and sum(map(len, pack.values())) * 3 < sum(map(len, words))
+    assert all(corpus_words.unpacked(corpus_words.packed(np.array(x, np.uint32))).tolist() == x for x in ([], [0], [1, 2**32 - 1, 300]))
+    assert corpus_words.unpacked_words(**corpus_words.packed_words(["", "é日", "😀\0\n"])) == ["", "é日", "😀\0\n"]
+    docs = spark.createDataFrame([(i, "the same words " * i) for i in range(50)], "doc_id long, text string").repartition(3)
+    got = round_trip(docs)
+    rows = {r.doc_id: r.n_tokens for r in got.collect()}
+    assert rows == {i: len(library.encode_ordinary("the same words " * i)) for i in range(50)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") - plan.count("BroadcastExchange") == 2 * (1 + plan.count("== Initial Plan =="))
