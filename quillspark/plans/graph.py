@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import checked, nested
 from quillspark.operators import graphs, hierarchy, isolation, reports, scopes, structure
 from quillspark.plans.registry import query, table
-from quillspark.shared import spread
+from quillspark.shared import spread, tasks_for
 
 #: Rows of a table that one task makes trees of values of.
 VALUES_A_TASK = 20_000
@@ -267,5 +267,7 @@ def report_outcomes(spark, sf_dir):
     fields = F.when(k % 5 == 0, F.lit('"none":[{"isCompliant":1}]')).otherwise(F.concat(own, deep))
     json = F.concat(F.lit('{"summary":{"failedToParse":'), F.greatest(k % 10 - 7, F.lit(0)).cast("string"), F.lit(',"in":[{"encrypted":'), F.when(k % 7 == 0, 2).otherwise(0).cast("string"), F.lit("}]},"), fields, F.lit("}"))
     code = F.when(k % 4 == 2, 7).otherwise((k % 4).cast("int"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").distinct()
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    # distinct orders are few bytes, which come in few tasks; each grows into a report
+    rows = orders.distinct().repartition(tasks_for(orders, VALUES_A_TASK))
     return reports.report_outcomes(rows.select(k.alias("id"), F.when(k % 6 == 0, "no json").otherwise(json).alias("json"), code.alias("exit_code")))

@@ -78,3 +78,13 @@ def test_plain_bodies_end_where_others_do(spark):
     ends = [b"endobj\n", b"endobj%\n", b"endobjx endobj\n", b"(endobj) endobj\n", b"%endobj\nendobj\n", b"xendobj endobj\n", b"\0endobj\n", b">>\nstream\nendobj\nendstream\nendobj\n", b"<" + b"0" * documents.REMEMBERED_BYTES + b"> endobj\n"]
     found = [documents._last_objects(b"1 0 obj\n7 " + end + b"2 0 obj\n8 endobj\n")[0][3].strip() for end in ends]
     assert found == ["7", "7", "7 endobjx", "7 (endobj)", "7 %endobj", "7 xendobj", "7 \0", "7 >>", "7 <" + "0" * documents.REMEMBERED_BYTES + ">"]
+
+
+def test_reports_are_opened_in_several_tasks(spark, tmp_path, monkeypatch):
+    """Distinct orders come in as few tasks as their bytes ask for; their reports are dealt over tasks by number."""
+    duckdb.connect().sql(f"COPY (SELECT range AS o_orderkey, 'O' AS o_orderstatus FROM range(5000) UNION ALL SELECT 1, 'O') TO '{tmp_path}/orders.parquet'")
+    monkeypatch.setattr(graph, "VALUES_A_TASK", 1000)
+    given = []
+    monkeypatch.setattr(graph.reports, "report_outcomes", lambda rows: given.append(rows) or rows)
+    graph.report_outcomes(spark, str(tmp_path))
+    assert given[0].select("id").rdd.getNumPartitions() == 6 and given[0].select("id").distinct().count() == given[0].count() == 5000
