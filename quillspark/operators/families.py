@@ -53,15 +53,24 @@ def _target(text: Column) -> Column:
 
 def typed(objects: DataFrame) -> DataFrame:
     """Object rows with ``keys`` and ``family``; the family is null where none fits."""
-    rows = objects.withColumn("keys", F.when(F.col("kind").isin("dictionary", "stream"), nested.own_keys(F.col("value"))))
-    known = model.family(F.col("type"), F.col("subtype"), F.coalesce("keys", F.array().cast("array<string>")))
-    has = lambda *names: F.arrays_overlap(F.col("keys"), F.array(*map(F.lit, names)))
-    by_shape = (
-        F.when(F.col("subtype").isin(*ANNOTATION_SUBTYPES) & has("Rect"), "annotation")
-        .when(has("Title") & has("Parent") & has("First", "Next", "Prev", "Dest", "A"), "outline")
-        .when(text_at("S").isin(*[f"/{a}" for a in ACTIONS]), "action")
-    )
-    return rows.withColumn("family", F.coalesce(lookup(MORE_TYPES, F.col("type")), known, by_shape))
+    named = F.coalesce(lookup(MORE_TYPES, F.col("type")), lookup(model.FAMILY_BY_SUBTYPE, F.col("subtype")), lookup(model.FAMILY_BY_TYPE, F.col("type")))
+    is_open = F.col("kind").isin("dictionary", "stream")
+
+    def unnamed(keys: Column, action: Column) -> Column:
+        has = lambda *names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
+        by_keys = model.family(F.lit(None).cast("string"), F.lit(None).cast("string"), F.coalesce(keys, F.array().cast("array<string>")))
+        by_shape = (
+            F.when(F.col("subtype").isin(*ANNOTATION_SUBTYPES) & has("Rect"), "annotation")
+            .when(has("Title") & has("Parent") & has("First", "Next", "Prev", "Dest", "A"), "outline")
+            .when(action.isin(*[f"/{a}" for a in ACTIONS]), "action")
+        )
+        return F.coalesce(by_keys, by_shape)
+
+    # only what no name decides is opened, once; its value is read where it is asked, so that no other row's is
+    value = F.try_parse_json("json") if "json" in objects.columns else F.col("value")
+    opened = F.transform(F.array(value), lambda v: F.struct(F.when(is_open, nested.own_keys(v)).alias("keys"), nested.at(v, "S", kind="string").alias("action")))
+    rows = objects.withColumn("keys", F.when(is_open, nested.own_keys(F.col("value"))))
+    return rows.withColumn("family", F.coalesce(named, F.get(F.transform(opened, lambda o: unnamed(o["keys"], o["action"])), F.lit(0))))
 
 
 def _under(key: Column, value: Column) -> Column:

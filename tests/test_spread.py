@@ -46,6 +46,41 @@ def test_remembered_bodies(spark):
     assert [(r.declared_length, bytes(r.data)) for r in rows] == [(3, b"abc")] * 4 and len({r.json for r in rows}) == 2 and any('"/AB"' in r.json for r in rows)
 
 
+@pytest.mark.parametrize("asked", [documents.scanned, documents.trailers, documents.xref_facts])
+def test_files_are_not_made_before_they_are_dealt(spark, small_tables, asked):
+    """No filter on contents goes below the exchange, where one task reads the table; a file without contents has no rows all the same."""
+    plan = asked(corpus._files(spark, small_tables))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "Filter" not in plan[plan.index("Repartition") :]
+    files = documents.from_memory(spark, {"x": b"1 0 obj 7 endobj xref\n0 1\n0 f\ntrailer << /Root 1 0 R >>", "y": b""}).selectExpr("doc_id", "bytes", "IF(doc_id = 'x', content, NULL) AS content", "doc_id = 'y' AS too_large")
+    assert [r.doc_id for r in asked(files).collect()] == ["x"]
+
+
+def test_remembered_objects_end_where_others_do(spark, monkeypatch):
+    """A piece of a file tells its object only where no byte behind the piece could change it."""
+    heads = [b"1 0 obj ", b"junk 1 0 obj\n<< /Length 3 >>\nstream\n", b"1 0 obj << /Length 900 >> stream\n", b"1 0 obj << /L 3 >> % >\n stream\n", b"% 1 0 obj\n"]
+    bodies = [b"7 ", b"(a) ", b"(endobj ", b"( (a) ", b"% endobj\n", b"abc\nendstream ", b"xendobj ", b"streams ", b">> stream\r\n", b"\\) "]
+    contents = [head + body + other + end + b"\n2 0 obj\n8) endobj\n" for head in heads for body in bodies for other in (b"", *bodies) for end in (b"endobj", b"endobjx", b"endstream\nendobj")]
+    short = [documents._last_objects(c) for c in contents]
+    assert documents._remembered_object(b"1 0 obj 7 endobj\n") and documents._remembered_object(b"1 0 obj (7 endobj\n") is None and documents._remembered_object(b" endobj\n") == ()
+    monkeypatch.setattr(documents, "REMEMBERED_BYTES", -1)
+    assert short == [documents._last_objects(c) for c in contents] and sum(map(len, short)) > len(contents)
+
+
+def test_the_scan_tells_types(spark):
+    """Names are told by the scan; numbers, escapes beyond printable letters and texts are left to the nested value, which is not read for the others."""
+    bodies = ["<< /Type /Page /Subtype /Q#2fR >>", "<< /Type 1.50 /Subtype 5 >>", "<< /Type /A#20B >>", "<< /Type (a) /Subtype true >>", "<< >>", "true", "[ /Type ]", "12 ", "<< /Type null /Subtype /Link >>"]
+    told = [documents._read_body(b.encode())[2:6] for b in bodies]
+    assert told == [("dictionary", "Page", "Q/R", True), ("dictionary", None, None, False), ("dictionary", None, None, False), ("dictionary", None, None, False), ("dictionary", None, None, True), (None, None, None, True), ("array", None, None, True), (None, None, None, True), ("dictionary", None, "Link", True)]
+    content = "".join(f"{n} 0 obj {b} endobj\n" for n, b in enumerate(bodies, 1)).encode()
+    rows = documents.objects(documents.from_memory(spark, {"x": content})).orderBy("number").collect()
+    assert [(r.kind, r.type, r.subtype) for r in rows] == [("dictionary", "Page", "Q/R"), ("dictionary", "1.5", "5"), ("dictionary", "A B", None), *[("dictionary", None, None)] * 2, ("boolean", None, None), ("array", None, None), ("integer", None, None), ("dictionary", None, "Link")]
+
+
+def test_a_catalog_is_looked_up_without_distinct_keys(spark):
+    plan = documents.parse_status(documents.from_memory(spark, {"x": b"%PDF-1.4 1 0 obj << /Type /Catalog >> endobj 1 0 obj << /Type /Catalog >> endobj trailer << /Root 1 0 R >>"}))
+    assert [r.status for r in plan.collect()] == ["success"] and "LeftSemi" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_trees_of_values_are_made_in_several_tasks(spark, small_tables, monkeypatch):
     monkeypatch.setattr(graph, "VALUES_A_TASK", 1000)
     elements = graph._elements(spark, small_tables).select("doc_id", "node")
