@@ -110,6 +110,15 @@ def linked_objects(objects: DataFrame, links: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.element_at(schema, F.concat_ws(".", "src_family", "link"))).withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def _led_to(objects: DataFrame, rows: DataFrame, number: str, how: str = "inner") -> DataFrame:
+    """*rows* with ``_led``, the value of the object of their document that *number* names; values are read from their JSON behind the join, for those alone."""
+    source = "json" if "json" in objects.columns else "value"
+    there = objects.select("doc_id", F.col("number").alias(number), F.col(source).alias("_source"))
+    # objects pack well: by the bytes of their table Spark would send every task millions of them
+    found = rows.join(there.hint("merge") if how == "left" else there, ["doc_id", number], how)
+    return found.withColumn("_led", F.try_parse_json("_source") if source == "json" else F.col("_source")).drop("_source")
+
+
 def pages(objects: DataFrame) -> DataFrame:
     """``doc_id``, ``node``, ``parent`` of the page tree's nodes (``leaf`` for a page), for the operators on hierarchies."""
     return objects.filter(F.col("family").isin("page", "pageTree")).select("doc_id", F.col("number").alias("node"), _target(text_at("Parent")).alias("parent"), (F.col("family") == "page").alias("leaf"))
@@ -131,7 +140,7 @@ def page_fonts(objects: DataFrame) -> DataFrame:
     nodes = objects.filter(F.col("family").isin("page", "pageTree"))
     inline = nodes.select("doc_id", F.col("number").alias("node"), F.explode(nested.at(F.col("value"), "Resources", "Font", kind="map<string,string>")).alias("name", "f"))
     refers = nodes.select("doc_id", F.col("number").alias("node"), _target(text_at("Resources")).alias("number")).filter("number IS NOT NULL")
-    apart = objects.join(refers, ["doc_id", "number"]).select("doc_id", "node", F.explode(nested.at(F.col("value"), "Font", kind="map<string,string>")).alias("name", "f"))
+    apart = _led_to(objects, refers, "number").select("doc_id", "node", F.explode(nested.at(F.col("_led"), "Font", kind="map<string,string>")).alias("name", "f"))
     found = inline.unionByName(apart).select("doc_id", "node", F.lit("font").alias("family"), "name", _target(F.col("f")).alias("object")).filter("object IS NOT NULL")
     tree = pages(objects)
     seen = model.effective_resources(tree.drop("leaf"), found)
@@ -168,7 +177,7 @@ def embedded_members(entries: DataFrame, files: DataFrame) -> DataFrame:
 def info_values(trailers: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     """``doc_id``, ``value``: the text at *key* in the information dictionary that the last trailer names (``pos``, ``info``)."""
     last = trailers.filter("info IS NOT NULL").groupBy("doc_id").agg(F.max_by("info", "pos").alias("number"))
-    return objects.join(last, ["doc_id", "number"]).select("doc_id", text_at(key).alias("value"))
+    return _led_to(objects, last, "number").select("doc_id", nested.at(F.col("_led"), key, kind="string").alias("value"))
 
 
 def schema_counts(properties: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,19 +203,22 @@ def resource_entries(objects: DataFrame, families: Sequence[str] = ("page", "pag
     Resources, and each category of them, stand in the object or in a dictionary that it refers to; ``dst`` is
     null for an entry that is written out in place.  All categories come from one pass over the owners.
     """
-    own = objects.filter(F.col("family").isin(*families)).select("doc_id", F.col("number").alias("src"), F.col("family").alias("src_family"), nested.at(F.col("value"), "Resources").alias("r"))
-
-    def opened(rows: DataFrame, column: str) -> DataFrame:
-        """*rows* whose reference in *column* is replaced by the dictionary that it leads to; references to nothing go."""
-        rows = rows.withColumn("_to", _target(F.try_variant_get(column, "$", "string")))
-        # values are read from their JSON behind the join, for the dictionaries that are referred to
-        targets = objects.select("doc_id", F.col("number").alias("_to"), F.col("json" if "json" in objects.columns else "value").alias("_v"))
-        there = rows.filter("_to IS NOT NULL").join(targets, ["doc_id", "_to"])
-        found = F.try_parse_json("_v") if "json" in objects.columns else F.col("_v")
-        return rows.filter("_to IS NULL").drop("_to").unionByName(there.withColumn(column, found).drop("_to", "_v"))
-
-    each = opened(own.filter("r IS NOT NULL"), "r").select("doc_id", "src", "src_family", F.explode(nested.entries_of(F.col("r"))).alias("category", "c")).filter(F.col("category").isin(*RESOURCES))
-    named = opened(each, "c").select("doc_id", "src", "src_family", "category", F.explode(nested.entries_of(F.col("c"))).alias("name", "e"))
+    owners = objects.filter(F.col("family").isin(*families))
+    # one row with the value at hand, made once: a filter on it would read the value once more
+    own = owners.select("doc_id", F.col("number").alias("src"), F.col("family").alias("src_family"), F.explode(F.filter(F.array(nested.at(F.col("value"), "Resources")), lambda r: r.isNotNull())).alias("r"))
+
+    def opened(rows: DataFrame, column: str, place: Column) -> DataFrame:
+        """*rows* whose reference in *column* is replaced by the dictionary that it leads to (null for one to nothing), in one join.
+
+        Rows without a reference look for their *place*, which names no object, so that they don't gather at a null.
+        """
+        to = _target(F.try_variant_get(column, "$", "string"))
+        found = _led_to(objects, rows.withColumn("_to", F.coalesce(to, place)), "_to", "left")
+        return found.withColumn(column, F.when(F.col("_to") < 0, F.col(column)).otherwise(F.col("_led"))).drop("_to", "_led")
+
+    place = -1 - F.abs("src")
+    each = opened(own, "r", place).select("doc_id", "src", "src_family", F.explode(nested.entries_of(F.col("r"))).alias("category", "c")).filter(F.col("category").isin(*RESOURCES))
+    named = opened(each, "c", place).select("doc_id", "src", "src_family", "category", F.explode(nested.entries_of(F.col("c"))).alias("name", "e"))
     return named.select("doc_id", "src", "src_family", "category", "name", _target(F.try_variant_get("e", "$", "string")).alias("dst"))
 
 

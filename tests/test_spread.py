@@ -123,3 +123,23 @@ def test_reports_are_opened_in_several_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(graph.reports, "report_outcomes", lambda rows: given.append(rows) or rows)
     graph.report_outcomes(spark, str(tmp_path))
     assert given[0].select("id").rdd.getNumPartitions() == 6 and given[0].select("id").distinct().count() == given[0].count() == 5000
+
+
+def test_resources_are_opened_in_one_join_a_level(spark, small_tables):
+    """Owners and dictionaries are read once, not once for those that refer and once for those that don't."""
+    plan = families.resource_entries(corpus._resource_model(spark, small_tables))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("Relation ") == 3 and "Union" not in plan
+    body = b"1 0 obj << /Type /Page /Resources 5 0 R >> endobj 2 0 obj << /Type /Page /Resources 9 0 R >> endobj 3 0 obj << /Type /Page /Resources << /Font 9 0 R /XObject << /X 3 0 R /Y 1 >> /Pattern 5 >> >> endobj 4 0 obj << /Type /Page >> endobj 5 0 obj << /Font << /F 6 0 R >> /ColorSpace 7 0 R >> endobj 7 0 obj [ 1 ] endobj"
+    rows = families.typed(documents.objects(documents.from_memory(spark, {"x": body, "y": body.replace(b"5 0 obj", b"8 0 obj")})))
+    found = {(r.doc_id, r.src, r.category, r.name, r.dst) for r in families.resource_entries(rows).collect()}
+    assert found == {("x", 1, "Font", "F", 6), *((doc, 3, "XObject", name, dst) for doc in "xy" for name, dst in (("X", 3), ("Y", None)))}
+
+
+def test_values_are_read_behind_joins(spark, small_tables):
+    """What a reference leads to is read for the objects that are referred to, not for all before they are joined."""
+    rows = corpus._model(spark, small_tables)
+    last = spark.createDataFrame([("1", 0, 40), ("2", 0, 99)], "doc_id string, pos int, info long")
+    found = families.info_values(last, rows, "Title")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" in plan[: plan.index("Join")] and "parseJson" not in plan[plan.index("Join") :]
+    assert [tuple(r) for r in found.collect()] == [("1", "(n)")]
