@@ -143,3 +143,16 @@ def test_values_are_read_behind_joins(spark, small_tables):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "parseJson" in plan[: plan.index("Join")] and "parseJson" not in plan[plan.index("Join") :]
     assert [tuple(r) for r in found.collect()] == [("1", "(n)")]
+
+
+def test_a_status_asks_rows_that_tell_roots(spark):
+    """The scan keeps what may tell a catalog, trailers among it, so that no second one looks for trailers and no other object is joined."""
+    objects = b"%PDF-1.4\n" + b"".join(b"%d 0 obj << /Root 1 0 R >> endobj\n" % n for n in range(1, 30))
+    cross = b"40 0 obj << /Type /XRef /Root 3 0 R >>\nstream\nx\nendstream endobj "
+    deep = b"trailer << /Root 2 0 R /X " + b"[" * 300 + b">>"
+    assert [row[1] for row in documents._naming_roots(objects + cross + b"trailer << /Root 2 0 R >> trailer << /Root (4 0 R) >>")] == [-1, -1, 2, 3, 40]
+    assert [row[1] for row in documents._naming_roots(objects + cross + deep)] == [3, 40]
+    asked = {"classic": objects + b"trailer << /Root 2 0 R >>", "gone": objects + b"trailer << /Root 2 0 R >> trailer << /Root 77 0 R >>", "cross": objects + cross, "deep": objects + cross + deep, "none": objects + deep, "no header": objects[9:] + cross}
+    status = documents.parse_status(documents.from_memory(spark, asked))
+    assert {r.doc_id: r.status for r in status.collect()} == {"classic": "success", "gone": "parseFailed", "cross": "success", "deep": "success", "none": "parseFailed", "no header": "parseFailed"}
+    assert status._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
